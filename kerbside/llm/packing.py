@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from kerbside.staging import written
 
-#: Pieces of one partition, and texts that are tokenised at a time.
-PARTITION, TEXTS = 8192, 256
+#: Pieces of one partition, and bytes of text that are tokenised at a time.
+PARTITION, TEXT_BYTES = 8192, 16 << 20
 #: Words whose ids a worker remembers before it starts afresh.
 REMEMBERED = 1_000_000
 _MARKS = b",.!%*#&$|?;:"
@@ -51,16 +51,16 @@ class WordIds(dict):
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(x.ids, dtype="<u4") for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, words: set[bytes]) -> None:
+    def learn(self, words: list[bytes]) -> None:
         """Add the words that are not known yet."""
-        if len(self) + len(words) > REMEMBERED:
+        if len(self) > REMEMBERED:
             self.clear()
         parts = {}
-        for word in words - self.keys():
+        for word in [w for w in words if w not in self]:
             stem = word.rstrip(_MARKS)
             # A letter or digit ends one token group and a run of marks is the next.
             parts[word] = (stem, word[len(stem) :]) if stem and stem.decode("utf-8", "replace")[-1].isalnum() else (word, b"")
-        new = {p for pair in parts.values() for p in pair if p} - self.keys()
+        new = {p for pair in parts.values() for p in pair if p and p not in self}
         plain = [w for w in new if w.decode("utf-8", "replace").isalpha()]
         alone = list(new.difference(plain))
         for k in range(0, len(plain), 512):
@@ -91,12 +91,37 @@ def word_ids(path: str) -> WordIds:
     return _known[path]
 
 
-def token_bytes(texts: list[str | None], path: str) -> list[bytes]:
-    """The ids of each text, without special tokens, as little-endian unsigned 32-bit; null is empty."""
-    ids = word_ids(path)
-    split = [(t or "").encode("utf-8", "replace").lower().split() for t in texts]
-    ids.learn(set().union(*split))
-    return [b"".join(map(ids.__getitem__, words)) for words in split]
+def token_ids(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all texts in one array, without special tokens, and where each text's begin and end; null is empty.
+
+    Words are split and counted off by Arrow; Python sees each distinct word of the batch once.
+    """
+    known = word_ids(path)
+    words = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    coded = words.flatten().dictionary_encode()
+    distinct = coded.dictionary.cast(pa.binary()).to_pylist()
+    known.learn(distinct)
+    parts = list(map(known.__getitem__, distinct))
+    flat = np.frombuffer(b"".join(parts), "<u4")
+    sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+    starts = np.cumsum(sizes) - sizes
+    at = coded.indices.to_numpy()
+    size = sizes[at]
+    ends = np.cumsum(size)
+    take = np.repeat(starts[at] - (ends - size), size)
+    take += np.arange(len(take))
+    return flat[take], np.concatenate([[0], ends])[words.offsets.to_numpy()]
+
+
+def slices(batch: pa.RecordBatch, column: int, most: int = TEXT_BYTES) -> Iterator[pa.RecordBatch]:
+    """``batch`` in runs of rows whose text in ``column`` comes to about ``most`` bytes, one row at least."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < batch.num_rows:
+        before = sizes[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(sizes, before + most, side="right")))
+        yield batch.slice(at, to - at)
+        at = to
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -110,11 +135,11 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id:
         end = np.array([end_id], "<u4").tobytes()
         step = 4 * capacity
         for batch in batches:
-            for at in range(0, batch.num_rows, TEXTS):
-                part = batch.slice(at, TEXTS)
+            for part in slices(batch, 1):
                 rows: dict[str, list] = defaultdict(list)
-                for doc, raw in zip(part.column(0).to_pylist(), token_bytes(part.column(1).to_pylist(), tokenizer)):
-                    raw += end
+                ids, bounds = token_ids(part.column(1), tokenizer)
+                for doc, a, b in zip(part.column(0).to_pylist(), bounds.tolist(), bounds[1:].tolist()):
+                    raw = ids[a:b].tobytes() + end
                     for k in range(0, len(raw), step):
                         piece = raw[k : k + step]
                         for name, value in (("doc_id", doc), ("piece", k // step), ("start", k // 4), ("length", len(piece) // 4), ("ids_crc32", zlib.crc32(piece))):
