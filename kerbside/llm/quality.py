@@ -28,8 +28,8 @@ GRIDS = {
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
-def with_signals(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """A struct column ``__q`` with the base counts and the signals of each whole text, beside ``docs``.
+def with_signals(docs: DataFrame, *keep: Column, text_col: str = "text") -> DataFrame:
+    """The columns ``keep`` of ``docs`` and a struct ``__q`` with the base counts and the signals of each whole text.
 
     Null and empty texts count 0 everywhere. ``n_repeat_words`` counts the words inside 3-word windows that
     occur twice or more in the text: windows are ordered by their 64-bit hash, those beside an equal one
@@ -37,30 +37,38 @@ def with_signals(docs: DataFrame, text_col: str = "text") -> DataFrame:
     the hash of a window is compared.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.struct("*").alias("__row"), text.alias("__text"), words(text).alias("__words"))
-    n = F.size("__words")
-    w = F.col("__words")
+    rows = docs.select(*keep, text.alias("__text"), once(words(text)).alias("__words"))
+    kept = [c for c in rows.columns if c not in ("__text", "__words")]
+    w, n = F.col("__words"), F.size("__words")
     starts = F.when(n >= 3, F.sequence(F.lit(0), n - 3)).otherwise(F.array().cast("array<int>"))
     windows = F.sort_array(F.transform(starts, lambda i: F.struct(F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.alias("i"))))
-    lines = F.filter(F.split("__text", "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
-    rows = rows.select("__row", "__text", w, windows.alias("__windows"), lines.alias("__lines"))
+    rows = rows.select(*kept, "__text", w, once(windows).alias("__windows"))
     s = F.col("__windows")
     repeats = F.filter(s, lambda e, i: F.equal_null(F.get(s, i - 1)["h"], e["h"]) | F.equal_null(F.get(s, i + 1)["h"], e["h"]))
-    rows = rows.select("__row", "__text", w, "__lines", F.sort_array(F.transform(repeats, lambda e: e["i"])).alias("__at"))
-    at = F.col("__at")
+    at = F.sort_array(F.transform(repeats, lambda e: e["i"]))
     # A repeat covers three words from its position, less what the next one covers too.
     covered = F.aggregate(at, F.struct(F.lit(0).alias("n"), F.lit(-3).alias("last")), lambda a, x: F.struct((a["n"] + F.least(F.lit(3), x - a["last"])).alias("n"), x.alias("last")), lambda a: a["n"])
-    count = lambda c: c.cast("long")
-    rows = rows.select(
-        "__row", F.size(w).cast("long").alias("n_words"), count(F.length(F.array_join(w, ""))).alias("word_chars"),
-        count(F.length("__text") - F.length(F.regexp_replace("__text", "[#*$%&|<>]", ""))).alias("n_symbols"),
-        count(F.size("__lines") - F.size(F.array_distinct("__lines"))).alias("n_dup_lines"), count(covered).alias("n_repeat_words"),
-        F.size("__lines").alias("__n_lines"), F.size(F.filter(w, lambda x: x == "|")).alias("__bars"),
-        F.length(F.regexp_replace("__text", "[^\\p{Lu}]+", "")).alias("__capitals"),
+    lines = F.filter(F.split("__text", "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
+    counts = F.struct(
+        n.cast("long").alias("n_words"), F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
+        (F.length("__text") - F.length(F.regexp_replace("__text", "[#*$%&|<>]", ""))).cast("long").alias("n_symbols"),
+        lines.alias("lines"), covered.cast("long").alias("n_repeat_words"), F.size(F.filter(w, lambda x: x == "|")).alias("bars"),
+        F.length(F.regexp_replace("__text", "[^\\p{Lu}]+", "")).alias("capitals"),
     )
-    per = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
-    signals = [per("n_symbols", "n_words").alias("symbol_rate"), per("n_dup_lines", "__n_lines").alias("dup_line_share"), per("n_repeat_words", "n_words").alias("repeat_share"), per("__capitals", "word_chars").alias("capital_share"), per("__bars", "n_words").alias("bar_rate")]
-    return rows.select("__row", F.struct(*BASE, *signals).alias("__q"))
+    c = F.col("__counts")
+    counted = rows.select(*kept, once(counts).alias("__counts")).select(*kept, c, F.size(c["lines"]).alias("__lines"), (F.size(c["lines"]) - F.size(F.array_distinct(c["lines"]))).cast("long").alias("n_dup_lines"))
+    per = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
+    signals = [
+        per(c["n_symbols"], c["n_words"]).alias("symbol_rate"), per(F.col("n_dup_lines"), F.col("__lines")).alias("dup_line_share"),
+        per(c["n_repeat_words"], c["n_words"]).alias("repeat_share"), per(c["capitals"], c["word_chars"]).alias("capital_share"), per(c["bars"], c["n_words"]).alias("bar_rate"),
+    ]
+    base = [F.col(name) if name == "n_dup_lines" else c[name].alias(name) for name in BASE]
+    return counted.select(*kept, once(F.struct(*base, *signals)).alias("__q"))
+
+
+def once(value: Column) -> Column:
+    """A value that is computed once for a row, whatever reads it: no expression or filter moves through an explode."""
+    return F.explode(F.array(value))
 
 
 def base_failed(q: Column) -> Column:
@@ -145,12 +153,12 @@ def assess(docs: DataFrame, labels: DataFrame, alpha: float = 0.02, delta: float
     Strata are languages; null is one of its own. Signals are computed once and written. Rows that
     repeat stay. Labels are for documents by ``doc_id``; an id with several labels counts with each.
     """
-    signals = written(with_signals(docs.select("doc_id", "lang", "text")).select("__row.doc_id", stratum(F.col("__row.lang")).alias("__stratum"), "__q"), "quality-signals")
+    signals = written(with_signals(docs, F.col("doc_id"), stratum(F.col("lang")).alias("__stratum")), "quality-signals")
     return verdicts(signals, fit_cutoffs(signals, labels, alpha, delta)).select("doc_id", "__q.*", "base_failed", "kept")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, alpha: float = 0.02, delta: float = 0.05) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with their columns. No text is shuffled; signals are computed twice."""
-    signals = with_signals(docs).withColumn("__stratum", stratum(F.col("__row.lang")))
-    fitted = fit_cutoffs(signals.select("__row.doc_id", "__stratum", "__q"), labels, alpha, delta)
-    return verdicts(signals, fitted).where("kept").select("__row.*")
+    name = stratum(F.col("lang")).alias("__stratum")
+    fitted = fit_cutoffs(with_signals(docs, F.col("doc_id"), name), labels, alpha, delta)
+    return verdicts(with_signals(docs, F.struct("*").alias("__row"), name), fitted).where("kept").select("__row.*")
