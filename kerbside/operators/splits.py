@@ -108,7 +108,7 @@ def forward_folds(df: DataFrame, bucket: str, order: list[str]) -> DataFrame:
     """SPL-11: ``df`` once for each fold and role: fold f trains on buckets before f and validates on f; the first only trains."""
     position = F.array_position(F.array(*[F.lit(b) for b in order]), F.col(bucket)) - 1
     folds = df.sparkSession.range(1, len(order)).select(F.col("id").cast("int").alias("fold"))
-    placed = df.withColumn("__pos", position).where("__pos >= 0")
+    placed = df.drop("fold", "role").withColumn("__pos", position).where("__pos >= 0")
     return placed.join(F.broadcast(folds), F.col("__pos") <= F.col("fold")).withColumn("role", F.when(F.col("__pos") == F.col("fold"), "validate").otherwise("train")).drop("__pos")
 
 
