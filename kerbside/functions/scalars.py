@@ -4,18 +4,18 @@ from __future__ import annotations
 
 import unicodedata
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.functions import PandasUDFType
 
 #: Spellings that mean "not given", and time zone names with their offsets.
 MISSING_TOKENS = ["", "unknown", "n/a", "not reported"]
 ZONES = {"PST": "-0800", "PDT": "-0700", "MST": "-0700", "MDT": "-0600", "CST": "-0600", "CDT": "-0500", "EST": "-0500", "EDT": "-0400"}
 
 
-@F.pandas_udf("string")
-def _nfkc(text: pd.Series) -> pd.Series:
-    return text.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
+def _nfkc(text: Column) -> Column:
+    normalise = F.pandas_udf(lambda x: x.map(lambda v: unicodedata.normalize("NFKC", v), na_action="ignore"), "string", PandasUDFType.SCALAR)
+    return normalise(text)
 
 
 def collapse(text: Column) -> Column:

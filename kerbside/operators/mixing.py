@@ -77,7 +77,7 @@ def mixing_decision(metrics: DataFrame, base: str, max_regression: float = 0.05,
     """
     ref = metrics.where(F.col("arm") == base).select(F.col("source").alias("__s"), F.col("mae").alias("__m"))
     change = metrics.join(ref, F.col("source").eqNullSafe(F.col("__s"))).withColumn("change", F.col("mae") / F.col("__m") - 1)
-    arms = change.groupBy("arm").agg(F.max(F.when(F.col("source").isNull(), F.col("mae"))).alias("pooled"), -F.max(F.when(F.col("source").isNull(), F.col("change"))).alias("gain"), F.max(F.when(F.col("source").isNotNull(), F.col("change"))).alias("worst"))
+    arms = change.groupBy("arm").agg(F.max(F.when(F.col("source").isNull(), F.col("mae"))).alias("pooled"), (-F.max(F.when(F.col("source").isNull(), F.col("change")))).alias("gain"), F.max(F.when(F.col("source").isNotNull(), F.col("change"))).alias("worst"))
     passed = (F.col("arm") == base) | (F.col("gain") >= min_gain) & (F.col("worst") <= max_regression)
     judged = arms.withColumn("passed", passed)
     best = judged.where("passed").agg(F.min_by("arm", F.struct("pooled", "arm")).alias("__best"))

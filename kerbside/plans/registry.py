@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kerbside.plans import analysis, ingest  # noqa: F401  they register their queries
+from kerbside.plans import analysis, ingest, learning  # noqa: F401  they register their queries
 from kerbside.plans.bindings import QUERIES, SQL
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """The query that the driver smoke-tests."""
+    return learning.flagship(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

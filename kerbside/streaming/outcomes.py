@@ -52,9 +52,9 @@ def match_outcomes(predictions: DataFrame, outcomes: DataFrame, approved: list[s
 
 
 class OutcomeMatcher(StatefulProcessor):
-    """STR-3/4: per event id the pending prediction, with a time to live after which it is gone and late outcomes are not found."""
+    """STR-3/4: per event id the pending prediction, with an optional time to live after which it is gone and late outcomes are not found."""
 
-    def __init__(self, approved: list[str], ttl_ms: int):
+    def __init__(self, approved: list[str], ttl_ms: int | None):
         self.approved, self.ttl_ms = approved, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -96,11 +96,15 @@ class OutcomeMatcher(StatefulProcessor):
         pass
 
 
-def match_stream(predictions: DataFrame, outcomes: DataFrame, approved: list[str], ttl_ms: int = 30 * 86_400_000) -> DataFrame:
-    """STR-3, streaming: both streams keyed by event id. Needs the RocksDB state store; ids that two events share are not seen here (STR-2)."""
+def match_stream(predictions: DataFrame, outcomes: DataFrame, approved: list[str], ttl_ms: int | None = None) -> DataFrame:
+    """STR-3, streaming: both streams keyed by event id. Needs the RocksDB state store; ids that two events share are not seen here (STR-2).
+
+    With ``ttl_ms`` (processing time) state expires; Spark then wakes the query up again and again, so it
+    must run with an interval trigger and be stopped, not with ``availableNow``.
+    """
     p = predictions.select(F.lit("prediction").alias("kind"), "event_id", "source_id", F.col("observed_at").alias("at"), F.col("prediction").cast("double").alias("prediction"), F.lit(None).cast("string").alias("outcome_id"), F.lit(None).cast("double").alias("target"))
     o = outcomes.select(F.lit("outcome").alias("kind"), "event_id", "source_id", F.col("occurred_at").alias("at"), F.lit(None).cast("double").alias("prediction"), "outcome_id", F.col("target").cast("double").alias("target"))
-    return p.unionByName(o).groupBy("event_id").transformWithStateInPandas(statefulProcessor=OutcomeMatcher(approved, ttl_ms), outputStructType=RESULT, outputMode="append", timeMode="processingTime")
+    return p.unionByName(o).groupBy("event_id").transformWithStateInPandas(statefulProcessor=OutcomeMatcher(approved, ttl_ms), outputStructType=RESULT, outputMode="append", timeMode="none" if ttl_ms is None else "processingTime")
 
 
 def dedupe_stream(events: DataFrame, key: str, at: str, late: str = "1 day") -> DataFrame:
