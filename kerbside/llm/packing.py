@@ -55,6 +55,7 @@ class WordIds(dict):
         """Add the words that are not known yet."""
         if len(self) > REMEMBERED:
             self.clear()
+        self[b""] = b""  # white space at the ends of a text
         parts = {}
         for word in [w for w in words if w not in self]:
             stem = word.rstrip(_MARKS)
@@ -212,8 +213,8 @@ def pack(pieces: DataFrame, capacity: int = 2048, partition: int = PARTITION, ro
         histogram[row["length"]] = row["count"]
     bound = rounded(fractional_bound(histogram, capacity))
 
-    def packed(rows: DataFrame, number: int, n: int) -> DataFrame:
-        parts = max(1, math.ceil(n / partition))
+    def packed(rows: DataFrame, number: int, n: int, most: int) -> DataFrame:
+        parts = max(1, math.ceil(n / most))
 
         def one(group: pa.Table) -> pa.Table:
             group = group.take(pc.sort_indices(group, sort_keys=[("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending")]))
@@ -231,7 +232,7 @@ def pack(pieces: DataFrame, capacity: int = 2048, partition: int = PARTITION, ro
     def sequences(df: DataFrame) -> int:
         return df.where("offset = 0").count()
 
-    placed = packed(pieces, 0, int(histogram.sum()))
+    placed = packed(pieces, 0, int(histogram.sum()), partition)
     kept, open_, total, done = [placed], placed, sequences(placed), 0
     for number in range(1, rounds + 1):
         if total <= bound:
@@ -240,13 +241,16 @@ def pack(pieces: DataFrame, capacity: int = 2048, partition: int = PARTITION, ro
         n, before = pool.count(), sequences(pool)
         if not n:
             break
-        again = packed(pool.select(*names), number, n)
+        # What is left over is little; a larger part of it meets in each round.
+        most = partition * 4**number
+        again = packed(pool.select(*names), number, n, most)
         after = sequences(again)
-        if after >= before:
+        if after < before:
+            kept[-1] = kept[-1].where(~(F.col("gap") & (F.col("fill") < capacity)))
+            kept.append(again)
+            open_, total, done = again, total - before + after, number
+        if n <= most:
             break
-        kept[-1] = kept[-1].where(~(F.col("gap") & (F.col("fill") < capacity)))
-        kept.append(again)
-        open_, total, done = again, total - before + after, number
     whole = kept[0]
     for more in kept[1:]:
         whole = whole.unionByName(more)

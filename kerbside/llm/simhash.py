@@ -116,10 +116,11 @@ def _repeated(keys: np.ndarray) -> np.ndarray:
 
 
 def linked_fingerprints(fps: DataFrame, half: int = 2) -> DataFrame:
-    """Edges ``src``, ``dst`` between distinct fingerprints (column ``fp``) that differ in ``2 * half`` bits or fewer.
+    """Edges ``src``, ``dst`` over distinct fingerprints (column ``fp``) with the components of all pairs within ``2 * half`` bits.
 
-    The edges connect exactly what is connected: their components are those of all such pairs. ``fps``
-    is a written table; it may repeat fingerprints. Without rows there are no edges.
+    An edge joins a member to a representative of those it is linked with, directly or over others of its
+    block, so there are far fewer edges than pairs. ``fps`` is a written table; it may repeat fingerprints.
+    Without rows there are no edges.
     """
     nodes = written(fps.select("fp").where(F.col("fp").isNotNull()).distinct(), "simhash-nodes")
     n = nodes.count()
