@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kerbside.llm.words import once
+
 TURN, TEXT, NEXT, END = "<|turn|>", "<|text|>", "<|next|>", "<|end|>\n"
 
 
@@ -40,7 +42,7 @@ def format_conversations(turns: DataFrame, learn_from: str = "assistant") -> Dat
     # What stands before each text: the next mark within a block, or the end of one block and the start of another.
     start = lambda x: F.concat(F.lit(TURN), escape(x["role"]), F.lit(TEXT))
     before = lambda x, i: F.when(i == 0, start(x)).when(F.get(t, i - 1)["role"] == x["role"], F.lit(NEXT)).otherwise(F.concat(F.lit(END), start(x)))
-    pieces = sorted_turns.select("conv_id", F.transform(t, lambda x, i: F.struct(before(x, i).alias("before"), x["text"].alias("text"), (x["role"] == learn_from).alias("learn"))).alias("pieces"))
+    pieces = sorted_turns.select("conv_id", once(F.transform(t, lambda x, i: F.struct(before(x, i).alias("before"), x["text"].alias("text"), (x["role"] == learn_from).alias("learn")))).alias("pieces"))
     p = F.col("pieces")
     lengths = F.aggregate(
         p, F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans")),
@@ -53,19 +55,13 @@ def format_conversations(turns: DataFrame, learn_from: str = "assistant") -> Dat
     return pieces.select("conv_id", formatted.alias("formatted"), lengths.alias("loss_spans"))
 
 
-def read_turns(formatted: Column) -> Column:
-    """The turns (``role``, ``text``) that a formatted conversation holds, in order."""
-    blocks = F.slice(F.split(formatted, r"<\|turn\|>"), F.lit(2), F.size(F.split(formatted, r"<\|turn\|>")))
-
-    def turns(block: Column) -> Column:
-        role = unescape(F.get(F.split(block, r"<\|text\|>"), F.lit(0)))
-        texts = F.split(F.get(F.split(block, r"<\|text\|>"), F.lit(1)), r"<\|next\|>|<\|end\|>\n")
-        return F.transform(F.slice(texts, F.lit(1), F.size(texts) - 1), lambda x: F.struct(role.alias("role"), unescape(x).alias("text")))
-
-    return F.flatten(F.transform(blocks, turns))
+def read_back(formatted: DataFrame) -> DataFrame:
+    """``formatted`` with ``turns`` (``role``, ``text``) and ``learned`` (the texts under the loss mask), read from its text, in order.
 
-
-def learned_texts(formatted: Column, spans: Column) -> Column:
-    """The texts under the loss mask, restored, in order."""
-    characters = F.split(formatted, "")  # by code point; spans are cut from it without counting from the start
-    return F.transform(spans, lambda s: unescape(F.array_join(F.slice(characters, s["start"] + 1, s["length"]), "")))
+    The text is split once by turn and once by code point; every part is then looked at once.
+    """
+    rows = formatted.select("*", once(F.struct(F.split("formatted", r"<\|turn\|>").alias("blocks"), F.split("formatted", "").alias("characters"))).alias("__s"))
+    split = F.transform(F.filter("__s.blocks", lambda b, i: i > 0), lambda b: F.split(b, r"<\|text\|>|<\|next\|>|<\|end\|>\n"))
+    turns = F.flatten(F.transform(split, lambda p: F.transform(F.slice(p, F.lit(2), F.size(p) - 2), lambda x: F.struct(unescape(F.get(p, F.lit(0))).alias("role"), unescape(x).alias("text")))))
+    learned = F.transform("loss_spans", lambda s: unescape(F.array_join(F.slice(F.col("__s.characters"), s["start"] + 1, s["length"]), "")))
+    return rows.select(*formatted.columns, once(F.struct(turns.alias("turns"), learned.alias("learned"))).alias("__r")).select(*formatted.columns, "__r.turns", "__r.learned")

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kerbside.llm.words import words
+from kerbside.llm.words import once, words
 from kerbside.staging import broadcast_if_small, written
 
 #: Signal name to the grid of cutoffs; a document is rejected if its signal is at least the cutoff.
@@ -66,11 +66,6 @@ def with_signals(docs: DataFrame, *keep: Column, text_col: str = "text") -> Data
     return counted.select(*kept, once(F.struct(*base, *signals)).alias("__q"))
 
 
-def once(value: Column) -> Column:
-    """A value that is computed once for a row, whatever reads it: no expression or filter moves through an explode."""
-    return F.explode(F.array(value))
-
-
 def base_failed(q: Column) -> Column:
     """Fewer than 50 words, or more than half of them in repeated windows."""
     return (q["n_words"] < 50) | (100 * q["n_repeat_words"] > 50 * q["n_words"])

@@ -50,8 +50,7 @@ def test_chat_round_trip(spark):
     rng = random.Random(5)
     rows = [(c, t, rng.choice(["user", "assistant", "a<|b", "\\"]), rng.choice([*texts, None])) for c in range(30) for t in range(rng.randint(1, 9))]
     rows += [(None, 0, None, "q"), (99, None, "user", "last"), (99, 1, "user", "x"), (99, 1, "user", "x")]
-    done = chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
-    read = done.select("conv_id", "formatted", "loss_spans", chat.read_turns(F.col("formatted")).alias("turns"), chat.learned_texts(F.col("formatted"), F.col("loss_spans")).alias("learned"))
+    read = chat.read_back(chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")))
     for r in read.collect():
         mine = sorted((t is None, t or 0, role or "", (text or "").replace("\\", "\\\\").replace("<|", "<\\|"), text or "") for c, t, role, text in rows if c == r.conv_id)
         assert [(x.role, x.text) for x in r.turns] == [(m[2], m[4]) for m in mine]
