@@ -66,9 +66,11 @@ def training_exclusion(kind: Column, currency: Column, kinds: list[str], wanted:
 
 
 def leakage_audit(df: DataFrame, denied: dict[str, str]) -> DataFrame:
-    """PRJ-9: a row for each denied predictor, its reason and whether ``df`` has it."""
-    rows = [(name, reason, name in df.columns) for name, reason in sorted(denied.items())]
-    return df.sparkSession.createDataFrame(rows, "column string, reason string, present boolean")
+    """PRJ-9: a row for each denied predictor: its reason, whether ``df`` has it, and how many rows would leak a value."""
+    count = lambda name: F.count_if(~S.is_missing(F.col(name))) if name in df.columns else F.lit(0).cast("long")
+    one = df.agg(F.count(F.lit(1)).alias("__n"), *[count(name).alias(f"__{k}") for k, name in enumerate(denied)])
+    rows = [F.struct(F.lit(name).alias("column"), F.lit(reason).alias("reason"), F.lit(name in df.columns).alias("present"), F.col(f"__{k}").alias("values")) for k, (name, reason) in enumerate(denied.items())]
+    return one.select(F.explode(F.array(*rows)).alias("x")).select("x.*")
 
 
 def sentinel_audit(df: DataFrame, columns: list[str], sentinel: str) -> DataFrame:

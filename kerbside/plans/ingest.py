@@ -152,9 +152,10 @@ def _(spark, sf):
     return events.select("event_id", rules.training_exclusion(F.col("event_type"), F.when(F.col("user_id") % 9 == 0, "CAD").otherwise("USD"), ["view", "purchase"]).alias("reason"))
 
 
-@query("prj_9_leakage_denylist", "SELECT * FROM (VALUES ('mmr', 'an appraisal made after the sale', false), ('price', 'the target itself', true), ('seller', 'identifies the row', true)) t(\"column\", reason, present)")
+@query("prj_9_leakage_denylist", f"""WITH {LISTINGS} SELECT 'mmr' AS "column", 'an appraisal made after the sale' AS reason, false AS present, 0 AS "values" FROM listings GROUP BY ()
+UNION ALL SELECT 'mileage', 'not allowed here', true, count(mileage) FROM listings UNION ALL SELECT 'seller', 'identifies the row', true, count(seller) FROM listings""")
 def _(spark, sf):
-    return rules.leakage_audit(listings(spark, sf), {"price": "the target itself", "seller": "identifies the row", "mmr": "an appraisal made after the sale"})
+    return rules.leakage_audit(listings(spark, sf), {"mileage": "not allowed here", "seller": "identifies the row", "mmr": "an appraisal made after the sale"})
 
 
 @query("prj_10_sentinel_audit", f"""WITH {RAW} SELECT 'mileage' AS "column", count(*) FILTER (mileage = '-5') AS sentinel, count(*) FILTER (trim(mileage) = '') AS missing, count(*) FILTER (mileage <> '-5' AND trim(mileage) <> '') AS exposed FROM raw
