@@ -151,7 +151,10 @@ def write_archives(pages: DataFrame, folder: str, html_col: str = "html", date:
             draft = f"{base}/.{name}.{task.taskAttemptId()}"
             with files.open_output_stream(draft) as out:
                 out.write(content)
-            files.move(draft, f"{base}/{name}")
+            if files.get_file_info(f"{base}/{name}").type == fs.FileType.NotFound:
+                files.move(draft, f"{base}/{name}")
+            else:  # an earlier attempt's, with the same bytes
+                files.delete_file(draft)
             done = pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(held)], pa.int64()), pa.array([len(content)], pa.int64())], names=["archive", "records", "bytes"])
             held, size, number = [], 0, number + 1
             return done
