@@ -25,9 +25,9 @@ from pyspark.sql import functions as F
 from kerbside.staging import written
 
 #: Pieces of one partition, and bytes of text that are tokenised at a time.
-PARTITION, TEXT_BYTES = 8192, 16 << 20
+PARTITION, TEXT_BYTES = 8192, 4 << 20
 #: Words whose ids a worker remembers before it starts afresh.
-REMEMBERED = 1_000_000
+REMEMBERED = 400_000
 _MARKS = b",.!%*#&$|?;:"
 
 

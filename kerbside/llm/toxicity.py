@@ -56,7 +56,7 @@ class Ordinal:
     def word_weight(self, word: str) -> float:
         found = self._known.get(word)
         if found is None:
-            if len(self._known) > 1_000_000:
+            if len(self._known) > 300_000:
                 self._known.clear()
             get = self.weights.get
             found = self._known[word] = sum(get(f, 0.0) for f in features(word))
