@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from kerbside.staging import written
 
-#: Pieces of one partition, and bytes of text that are tokenised at a time.
-PARTITION, TEXT_BYTES = 8192, 4 << 20
+#: Pieces of one partition at first and, in the exchange rounds, at most; bytes of text that are tokenised at a time.
+PARTITION, LARGEST, TEXT_BYTES = 8192, 1 << 19, 4 << 20
 #: Words whose ids a worker remembers before it starts afresh.
 REMEMBERED = 400_000
 _MARKS = b",.!%*#&$|?;:"
@@ -242,7 +242,7 @@ def pack(pieces: DataFrame, capacity: int = 2048, partition: int = PARTITION, ro
         if not n:
             break
         # What is left over is little; a larger part of it meets in each round.
-        most = partition * 4**number
+        most = min(partition * 4**number, max(partition, LARGEST))
         again = packed(pool.select(*names), number, n, most)
         after = sequences(again)
         if after < before:
