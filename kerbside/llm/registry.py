@@ -154,7 +154,7 @@ SELECT doc_id, size, source_size, target, CAST(least(floor(u + e * n) - floor(u
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = quality.assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    found = quality.assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), method=quality.cutoffs_by_signal)
     return found.select("doc_id", *quality.BASE, "base_failed", "kept")
 
 

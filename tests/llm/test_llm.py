@@ -228,6 +228,15 @@ def test_cutoffs_reject_bad_and_spare_good(spark):
     assert few.where("kept").count() == 4000  # too few labels to show anything: no rule
 
 
+def test_cutoffs_of_few_labels(spark):
+    rows = [(10 * k + i, " ".join(f"{'w***' if i == 9 else 'w'}{k}x{j}" for j in range(60)), lang, "s", 0) for lang, at in (("de", 0), ("fr", 1000)) for k in range(at, at + 40) for i in range(10)]
+    docs = spark.createDataFrame(rows, DOCS)
+    labels = spark.createDataFrame([(r[0], int(r[0] % 10 != 9)) for r in rows], "doc_id long, quality int")
+    assert sorted(r.doc_id for r in quality.keep_good(docs, labels).collect()) == sorted(r[0] for r in rows if r[0] % 10 != 9)  # 360 good ones a language are enough
+    fitted = quality.fit_cutoffs(quality.with_signals(docs, F.col("doc_id"), quality.stratum(F.col("lang")).alias("__stratum")), labels).collect()
+    assert len(fitted) == 2 and all(r[name] == grid[0] for r in fitted for name, grid in quality.GRIDS.items())
+
+
 def test_quality_odd(spark):
     labels = spark.createDataFrame([(1, None), (2, 0), (5, 1)], "doc_id long, quality int")
     found = quality.assess(odd_docs(spark), labels)
