@@ -50,8 +50,8 @@ def text_fingerprint(text: str | None, width: int = 4) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(hashes), bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
-    """``id_col`` and ``fp`` (the fingerprint as a signed long) of every row.
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, id_type: str = "long") -> DataFrame:
+    """``id_col`` (as ``id_type``) and ``fp`` (the fingerprint as a signed long) of every row.
 
     A-Z are lower-cased; words are runs without ASCII white space; shingles of ``width`` words count as
     often as they occur, and a shorter text is one shingle. A bit is set if more than half of the
@@ -63,8 +63,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fps = np.array([text_fingerprint(t.as_py(), width) for t in batch.column(1)], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=[id_col, "fp"])
 
-    kept = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias("__text"))
-    return kept.mapInArrow(hashed, f"`{id_col}` long, fp long")
+    kept = docs.select(F.col(id_col).cast(id_type).alias(id_col), F.col(text_col).cast("string").alias("__text"))
+    return kept.mapInArrow(hashed, f"`{id_col}` {id_type}, fp long")
 
 
 def ball_masks(half: int) -> np.ndarray:
@@ -226,11 +226,19 @@ def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col:
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without their near-duplicates: of each component the row of the smallest id stays.
 
-    Rows are dropped by id: a row whose id is null is its component's only row or goes, and of rows that
-    repeat one id one row stays. Columns are those of ``docs``.
+    Null ids come last and ties go by fingerprint and text, so every component keeps exactly one row, whether
+    or not it has an id. Rows that repeat both id and text are one row. Columns are those of ``docs``.
     """
-    found = near_duplicate_components(docs.select(id_col, text_col), id_col, text_col)
-    kept = found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__kept")).distinct()
-    rows = docs.select(F.struct("*").alias("__row"), F.col(id_col).cast("long").alias("__id"))
-    one = rows.join(kept, rows["__id"] == kept["__kept"]).dropDuplicates(["__id"])
-    return one.select("__row.*")
+    number = F.col(id_col).cast("long")
+    # An id has no line breaks: the key is one for each pair of id and text.
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    key = F.md5(F.concat(F.coalesce(number.cast("string"), F.lit("")), F.lit("\n"), text))
+    name = F.concat_ws(":", key, number.cast("string")).alias("__name")
+    fps = written(fingerprints(docs.select(name, F.col(text_col).alias("__text")), "__name", "__text", id_type="string"), "simhash-fps")
+    parts = F.split("__name", ":")
+    least = fps.groupBy("fp").agg(F.min(F.struct(F.get(parts, F.lit(1)).isNull().alias("none"), F.get(parts, F.lit(1)).cast("long").alias("id"), F.col("fp").alias("of"), F.get(parts, F.lit(0)).alias("key"))).alias("first"))
+    labels = component_labels(linked_fingerprints(fps))
+    first = least.join(labels, least["fp"] == labels["node"], "left").groupBy(F.coalesce("label", "fp").alias("component")).agg(F.min("first").alias("first"))
+    kept = written(first.select(F.col("first.key").alias("__kept")), "simhash-kept")
+    rows = docs.select(F.struct("*").alias("__row"), key.alias("__key"))
+    return rows.join(kept, rows["__key"] == kept["__kept"]).dropDuplicates(["__key"]).select("__row.*")

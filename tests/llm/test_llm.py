@@ -369,6 +369,14 @@ def test_keep_one(spark):
     assert simhash.keep_one_of_each(odd_docs(spark).limit(0)).count() == 0
 
 
+def test_keep_one_without_an_id_of_its_own(spark):
+    text = lambda seed: " ".join(f"{seed}{k * k}" for k in range(60))
+    rows = [(None, text("a")), (None, text("b")), (None, text("b")), (4, text("c")), (4, text("d")), (4, text("d")), (9, text("e")), (None, text("e")), (3, text("f")), (4, text("f"))]
+    kept = simhash.keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = [(None, text("a")), (None, text("b")), (4, text("c")), (4, text("d")), (9, text("e")), (3, text("f"))]
+    assert Counter((r.doc_id, r.text) for r in kept) == Counter(want)
+
+
 # 10. Toxicity
 
 
