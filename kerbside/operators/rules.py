@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -80,13 +82,13 @@ def sentinel_audit(df: DataFrame, columns: list[str], sentinel: str) -> DataFram
     return long.groupBy("column").agg(*[F.count_if(F.col("kind") == k).alias(k) for k in ("sentinel", "missing", "exposed")])
 
 
-def url_violation(url: Column, hosts: list[str], prefix: str, keys: list[str], most: int = 2048) -> Column:
-    """PRJ-12: the first thing that is wrong with a URL; null if nothing is."""
+def url_violation(url: Column, allowed: Callable[[Column], Column], prefix: str, keys: list[str], most: int = 2048) -> Column:
+    """PRJ-12: the first thing that is wrong with a URL; null if nothing is. ``allowed`` tells of a host whether it may be used."""
     part = lambda k: F.regexp_extract(url, r"^([a-z]+)://([^/?#@]*@)?([^/?#:]*)(:[0-9]*)?([^?#]*)(\?[^#]*)?(#.*)?$", k)
     path = F.coalesce(F.try_url_decode(part(5)), part(5))
     names = F.filter(F.transform(F.split(F.substring(part(6), F.lit(2), F.length(url)), "&"), lambda x: F.regexp_extract(x, "^[^=]*", 0)), lambda x: x != "")
     return first_failure([
-        ("too_long", url.isNull() | (F.length(url) > most)), ("scheme", ~part(1).isin("http", "https")), ("userinfo", part(2) != ""), ("host", ~part(3).isin(hosts)), ("port", part(4) != ""),
+        ("too_long", url.isNull() | (F.length(url) > most)), ("scheme", ~part(1).isin("http", "https")), ("userinfo", part(2) != ""), ("host", ~allowed(part(3))), ("port", part(4) != ""),
         ("fragment", part(7) != ""), ("path", ~path.startswith(prefix) | path.contains("..")), ("query", F.size(F.array_except(names, F.array(*[F.lit(k) for k in keys]))) > 0),
     ])
 

@@ -174,9 +174,8 @@ def _(spark, sf):
 SELECT page_id, CASE WHEN p.scheme NOT IN ('http', 'https') THEN 'scheme' WHEN p.userinfo <> '' THEN 'userinfo' WHEN p.host NOT LIKE '%.example.com' AND p.host NOT LIKE '%.example.org' THEN 'host' WHEN p.port <> '' THEN 'port' WHEN p.fragment <> '' THEN 'fragment'
 WHEN NOT starts_with(p.path, '/') OR p.path LIKE '%..%' THEN 'path' WHEN len(list_filter(list_transform(string_split(p.query[2:], '&'), lambda x: regexp_extract(x, '^[^=]*')), lambda x: x <> '' AND x <> 'page')) > 0 THEN 'query' END AS violation FROM u""")
 def _(spark, sf):
-    pages = table(spark, sf, "pages")
-    hosts = [r[0] for r in pages.select(F.regexp_extract("url", "://([^/?#:]*)", 1).alias("h")).where("h like '%.example.com' or h like '%.example.org'").distinct().limit(100_000).collect()]
-    return pages.select("page_id", rules.url_violation(F.col("url"), hosts, "/", ["page"]).alias("violation"))
+    allowed = lambda host: host.endswith(".example.com") | host.endswith(".example.org")
+    return table(spark, sf, "pages").select("page_id", rules.url_violation(F.col("url"), allowed, "/", ["page"]).alias("violation"))
 
 
 @query("prj_13_provenance_equality", f"WITH {LISTINGS} SELECT row_id, CASE WHEN seller % 7 = 0 THEN 'policy' ELSE 'version' END AS differs FROM listings WHERE seller % 7 = 0 OR year = 1997")

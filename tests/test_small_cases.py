@@ -216,6 +216,15 @@ def test_cards(spark):
     assert [x[3] for x in found] == [None, "card_invalid", "card_missing", "card_missing"] and found[0][2] == "A & B"
 
 
+def test_url_boundary_allows_every_host(spark, tmp_path):
+    from kerbside.plans import registry
+
+    host = F.concat(F.lit("h"), F.col("id").cast("string"), F.when(F.col("id") % 2 == 0, ".example.com").when(F.col("id") % 100 == 1, ".example.net").otherwise(".example.org"))
+    spark.range(120_000).select(F.col("id").alias("page_id"), F.concat(F.lit("https://"), host, F.lit("/a")).alias("url")).write.parquet(f"file://{tmp_path}/pages.parquet")
+    found = registry.queries()["prj_12_url_boundary"](spark, f"file://{tmp_path}").groupBy("violation").count().collect()
+    assert {r["violation"]: r["count"] for r in found} == {None: 118_800, "host": 1_200}
+
+
 def test_empty_tables(spark):
     df = spark.createDataFrame([], "row_id string, g string, s string, y double, p double, score double, fold int")
     assert splits.closest_prefix_split(df, ["g"], "s", 1, 5, "x").count() == 0
