@@ -1,7 +1,8 @@
 """Cutting lineage and checking sizes, for operators that need more than one job.
 
 Intermediate tables go to the folder the cluster names in ``spark.checkpoint.dir``, which driver and
-executors share. Where the setting is absent (tests, a laptop) a folder of this process is used.
+executors share. Where the setting is absent a folder of this process is used, in local mode only. A result
+that is read lazily still needs its tables; when it has been read, :func:`release` removes them.
 """
 
 from __future__ import annotations
@@ -15,13 +16,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
+_made: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of this session."""
+    """The shared folder of this session; off local mode one must be set."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if "dir" not in _own:
         _own["dir"] = tempfile.mkdtemp(prefix="kerbside-")
         atexit.register(shutil.rmtree, _own["dir"], True)
@@ -30,7 +34,17 @@ def shared_dir(spark: SparkSession) -> str:
 
 def fresh_dir(spark: SparkSession, label: str) -> str:
     """A new path in the shared folder; nothing is created yet."""
-    return f"{shared_dir(spark)}/kerbside-{label}-{uuid.uuid4().hex}"
+    _made.append(f"{shared_dir(spark)}/kerbside-{label}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def release(spark: SparkSession) -> int:
+    """Remove all that this process has written here so far, and return the number of folders; results that still read from them fail."""
+    gone = 0
+    while _made:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        gone += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return gone
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
