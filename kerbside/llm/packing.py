@@ -34,8 +34,8 @@ _MARKS = b",.!%*#&$|?;:"
 class WordIds(dict):
     """Ids (little-endian unsigned 32-bit, as bytes) of words; each is tokenised once.
 
-    A tokenizer that splits at white space gives a text the ids of its words, one after the other, and
-    one that lower-cases gives A-Z the ids of a-z; both hold for the vocabulary file this is made for.
+    A tokenizer that splits at white space gives a text the ids of its words, one after the other; this holds
+    for the vocabulary file this is made for, unless the text holds an added token (:attr:`added`).
     """
 
     def __init__(self, path: str):
@@ -43,14 +43,20 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
+        self._added = [token.encode() for token in self.added]
         vocabulary = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
-    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(x.ids, dtype="<u4") for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def key(self, word: bytes) -> bytes:
+        """A word with the same ids: A-Z have those of a-z, unless other letters (composed before lower-casing) or added tokens come of it."""
+        low = word.lower() if word.isascii() else word
+        return word if any(token in low for token in self._added) else low
+
     def learn(self, words: list[bytes]) -> None:
         """Add the words that are not known yet."""
         if len(self) > REMEMBERED:
@@ -59,14 +65,16 @@ class WordIds(dict):
         parts = {}
         for word in [w for w in words if w not in self]:
             stem = word.rstrip(_MARKS)
-            # A letter or digit ends one token group and a run of marks is the next.
-            parts[word] = (stem, word[len(stem) :]) if stem and stem.decode("utf-8", "replace")[-1].isalnum() else (word, b"")
+            # A letter or digit ends one token group and a run of marks is the next. Beyond Latin-1
+            # normalisation may take the letter apart, and its mark then belongs to that run.
+            last = stem.decode("utf-8", "replace")[-1:]
+            parts[word] = (stem, word[len(stem) :]) if last < "\u0100" and last.isalnum() else (word, b"")
         new = {p for pair in parts.values() for p in pair if p and p not in self}
         plain = [w for w in new if w.decode("utf-8", "replace").isalpha()]
         alone = list(new.difference(plain))
         for k in range(0, len(plain), 512):
             some = plain[k : k + 512]
-            ids = self._encode([b" ".join(some).decode("utf-8", "replace")])[0]
+            ids = self.encode([b" ".join(some).decode("utf-8", "replace")])[0]
             ends = np.flatnonzero(self.last[ids]) + 1
             if len(ends) != len(some):  # a letter that normalisation takes apart
                 alone += some
@@ -76,7 +84,7 @@ class WordIds(dict):
             self.update(zip(some, (raw[a:b] for a, b in zip([0, *stops], stops))))
         for k in range(0, len(alone), 512):
             some = alone[k : k + 512]
-            self.update(zip(some, (x.tobytes() for x in self._encode([w.decode("utf-8", "replace") for w in some]))))
+            self.update(zip(some, (x.tobytes() for x in self.encode([w.decode("utf-8", "replace") for w in some]))))
         for word, (stem, tail) in parts.items():
             if tail:
                 self[word] = self[stem] + self[tail]
@@ -95,12 +103,23 @@ def word_ids(path: str) -> WordIds:
 def token_ids(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     """The ids of all texts in one array, without special tokens, and where each text's begin and end; null is empty.
 
-    Words are split and counted off by Arrow; Python sees each distinct word of the batch once.
+    Words are split and counted off by Arrow; Python sees each distinct word of the batch once. A text
+    that holds one of the tokenizer's added tokens is encoded whole.
     """
     known = word_ids(path)
-    words = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    texts = pc.fill_null(texts, "")
+    whole = np.zeros(len(texts), bool)
+    for token in known.added:
+        whole |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
+    if whole.any():
+        ids, bounds = token_ids(pc.if_else(pa.array(whole), "", texts), path)
+        parts = [ids[a:b] for a, b in zip(bounds, bounds[1:])]
+        for i in np.flatnonzero(whole).tolist():
+            parts[i] = known.encode([texts[i].as_py()])[0]
+        return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])])
+    words = pc.ascii_split_whitespace(texts)
     coded = words.flatten().dictionary_encode()
-    distinct = coded.dictionary.cast(pa.binary()).to_pylist()
+    distinct = list(map(known.key, coded.dictionary.cast(pa.binary()).to_pylist()))
     known.learn(distinct)
     parts = list(map(known.__getitem__, distinct))
     flat = np.frombuffer(b"".join(parts), "<u4")
@@ -204,7 +223,8 @@ def pack(pieces: DataFrame, capacity: int = 2048, partition: int = PARTITION, ro
     ``pieces`` has ``doc_id``, ``piece`` and ``length`` (1 to ``capacity``) and may have more columns. Added
     are ``sequence_id``, ``offset`` (gapless from 0 in each sequence) and ``fill`` (ids in the sequence).
     The dictionary has ``sequences``, ``bound`` (no packing of these pieces needs fewer), ``rounds``. Rows
-    that repeat are placed one by one; an empty table gives an empty one.
+    that repeat, and rows without an id, are placed one by one, and no id makes a partition larger than
+    others; an empty table gives an empty one.
     """
     names = pieces.columns
     shape = pieces.schema.simpleString()[len("struct<") : -1] + ",sequence_id:bigint,offset:bigint,fill:bigint,certified:boolean,gap:boolean"
@@ -226,7 +246,8 @@ def pack(pieces: DataFrame, capacity: int = 2048, partition: int = PARTITION, ro
             added = {"sequence_id": pa.array(start + bins), "offset": pa.array(offsets), "fill": pa.array(fill[bins]), "certified": every(len(fill) == rounded(least)), "gap": every(len(fill) > least + 1e-9)}
             return pa.table({c: group[c] for c in names} | added)
 
-        part = F.pmod(F.xxhash64("doc_id", "piece", F.lit(number)), F.lit(parts)).cast("int")
+        # Numbered rows: however many share an id, or have none, they are dealt to all partitions.
+        part = F.pmod(F.xxhash64("doc_id", "piece", F.monotonically_increasing_id(), F.lit(number)), F.lit(parts)).cast("int")
         return written(rows.withColumn("__part", part).groupBy("__part").applyInArrow(one, shape), f"packing-{number}")
 
     def sequences(df: DataFrame) -> int:
