@@ -132,10 +132,18 @@ def plan_records(pages: DataFrame, html_col: str = "html") -> DataFrame:
 
 
 def write_archives(pages: DataFrame, folder: str, html_col: str = "html", date: str = DATE, archive_bytes: int = ARCHIVE) -> DataFrame:
-    """Write every page into archives ``*.warc.zst`` below ``folder`` (a URI); ``archive, records, bytes`` of each, lazily."""
+    """Write every page into archives ``*.warc.zst`` below ``folder`` (a URI); ``archive, records, bytes`` of each, lazily.
+
+    The folder itself is made at once, so an empty table leaves an empty folder that :func:`read_archives` can
+    read. Rows that repeat are records that repeat. A record is held in memory whole: pages stay below the
+    2 GB that a Spark string can have, less what a task's memory allows.
+    """
+    from pyarrow import fs
+
+    files, base = fs.FileSystem.from_uri(folder)
+    files.create_dir(base, recursive=True)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
         from pyspark import TaskContext
 
         task = TaskContext.get()
@@ -174,7 +182,7 @@ def write_archives(pages: DataFrame, folder: str, html_col: str = "html", date:
 
 
 def read_archives(spark: SparkSession, folder: str) -> DataFrame:
-    """``page_id, url, payload, payload_bytes, payload_digest, record_type, refers_to`` of every record below ``folder``."""
+    """``page_id, url, payload, payload_bytes, payload_digest, record_type, refers_to`` of every record below ``folder``; no archive, no rows."""
     shape = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
