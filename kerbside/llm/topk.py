@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from kerbside.staging import written
 
 #: Vectors in a block of candidates and of queries.
-CANDIDATES, QUERIES = 4096, 256
+CANDIDATES, QUERIES = 4096, 1024
 
 
 def integer_components(vector: Column, scale: int = 1024) -> Column:
@@ -51,39 +51,44 @@ def best_rows(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 def top_k(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", components: str = "components") -> DataFrame:
     """``query_id, rank, vec_id, score``: the k best inner products of each query row with all other rows.
 
-    ``vectors`` is a written table with a long id and integer ``components`` (array of longs; a missing
-    component counts as zero). Rows whose id or components are null take no part. Rows that repeat an id and
-    its components count once, and a query never meets a row of its own id. Scores wrap beyond 64 bits.
-    Fewer than k rows: all of them. No query: no rows.
+    ``vectors`` has a long id and integer ``components`` (array of longs; a missing component counts as
+    zero). Rows whose id or components are null take no part. Every other row is one of its own, whether or
+    not it repeats an id or a vector: a query meets all rows but itself, and two query rows of one id have
+    rankings of their own (``k`` rows each). Ties go to the smaller id. Scores wrap beyond 64 bits. Fewer than
+    k other rows: all of them. No query: no rows. A block's vectors are in one task's memory together, so
+    very long vectors want smaller blocks.
     """
-    rows = written(vectors.where(F.col(id_col).isNotNull() & F.col(components).isNotNull()).select(F.col(id_col).alias("vec_id"), F.col(components).alias("components"), is_query.alias("asks")).dropDuplicates(["vec_id", "components"]), "topk-rows")
+    # Rows are numbered once and written, so that a row has the same number in every block.
+    known = vectors.where(F.col(id_col).isNotNull() & F.col(components).isNotNull())
+    rows = written(known.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("vec_id"), F.col(components).alias("components"), is_query.alias("asks")), "topk-rows")
     sizes = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if("asks").alias("q")).first()
     n_blocks, q_blocks = max(1, math.ceil(sizes["n"] / CANDIDATES)), max(1, math.ceil(sizes["q"] / QUERIES))
-    block = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
+    block = lambda n: F.pmod(F.xxhash64("row"), F.lit(n)).cast("int")
     pair = (F.col("c") * F.lit(q_blocks).cast("long") + F.col("q")).alias("pair")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    queries = rows.where("asks").withColumn("q", block(q_blocks)).select("vec_id", "components", "q", every(n_blocks).alias("c")).select(pair, "vec_id", "components")
-    candidates = rows.withColumn("c", block(n_blocks)).select("vec_id", "components", "c", every(q_blocks).alias("q")).select(pair, "vec_id", "components")
+    queries = rows.where("asks").withColumn("q", block(q_blocks)).select("row", "vec_id", "components", "q", every(n_blocks).alias("c")).select(pair, "row", "vec_id", "components")
+    candidates = rows.withColumn("c", block(n_blocks)).select("row", "vec_id", "components", "c", every(q_blocks).alias("q")).select(pair, "row", "vec_id", "components")
 
     def local_best(asking: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        out: dict[str, list] = {"query_id": [], "vec_id": [], "score": []}
+        out: dict[str, list] = {"row": [], "query_id": [], "vec_id": [], "score": []}
         if len(asking) and len(held):
-            ids = held["vec_id"].to_numpy(dtype=np.int64)
+            ids, numbers = held["vec_id"].to_numpy(dtype=np.int64), held["row"].to_numpy(dtype=np.int64)
             row, term, weight = _postings(held["components"])
             cuts = np.searchsorted(term, np.arange(term.max() + 2 if len(term) else 1))
-            for query, parts in zip(asking["vec_id"].tolist(), asking["components"]):
+            for own, query, parts in zip(asking["row"].tolist(), asking["vec_id"].tolist(), asking["components"]):
                 scores = np.zeros(len(ids), np.int64)
                 for t in np.flatnonzero(parts).tolist():
                     if t + 1 < len(cuts):
                         a, b = cuts[t], cuts[t + 1]
                         scores[row[a:b]] += np.int64(parts[t]) * weight[a:b]  # a row occurs once in a term's postings
-                others = np.flatnonzero(ids != query)
+                others = np.flatnonzero(numbers != own)
                 best = others[best_rows(scores[others], ids[others], k)]
+                out["row"].append(np.full(len(best), own))
                 out["query_id"].append(np.full(len(best), query))
                 out["vec_id"].append(ids[best])
                 out["score"].append(scores[best])
         return pd.DataFrame({c: np.concatenate(v) if v else np.zeros(0, np.int64) for c, v in out.items()})
 
-    local = queries.groupBy("pair").cogroup(candidates.groupBy("pair")).applyInPandas(local_best, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    local = queries.groupBy("pair").cogroup(candidates.groupBy("pair")).applyInPandas(local_best, "row long, query_id long, vec_id long, score long")
+    order = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
     return local.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
