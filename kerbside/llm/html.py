@@ -4,11 +4,17 @@ Every paragraph gives points for its length and its commas to its ancestors, les
 container's sum is discounted by the share of its text that is in links. The best container is kept with
 those of its siblings that score well too; menus, headers, footers, sidebars, notices, adverts, forms,
 scripts, styles and reader comments are taken out beforehand by element, role and name.
+
+A name (a class or an id) says so only as a whole: each of its words is one of ``NAMES`` or tells of layout
+(``PLAIN``), such as ``comments``, ``ad-box`` or ``left-sidebar``, but not ``share-price-table``. Beside an article
+that is marked as one, any word of ``NAMES`` is enough. Parsing and scoring take time in proportion to the page,
+however deep or broken it is.
 """
 
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from html import unescape
 
@@ -27,7 +33,8 @@ BLOCK = _set("address article aside blockquote body br caption center dd details
 CLOSES_P = BLOCK - _set("br body html head caption tbody td tfoot th thead tr legend option summary")
 #: An element's start closes an open one of these, up to the nearest element of the second set.
 IMPLIED = {"li": (_set("li"), _set("ul ol menu")), "dt": (_set("dt dd"), _set("dl")), "dd": (_set("dt dd"), _set("dl")), "tr": (_set("tr td th"), _set("table")), "td": (_set("td th"), _set("tr table")), "th": (_set("td th"), _set("tr table")), "option": (_set("option"), _set("select"))}
-DROPPED = _set("nav aside footer form button select dialog menu template noscript svg canvas object audio video head")
+_P, _P_BOUNDS = _set("p"), _set("td th table button")
+DROPPED = _set("nav aside footer form button select dialog menu template noscript head")
 ROLES = _set("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar status")
 #: Words in the name (class or id) of what is not the article.
 NAMES = _set(
@@ -36,62 +43,89 @@ NAMES = _set(
     "pagination paywall popup promo promoted promotion recommended related replies reply respond search share sharing sidebar signup social sponsor "
     "sponsored subscribe subscription toast toolbar widget"
 )
+#: Words that add nothing to such a name.
+PLAIN = _set(
+    "a all area article bar block blocks body bottom box boxes btn button buttons center col column container content cta entry fixed float foot form "
+    "global group head holder inline inner items js left link links list main module network networks outer page panel placeholder post posts "
+    "primary reader readers region right row secondary section site slot small span sticky the thread top unit user users wrap wrapper zone"
+)
+_WHOLE = NAMES | PLAIN | {"header"}
 PARAGRAPH = _set("p pre td blockquote li dd div section article main body")
 HEADING = _set("h1 h2 h3 h4 h5 h6")
 
 
+_RAW_END = {tag: re.compile(f"</{tag}", re.I | re.A) for tag in RAW}
+
+
 def _attributes(text: str) -> dict[str, str]:
     return {m[1].lower(): unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(text)} if text.strip(" /") else {}
 
 
+def _name_words(attributes: dict[str, str]) -> list[set[str]]:
+    """The words of each class name and of the id, in lower case, without numbers."""
+    return [{w.lower() for w in _NAME.findall(name) if not w.isdigit()} for c in ("class", "id") for name in attributes.get(c, "").split()]
+
+
 class _Page:
     """Nodes in page order (a parent before its children) and the text that each holds."""
 
     def __init__(self) -> None:
         self.tag, self.parent, self.out, self.inside = ["#"], [0], [False], [False]
+        self.maybe: list[int] = []  # nodes whose name has a word of NAMES among others
         self.texts: list[tuple[int, str]] = []
 
     def open(self, tag: str, attributes: str, parent: int) -> int:
         inside = self.inside[parent] or tag in ("article", "main")
+        found = _attributes(attributes)
+        out = tag in DROPPED or tag == "header" and not inside or found.get("role", "").lower() in ROLES
+        if not out and tag not in ("html", "body", "main") and found:
+            for words in _name_words(found):
+                named = words & NAMES or not inside and "header" in words
+                if named and words <= _WHOLE:
+                    out = True
+                elif named and not inside:
+                    self.maybe.append(len(self.tag))
         self.tag.append(tag)
         self.parent.append(parent)
-        self.out.append(self.out[parent] or self._unwanted(tag, _attributes(attributes), inside))
+        self.out.append(out)
         self.inside.append(inside)
         return len(self.tag) - 1
 
-    @staticmethod
-    def _unwanted(tag: str, attributes: dict[str, str], inside: bool) -> bool:
-        if tag in DROPPED or tag == "header" and not inside or attributes.get("role", "").lower() in ROLES:
-            return True
-        if "hidden" in attributes or attributes.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attributes.get("style", "")):
-            return True
-        if tag in ("html", "body", "main"):
-            return False
-        names = {w.lower() for c in ("class", "id") for w in _NAME.findall(attributes.get(c, ""))}
-        return bool(names & NAMES or not inside and "header" in names)
+    def settle(self) -> None:
+        """Take out what only its name in part speaks against, if there is an article beside it, and all that is inside of what is out."""
+        holders = set()
+        for i, (tag, out) in enumerate(zip(self.tag, self.out)):
+            if tag in ("article", "main") and not out:
+                while i and i not in holders:
+                    holders.add(i)
+                    i = self.parent[i]
+        for i in self.maybe if holders else ():
+            self.out[i] = self.out[i] or i not in holders
+        for i in range(1, len(self.tag)):
+            self.out[i] = self.out[i] or self.out[self.parent[i]]
 
 
 def parse(html: str) -> _Page:
     """A forgiving tree of ``html``: end tags may be left out, be too many, or the page may break off anywhere."""
     page, path, at = _Page(), [0], 0
-    lower = ""
+    depths: dict[str, list[int]] = defaultdict(list)  # of each tag's open elements in the path, outermost first
+
+    def deepest(tags: frozenset[str]) -> int:
+        return max(depths[t][-1] if depths[t] else 0 for t in tags)
 
     def close_to(depth: int) -> None:
         for node in path[depth:]:
+            depths[page.tag[node]].pop()
             if page.tag[node] in BLOCK:
                 page.texts.append((page.parent[node], " "))
         del path[depth:]
 
     def close_implied(tags: frozenset[str], bounds: frozenset[str]) -> None:
-        for depth in range(len(path) - 1, 0, -1):
-            tag = page.tag[path[depth]]
-            if tag in bounds:
-                return
-            if tag in tags:
-                lowest = depth
-                while page.tag[path[lowest - 1]] in tags:
-                    lowest -= 1
-                return close_to(lowest)
+        lowest = deepest(tags)
+        if lowest > deepest(bounds):
+            while page.tag[path[lowest - 1]] in tags:
+                lowest -= 1
+            close_to(lowest)
 
     while found := _TOKEN.search(html, at):
         if found.start() > at:
@@ -101,28 +135,27 @@ def parse(html: str) -> _Page:
         if not tag:
             continue
         if found[1] or found[4]:
-            for depth in range(len(path) - 1, 0, -1):
-                if page.tag[path[depth]] == tag:
-                    close_to(depth)
-                    break
+            if depths[tag]:
+                close_to(depths[tag][-1])
             continue
         if tag in CLOSES_P:
-            close_implied(_set("p"), _set("td th table button"))
+            close_implied(_P, _P_BOUNDS)
         if tag in IMPLIED:
             close_implied(*IMPLIED[tag])
         if tag in BLOCK:
             page.texts.append((path[-1], " "))
         attributes = found[3] or found[6] or ""
         if tag in RAW:
-            lower = lower or html.lower()
-            end = lower.find(f"</{tag}", at)
-            at = len(html) if end < 0 else end
+            end = _RAW_END[tag].search(html, at)
+            at = end.start() if end else len(html)
         elif tag not in VOID:
             node = page.open(tag, attributes, path[-1])
             if not attributes.endswith("/") or tag not in ("svg", "path", "g"):
+                depths[tag].append(len(path))
                 path.append(node)
     if at < len(html):
         page.texts.append((path[-1], unescape(html[at:])))
+    page.settle()
     return page
 
 
@@ -150,8 +183,8 @@ def main_text(html: str | None) -> str:
         size[parent[i]] += size[i]
         link[parent[i]] += link[i]
         links[parent[i]] += links[i]
-    for i in range(1, n):  # a list or box of links only is a menu, whatever its name
-        out[i] = out[i] or out[parent[i]] or tag[i] in ("ul", "ol", "div", "section", "table", "dl") and links[i] >= 3 and link[i] >= 0.9 * size[i] > 0
+    for i in range(1, n):  # outside the article a list or box of links only is a menu, whatever its name
+        out[i] = out[i] or out[parent[i]] or not page.inside[i] and tag[i] in ("ul", "ol", "div", "section", "table", "dl") and links[i] >= 3 and link[i] >= 0.9 * size[i] > 0
     density = lambda i: link[i] / size[i] if size[i] else 0.0
     points = [0.0] * n
     for i in range(1, n):
@@ -188,7 +221,8 @@ def main_text(html: str | None) -> str:
 def extract_main_text(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """``page_id``, ``url``, ``text`` and ``n_chars`` (code points) for every row of ``pages``, from the whole page.
 
-    Null and empty pages, and pages without text, give an empty text. Rows that repeat stay.
+    Null and empty pages, and pages without text, give an empty text. Rows that repeat stay. Very long pages are
+    read whole, in time in proportion to their length.
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
