@@ -29,39 +29,49 @@ def unescape(text: Column) -> Column:
 
 
 def format_conversations(turns: DataFrame, learn_from: str = "assistant") -> DataFrame:
-    """``conv_id``, ``formatted`` and ``loss_spans`` for every conversation.
+    """``conv_id``, ``formatted`` and ``loss_spans`` for every conversation; without turns there are none.
 
     ``turns`` has ``conv_id``, ``turn``, ``role``, ``text``. Turns are sorted by number (null last), then role
     and text; null roles and texts are empty; a null ``conv_id`` is a conversation of its own; rows that
     repeat are turns that repeat. ``loss_spans`` are the ``start`` and ``length`` (code points of
-    ``formatted``) of the texts whose role is ``learn_from``, one for each turn, in order.
+    ``formatted``) of the texts whose role is ``learn_from``, one for each turn, in order. Other columns, also
+    ``formatted`` or ``loss_spans`` of ``turns``, are not looked at. A conversation is one row, so all its texts
+    must fit a task's memory; blocks and spans are gathered turn by turn, so that time grows a little faster than turns.
     """
     row = F.struct(F.col("turn").isNull().alias("last"), F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), escape(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text"))
     sorted_turns = turns.groupBy(F.col("conv_id").cast("long").alias("conv_id")).agg(F.sort_array(F.collect_list(row)).alias("turns"))
-    t = F.col("turns")
-    # What stands before each text: the next mark within a block, or the end of one block and the start of another.
-    start = lambda x: F.concat(F.lit(TURN), escape(x["role"]), F.lit(TEXT))
-    before = lambda x, i: F.when(i == 0, start(x)).when(F.get(t, i - 1)["role"] == x["role"], F.lit(NEXT)).otherwise(F.concat(F.lit(END), start(x)))
-    pieces = sorted_turns.select("conv_id", once(F.transform(t, lambda x, i: F.struct(before(x, i).alias("before"), x["text"].alias("text"), (x["role"] == learn_from).alias("learn")))).alias("pieces"))
-    p = F.col("pieces")
-    lengths = F.aggregate(
-        p, F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans")),
-        lambda a, x: F.struct(
-            (a["at"] + F.length(x["before"]) + F.length(x["text"])).alias("at"),
-            F.when(x["learn"], F.array_append(a["spans"], F.struct((a["at"] + F.length(x["before"])).alias("start"), F.length(x["text"]).alias("length")))).otherwise(a["spans"]).alias("spans"),
-        ), lambda a: a["spans"],
-    )
-    formatted = F.concat(F.array_join(F.transform(p, lambda x: F.concat(x["before"], x["text"])), ""), F.lit(END))
-    return pieces.select("conv_id", formatted.alias("formatted"), lengths.alias("loss_spans"))
+    # Neighbouring turns of one role are merged: a block is a role, its first turn and its number of turns.
+    block = lambda role, at, n: F.struct(role.alias("role"), at.alias("at"), n.alias("n"))
+    nothing = F.struct(F.array().cast("array<struct<role:string,at:int,n:int>>").alias("done"), F.lit("").alias("role"), F.lit(0).alias("at"), F.lit(0).alias("n"))
+    done = lambda a: F.when(a["n"] > 0, F.array_append(a["done"], block(a["role"], a["at"], a["n"]))).otherwise(a["done"])
+    state = lambda done, role, at, n: F.struct(done.alias("done"), role.alias("role"), at.alias("at"), n.alias("n"))
+    merge = lambda a, x: F.when((a["n"] > 0) & (a["role"] == x["role"]), state(a["done"], a["role"], a["at"], a["n"] + 1)).otherwise(state(done(a), x["role"], a["at"] + a["n"], F.lit(1)))
+    blocks = F.aggregate("turns", nothing, merge, done)
+    texts = lambda b: F.transform(F.slice("turns", b["at"] + 1, b["n"]), lambda x: x["text"])
+    merged = sorted_turns.select("conv_id", "turns", once(blocks).alias("blocks")).select("conv_id", once(F.transform("blocks", lambda b: F.struct(b["role"].alias("role"), texts(b).alias("texts")))).alias("blocks"))
+    head = lambda b: F.concat(F.lit(TURN), escape(b["role"]), F.lit(TEXT))
+    formatted = F.array_join(F.transform("blocks", lambda b: F.concat(head(b), F.array_join(b["texts"], NEXT), F.lit(END))), "")
+    # A text begins after all that stands before it: blocks and, within its own, texts and marks between them.
+    place = lambda at, spans: F.struct(at.alias("at"), spans.alias("spans"))
+    step = lambda a, x, learn: place(a["at"] + F.length(x) + len(NEXT), F.when(learn, F.array_append(a["spans"], F.struct(a["at"].alias("start"), F.length(x).alias("length")))).otherwise(a["spans"]))
+    within = lambda a, b: F.aggregate(b["texts"], place(a["at"] + F.length(head(b)), a["spans"]), lambda c, x: step(c, x, b["role"] == learn_from), lambda c: place(c["at"] - len(NEXT) + len(END), c["spans"]))
+    spans = F.aggregate("blocks", place(F.lit(0), F.array().cast("array<struct<start:int,length:int>>")), within, lambda a: a["spans"])
+    return merged.select("conv_id", formatted.alias("formatted"), spans.alias("loss_spans"))
+
+
+#: Code points of a piece of a formatted conversation, out of which spans are cut.
+PIECE = 4096
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
     """``formatted`` with ``turns`` (``role``, ``text``) and ``learned`` (the texts under the loss mask), read from its text, in order.
 
-    The text is split once by turn and once by code point; every part is then looked at once.
+    The text is split once by turn and once into pieces of ``PIECE`` code points; a span is cut from the pieces that it touches.
     """
-    rows = formatted.select("*", once(F.struct(F.split("formatted", r"<\|turn\|>").alias("blocks"), F.split("formatted", "").alias("characters"))).alias("__s"))
+    rows = formatted.select("*", once(F.struct(F.split("formatted", r"<\|turn\|>").alias("blocks"), F.regexp_extract_all("formatted", F.lit(f"(?s).{{1,{PIECE}}}"), 0).alias("pieces"))).alias("__s"))
     split = F.transform(F.filter("__s.blocks", lambda b, i: i > 0), lambda b: F.split(b, r"<\|text\|>|<\|next\|>|<\|end\|>\n"))
     turns = F.flatten(F.transform(split, lambda p: F.transform(F.slice(p, F.lit(2), F.size(p) - 2), lambda x: F.struct(unescape(F.get(p, F.lit(0))).alias("role"), unescape(x).alias("text")))))
-    learned = F.transform("loss_spans", lambda s: unescape(F.array_join(F.slice(F.col("__s.characters"), s["start"] + 1, s["length"]), "")))
+    piece = lambda at: F.floor(at / PIECE).cast("int")
+    touched = lambda s: F.array_join(F.slice(F.col("__s.pieces"), piece(s["start"]) + 1, piece(s["start"] + s["length"]) - piece(s["start"]) + 1), "")
+    learned = F.transform("loss_spans", lambda s: unescape(F.substring(touched(s), s["start"] % PIECE + 1, s["length"])))
     return rows.select(*formatted.columns, once(F.struct(turns.alias("turns"), learned.alias("learned"))).alias("__r")).select(*formatted.columns, "__r.turns", "__r.learned")
