@@ -7,13 +7,11 @@ binomial test shows that it rejects at most the allowed rate of good documents.
 corrected for the number of strata (Bonferroni); along the steps the tests stop at the first that fails
 (fixed sequence), which needs no further correction. So with a chance of at least ``1 - delta`` no
 stratum's rules reject more than ``alpha`` of its good documents. A stratum whose labels are too few to
-show it gets no rule. :func:`cutoffs_by_signal` tests each signal alone with its share of both instead.
+show it gets no rule: with four strata about 217 good labels are needed, none of them rejected.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -102,25 +100,21 @@ def _level(name: str) -> Column:
     return F.size(F.filter(F.array(*[F.lit(c) for c in GRIDS[name]]), lambda c: F.col("__q")[name] >= c))
 
 
-def _good(labelled: DataFrame) -> DataFrame:
-    return labelled.where(F.col("good") & ~base_failed(F.col("__q")))
-
-
 def _shown(binned: DataFrame, rate: float, delta: float) -> DataFrame:
-    """The most severe level shown to reject at most ``rate``, by ``__stratum`` and ``signal`` (null: none).
+    """The most severe level shown to reject at most ``rate``, by ``__stratum`` (null: none).
 
-    ``binned`` has a row for each good document and test; ``delta`` is for one test in all strata.
+    ``binned`` has a row for each good document, with the highest ``level`` that one of its signals reaches.
     """
-    counts = binned.groupBy("__stratum", "signal", "level").agg(F.count(F.lit(1)).alias("n"))
-    by_level = counts.groupBy("__stratum", "signal").agg(F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("level", "n"))).alias("at"))
+    counts = binned.groupBy("__stratum", "level").agg(F.count(F.lit(1)).alias("n"))
+    by_level = counts.groupBy("__stratum").agg(F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("level", "n"))).alias("at"))
     grid = F.explode(F.sequence(F.lit(1), F.lit(max(map(len, GRIDS.values()))))).alias("level")
-    tests = by_level.select("__stratum", "signal", "n", "at", grid)
+    tests = by_level.select("__stratum", "n", "at", grid)
     rejected = F.aggregate(F.map_values(F.map_filter("at", lambda k, v: k >= F.col("level"))), F.lit(0).cast("long"), lambda a, v: a + v)
-    strata = written(tests.select("__stratum", "signal", "level", "n", rejected.alias("x")), "quality-tests")
+    strata = written(tests.select("__stratum", "level", "n", rejected.alias("x")), "quality-tests")
     number = strata.agg(F.count_distinct("__stratum").alias("s")).first()["s"]
     # A milder cutoff never rejects more, so whatever is shown at one level is shown at all milder ones.
     shown = binomial_tail(F.col("x"), F.col("n"), rate) <= delta / max(1, number)
-    return strata.groupBy("__stratum", "signal").agg(F.min(F.when(shown, F.col("level"))).alias("level"))
+    return strata.groupBy("__stratum").agg(F.min(F.when(shown, F.col("level"))).alias("level"))
 
 
 def _cutoff(name: str) -> Column:
@@ -133,33 +127,22 @@ def cutoffs(labelled: DataFrame, alpha: float = 0.02, delta: float = 0.05) -> Da
     ``labelled`` has ``__stratum`` (never null), ``__q`` and ``good`` (boolean). Documents that fail the base
     rules count neither way. Every label counts; groups hold one row for each grid point only.
     """
-    steps = _good(labelled).select("__stratum", F.lit("any").alias("signal"), F.greatest(*map(_level, GRIDS)).alias("level"))
+    steps = labelled.where(F.col("good") & ~base_failed(F.col("__q"))).select("__stratum", F.greatest(*map(_level, GRIDS)).alias("level"))
     return _shown(steps, alpha, delta).select("__stratum", *[_cutoff(name).alias(name) for name in GRIDS])
 
 
-def cutoffs_by_signal(labelled: DataFrame, alpha: float = 0.02, delta: float = 0.05) -> DataFrame:
-    """As :func:`cutoffs`, but each signal is tested alone, at its share of ``alpha`` and ``delta``: the rules that op 6's SQL has.
-
-    Below about 1,500 good labels in a stratum (with four strata) no signal can get a rule this way.
-    """
-    binned = _good(labelled).select("__stratum", F.explode(F.array(*[F.struct(F.lit(name).alias("signal"), _level(name).alias("level")) for name in GRIDS])).alias("b")).select("__stratum", "b.*")
-    best = _shown(binned, alpha / len(GRIDS), delta / len(GRIDS))
-    pick = lambda name: F.max(F.when(F.col("signal") == name, _cutoff(name))).alias(name)
-    return best.groupBy("__stratum").agg(*[pick(name) for name in GRIDS])
-
-
 def stratum(column: Column) -> Column:
     """A stratum's name that is never null."""
     return F.concat(F.when(column.isNull(), "-").otherwise("="), F.coalesce(column.cast("string"), F.lit("")))
 
 
-def fit_cutoffs(signals: DataFrame, labels: DataFrame, alpha: float = 0.02, delta: float = 0.05, method: Callable = cutoffs) -> DataFrame:
+def fit_cutoffs(signals: DataFrame, labels: DataFrame, alpha: float = 0.02, delta: float = 0.05) -> DataFrame:
     """Written cutoffs from ``signals`` (``doc_id``, ``__stratum``, ``__q``) and ``labels`` (``doc_id``, ``quality``).
 
     Labels whose quality is null are left out; documents without labels take no part.
     """
     known = labels.where(F.col("quality").isNotNull()).select(F.col("doc_id").alias("__doc"), (F.col("quality") == 1).alias("good"))
-    return written(method(signals.join(known, F.col("doc_id") == F.col("__doc")), alpha, delta), "quality-cutoffs")
+    return written(cutoffs(signals.join(known, F.col("doc_id") == F.col("__doc")), alpha, delta), "quality-cutoffs")
 
 
 def verdicts(signals: DataFrame, fitted: DataFrame) -> DataFrame:
@@ -173,18 +156,22 @@ def verdicts(signals: DataFrame, fitted: DataFrame) -> DataFrame:
     return joined.withColumn("base_failed", failed).withColumn("kept", ~failed & ~hit).drop("__cut")
 
 
-def assess(docs: DataFrame, labels: DataFrame, alpha: float = 0.02, delta: float = 0.05, method: Callable = cutoffs) -> DataFrame:
+def assess(docs: DataFrame, labels: DataFrame, alpha: float = 0.02, delta: float = 0.05) -> DataFrame:
     """``doc_id``, the base counts and signals, ``base_failed`` and ``kept`` for every row of ``docs``.
 
     Strata are languages; null is one of its own. Signals are computed once and written. Rows that
     repeat stay. Labels are for documents by ``doc_id``; an id with several labels counts with each.
     """
     signals = written(with_signals(docs, F.col("doc_id"), stratum(F.col("lang")).alias("__stratum")), "quality-signals")
-    return verdicts(signals, fit_cutoffs(signals, labels, alpha, delta, method)).select("doc_id", "__q.*", "base_failed", "kept")
+    return verdicts(signals, fit_cutoffs(signals, labels, alpha, delta)).select("doc_id", "__q.*", "base_failed", "kept")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, alpha: float = 0.02, delta: float = 0.05) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with their columns. No text is shuffled; signals are computed twice."""
-    name = stratum(F.col("lang")).alias("__stratum")
-    fitted = fit_cutoffs(with_signals(docs, F.col("doc_id"), name), labels, alpha, delta)
-    return verdicts(with_signals(docs, F.struct("*").alias("__row"), name), fitted).where("kept").select("__row.*")
+    """The rows of ``docs`` that the rules keep, with their columns; verdicts are those of :func:`assess`.
+
+    Every text's signals are computed once: rows are written beside them, and fitting reads the signals only.
+    No text is shuffled.
+    """
+    signals = written(with_signals(docs, F.struct("*").alias("__row"), F.col("doc_id"), stratum(F.col("lang")).alias("__stratum")), "quality-signals")
+    fitted = fit_cutoffs(signals.select("doc_id", "__stratum", "__q"), labels, alpha, delta)
+    return verdicts(signals, fitted).where("kept").select("__row.*")
