@@ -17,7 +17,7 @@ import heapq
 import math
 import re
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -62,9 +62,9 @@ class Ordinal:
             found = self._known[word] = sum(get(f, 0.0) for f in features(word))
         return found
 
-    def activation(self, text: str | None) -> float:
-        """The weighted sum of the features of one whole text."""
-        known, words = self._known, distinct_words(text)
+    def activation(self, words: set[str]) -> float:
+        """The weighted sum of the features of one whole text, given as its distinct words."""
+        known = self._known
         return math.fsum(known[w] if w in known else self.word_weight(w) for w in words)
 
     def expected(self, activation: np.ndarray) -> np.ndarray:
@@ -90,26 +90,27 @@ def _markers(docs: list[set[str]], toxic: np.ndarray, z_least: float = 5.0, rati
     return sorted(found)
 
 
-def _without_copies(docs: list[set[str]]) -> list[int]:
-    """Positions of documents whose three smallest word hashes no earlier one has: a group of copies would pass its own words off as markers."""
-    seen: set[tuple[int, ...]] = set()
-    kept = []
+def _without_copies(docs: list[set[str]], toxic: np.ndarray) -> list[int]:
+    """Positions of documents that repeat no earlier one of their label: a group of copies would pass its own words off as markers.
+
+    Of documents with one label and the same three smallest word hashes those go that share four fifths of
+    their words with one that stays.
+    """
+    seen: dict[tuple, list[int]] = defaultdict(list)
     for i, words in enumerate(docs):
-        key = tuple(heapq.nsmallest(3, (zlib.crc32(w.encode()) for w in words)))
-        if key not in seen:
-            seen.add(key)
-            kept.append(i)
-    return kept
+        like = seen[(bool(toxic[i]), *heapq.nsmallest(3, (zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words)))]
+        if not any(5 * len(words & docs[j]) >= 4 * len(words | docs[j]) for j in like):
+            like.append(i)
+    return sorted(i for kept in seen.values() for i in kept)
 
 
-def fit_ordinal(texts: list[str], toxic: list[bool], steps: int = 400, ridge: float = 1e-4) -> Ordinal:
-    """Fit on whole texts with labels; deterministic. Without both labels, or markers, nothing is ever toxic."""
+def fit_ordinal(docs: list[set[str]], toxic: list[bool], steps: int = 400, ridge: float = 1e-4) -> Ordinal:
+    """Fit on the distinct words of whole texts with labels; deterministic. Without both labels, or markers, nothing is ever toxic."""
     y = np.array(toxic, dtype=bool)
     never = Ordinal({}, [30.0] * GRADES)
     if len(y) == 0 or y.all() or not y.any():
         return never
-    docs = [distinct_words(t) for t in texts]
-    first = _without_copies(docs)
+    first = _without_copies(docs, y)
     docs, y = [docs[i] for i in first], y[first]
     names = _markers(docs, y) if y.any() and not y.all() else []
     if not names:
@@ -143,12 +144,12 @@ def fit_ordinal(texts: list[str], toxic: list[bool], steps: int = 400, ridge: fl
     return Ordinal(dict(zip(names, weights.tolist())), cuts.tolist())
 
 
-def choose_cutoff(model: Ordinal, texts: list[str], toxic: list[bool]) -> None:
+def choose_cutoff(model: Ordinal, docs: list[set[str]], toxic: list[bool]) -> None:
     """Set the cutoff to the middle of the expected grades between which held-out F1 is best."""
     y = np.array(toxic, dtype=bool)
     if not y.any() or not model.weights:
         return
-    score = model.expected(np.array([model.activation(t) for t in texts]))
+    score = model.expected(np.array([model.activation(words) for words in docs]))
     order = np.argsort(-score, kind="stable")
     s, right = score[order], np.cumsum(y[order])
     f1 = 2 * right / (np.arange(1, len(s) + 1) + y.sum())
@@ -161,24 +162,32 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ordinal:
     """A model from at most ``sample`` labelled documents, a quarter of them held out for the cutoff.
 
     The sample is that with the smallest digests of ``doc_id``, half of it toxic where there are enough.
-    Null labels and documents without a label are left out. Only this bounded sample reaches the driver.
+    Null labels and documents without a label are left out. An id with conflicting labels is toxic; an id
+    that several rows share is one document, the least of their texts. Only this bounded sample reaches the
+    driver, as distinct words.
     """
-    known = labels.where(F.col("toxic").isNotNull()).select(F.col("doc_id").alias("__doc"), (F.col("toxic") > 0).alias("__toxic")).dropDuplicates(["__doc"])
+    known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("__doc")).agg(F.max(F.col("toxic") > 0).alias("__toxic"))
     chosen = known.where("__toxic").orderBy(F.md5(F.col("__doc").cast("string"))).limit(sample // 2)
     chosen = chosen.unionByName(known.where("not __toxic").orderBy(F.md5(F.col("__doc").cast("string"))).limit(sample - sample // 2))
-    rows = docs.select("doc_id", F.col("text").alias("__text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("__doc")).select("doc_id", "__text", "__toxic").toPandas()
-    held = np.array([int(hashlib.md5(f"held:{i}".encode()).hexdigest(), 16) % 4 == 0 for i in rows["doc_id"]], dtype=bool)
-    order = np.argsort(rows["doc_id"].to_numpy(), kind="stable")
-    train, test = order[~held[order]], order[held[order]]
-    text, toxic = rows["__text"].tolist(), rows["__toxic"].tolist()
-    model = fit_ordinal([text[i] for i in train], [toxic[i] for i in train])
-    choose_cutoff(model, [text[i] for i in test], [toxic[i] for i in test])
+    found = docs.select("doc_id", F.col("text").cast("string").alias("__text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("__doc"))
+    one = found.groupBy("__doc").agg(F.min("__text").alias("__text"), F.first("__toxic").alias("__toxic"))
+
+    def shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([" ".join(sorted(distinct_words(t.as_py()))) for t in batch.column(1)], pa.string()), batch.column(2)], names=["id", "words", "toxic"])
+
+    rows = one.select(F.col("__doc").cast("long"), "__text", "__toxic").mapInArrow(shorten, "id long, words string, toxic boolean").toPandas().sort_values("id")
+    held = np.array([int(hashlib.md5(f"held:{i}".encode()).hexdigest(), 16) % 4 == 0 for i in rows["id"]], dtype=bool)
+    words, toxic = [distinct_words(t) for t in rows["words"]], rows["toxic"].to_numpy(dtype=bool)
+    part = lambda take: ([w for w, t in zip(words, take) if t], toxic[take].tolist())
+    model = fit_ordinal(*part(~held))
+    choose_cutoff(model, *part(held))
     return model
 
 
 def _scored(batches: Iterator[pa.RecordBatch], model: Ordinal, at: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
     for batch in batches:
-        yield batch, model.expected(np.array([model.activation(t.as_py()) for t in batch.column(at)], dtype=float))
+        yield batch, model.expected(np.array([model.activation(distinct_words(t.as_py())) for t in batch.column(at)], dtype=float))
 
 
 def score(docs: DataFrame, model: Ordinal) -> DataFrame:
