@@ -25,13 +25,15 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share
 
     Sources by code point, null last, take the weights in turn and share ``share`` of all sizes. Targets
     stop at ``cap`` times the source's size; the excess is shared again by weight until none is above.
-    Sources are ranked in two levels, so their number may grow; the rounds gather three sums each.
+    Sources are ranked within ranges that Spark cuts to one size, and ranges by their counts, so any number of
+    sources is spread out, whatever they begin with; the rounds gather three sums each.
     """
-    keyed = sizes.withColumn("__last", F.col("__source").isNull()).withColumn("__head", F.coalesce(F.substring("__source", 1, 2), F.lit("")))
-    heads = keyed.groupBy("__last", "__head").count().withColumn("__before", F.sum("count").over(Window.partitionBy(F.lit(1)).orderBy("__last", "__head")) - F.col("count"))
-    place = F.row_number().over(Window.partitionBy("__last", "__head").orderBy("__source")) + F.col("__before") - 1
+    keyed = sizes.withColumn("__last", F.col("__source").isNull())
+    ranges = written(keyed.repartitionByRange("__last", "__source").withColumn("__range", F.spark_partition_id()), "mixing-ranges")
+    heads = ranges.groupBy("__range").count().select("__range", (F.sum("count").over(Window.partitionBy(F.lit(1)).orderBy("__range")) - F.col("count")).alias("__before"))
+    place = F.row_number().over(Window.partitionBy("__range").orderBy("__last", "__source")) + F.col("__before") - 1
     weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (F.pmod("__rank", F.lit(len(weights))) + 1).cast("int"))
-    ranked = written(keyed.join(heads, ["__last", "__head"]).withColumn("__rank", place).select("__source", "source_size", weight.cast("double").alias("weight")), "mixing-sources")
+    ranked = written(ranges.join(heads, "__range").withColumn("__rank", place).select("__source", "source_size", weight.cast("double").alias("weight")), "mixing-sources")
     rate, at_cap = 0.0, -1
     full = F.lit(cap) * F.col("source_size")
     while True:
@@ -62,14 +64,17 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", siz
     """``docs`` with ``source_size``, ``target`` (its source's) and ``copies`` (0 to 2, how often the mix takes it).
 
     A column of those names in ``docs`` is replaced. Null sizes count 0; a null source is a source of its
-    own. Rows that repeat are sampled one by one; the draw depends on ids, sizes and sources alone, so
-    reruns and any partitioning agree. Sources without words get target 0 and no copies. ``docs`` is read
-    twice, the first time only those three columns.
+    own. Rows that repeat are sampled one by one; the draw depends on ids, sizes and sources, among rows
+    that share all three on a hash of the whole row (but maps), so reruns and any partitioning agree. Rows
+    without an id are ordered by size. Sources without words get target 0 and no copies. ``docs`` is read
+    twice, the first time only those three columns. Rows of one id (or size, without ids) in one source
+    are one bucket; all others are spread over buckets by digest.
     """
     size = F.coalesce(F.col(size_col).cast("long"), F.lit(0))
     source = F.col(source_col).cast("string")
-    digest = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("null")))
-    rows = docs.select(F.struct("*").alias("__row"), source.alias("__source"), size.alias("__size"), digest.alias("__digest"), size_class(size).alias("__class"))
+    digest = F.md5(F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("null:"), size.cast("string"))))
+    tie = F.xxhash64(*[F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind])
+    rows = docs.select(F.struct("*").alias("__row"), tie.alias("__tie"), source.alias("__source"), size.alias("__size"), digest.alias("__digest"), size_class(size).alias("__class"))
     narrow = written(rows.groupBy("__source", "__class", F.substring("__digest", 1, 2).alias("__two")).agg(F.count(F.lit(1)).alias("n"), F.sum("__size").alias("s")), "mixing-counts")
     total = narrow.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
     digits = 2 if total <= 256 * BUCKET else min(8, math.ceil(math.log(total / BUCKET, 16)))
@@ -82,7 +87,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", siz
     starts = counts.withColumn("__within", within).join(classes, ["__key", "__class"]).select("__key", "__class", "__part", (F.col("__within") + F.col("__below")).alias("__start"))
     targets = source_targets(narrow.groupBy("__source").agg(F.sum("s").alias("source_size")), cap=cap, **shares)
     plan = written(starts.join(targets.select(key("__source").alias("__key"), "source_size", "target", offset(F.col("__source")).alias("__offset")), "__key"), "mixing-plan")
-    ordered = Window.partitionBy("__key", "__class", "__part").orderBy("__digest", "__size")
+    ordered = Window.partitionBy("__key", "__class", "__part").orderBy("__digest", "__size", "__tie")
     joined = rows.withColumn("__key", key("__source")).withColumn("__part", prefix).withColumn("__at", F.row_number().over(ordered)).join(plan, ["__key", "__class", "__part"])
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     rank = (F.col("__start") + F.col("__at")).cast("double")
