@@ -143,7 +143,7 @@ rates AS (
 rate AS (SELECT arg_min(r.rate, r.k) AS rate FROM rates r LEFT JOIN sorted s ON s.k = r.k + 1 WHERE s.ratio IS NULL OR r.rate < s.ratio),
 targets AS (SELECT source, source_size, CASE WHEN source_size = 0 THEN 0.0::DOUBLE ELSE least(2.0::DOUBLE * source_size, weight * (SELECT rate FROM rate)) END AS target FROM weighed),
 ranked AS (
-  SELECT *, md5(coalesce(CAST(doc_id AS VARCHAR), 'null')) AS digest, length(bin(size + 1)) * 32 +
+  SELECT *, md5(coalesce(CAST(doc_id AS VARCHAR), 'null:' || size)) AS digest, length(bin(size + 1)) * 32 +
     CASE WHEN length(bin(size + 1)) > 5 THEN CAST(floor((size + 1) / pow(2.0, length(bin(size + 1)) - 5)) AS BIGINT) ELSE size + 1 END AS class FROM sized),
 placed AS (
   SELECT r.doc_id, r.size, t.source_size, t.target, CAST(CAST('0x' || md5('offset:' || coalesce(r.source, ''))[1:4] AS INTEGER) AS DOUBLE) / 65536 AS u,
@@ -154,11 +154,11 @@ SELECT doc_id, size, source_size, target, CAST(least(floor(u + e * n) - floor(u
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = quality.assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), method=quality.cutoffs_by_signal)
+    found = quality.assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return found.select("doc_id", *quality.BASE, "base_failed", "kept")
 
 
-_OP6_GRID = ", ".join(f"('{name}', {cuts})" for name, cuts in quality.GRIDS.items())
+_OP6_LEVEL = ", ".join(f"len(list_filter({cuts}, lambda c: c <= {name}))" for name, cuts in quality.GRIDS.items())
 OP6_SQL = rf"""
 WITH texts AS (SELECT doc_id, lang, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 windows AS (
@@ -177,20 +177,16 @@ signals AS (
   SELECT *, CASE WHEN n_words > 0 THEN n_symbols::DOUBLE / n_words ELSE 0 END AS symbol_rate, CASE WHEN len(lines) > 0 THEN n_dup_lines::DOUBLE / len(lines) ELSE 0 END AS dup_line_share,
     CASE WHEN n_words > 0 THEN n_repeat_words::DOUBLE / n_words ELSE 0 END AS repeat_share, CASE WHEN word_chars > 0 THEN capitals::DOUBLE / word_chars ELSE 0 END AS capital_share,
     CASE WHEN n_words > 0 THEN bars::DOUBLE / n_words ELSE 0 END AS bar_rate FROM base),
-long AS (
-  SELECT doc_id, lang, base_failed, unnest(['symbol_rate', 'dup_line_share', 'repeat_share', 'capital_share', 'bar_rate']) AS signal,
-    unnest([symbol_rate, dup_line_share, repeat_share, capital_share, bar_rate]) AS value FROM signals),
-grid AS (SELECT g.signal, unnest(g.cuts) AS cut FROM (VALUES {_OP6_GRID}) AS g(signal, cuts)),
+levels AS (SELECT *, greatest({_OP6_LEVEL}) AS level FROM signals),
 tests AS (
-  SELECT l.lang, l.signal, g.cut, count(*) AS n, count(*) FILTER (l.value >= g.cut) AS x
-  FROM long l JOIN labels y ON l.doc_id = y.doc_id AND y.quality = 1 JOIN grid g ON g.signal = l.signal WHERE NOT l.base_failed GROUP BY ALL),
+  SELECT l.lang, s.step, count(*) AS n, count(*) FILTER (l.level >= s.step) AS x
+  FROM levels l JOIN labels y ON l.doc_id = y.doc_id AND y.quality = 1 CROSS JOIN (SELECT unnest(range(1, 21)) AS step) s WHERE NOT l.base_failed GROUP BY ALL),
 passed AS (
-  SELECT t.lang, t.signal, min(t.cut) AS cut FROM tests t
-  WHERE x <= n * (0.02 / 5) AND (SELECT sum(exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * ln(0.02 / 5) + (n - k) * ln(1 - 0.02 / 5))) FROM (SELECT unnest(range(0, x + 1)) AS k))
-    <= 0.05 / (greatest(1, (SELECT count(DISTINCT coalesce('=' || lang, '-')) FROM tests)) * 5) GROUP BY ALL),
-hits AS (SELECT DISTINCT l.doc_id FROM long l JOIN passed p ON l.lang IS NOT DISTINCT FROM p.lang AND l.signal = p.signal AND l.value >= p.cut)
-SELECT s.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND h.doc_id IS NULL AS kept
-FROM signals s LEFT JOIN hits h ON s.doc_id = h.doc_id"""
+  SELECT t.lang, min(t.step) AS step FROM tests t
+  WHERE x <= n * 0.02 AND (SELECT sum(exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * ln(0.02) + (n - k) * ln(1 - 0.02))) FROM (SELECT unnest(range(0, x + 1)) AS k))
+    <= 0.05 / greatest(1, (SELECT count(DISTINCT coalesce('=' || lang, '-')) FROM tests)) GROUP BY ALL)
+SELECT s.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(s.level >= p.step, false) AS kept
+FROM levels s LEFT JOIN passed p ON s.lang IS NOT DISTINCT FROM p.lang"""
 
 
 def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -199,13 +195,13 @@ def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP7_SQL = """
-WITH rows AS (
-  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+WITH rows AS MATERIALIZED (
+  SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 scored AS (
-  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: coalesce(p[1] * p[2], 0))) AS BIGINT) AS score
-  FROM rows q JOIN rows c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
-ranked AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM scored)
+  SELECT q.n, q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: coalesce(p[1] * p[2], 0))) AS BIGINT) AS score
+  FROM rows q JOIN rows c ON q.n <> c.n WHERE q.vec_id % 100 = 0),
+ranked AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY n ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM scored)
 SELECT * FROM ranked WHERE rank <= 10"""
 
 
