@@ -3,6 +3,8 @@
 import hashlib
 import math
 import random
+import re
+import time
 import zlib
 from collections import Counter
 
@@ -59,6 +61,16 @@ def test_chat_round_trip(spark):
     assert chat.format_conversations(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def test_chat_long_texts_many_turns_and_clashing_names(spark):
+    texts = ["é😀\\<|" * 50_000, "", "x" * (chat.PIECE - 20), "y" * chat.PIECE, "z" * (3 * chat.PIECE + 1)]
+    rows = [(1, k, "user" if k % 3 else "assistant", t, "f", 5) for k, t in enumerate(texts)]
+    rows += [(2, k, "assistant" if k // 7 % 2 else "user", f"t{k}", "f", 5) for k in range(5000)]
+    read = chat.read_back(chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, formatted string, loss_spans int")))
+    for r in read.collect():
+        mine = [(x[2], x[3]) for x in rows if x[0] == r.conv_id]
+        assert [(x.role, x.text) for x in r.turns] == mine and list(r.learned) == [t for role, t in mine if role == "assistant"]
+
+
 # 2. WARC
 
 
@@ -75,6 +87,12 @@ def test_warc_round_trip(spark, tmp_path):
     assert bytes(by_id[6].payload) == ("é" * 100_000).encode()
 
 
+def test_warc_of_an_empty_table(spark, tmp_path):
+    pages = spark.createDataFrame([], "page_id long, url string, html string")
+    done = warc.write_archives(pages, f"file://{tmp_path}/none")
+    assert written(done, "t").count() == 0 and warc.read_archives(spark, f"file://{tmp_path}/none").count() == 0
+
+
 def test_archives_hold_a_dictionary_and_survive_reruns():
     records = [warc.warc_record(i, f"http://example.org/{i}", f"<html><p>common words in every page {i}".encode() * 20, "d", 9, None) for i in range(300)]
     content = warc.compress_archive(records)
@@ -98,11 +116,22 @@ def brute_tokens(texts):
 def test_word_by_word_ids_are_the_tokenizers():
     import pyarrow as pa
 
-    texts = ["It's 5o'clock!! don't... A,b;c «x»", "É́é Σς İstanbul ｆｕｌｌ", "क़ क़ हिन्दी", "a\x1fb c\xa0d", None, "", "x'S we'LL", "<|endoftext|> 中文, test…..", "9½²x _y_"]
-    ids, bounds = packing.token_ids(pa.array(texts), registry.tokenizer_path())
-    for k, want in enumerate(brute_tokens(texts)):
-        if "<|" not in (texts[k] or ""):
-            assert ids[bounds[k] : bounds[k + 1]].tolist() == want[:-1], texts[k]
+    texts = ["It's 5o'clock!! don't... A,b;c «x»", "É́é Σς İstanbul ｆｕｌｌ", "क़ क़ हिन्दी", "ड़, पेड़. \ufb1d!", "J̌ ǰ J̌, K", "a\x1fb c\xa0d", None, "", "x'S we'LL", "<|endoftext|> 中文, test…..", "a <|startoftext|>b<|endoftext|>", "9½²x _y_"]
+    # Letters that normalisation composes, takes apart or lower-cases to two, marks, added tokens, white space.
+    parts = list("aBjJtTwYéßİıΣſKµªº5²½क\u0958\u095c\ufb1d\u0344가\u1100\u1161") + ["\u0301", "\u030c", "\u0331", "\u0338", "\u0307", "\u093c", "\u05b4", "\u200d", ".", ",", "!", "*", "|", "<", ">", "'", "'s", "'LL", "’", "…", "-", "😀", "<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "<|", " ", "  ", "\n", "\t", "\x0b", "\x1c", "\x85", "\xa0", "\u2000", "\u3000", "\u2028"]
+    rng = random.Random(3)
+    texts += ["".join(rng.choice(parts) for _ in range(rng.randint(1, 14))) for _ in range(30_000)]
+    for at in range(0, len(texts), 5000):
+        some = texts[at : at + 5000]
+        ids, bounds = packing.token_ids(pa.array(some), registry.tokenizer_path())
+        for text, want, a, b in zip(some, brute_tokens(some), bounds, bounds[1:]):
+            assert ids[a:b].tolist() == want[:-1], text
+
+
+def test_one_id_for_all_rows_is_many_partitions(spark):
+    rows = written(spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(0).alias("piece"), (F.col("id") % 900 + 1).alias("length")), "t")
+    placed, info = packing.pack(rows, partition=300)
+    assert placed.count() == 3000 and placed.select(F.shiftright("sequence_id", 24)).distinct().count() > 1 and info["sequences"] >= info["bound"]
 
 
 def test_packing_whole_table(spark):
@@ -198,6 +227,21 @@ def test_mixing_meets_targets(spark):
     assert {r.doc_id: r.copies for r in again} == {r.doc_id: r.copies for r in found}
 
 
+def test_mixing_draws_the_same_texts_again(spark):
+    rows = [(i % 40 if i % 3 else None, "s", 10 + i % 2, f"text {i}") for i in range(900)]
+    draw = lambda df: Counter((r.text, r.copies) for r in mixing.mix(df).collect())
+    shape = "doc_id long, source string, size long, text string"
+    assert draw(spark.createDataFrame(rows, shape)) == draw(spark.createDataFrame(rows[::-1], shape).repartition(9))
+
+
+def test_sources_that_begin_alike(spark):
+    rows = [(f"http://host{i:04}.example/", 10) for i in range(500)] + [(None, 10)]
+    found = {r["__source"]: r.target for r in mixing.source_targets(spark.createDataFrame(rows, "__source string, source_size long").repartition(5)).collect()}
+    order = sorted(x for x, _ in rows if x) + [None]
+    heavy, light = {round(found[s], 6) for k, s in enumerate(order) if k % 3 == 0}, {round(found[s], 6) for k, s in enumerate(order) if k % 3 == 2}
+    assert len(found) == 501 and heavy == {20.0} and len(light) == 1 and light < {19.9}.union(light) and sum(found.values()) == pytest.approx(1.5 * 5010)
+
+
 def test_mixing_odd(spark):
     docs = odd_docs(spark).withColumn("size", n_words(F.col("text")))
     found = mixing.mix(docs)
@@ -237,6 +281,64 @@ def test_cutoffs_of_few_labels(spark):
     assert len(fitted) == 2 and all(r[name] == grid[0] for r in fitted for name, grid in quality.GRIDS.items())
 
 
+def brute_signals(text):
+    found = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    windows = [tuple(found[i : i + 3]) for i in range(len(found) - 2)]
+    times = Counter(windows)
+    repeated = {p for i, w in enumerate(windows) if times[w] > 1 for p in (i, i + 1, i + 2)}
+    n, chars = len(found), sum(map(len, found))
+    per = lambda a, b: a / b if b else 0.0
+    values = {"symbol_rate": per(len(re.findall(r"[#*$%&|<>]", text or "")), n), "dup_line_share": per(len(lines) - len(set(lines)), len(lines)), "repeat_share": per(len(repeated), n), "capital_share": per(sum(c.isupper() for c in text or ""), chars), "bar_rate": per(found.count("|"), n)}
+    return values, n < 50 or 100 * len(repeated) > 50 * n
+
+
+def brute_verdicts(docs, labels, alpha=0.02, delta=0.05):
+    """Verdicts by the rule as it is stated: steps from the mildest on, an exact test at each, stop at the first that fails."""
+    judged = {i: (lang, *brute_signals(text)) for i, text, lang in docs}
+    reached = lambda values, step: any(values[name] >= grid[step] for name, grid in quality.GRIDS.items())
+    good = {}
+    for i, q in labels:
+        if q == 1 and i in judged and not judged[i][2]:
+            good.setdefault(judged[i][0], []).append(judged[i][1])
+    chosen = {}
+    for lang, values in good.items():
+        for step in reversed(range(20)):
+            x, n = sum(reached(v, step) for v in values), len(values)
+            tail = sum(math.comb(n, k) * alpha**k * (1 - alpha) ** (n - k) for k in range(x + 1))
+            if tail > delta / len(good):
+                break
+            chosen[lang] = step
+    return {i: not failed and not (lang in chosen and reached(values, chosen[lang])) for i, (lang, values, failed) in judged.items()}, chosen
+
+
+def test_verdicts_of_planted_labels(spark):
+    rng = random.Random(12)
+    word = lambda: f"w{rng.randint(0, 10**7)}"
+
+    def text(kind):
+        some = [word() for _ in range(rng.randint(45, 90))]
+        if kind == 1:
+            return " ".join(w + "#" * (rng.random() < rng.random()) for w in some)
+        if kind == 2:
+            return "\n".join([" ".join(some), *["the same line here"] * rng.randint(1, 4)])
+        if kind == 3:
+            return " ".join(w.upper() if rng.random() < rng.random() else w for w in some)
+        if kind == 4:
+            return " ".join(some + ["|"] * rng.randint(1, 40))
+        return " ".join(some + some[: rng.randint(0, 9)])
+
+    share = {"de": 0.002, "fr": 0.02, "es": 0.0, None: 0.1, "few": 0.0}
+    docs = [(i, text(rng.randint(1, 4) if bad else 0), lang, bad) for i, (lang, bad) in enumerate((lang, k % 10 == 9 or rng.random() < rate) for lang, rate in share.items() for k in range(400 if lang != "few" else 60))]
+    labels = [(i, int(i % 10 != 9) if i % 50 else None) for i, *_ in docs] + [(3, 0), (10**6, 1)]
+    want, chosen = brute_verdicts([d[:3] for d in docs], labels)
+    assert len(set(chosen.values())) > 1 and "few" not in chosen and 0 < sum(want.values()) < len(docs)
+    frame = spark.createDataFrame([d[:3] for d in docs], "doc_id long, text string, lang string")
+    known = spark.createDataFrame(labels, "doc_id long, quality int")
+    assert {r.doc_id: r.kept for r in quality.assess(frame, known).collect()} == want
+    assert sorted(r.doc_id for r in quality.keep_good(frame, known).collect()) == [i for i, kept in want.items() if kept]
+
+
 def test_quality_odd(spark):
     labels = spark.createDataFrame([(1, None), (2, 0), (5, 1)], "doc_id long, quality int")
     found = quality.assess(odd_docs(spark), labels)
@@ -252,12 +354,17 @@ def test_quality_odd(spark):
 def test_top_k_brute_force(spark):
     rng = random.Random(8)
     vectors = {i: [rng.randint(-3, 3) for _ in range(rng.choice([4, 5]))] for i in range(400)} | {1000: [], 1100: [0, 0]}
-    df = written(spark.createDataFrame([*vectors.items(), (7, vectors[7]), (None, [1]), (2001, None)], "vec_id long, components array<long>"), "t")
+    # An id that another row repeats, with its vector or with another, also among the queries.
+    rows = [*vectors.items(), (7, vectors[7]), (7, [3, 3, 3, 3]), (100, vectors[100]), (200, [1, 2, 3, 1])]
+    df = spark.createDataFrame([(*r, "x", 0) for r in [*rows, (None, [1]), (2001, None)]], "vec_id long, components array<long>, row string, rank long")
     found = topk.top_k(df, F.col("vec_id") % 100 == 0).collect()
     dot = lambda a, b: sum(x * y for x, y in zip(a, b))
-    for q in (x for x in vectors if x % 100 == 0):
-        want = sorted(((-dot(vectors[q], v), i) for i, v in vectors.items() if i != q))[:10]
-        assert [(r.rank, r.vec_id, r.score) for r in sorted(found, key=lambda r: r.rank) if r.query_id == q] == [(k + 1, i, -s) for k, (s, i) in enumerate(want)]
+    want = Counter()
+    for at, (q, vector) in enumerate(rows):
+        if q % 100 == 0:
+            best = sorted((-dot(vector, v), i) for k, (i, v) in enumerate(rows) if k != at)[:10]
+            want.update((q, k + 1, i, -s) for k, (s, i) in enumerate(best))
+    assert Counter((r.query_id, r["rank"], r.vec_id, r.score) for r in found) == want
     assert topk.top_k(df.limit(0), F.lit(True)).count() == 0
 
 
@@ -275,13 +382,57 @@ def test_components(spark):
         (None, ""), ("", ""), ("just text &lt;b&gt; &amp; &eacute;&nbsp;x", "just text <b> & é x"), ("<p>a<p>b<br>c", "a b c"), ("<script>x<y</script><style>p</style><!-- c", ""), ("<div>" * 3000 + "deep", "deep"),
         ("<body><nav>menu</nav><article><h1>T</h1><p>Some longer text, with commas, in it.<div class='ad-box'>Buy, now, cheap, things here today</div><p>More <b>bold</b>text.<footer>by me</footer></article><aside>side</aside><footer>f</footer>", "T Some longer text, with commas, in it. More boldtext."),
         ("<div id=page><div class=sidebar><p>Long, long, sidebar text, with many, many commas, here</div><div id=main-text><p>The first paragraph, which is the longer one of them.<p>The second one, as well.</div><form><p>Sign up, please, for our letter today</form><div id='comments'><p>Reader, comment, with, commas, that is quite long</div></div>", "The first paragraph, which is the longer one of them. The second one, as well."),
-        ("<main><table><tr><td>cell one<td>cell two</table><ul><li>x<li>y</ul></main>", "cell one cell two x y"), ('<p title="a>b">quoted, attribute, in a tag that goes on</p><p hidden>not seen</p>', "quoted, attribute, in a tag that goes on"), ("text &am", "text &am"), ("<p>cut off in a tag <a hre", "cut off in a tag"),
+        ("<main><table><tr><td>cell one<td>cell two</table><ul><li>x<li>y</ul></main>", "cell one cell two x y"), ('<p title="a>b">quoted, attribute, in a tag that goes on</p><p hidden>not shown, yet text</p>', "quoted, attribute, in a tag that goes on not shown, yet text"),
+        ("<nav>menu</nav><article><p>Intro text, that is long enough, to count.</p><div class='share-price-table'><p>Share price is twelve, today, at noon</p></div><div class='search-results-study'><p>The study, found, that results matter</p></div><div class='ad-box'>Buy now</div><div class='reader-comments'>c</div><div id=newsletter-signup>s</div><ul><li><a href=a>one</a><li><a href=b>two</a><li><a href=c>three</a></ul></article><div class='more-related-stories'><p>Other, stories, that we have written here before</p></div>", "Intro text, that is long enough, to count. Share price is twelve, today, at noon The study, found, that results matter one two three"),
+        ("<div class='promoted-research'><p>Without an article, marked as one, a word of a name is not enough.</p></div>", "Without an article, marked as one, a word of a name is not enough."), ("<script>İİİİ</SCRIPT>after the script", "after the script"), ("text &am", "text &am"), ("<p>cut off in a tag <a hre", "cut off in a tag"),
     ],
 )
 def test_main_text(page, text):
     assert html.main_text(page) == text
 
 
+def brute_tree(page):
+    """Parents and tags as ``parse`` should find them, by walking the open elements each time."""
+    nodes, path = [("#", 0)], [0]
+    for end, tag in re.findall(r"<(/?)([a-z0-9]+)>", page):
+        if end:
+            for depth in range(len(path) - 1, 0, -1):
+                if nodes[path[depth]][0] == tag:
+                    del path[depth:]
+                    break
+            continue
+        for closes, (tags, bounds) in (("p" if tag in html.CLOSES_P else None, ({"p"}, {"td", "th", "table", "button"})), (tag, html.IMPLIED.get(tag, ((), ())))):
+            for depth in range(len(path) - 1, 0, -1):
+                name = nodes[path[depth]][0]
+                if closes is None or name in bounds:
+                    break
+                if name in tags:
+                    while nodes[path[depth - 1]][0] in tags:
+                        depth -= 1
+                    del path[depth:]
+                    break
+        if tag not in html.VOID:
+            nodes.append((tag, path[-1]))
+            path.append(len(nodes) - 1)
+    return nodes
+
+
+def test_tree_of_tag_soup():
+    rng = random.Random(2)
+    tags = "p div ul li table tr td th b a dl dt dd br span section option select button".split()
+    for _ in range(400):
+        page = "".join(f"<{'/' * (rng.random() < 0.4)}{rng.choice(tags)}>x" for _ in range(rng.randint(1, 60)))
+        found = html.parse(page)
+        assert list(zip(found.tag, found.parent)) == brute_tree(page), page
+
+
+def test_broken_pages_take_linear_time():
+    for part in ("<div><p>x", "x</b></i>", "<td><div>", "<p><b>y", "<li><ul>", "<!-- <p '"):
+        start = time.perf_counter()
+        html.main_text("<p><table><tr><td>" + part * 40_000)
+        assert time.perf_counter() - start < 6, part
+
+
 def test_html_table(spark):
     pages = spark.createDataFrame([(1, None, "<p>a"), (None, "u", None), (1, None, "<p>a")], "page_id long, url string, html string")
     assert sorted((r.page_id or 0, r.text, r.n_chars) for r in html.extract_main_text(pages).collect()) == [(0, "", 0), (1, "a", 1), (1, "a", 1)]
@@ -407,6 +558,35 @@ def test_toxicity_held_out(spark):
     assert again.cutoff == model.cutoff and again.thresholds == model.thresholds
 
 
+def test_scores_by_hand(spark):
+    rows = [(i, t) for i, t in enumerate(["you idiot, you IDIOT", "idiots!! scum", "nothing here", None, "", " \t", "scum " * 50_000, "idiotic\x1fscummy"])]
+    model = toxicity.Ordinal({"w:idiot": 1.5, "s:idio": 0.5, "s:idiot": 0.25, "w:scum": 2.0, "s:scum": -0.5}, [1.0, 2.0, 4.0], cutoff=1.2)
+
+    def severity(text):
+        total = 0.0
+        for word in set((text or "").lower().split()):
+            bare = word.strip("!,.")
+            total += model.weights.get(f"w:{bare}", 0) + sum(model.weights.get(f"s:{bare[:n]}", 0) for n in (4, 5, 6) if len(bare) > n)
+        return sum(1 / (1 + math.exp(cut - total)) for cut in model.thresholds)
+
+    want = {i: severity(t) for i, t in rows}
+    found = toxicity.score(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()
+    assert {r.doc_id: r.severity for r in found} == pytest.approx(want)
+    assert all(r.grade == round(want[r.doc_id]) and r.toxic == (want[r.doc_id] >= 1.2) for r in found)
+    kept = toxicity.keep_civil(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()
+    assert sorted(r.doc_id for r in kept) == [i for i in want if want[i] < 1.2]
+
+
+def test_labels_that_disagree_and_ids_of_many_rows(spark):
+    docs = spark.createDataFrame(toxic_corpus(800, 4), "doc_id long, text string")
+    labels = [(i, int(i % 4 == 0)) for i in range(800)]
+    fit = lambda extra, more: toxicity.fit(docs.unionByName(spark.createDataFrame(more, "doc_id long, text string")), spark.createDataFrame(labels + extra, "doc_id long, toxic int"))
+    plain = fit([], [(10**6, "x")])
+    assert plain.weights and fit([(i, 0) for i in range(0, 800, 4)] + [(5, None), (None, 1)], [(i, "~ later text") for i in range(800)] * 3) == plain
+    texts = [{"a", "b", "c", f"x{k}"} for k in range(3)] + [{"a", "b", "c", "d", "e", "f"}]
+    assert toxicity._without_copies([*texts, texts[0], texts[0]], np.array([0, 0, 0, 0, 0, 1])) == [0, 1, 2, 3, 5]
+
+
 def test_toxicity_odd(spark):
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     model = toxicity.fit(odd_docs(spark), labels)
@@ -417,24 +597,68 @@ def test_toxicity_odd(spark):
 # Pipeline
 
 
-def test_pipeline_against_its_operators(spark):
+def pipeline_stages(spark, docs, sf):
     import corpus_pipeline as P
 
-    docs = registry.table(spark, SF, "documents")
     stages = {}
     for name, stage in P.STAGES:
-        before, docs = docs, written(stage(spark, docs, SF), "t")
+        before, docs = docs, written(stage(spark, docs, sf), "t")
         stages[name] = (before, docs)
         if name != P.STAGES[-1][0]:
             assert docs.columns == before.columns
+    return stages
+
+
+def check_stages(spark, stages, labels):
+    """Each stage's rows against brute force on what it was given."""
+    row = lambda r: (r.doc_id, r.text, r.lang, r.source)
+    before, after = stages["quality rules"]
+    numbered = dict(enumerate(before.collect()))
+    ids = {}
+    for k, r in numbered.items():
+        ids.setdefault(r.doc_id, []).append(k)
+    want, _ = brute_verdicts([(k, r.text, r.lang) for k, r in numbered.items()], [(k, q) for i, q, _ in labels for k in ids.get(i, []) if i is not None])
+    assert Counter(map(row, after.collect())) == Counter(row(r) for k, r in numbered.items() if want[k])
+    before, after = stages["toxicity"]
+    model = toxicity.fit(before, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    civil = [r for r in before.collect() if model.expected([sum(model.weights.get(f, 0.0) for w in set((r.text or "").lower().split()) for f in toxicity.features(w))])[0] < model.cutoff]
+    assert Counter(map(row, after.collect())) == Counter(map(row, civil))
     before, after = stages["SimHash near-dedup"]
-    want = brute_components([(r.doc_id, reference_fingerprint(r.text)) for r in before.collect()])
-    assert sorted(r.doc_id for r in after.collect()) == sorted(d for d, c in want.items() if d == c)
+    rows = sorted({(r.doc_id is None, r.doc_id or 0, r.text) for r in before.collect()}, key=str)
+    component = brute_components([(k, reference_fingerprint(r[2])) for k, r in enumerate(rows)])
+    kept = [(r.doc_id is None, r.doc_id or 0, r.text) for r in after.collect()]
+    assert len(set(kept)) == len(kept) and sorted(component[rows.index(r)] for r in kept) == sorted(set(component.values()))
+    assert all(r[:2] == min(x[:2] for k, x in enumerate(rows) if component[k] == component[rows.index(r)]) for r in kept)
     before, after = stages["mixing sources to target weights"]
-    copies = {r.doc_id: r.copies for r in mixing.mix(before.withColumn("size", n_words(F.col("text")))).collect()}
-    assert Counter(r.doc_id for r in after.collect()) == Counter({d: c for d, c in copies.items() if c})
-    before, after = stages["quality rules"]
-    kept = quality.assess(before, registry.table(spark, SF, "labels")).where("kept")
-    assert sorted(r.doc_id for r in after.collect()) == sorted(r.doc_id for r in kept.collect())
-    packed = stages["best-fit packing"][1]
-    assert packed.select("doc_id").distinct().count() == packed.select("doc_id").join(stages["best-fit packing"][0], "doc_id", "left_semi").distinct().count() == stages["best-fit packing"][0].select("doc_id").distinct().count()
+    mixed = mixing.mix(before.withColumn("size", n_words(F.col("text")))).collect()
+    assert sum((Counter({row(r): r.copies}) for r in mixed), Counter()) == Counter(map(row, after.collect()))
+    before, after = stages["best-fit packing"]
+    want = Counter()
+    for r, ids in zip(before.collect(), brute_tokens([r.text for r in before.collect()])):
+        want.update((r.doc_id, k // 2048, k, len(ids[k : k + 2048]), zlib.crc32(np.array(ids[k : k + 2048], "<u4").tobytes())) for k in range(0, len(ids), 2048))
+    placed = after.collect()
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in placed) == want
+    fill = Counter()
+    for r in sorted(placed, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == fill[r.sequence_id]
+        fill[r.sequence_id] += r.length
+    assert not fill or max(fill.values()) <= 2048
+
+
+def test_pipeline_against_brute_force(spark):
+    labels = [tuple(r) for r in registry.table(spark, SF, "labels").select("doc_id", "quality", "toxic").collect()]
+    check_stages(spark, pipeline_stages(spark, registry.table(spark, SF, "documents"), SF), labels)
+
+
+def test_pipeline_of_odd_and_of_no_documents(spark, tmp_path):
+    rng = random.Random(1)
+    text = lambda k: " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(k))
+    same = text(90)
+    rows = [(None, text(80), "en", "a", 1), (None, text(80), None, None, 1), (None, text(80), "en", "a", None), (1, same, "en", "a", 9), (None, same, "en", "b", 9), (1, same, "en", "a", 9), (2, text(70), "en", "a", 0), (2, text(70), "en", "a", 0), (3, text(6000), "de", "c", 0), (4, None, "de", "c", 0), (5, "", "de", "c", 0), (6, " ".join(["x"] * 300), "de", "c", 0), (7, text(60).replace("w", "İ\u0958,"), "hi", "c", 0)]
+    labels = [(1, 1, 0), (1, 0, 1), (2, None, None), (None, 1, 1), (3, 1, 0)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"file://{tmp_path}/labels.parquet")
+    frame = spark.createDataFrame(rows, DOCS)
+    stages = pipeline_stages(spark, frame, f"file://{tmp_path}")
+    check_stages(spark, stages, labels)
+    assert stages["SimHash near-dedup"][1].where("doc_id is null").count() == 3 and stages["SimHash near-dedup"][1].where("doc_id = 2").count() == 2
+    assert all(after.count() == 0 for _, after in pipeline_stages(spark, frame.limit(0), f"file://{tmp_path}").values())
