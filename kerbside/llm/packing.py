@@ -26,11 +26,19 @@ from kerbside.staging import written
 
 #: Pieces of one partition at first and, in the exchange rounds, at most; bytes of text that are tokenised at a time.
 PARTITION, LARGEST, TEXT_BYTES = 8192, 1 << 19, 4 << 20
-#: Words whose ids a worker remembers before it starts afresh.
-REMEMBERED = 400_000
+#: Words of a generation: a worker remembers the ids of up to two.
+REMEMBERED = 150_000
 _MARKS = b",.!%*#&$|?;:"
 
 
+def _ends_group(stem: bytes) -> bool:
+    """Whether the last character is a letter or digit up to U+00FF."""
+    if stem[-1:].isascii():
+        return stem[-1:].isalnum()
+    last = stem.decode("utf-8", "replace")[-1]
+    return last < "\u0100" and last.isalnum()
+
+
 class WordIds(dict):
     """Ids (little-endian unsigned 32-bit, as bytes) of words; each is tokenised once.
 
@@ -44,7 +52,7 @@ class WordIds(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
-        self._added = [token.encode() for token in self.added]
+        self.older: dict[bytes, bytes] = {}
         vocabulary = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
@@ -52,25 +60,39 @@ class WordIds(dict):
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(x.ids, dtype="<u4") for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def key(self, word: bytes) -> bytes:
-        """A word with the same ids: A-Z have those of a-z, unless other letters (composed before lower-casing) or added tokens come of it."""
-        low = word.lower() if word.isascii() else word
-        return word if any(token in low for token in self._added) else low
+    def keys(self, words: pa.Array) -> pa.Array:
+        """Words with the same ids: A-Z have those of a-z, unless other letters (composed before lower-casing) or added tokens come of it."""
+        low = pc.ascii_lower(words)
+        keep = pc.invert(pc.string_is_ascii(words))
+        for token in self.added:
+            keep = pc.or_(keep, pc.match_substring(low, token))
+        return pc.if_else(keep, words, low)
 
     def learn(self, words: list[bytes]) -> None:
         """Add the words that are not known yet."""
-        if len(self) > REMEMBERED:
+        if len(self) > REMEMBERED:  # what is asked for again comes back from the generation before
+            self.older = dict(self)
             self.clear()
         self[b""] = b""  # white space at the ends of a text
-        parts = {}
-        for word in [w for w in words if w not in self]:
+        older, parts, new = self.older, {}, set()
+        for word in words:
+            if word in self:
+                continue
+            if word in older:
+                self[word] = older[word]
+                continue
             stem = word.rstrip(_MARKS)
             # A letter or digit ends one token group and a run of marks is the next. Beyond Latin-1
             # normalisation may take the letter apart, and its mark then belongs to that run.
-            last = stem.decode("utf-8", "replace")[-1:]
-            parts[word] = (stem, word[len(stem) :]) if last < "\u0100" and last.isalnum() else (word, b"")
-        new = {p for pair in parts.values() for p in pair if p and p not in self}
-        plain = [w for w in new if w.decode("utf-8", "replace").isalpha()]
+            if len(stem) < len(word) and _ends_group(stem):
+                tail = word[len(stem) :]
+                parts[word] = (stem, tail)
+                new.add(stem)
+                new.add(tail)
+            else:
+                new.add(word)
+        new.difference_update(self)
+        plain = [w for w in new if (w if w.isascii() else w.decode("utf-8", "replace")).isalpha()]
         alone = list(new.difference(plain))
         for k in range(0, len(plain), 512):
             some = plain[k : k + 512]
@@ -85,9 +107,7 @@ class WordIds(dict):
         for k in range(0, len(alone), 512):
             some = alone[k : k + 512]
             self.update(zip(some, (x.tobytes() for x in self.encode([w.decode("utf-8", "replace") for w in some]))))
-        for word, (stem, tail) in parts.items():
-            if tail:
-                self[word] = self[stem] + self[tail]
+        self.update((word, self[stem] + self[tail]) for word, (stem, tail) in parts.items())
 
 
 _known: dict[str, WordIds] = {}
@@ -119,13 +139,14 @@ def token_ids(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
         return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])])
     words = pc.ascii_split_whitespace(texts)
     coded = words.flatten().dictionary_encode()
-    distinct = list(map(known.key, coded.dictionary.cast(pa.binary()).to_pylist()))
+    keys = known.keys(coded.dictionary).dictionary_encode()
+    distinct = keys.dictionary.cast(pa.binary()).to_pylist()
     known.learn(distinct)
     parts = list(map(known.__getitem__, distinct))
     flat = np.frombuffer(b"".join(parts), "<u4")
     sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
     starts = np.cumsum(sizes) - sizes
-    at = coded.indices.to_numpy()
+    at = keys.indices.to_numpy()[coded.indices.to_numpy()]
     size = sizes[at]
     ends = np.cumsum(size)
     take = np.repeat(starts[at] - (ends - size), size)

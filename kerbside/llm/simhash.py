@@ -29,6 +29,8 @@ from kerbside.staging import written
 
 #: Fingerprints that one task expands at a time, and expanded values that one task compares.
 BLOCK, RANGE = 4096, 4_000_000
+#: Fingerprints whose balls are held in full at a time.
+SLICE = 256
 
 
 def text_fingerprint(text: str | None, width: int = 4) -> int:
@@ -134,11 +136,17 @@ def linked_fingerprints(fps: DataFrame, half: int = 2) -> DataFrame:
     cells = 1 << (in_range - low)
     blocks = nodes.select(F.pmod(F.xxhash64("fp", F.lit(7)), F.lit(n_blocks)).cast("int").alias("block"), "fp")
 
-    def ball(fp: np.ndarray) -> np.ndarray:
-        return (fp.astype(np.int64).view(np.uint64)[:, None] ^ masks[None, :]).ravel()
+    def balls(fp: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """The balls of a few fingerprints at a time: the first one's position, values and their keys."""
+        for a in range(0, len(fp), SLICE):
+            values = (fp[a : a + SLICE].astype(np.int64).view(np.uint64)[:, None] ^ masks[None, :]).ravel()
+            yield a, values, _key(values, bits)
 
     def keys_of(block: pd.DataFrame) -> pd.DataFrame:
-        keys = _key(ball(block["fp"].to_numpy()), bits)
+        fp = block["fp"].to_numpy()
+        keys = np.empty(len(fp) * len(masks), np.uint64)
+        for a, _, some in balls(fp):
+            keys[a * len(masks) : a * len(masks) + len(some)] = some
         keys.sort()
         at = np.searchsorted(keys, np.arange(n_ranges + 1, dtype=np.uint64) << np.uint64(in_range))
         rest = np.uint64((1 << in_range) - 1)
@@ -166,14 +174,15 @@ def linked_fingerprints(fps: DataFrame, half: int = 2) -> DataFrame:
             return pd.DataFrame({"src": [], "dst": [], "value": []}).astype("int64")
         fp = block["fp"].to_numpy(dtype=np.int64)
         wanted = np.sort(np.concatenate([np.frombuffer(b, "<u8") for b in hits["keys"]]))
-        values = ball(fp)
-        keys = _key(values, bits)
         slot = np.zeros(1 << min(bits, 24), bool)
         cut = np.uint64(max(0, bits - 24))
         slot[(wanted >> cut).astype(np.int64)] = True
-        at = np.flatnonzero(slot[(keys >> cut).astype(np.int64)])
-        at = at[np.isin(keys[at], wanted)]
-        values, owner = values[at].view(np.int64), at // len(masks)
+        hit = []
+        for a, some, keys in balls(fp):
+            at = np.flatnonzero(slot[(keys >> cut).astype(np.int64)])
+            at = at[np.isin(keys[at], wanted)]
+            hit.append((some[at].view(np.int64), a + at // len(masks)))
+        values, owner = (np.concatenate(x) for x in zip(*hit))
         order = np.lexsort((owner, values))
         values, owner = values[order], owner[order]
         # Within the block: members that meet are joined, and a value goes on with one of them only.
