@@ -2,20 +2,32 @@
 
 from __future__ import annotations
 
+import hashlib
 import unicodedata
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.functions import PandasUDFType
 
-#: Spellings that mean "not given", and time zone names with their offsets.
+#: Spellings that mean "not given", time zone names with their offsets, and the characters of a VIN.
 MISSING_TOKENS = ["", "unknown", "n/a", "not reported"]
 ZONES = {"PST": "-0800", "PDT": "-0700", "MST": "-0700", "MDT": "-0600", "CST": "-0600", "CDT": "-0500", "EST": "-0500", "EDT": "-0400"}
 
 
+VIN_PATTERN = "^[A-HJ-NPR-Z0-9]{17}$"
+
+
+def once(value: Column) -> Column:
+    """A value that is computed once for a row, whatever reads it: no expression or filter moves through an explode."""
+    return F.explode(F.array(value))
+
+
+def _nfkc_batch(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda v: unicodedata.normalize("NFKC", v), na_action="ignore")
+
+
 def _nfkc(text: Column) -> Column:
-    normalise = F.pandas_udf(lambda x: x.map(lambda v: unicodedata.normalize("NFKC", v), na_action="ignore"), "string", PandasUDFType.SCALAR)
-    return normalise(text)
+    return F.pandas_udf(_nfkc_batch, "string")(text)
 
 
 def collapse(text: Column) -> Column:
@@ -27,13 +39,20 @@ def normalize_text(text: Column) -> Column:
     return collapse(F.when(text.rlike(r"[^\x00-\x7F]"), _nfkc(F.when(text.rlike(r"[^\x00-\x7F]"), text))).otherwise(text))
 
 
+def text_reason(text: Column, max_len: int, formulas: bool = False) -> Column:
+    """SCA-2: why a text is invalid: null, control characters (so all white space but spaces), empty, too long; a formula's start, if asked."""
+    # Spaces are collapsed only where the text itself is too long.
+    long = (F.length(text) > max_len) & (F.length(collapse(text)) > max_len)
+    bad = text.isNull() | text.rlike(r"[\x00-\x1F\x7F]") | (F.trim(text) == "") | long
+    start = F.trim(text)
+    formula = F.lit(formulas) & (start.startswith("=") | start.startswith("@") | ((start.startswith("+") | start.startswith("-")) & (F.length(start) > 1)))
+    return F.when(bad, "text_invalid").when(formula, "csv_formula_injection")
+
+
 def source_text(text: Column, max_len: int, formulas: bool = False) -> Column:
-    """SCA-2: a struct of ``value`` and ``reason``: control characters, empty and too long are invalid; formula starts optionally."""
-    value = collapse(text)
-    bad = text.isNull() | text.rlike(r"[\x00-\x1F\x7F]") | (value == "") | (F.length(value) > max_len)
-    formula = F.lit(formulas) & (value.startswith("=") | value.startswith("@") | (value.rlike(r"^[+\-]") & (F.length(value) > 1)))
-    reason = F.when(bad, "text_invalid").when(formula, "csv_formula_injection")
-    return F.struct(F.when(reason.isNull(), value).alias("value"), reason.alias("reason"))
+    """SCA-2: a struct of ``value`` (single spaces) and ``reason`` (see :func:`text_reason`)."""
+    reason = text_reason(text, max_len, formulas)
+    return F.struct(F.when(reason.isNull(), collapse(text)).alias("value"), reason.alias("reason"))
 
 
 def decimal_cents(text: Column) -> Column:
@@ -56,15 +75,19 @@ def price_text_cents(text: Column, currency: str = "USD", symbol: str = r"\$", m
 
 def integral(text: Column) -> Column:
     """SCA-5: a whole number, also written with zero decimals."""
-    return F.when(text.rlike(r"^[0-9]{1,18}(\.0+)?$"), F.regexp_extract(text, r"^[0-9]+", 0).cast("long"))
+    return F.when(text.rlike(r"^[0-9]{1,18}(\.0+)?$"), F.split_part(text, F.lit("."), F.lit(1)).cast("long"))
 
 
 def optional_int(text: Column) -> Column:
-    """SCA-6: a struct of ``value`` and ``valid``: missing tokens are null and valid; units and commas are dropped; the rest must be whole."""
+    """SCA-6: a struct of ``value`` and ``valid``: missing tokens are null and valid; units, commas and white space are dropped.
+
+    The rest must be whole, with a sign if any, and fit an integer.
+    """
     bare = F.lower(F.trim(F.coalesce(text, F.lit(""))))
-    digits = F.regexp_extract(F.replace(bare, F.lit(",")), r"^([0-9]{1,9})( ?(?:mi|miles|owners?|accidents?)\.?)?$", 1)
+    digits = F.regexp_extract(F.regexp_replace(bare, r"[,\s]", ""), r"^([+\-]?[0-9]+)((?:mi|miles|owners?|accidents?)\.?)?$", 1)
+    number = F.nullif(digits, F.lit("")).try_cast("int")
     missing = bare.isin(MISSING_TOKENS)
-    return F.struct(F.when(~missing & (digits != ""), digits.cast("int")).alias("value"), (missing | (digits != "")).alias("valid"))
+    return F.struct(F.when(~missing, number).alias("value"), (missing | number.isNotNull()).alias("valid"))
 
 
 def odometer(text: Column, sentinel: int = 999999) -> Column:
@@ -107,7 +130,7 @@ def sale_timestamp(text: Column) -> Column:
 def vin(text: Column) -> Column:
     """SCA-12: upper-case, 17 characters without I, O and Q."""
     value = F.upper(F.trim(text))
-    return F.when(value.rlike("^[A-HJ-NPR-Z0-9]{17}$"), value)
+    return F.when(value.rlike(VIN_PATTERN), value)
 
 
 def closed_domain(text: Column, values: list[str], fold: bool = True) -> Column:
@@ -138,8 +161,11 @@ def content_hash(*columns: Column) -> Column:
 
 
 def keyed_hash(salt: str, key: Column) -> Column:
-    """SCA-18: a salted hash, so that private keys never persist."""
-    return F.sha2(F.concat(F.lit(salt), key.cast("string"), F.lit(salt)), 256)
+    """SCA-18: HMAC-SHA-256 of a private key under a salt, so that keys never persist: two digests over padded salts."""
+    block = salt.encode()
+    block = (hashlib.sha256(block).digest() if len(block) > 64 else block).ljust(64, b"\0")
+    pad = lambda mask: F.lit(bytes(x ^ mask for x in block))
+    return F.sha2(F.concat(pad(0x5C), F.unhex(F.sha2(F.concat(pad(0x36), key.cast("string").cast("binary")), 256))), 256)
 
 
 def canonical_url(given: Column, prefix: str, key: Column) -> Column:

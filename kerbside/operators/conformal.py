@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kerbside.operators.profile import long_slices
+from kerbside.operators.quantiles import quantiles, values_at, with_quantiles
 from kerbside.operators.relate import lookup_with_fallback
+from kerbside.staging import written
 
 COVERAGES = (0.8, 0.9, 0.95)
 
@@ -18,30 +18,16 @@ def rank_wanted(n: Column, coverage: Column) -> Column:
     return F.ceil((n + 1).cast("double") * coverage.cast("double")).cast("long")
 
 
-def order_stats(df: DataFrame, score: str, by: list[str], coverages: tuple[float, ...] = COVERAGES, min_support: int = 0) -> DataFrame:
+def order_stats(df: DataFrame, score: str, by: list[str], coverages: tuple[float, ...] = COVERAGES, min_support: int = 0, weight: str | None = None) -> DataFrame:
     """CNF-1: ``by, coverage, support, radius``: the k-th smallest score, k = ceil((n + 1) * coverage).
 
-    The radius is null where k exceeds n or support is too small. Scores are counted by value and the counts
-    summed in order, in two levels (ranges of a group, then values in a range), so a group with a third of
-    all rows is many tasks. Exact: ranges only spread the work.
+    The radius is null where k exceeds n or support is too small. Null and non-finite scores do not count.
+    With ``weight`` a row stands for that many scores.
     """
-    x = F.col(score)
-    counts = df.where(x.isNotNull()).groupBy(*by, x.alias("__x")).agg(F.count(F.lit(1)).alias("__n"))
-    # A range is a power-of-two class of the score with its next bits: monotone, and fixed for all groups.
-    exponent = F.when(F.col("__x") > 0, F.floor(F.log2(F.col("__x")) * 8)).otherwise(-(10**6))
-    ranged = counts.withColumn("__part", exponent.cast("int"))
-    parts = ranged.groupBy(*by, "__part").agg(F.sum("__n").alias("__s"), F.max("__x").alias("__top"))
-    # Edge values of neighbouring ranges may swap by rounding of the logarithm; order ranges by what they hold.
-    whole = Window.partitionBy(*by)
-    placed = parts.withColumn("__below", F.sum("__s").over(whole.orderBy("__part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__s")).withColumn("support", F.sum("__s").over(whole))
-    levels = F.explode(F.array(*[F.lit(float(c)) for c in coverages]))
-    asked = placed.withColumn("coverage", levels).withColumn("__k", rank_wanted(F.col("support"), F.col("coverage")))
-    hit = asked.where((F.col("__k") > F.col("__below")) & (F.col("__k") <= F.col("__below") + F.col("__s")))
-    inside = F.sum("__n").over(Window.partitionBy(*by, "__part").orderBy("__x").rowsBetween(Window.unboundedPreceding, 0))
-    joined = ranged.withColumn("__in", inside).join(hit.select(*by, "__part", "coverage", "__k", "__below"), [*by, "__part"])
-    found = joined.where(F.col("__below") + F.col("__in") >= F.col("__k")).groupBy(*by, "coverage").agg(F.min("__x").alias("radius"))
-    every = asked.groupBy(*by, "coverage").agg(F.first("support").alias("support"))
-    return every.join(found, [*by, "coverage"], "left").select(*by, "coverage", "support", F.when(F.col("support") >= min_support, F.col("radius")).alias("radius"))
+    levels = F.array(*[F.lit(float(c)) for c in coverages])
+    found = values_at(df, F.col(score), by, lambda n: F.transform(levels, lambda c: rank_wanted(n, c)), weight)
+    each = found.select(*by, F.col("n").alias("support"), F.explode(F.arrays_zip(levels.alias("coverage"), F.col("values").alias("radius"))).alias("x"))
+    return each.select(*by, "x.coverage", "support", F.when(F.col("support") >= min_support, F.col("x.radius")).alias("radius"))
 
 
 def fit_radii(df: DataFrame, by: str, score: str, min_support: int = 0, coverages: tuple[float, ...] = COVERAGES) -> DataFrame:
@@ -49,11 +35,12 @@ def fit_radii(df: DataFrame, by: str, score: str, min_support: int = 0, coverage
     return fit_hierarchy(df, {"global": [], by: [by]}, score, min_support, coverages).where("radius is not null")
 
 
-def fit_hierarchy(df: DataFrame, levels: dict[str, list[str]], score: str, min_support: int = 400, coverages: tuple[float, ...] = COVERAGES) -> DataFrame:
+def fit_hierarchy(df: DataFrame, levels: dict[str, list[str]], score: str, min_support: int = 400, coverages: tuple[float, ...] = COVERAGES, weight: str | None = None) -> DataFrame:
     """CNF-3: tidy radii of several levels in one job; a radius is null where support is below the minimum or k exceeds n."""
     pairs = F.array(*[F.struct(F.lit(level).alias("level"), F.concat_ws("|", F.lit("") if not cols else F.coalesce(F.col(cols[0]).cast("string"), F.lit("missing")), *[F.coalesce(F.col(c).cast("string"), F.lit("missing")) for c in cols[1:]]).alias("key")) for level, cols in levels.items()])
-    long = df.select(F.explode(pairs).alias("x"), score).select("x.*", score)
-    return order_stats(long, score, ["level", "key"], coverages, min_support)
+    more = [weight] if weight else []
+    long = df.select(F.explode(pairs).alias("x"), score, *more).select("x.*", score, *more)
+    return order_stats(long, score, ["level", "key"], coverages, min_support, weight)
 
 
 def apply_intervals(df: DataFrame, radii: DataFrame, levels: list[tuple[str, list[str]]], coverage: float, p: str = "p", clip_upper: bool = False) -> DataFrame:
@@ -68,22 +55,32 @@ def apply_intervals(df: DataFrame, radii: DataFrame, levels: list[tuple[str, lis
 
 
 def interval_metrics(df: DataFrame, coverage: float, by: list[str] | None = None, y: str = "y", p: str = "p") -> DataFrame:
-    """CNF-6: coverage and its gap, rates under and over, widths, and counts of clipped, fallback and reversed intervals."""
-    width, n = F.col("upper") - F.col("lower"), F.count(F.lit(1))
-    inside = F.col(y).between(F.col("lower"), F.col("upper"))
+    """CNF-6: coverage and its gap, rates under and over, width quantiles, and counts of clipped, fallback, reversed and invalid intervals.
+
+    ``unclipped_coverage`` is that of intervals whose lower end may be negative: equal to ``coverage`` where no
+    truth is negative (``clip_changes`` counts the rows that clipping alone decides).
+    """
+    lower, upper, truth, n = F.col("lower"), F.col("upper"), F.col(y), F.count(F.lit(1))
+    width = upper - lower
+    inside = truth.between(lower, upper)
+    free = truth.between(F.col(p) - F.col("radius"), F.col(p) + F.col("radius")) if "radius" in df.columns else inside
     rate = lambda c: F.count_if(c) / n
-    return df.groupBy(*(by or [])).agg(
-        n.alias("n"), rate(inside).alias("coverage"), (rate(inside) - coverage).alias("gap"), rate(F.col(y) < F.col("lower")).alias("under"), rate(F.col(y) > F.col("upper")).alias("over"),
-        F.avg(width).alias("mean_width"), F.percentile(width, 0.5).alias("median_width"), F.avg(width / F.greatest(F.col(p), F.lit(1.0))).alias("relative_width"),
-        F.count_if(F.col("lower") == 0).alias("clipped"), F.count_if("fallback").alias("fallbacks"), F.count_if(F.col("upper") < F.col("lower")).alias("reversed"),
+    base = df.groupBy(*(by or [])).agg(
+        n.alias("n"), rate(inside).alias("coverage"), (rate(inside) - coverage).alias("gap"), rate(truth < lower).alias("under"), rate(truth > upper).alias("over"),
+        F.avg(width).alias("mean_width"), F.avg(width / F.greatest(F.col(p), F.lit(1.0))).alias("relative_width"),
+        F.count_if(lower == 0).alias("clipped"), F.count_if("fallback").alias("fallbacks"), F.count_if(upper < lower).alias("reversed"),
+        F.count_if(lower.isNull() | upper.isNull() | F.isnan(lower) | F.isnan(upper) | (F.abs(upper) == float("inf"))).alias("invalid"), rate(free).alias("unclipped_coverage"), F.count_if(inside != free).alias("clip_changes"),
     )
+    return with_quantiles(base, df, {"p10_width": (width, 0.1), "median_width": (width, 0.5), "p90_width": (width, 0.9)}, by)
 
 
 def crossfit_radii(df: DataFrame, fold: str, folds: int, levels: dict[str, list[str]], score: str, min_support: int, coverages: tuple[float, ...] = COVERAGES) -> DataFrame:
-    """CNF-7: tidy radii for each fold from the rows of the other folds: rows expand to the folds they serve, one job for all."""
+    """CNF-7: tidy radii for each fold from the rows of the other folds: equal scores are counted, then expand to the folds they serve, one job for all."""
+    columns = sorted({c for cols in levels.values() for c in cols})
+    counts = df.groupBy(fold, *columns, score).agg(F.count(F.lit(1)).alias("__times"))
     served = F.explode(F.filter(F.sequence(F.lit(0), F.lit(folds - 1)), lambda f: f != F.col(fold)))
     keys = {level: ["__for", *cols] for level, cols in levels.items()}
-    return fit_hierarchy(df.withColumn("__for", served), keys, score, min_support, coverages)
+    return fit_hierarchy(counts.withColumn("__for", served), keys, score, min_support, coverages, "__times")
 
 
 def crossfit_intervals(df: DataFrame, fold: str, folds: int, levels: dict[str, list[str]], score: str, coverage: float, min_support: int, p: str = "p") -> DataFrame:
@@ -93,6 +90,14 @@ def crossfit_intervals(df: DataFrame, fold: str, folds: int, levels: dict[str, l
     return apply_intervals(rows, radii, [(level, ["__for", *cols]) for level, cols in levels.items()], coverage, p).drop("__for")
 
 
+def crossfit_report(df: DataFrame, coverage: float, fold: str, status: str) -> DataFrame:
+    """CNF-7: interval metrics of all rows and of every status, as ``label`` (null: all), with the deviation of their coverages over folds."""
+    long = df.withColumn("label", F.explode(F.array(F.lit(None).cast("string"), F.col(status).cast("string"))))
+    inside = F.col("y").between(F.col("lower"), F.col("upper")).cast("double")
+    folds = long.groupBy("label", fold).agg(F.avg(inside).alias("c")).groupBy(F.col("label").alias("__l")).agg(F.stddev_pop("c").alias("fold_std"))
+    return interval_metrics(long, coverage, ["label"]).join(folds, F.col("label").eqNullSafe(F.col("__l"))).drop("__l")
+
+
 def scaled_intervals(df: DataFrame, scale: str, by: str, coverage: float, y: str = "y", p: str = "p") -> DataFrame:
     """CNF-9: intervals whose radius is a quantile of ``|residual| / scale`` times the row's own scale."""
     scored = df.withColumn("__score", F.abs(F.col(y) - F.col(p)) / F.col(scale))
@@ -109,29 +114,54 @@ _POISSON = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.98101
 def bootstrap_weight(seed: str, group: Column, replicate: Column) -> Column:
     """A Poisson(1) number by inversion of a draw that seed, group and replicate fix (48 bits of MD5)."""
     u = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), group.cast("string"), replicate.cast("string"))), 1, 12), 16, 10).cast("double") / float(1 << 48)
-    return F.size(F.filter(F.array(*[F.lit(x) for x in _POISSON]), lambda c: c <= u))
+    return sum(((u >= c).cast("int") for c in _POISSON), F.lit(0))
 
 
 def cluster_bootstrap(df: DataFrame, group: str, num: str, den: str, replicates: int = 2000, seed: str = "bootstrap") -> DataFrame:
-    """CNF-10: ratio of sums and its 95% interval over replicates that resample whole groups.
+    """CNF-10: ratio of the sums of ``num`` and ``den``, the mean of their difference, and 95% intervals over replicates that resample whole groups.
 
     Rows are summed to groups first, then each group's weights are drawn where it lies; sums for each
-    replicate are combined before the shuffle, so ``replicates`` rows leave a task.
+    replicate are combined before the shuffle, so ``replicates`` rows leave a task and are all that is put in order.
+    """
+    groups = df.groupBy(group).agg(F.sum(num).alias("a"), F.sum(den).alias("b"), F.count(F.lit(1)).alias("n"))
+    drawn = groups.select("a", "b", "n", group, F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("r")).withColumn("w", bootstrap_weight(seed, F.col(group), F.col("r")))
+    a, b, n = (F.sum(F.col(c) * F.col("w")) for c in "abn")
+    each = written(drawn.groupBy("r").agg((a / b).alias("ratio"), ((a - b) / n).alias("delta")), "bootstrap")
+    point = groups.agg((F.sum("a") / F.sum("b")).alias("ratio"), ((F.sum("a") - F.sum("b")) / F.sum("n")).alias("delta"))
+    ends = quantiles(each, {"q": F.col("ratio"), "d": F.col("delta")}, [0.025, 0.975]).join(F.broadcast(each.agg(F.count(F.lit(1)).alias("replicates"))))
+    end = lambda c, k: F.get(c, F.lit(k))
+    return point.join(F.broadcast(ends)).select("ratio", end("q", 0).alias("low"), end("q", 1).alias("high"), "delta", end("d", 0).alias("delta_low"), end("d", 1).alias("delta_high"), "replicates")
+
+
+def gate_metrics(intervals: DataFrame, coverage: float, dimensions: list[str], price: str, high_price: float, min_support: int = 200) -> DataFrame:
+    """CNF-8/11: what the gates look at, one row for each ``method`` of ``intervals``.
+
+    ``slice_gap`` is the largest absolute coverage gap of a supported slice of ``dimensions``, ``high_price_gap`` the
+    shortfall of coverage among rows of at least ``high_price``, ``balance`` the absolute difference of the rates
+    under and over, ``fallback_rate`` the share of rows not served by their first level, ``reversed`` a count.
     """
-    groups = df.groupBy(group).agg(F.sum(num).alias("a"), F.sum(den).alias("b"))
-    drawn = groups.select("a", "b", group, F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("r")).withColumn("w", bootstrap_weight(seed, F.col(group), F.col("r")))
-    each = drawn.groupBy("r").agg((F.sum(F.col("a") * F.col("w")) / F.sum(F.col("b") * F.col("w"))).alias("ratio"))
-    point = df.agg((F.sum(num) / F.sum(den)).alias("ratio"))
-    ends = each.agg(F.percentile("ratio", F.array(F.lit(0.025), F.lit(0.975))).alias("e"), F.count(F.lit(1)).alias("replicates"))
-    return point.join(F.broadcast(ends)).select("ratio", F.get("e", F.lit(0)).alias("low"), F.get("e", F.lit(1)).alias("high"), "replicates")
+    whole = interval_metrics(intervals, coverage, ["method"])
+    long = long_slices(intervals.withColumn("__m", F.col("method")), dimensions, "__m", "y", "p", "lower", "upper", "fallback")
+    inside = F.col("y").between(F.col("lower"), F.col("upper")).cast("double")
+    slices = long.groupBy(F.col("__m").alias("method"), "dimension", "label").agg(F.count(F.lit(1)).alias("n"), F.avg(inside).alias("c")).where(F.col("n") >= min_support)
+    worst = slices.groupBy("method").agg(F.max(F.abs(F.col("c") - coverage)).alias("slice_gap"))
+    high = intervals.where(F.col(price) >= high_price).groupBy("method").agg((coverage - F.avg(inside)).alias("high_price_gap"))
+    found = whole.join(worst, "method", "left").join(high, "method", "left")
+    return found.select("method", F.col("gap").alias("coverage_gap"), "slice_gap", "high_price_gap", F.abs(F.col("under") - F.col("over")).alias("balance"), (F.col("fallbacks") / F.col("n")).alias("fallback_rate"), "reversed", "mean_width", "median_width")
 
 
 def sharpness_gates(metrics: DataFrame, base: str, limits: dict[str, float]) -> DataFrame:
-    """CNF-8/11: for each ``method`` of wide ``metrics`` (``coverage_gap, slice_gap, mean_width``) whether it passes each gate against ``base``."""
-    ref = metrics.where(F.col("method") == base).select(F.col("mean_width").alias("__w"))
-    tests = [("overall_gap", F.abs("coverage_gap"), limits["overall_gap"]), ("slice_gap", F.abs("slice_gap"), limits["slice_gap"]), ("width_ratio", F.col("mean_width") / F.col("__w"), limits["width_ratio"])]
-    rows = [metrics.join(F.broadcast(ref)).select("method", F.lit(g).alias("gate"), x.alias("observed"), F.lit(float(t)).alias("threshold"), (x <= t).alias("passed")) for g, x, t in tests]
-    return reduce(DataFrame.unionByName, rows)
+    """CNF-8/11: ``method, gate, observed, threshold, passed``: whether each ``method`` of wide ``metrics`` passes each gate of ``limits``.
+
+    Widths are relative to those of method ``base``. A gate without a value (no supported slice) passes.
+    """
+    ref = metrics.where(F.col("method") == base).agg(F.first("mean_width").alias("__w"), F.first("median_width").alias("__m"))
+    tests = {
+        "overall_gap": F.abs("coverage_gap"), "slice_gap": F.col("slice_gap"), "high_price_gap": F.col("high_price_gap"), "balance": F.col("balance"), "fallback_rate": F.col("fallback_rate"),
+        "reversed": F.col("reversed").cast("double"), "width_ratio": F.col("mean_width") / F.col("__w"), "median_width_ratio": F.col("median_width") / F.col("__m"),
+    }
+    rows = [F.struct(F.lit(g).alias("gate"), tests[g].alias("observed"), F.lit(float(t)).alias("threshold"), F.coalesce(tests[g] <= t, F.lit(True)).alias("passed")) for g, t in limits.items()]
+    return metrics.join(F.broadcast(ref)).select("method", F.explode(F.array(*rows)).alias("x")).select("method", "x.*")
 
 
 def choose_method(gates: DataFrame, order: list[str], widths: DataFrame, margin: float = 0.03) -> DataFrame:

@@ -5,19 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kerbside.functions.scalars import content_hash
+from kerbside.functions.scalars import content_hash, once
 
 
 def mark_duplicates(df: DataFrame, columns: list[str], order: Column, eligible: Column | None = None) -> DataFrame:
     """DUP-1/3: ``df`` with ``is_duplicate``: not the first, by ``order``, of the rows equal in ``columns``.
 
     Only ``eligible`` rows take part (deduplicate after validation: pass what was accepted). The first of a
-    group comes from a partial aggregate joined back, so a key with a third of all rows does not make one task.
+    group comes from a partial aggregate joined back, so a key with a third of all rows does not make one
+    task; rows that take no part have keys of their own, which no other row has.
     """
     take = F.lit(True) if eligible is None else F.coalesce(eligible, F.lit(False))
-    hashed = df.withColumn("__take", take).withColumn("__hash", F.when(F.col("__take"), content_hash(*[F.col(c) for c in columns]))).withColumn("__order", order)
-    first = hashed.where("__take").groupBy("__hash").agg(F.min("__order").alias("__first"))
-    return hashed.join(first, "__hash", "left").withColumn("is_duplicate", F.coalesce(F.col("__order") > F.col("__first"), F.lit(False))).drop("__take", "__hash", "__order", "__first")
+    key = F.when(take, content_hash(*[F.col(c) for c in columns]))
+    hashed = df.select("*", once(F.struct(key.alias("hash"), order.alias("order"))).alias("__k"))
+    first = hashed.where("__k.hash is not null").groupBy(F.col("__k.hash").alias("__hash")).agg(F.min("__k.order").alias("__first"))
+    spread = F.coalesce(F.col("__k.hash"), F.concat(F.lit("-"), F.xxhash64("__k.order").cast("string")))
+    joined = hashed.withColumn("__hash", spread).join(first, "__hash", "left")
+    return joined.withColumn("is_duplicate", F.coalesce(F.col("__k.order") > F.col("__first"), F.lit(False))).drop("__hash", "__k", "__first")
 
 
 def resolve_keyed(df: DataFrame, key: list[str], digest: str, order: Column) -> DataFrame:
@@ -28,10 +32,21 @@ def resolve_keyed(df: DataFrame, key: list[str], digest: str, order: Column) ->
     return with_order.join(first, key).withColumn("outcome", outcome).drop("__order", "__first")
 
 
-def accounting(df: DataFrame, reason: str = "reason_code", duplicate: str = "is_duplicate", by: list[str] | None = None) -> DataFrame:
-    """DUP-4: seen, accepted, rejected and duplicates, and whether they add up."""
+def accounting(df: DataFrame, reason: str = "reason_code", duplicate: str = "is_duplicate", by: list[str] | None = None, ranges: dict[str, Column] | None = None) -> DataFrame:
+    """DUP-4: seen, accepted, rejected and duplicates, whether they add up, and rejected rows by reason (a map).
+
+    ``ranges`` names values whose least and greatest among accepted rows are added (``min_...``, ``max_...``).
+    """
+    by = by or []
     rejected, repeated = F.col(reason).isNotNull(), F.col(duplicate)
-    counts = df.groupBy(*(by or [])).agg(F.count(F.lit(1)).alias("seen"), F.count_if(~rejected & ~repeated).alias("accepted"), F.count_if(rejected).alias("rejected"), F.count_if(~rejected & repeated).alias("duplicates"))
+    clean = ~rejected & ~repeated
+    extremes = [f(F.when(clean, c)).alias(f"{name}_{k}") for k, c in (ranges or {}).items() for name, f in (("min", F.min), ("max", F.max))]
+    # Reasons are few: counts by reason first, then one row for each group.
+    parts = df.groupBy(*by, reason).agg(F.count(F.lit(1)).alias("__n"), F.count_if(clean).alias("__a"), F.count_if(~rejected & repeated).alias("__d"), *extremes)
+    counts = parts.groupBy(*by).agg(
+        F.sum("__n").alias("seen"), F.sum("__a").alias("accepted"), F.coalesce(F.sum(F.when(rejected, F.col("__n"))), F.lit(0)).alias("rejected"), F.sum("__d").alias("duplicates"),
+        F.map_from_entries(F.sort_array(F.collect_list(F.when(rejected, F.struct(reason, "__n"))))).alias("by_reason"), *[f(f"{name}_{k}").alias(f"{name}_{k}") for k in ranges or {} for name, f in (("min", F.min), ("max", F.max))],
+    )
     return counts.withColumn("balanced", F.col("seen") == F.col("accepted") + F.col("rejected") + F.col("duplicates"))
 
 

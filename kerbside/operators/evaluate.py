@@ -6,8 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kerbside.operators.profile import distribution, long_slices
-
-
+from kerbside.operators.quantiles import quantiles, with_quantiles
 
 def _metrics(y: str, p: str) -> list[Column]:
     error, n = F.col(p) - F.col(y), F.count(F.lit(1))
@@ -26,10 +25,11 @@ def slice_metrics(df: DataFrame, by: str, y: str = "y", p: str = "p") -> DataFra
 
 
 def point_metrics(df: DataFrame, by: list[str] | None = None, y: str = "y", p: str = "p") -> DataFrame:
-    """EVL-3: median absolute error, mean and median signed error, and how often predictions are under, over and exact."""
+    """EVL-3: quantiles of the absolute error, mean and median signed error, and how often (counts and rates) predictions are under, over and exact."""
     e, n = F.col(p) - F.col(y), F.count(F.lit(1))
-    rates = [F.count_if(c).alias(name) for name, c in (("under", e < 0), ("over", e > 0), ("exact", e == 0))]
-    return df.groupBy(*(by or [])).agg(n.alias("n"), F.percentile(F.abs(e), 0.5).alias("median_ae"), F.percentile(F.abs(e), 0.9).alias("p90_ae"), F.avg(e).alias("mean_error"), F.percentile(e, 0.5).alias("median_error"), *rates)
+    sides = (("under", e < 0), ("over", e > 0), ("exact", e == 0))
+    base = df.groupBy(*(by or [])).agg(n.alias("n"), F.avg(e).alias("mean_error"), *[F.count_if(c).alias(name) for name, c in sides], *[(F.count_if(c) / n).alias(f"{name}_rate") for name, c in sides])
+    return with_quantiles(base, df, {"median_ae": (F.abs(e), 0.5), "p75_ae": (F.abs(e), 0.75), "p90_ae": (F.abs(e), 0.9), "p95_ae": (F.abs(e), 0.95), "median_error": (e, 0.5)}, by)
 
 
 def slice_diagnostics(df: DataFrame, dimensions: list[str], min_support: int = 200, y: str = "y", p: str = "p") -> DataFrame:
@@ -45,7 +45,7 @@ def arm_metrics(df: DataFrame, arm: str, source: str, fold: str, y: str = "y", p
 
 def quantile_labels(df: DataFrame, value: str, name: str = "quartile", probs: tuple[float, ...] = (0.25, 0.5, 0.75)) -> DataFrame:
     """EVL-6: ``df`` with the quantile band (1 to len+1) of ``value`` in the pooled data; null stays null. Edges are one row."""
-    edges = df.agg(F.percentile(F.col(value), F.array(*[F.lit(q) for q in probs])).alias("__e"))
+    edges = quantiles(df, {"__e": F.col(value)}, list(probs)).agg(F.first("__e").alias("__e"))
     x = F.col(value)
     return df.join(F.broadcast(edges)).withColumn(name, F.when(x.isNotNull(), 1 + F.size(F.filter("__e", lambda e: e < x)))).drop("__e")
 
@@ -64,12 +64,16 @@ def fold_stability(folds: DataFrame, metric: str) -> DataFrame:
 
 
 def residual_stats(df: DataFrame, dimensions: list[str], k: int = 20, min_support: int = 400, y: str = "y", p: str = "p") -> DataFrame:
-    """EVL-9: residual spread of the ``k`` largest labels of each dimension that have enough rows."""
+    """EVL-9: spread of the absolute residual, and of its ratio to the value, of the ``k`` largest labels of each dimension that have enough rows."""
     r = F.abs(F.col(p) - F.col(y))
-    quantiles = F.percentile(r, F.array(*[F.lit(q) for q in (0.5, 0.8, 0.9, 0.95)]))
-    stats = long_slices(df, dimensions, y, p).groupBy("dimension", "label").agg(F.count(F.lit(1)).alias("n"), F.avg(r).alias("mean"), F.var_pop(r).alias("variance"), quantiles.alias("q"), F.avg(r / F.col(y)).alias("mean_ratio"))
+    ratio = F.when(F.col(y) != 0, r / F.col(y))
+    on = ["dimension", "label"]
+    long = long_slices(df, dimensions, y, p)
+    stats = long.groupBy(*on).agg(F.count(F.lit(1)).alias("n"), F.avg(r).alias("mean"), F.var_pop(r).alias("variance"), F.avg(ratio).alias("mean_ratio"))
     largest = F.row_number().over(Window.partitionBy("dimension").orderBy(F.desc("n"), "label"))
-    return stats.where(F.col("n") >= min_support).withColumn("__r", largest).where(F.col("__r") <= k).select("dimension", "label", "n", "mean", "variance", *[F.get("q", F.lit(j)).alias(f"q{name}") for j, name in enumerate((50, 80, 90, 95))], "mean_ratio")
+    top = stats.where(F.col("n") >= min_support).withColumn("__r", largest).where(F.col("__r") <= k).drop("__r")
+    columns = {f"q{q}": (r, q / 100) for q in (50, 80, 90, 95)} | {"median_ratio": (ratio, 0.5), "p90_ratio": (ratio, 0.9)}
+    return with_quantiles(top, long, columns, on).select(*on, "n", "mean", "variance", "q50", "q80", "q90", "q95", "mean_ratio", "median_ratio", "p90_ratio")
 
 
 def average_ranks(df: DataFrame, value: str) -> DataFrame:
@@ -94,6 +98,13 @@ def error_relationship(df: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
     return ranked.agg(F.count(F.lit(1)).alias("n"), F.corr(F.log1p("v"), F.log1p("e")).alias("pearson_log"), F.corr("rv", "re").alias("spearman"))
 
 
+def quartile_errors(df: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
+    """EVL-10: rows and mean absolute error of each quartile of the value, and the ratio of the highest mean to the lowest."""
+    labelled = quantile_labels(df.select(F.col(y).alias("v"), F.abs(F.col(p) - F.col(y)).alias("e")), "v").where("quartile is not null")
+    means = labelled.groupBy("quartile").agg(F.count(F.lit(1)).alias("n"), F.avg("e").alias("mean_error"))
+    return means.join(F.broadcast(means.agg((F.max("mean_error") / F.min("mean_error")).alias("highest_to_lowest"))))
+
+
 def strict_quartiles(df: DataFrame, value: str) -> list[float]:
     """EVL-11: the quartile cutpoints; an error unless they differ."""
     row = distribution(df, value, None, [0.25, 0.5, 0.75]).first()
@@ -111,7 +122,10 @@ def rank_segments(segments: DataFrame, metric: str, k: int = 5) -> DataFrame:
 
 
 def compare_reports(now: DataFrame, prior: DataFrame) -> DataFrame:
-    """EVL-13: difference and ratio of each metric of two long reports (``dimension, label, metric, value``)."""
+    """EVL-13: difference and ratio of each metric of two long reports (``dimension, label, metric, value``).
+
+    Any metrics will do: differences of coverages and ratios of widths are read from the same rows as errors.
+    """
     on = ["dimension", "label", "metric"]
     both = now.withColumnRenamed("value", "now").join(prior.withColumnRenamed("value", "prior"), on)
     return both.withColumn("difference", F.col("now") - F.col("prior")).withColumn("ratio", F.when(F.col("prior") != 0, F.col("now") / F.col("prior")))

@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kerbside.operators.models import fold_medians
+from kerbside.operators.quantiles import with_quantiles
+from kerbside.staging import broadcast_if_small, written
+
 
 def source_weights(df: DataFrame, source: str, by: list[str] | None = None) -> DataFrame:
     """MOD-17: ``df`` with ``weight``: every source has the same total within ``by``, and weights average 1.
@@ -48,25 +52,33 @@ def alignment_weights(df: DataFrame, source: str, dimensions: dict[str, tuple[fl
 
 
 def weight_diagnostics(df: DataFrame, by: list[str]) -> DataFrame:
-    """MOD-19: extremes, mean, total and effective sample size (sum squared over sum of squares) of weights."""
-    w = F.col("weight")
-    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min(w).alias("min"), F.max(w).alias("max"), F.avg(w).alias("mean"), F.sum(w).alias("total"), (F.sum(w) * F.sum(w) / F.sum(w * w)).alias("effective"))
+    """MOD-19: extremes, mean, median, total and effective sample size (sum squared over sum of squares) of weights, and its share of the rows."""
+    w, n = F.col("weight"), F.count(F.lit(1))
+    effective = F.sum(w) * F.sum(w) / F.sum(w * w)
+    base = df.groupBy(*by).agg(n.alias("n"), F.min(w).alias("min"), F.max(w).alias("max"), F.avg(w).alias("mean"), F.sum(w).alias("total"), effective.alias("effective"), (effective / n).alias("effective_share"))
+    return with_quantiles(base, df, {"median": (w, 0.5)}, by)
+
+
+def extreme_factors(factors: DataFrame, source: str, k: int = 3) -> DataFrame:
+    """MOD-19: of ``source, label, factor`` the ``k`` lowest and highest of every source, with their ranks; ties by label."""
+    low, high = (F.row_number().over(Window.partitionBy(source).orderBy(o, "label")) for o in (F.asc("factor"), F.desc("factor")))
+    return factors.select(source, "label", "factor", low.alias("lowest"), high.alias("highest")).where((F.col("lowest") <= k) | (F.col("highest") <= k))
 
 
 def paired_arms(df: DataFrame, fold: str, folds: int, arms: dict[str, Column], by: str, y: str) -> DataFrame:
     """MOD-15: predictions of every arm for every row: the median of ``by`` in the arm's training rows of the other folds.
 
-    All arms and folds are fitted in one job: training rows expand to the arms and folds they serve. A label
-    without training rows falls back to the arm's median of all.
+    All arms and folds are fitted in one job: equal values are counted for each arm, and counts expand to the
+    folds they serve. A label without training rows falls back to the arm's median of all.
     """
     names = F.filter(F.array(*[F.when(c, F.lit(n)) for n, c in arms.items()]), lambda x: x.isNotNull())
-    train = df.withColumn("arm", F.explode(names)).withColumn("__for", F.explode(F.filter(F.sequence(F.lit(0), F.lit(folds - 1)), lambda f: f != F.col(fold))))
-    own = train.groupBy("arm", "__for", by).agg(F.percentile(y, 0.5).alias("__own"))
-    every = train.groupBy("arm", "__for").agg(F.percentile(y, 0.5).alias("__every"))
-    table = own.join(every, ["arm", "__for"]).select("arm", F.col("__for").alias("__f"), F.col(by).alias("__b"), "__own")
+    train = df.select(F.explode(names).alias("__arm"), F.col(fold), F.col(by).alias("__by"), F.col(y))
+    own = written(fold_medians(train, fold, folds, y, ["__arm", "__by"]).withColumnRenamed("__median", "__own"), "arm-medians")
+    every = written(fold_medians(train, fold, folds, y, ["__arm"]).withColumnRenamed("__median", "__every"), "arm-medians-of-all")
     rows = df.withColumn("arm", F.explode(F.array(*[F.lit(n) for n in arms])))
-    scored = rows.join(table.withColumnRenamed("arm", "__arm"), (F.col("arm") == F.col("__arm")) & (F.col(fold) == F.col("__f")) & F.col(by).eqNullSafe(F.col("__b")), "left").drop("__arm", "__f", "__b")
-    return scored.join(every.select(F.col("arm").alias("__arm"), F.col("__for").alias("__f"), "__every"), (F.col("arm") == F.col("__arm")) & (F.col(fold) == F.col("__f")), "left").withColumn("p", F.coalesce("__own", "__every")).drop("__own", "__every", "__arm", "__f")
+    mine = (F.col("arm") == F.col("__arm")) & (F.col(fold) == F.col("__for"))
+    found = rows.join(broadcast_if_small(own), mine & F.col(by).eqNullSafe(F.col("__by")), "left").drop("__arm", "__for", "__by")
+    return found.join(F.broadcast(every), mine, "left").withColumn("p", F.coalesce("__own", "__every")).drop("__own", "__every", "__arm", "__for")  # a row for each arm and fold
 
 
 def mixing_decision(metrics: DataFrame, base: str, max_regression: float = 0.05, min_gain: float = 0.01) -> DataFrame:
@@ -84,11 +96,22 @@ def mixing_decision(metrics: DataFrame, base: str, max_regression: float = 0.05,
     return judged.join(F.broadcast(best)).withColumn("chosen", F.col("arm") == F.col("__best")).drop("__best")
 
 
-def weighting_decision(metrics: DataFrame, base: str, order: list[str], near: float = 0.005, max_regression: float = 0.05) -> DataFrame:
-    """MOD-20: the simplest treatment (first in ``order``) within ``near`` of the best that passes."""
-    judged = mixing_decision(metrics, base, max_regression, 0.0).drop("chosen")
+def weighting_decision(metrics: DataFrame, base: str, order: list[str], near: float = 0.005, limits: dict[str, float] | None = None) -> DataFrame:
+    """MOD-20: every treatment's gates, whether it passes, and the one chosen: the simplest (first in ``order``) within ``near`` of the best that passes.
+
+    ``metrics`` is wide, one row for each ``arm``: ``pooled, worst_fold, source_worst, rmse, high_price_mae,
+    p90_ae, effective_share, max_weight``. Errors are compared with those of ``base`` (relative change at most the
+    limit); the effective share of rows must not fall below its limit nor the largest weight rise above its own.
+    The base always passes.
+    """
+    limits = {"pooled": 0.0, "worst_fold": 0.01, "source_worst": 0.05, "rmse": 0.02, "high_price_mae": 0.05, "p90_ae": 0.02, "effective_share": 0.9, "max_weight": 1.5} | (limits or {})
+    errors = [c for c in limits if c not in ("effective_share", "max_weight")]
+    ref = metrics.where(F.col("arm") == base).agg(*[F.first(c).alias(f"__{c}") for c in errors])
+    fails = [(c, F.col(c) / F.col(f"__{c}") - 1 > limits[c]) for c in errors] + [("effective_share", F.col("effective_share") < limits["effective_share"]), ("max_weight", F.col("max_weight") > limits["max_weight"])]
+    failed = F.when(F.col("arm") != base, F.array_join(F.array_compact(F.array(*[F.when(F.coalesce(bad, F.lit(True)), name) for name, bad in fails])), ",")).otherwise("")
+    judged = metrics.join(F.broadcast(ref)).withColumn("failed", failed).withColumn("passed", F.col("failed") == "")
     best = judged.where("passed").agg(F.min("pooled").alias("__least"))
     place = F.array_position(F.array(*[F.lit(x) for x in order]), F.col("arm"))
     close = judged.join(F.broadcast(best)).withColumn("near_best", F.col("passed") & (F.col("pooled") <= F.col("__least") * (1 + near))).drop("__least")
     chosen = close.where("near_best").agg(F.min_by("arm", place).alias("__arm"))
-    return close.join(F.broadcast(chosen)).withColumn("chosen", F.col("arm") == F.col("__arm")).drop("__arm")
+    return close.join(F.broadcast(chosen)).withColumn("chosen", F.col("arm") == F.col("__arm")).drop("__arm", *[f"__{c}" for c in errors])

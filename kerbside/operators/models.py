@@ -13,9 +13,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kerbside.functions import scalars as S
+from kerbside.operators.quantiles import quantiles
 from kerbside.operators.rules import Rule, first_failure
 from kerbside.schema import FeatureContract
-from kerbside.staging import written
+from kerbside.staging import broadcast_if_small, written
 
 
 def engineer(df: DataFrame, contract: FeatureContract, year: str = "year", mileage: str = "mileage") -> DataFrame:
@@ -31,7 +32,9 @@ def serving(df: DataFrame, fold: str, folds: int) -> DataFrame:
 
 def fit_medians(df: DataFrame, columns: list[str], fold: str, folds: int) -> DataFrame:
     """MOD-2: exact medians of numeric columns for every training fold, one job."""
-    return serving(df, fold, folds).groupBy("for_fold").agg(*[F.percentile(F.col(c), 0.5).alias(c) for c in columns])
+    counts = df.select(fold, F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("v")) for c in columns])).alias("x")).groupBy(fold, "x.c", "x.v").agg(F.count(F.lit(1)).alias("__n"))
+    found = quantiles(serving(counts, fold, folds), {"q": F.col("v")}, [0.5], ["for_fold", "c"], "__n")
+    return found.groupBy("for_fold").agg(*[F.max(F.when(F.col("c") == c, F.get("q", F.lit(0)))).alias(c) for c in columns])
 
 
 def fit_scale(df: DataFrame, columns: list[str], fold: str, folds: int) -> DataFrame:
@@ -50,16 +53,22 @@ def fit_vocabulary(df: DataFrame, columns: list[str], fold: str, folds: int, min
     return ranked.select("for_fold", "column", "value", "n", F.when(keep, F.col("value")).otherwise("__infrequent__").alias("level"))
 
 
+def fold_medians(df: DataFrame, fold: str, folds: int, y: str, by: list[str]) -> DataFrame:
+    """``__for, by..., __median``: medians over the training rows of every fold. Equal values are counted before they expand to the folds they serve."""
+    counts = df.groupBy(fold, *by, F.col(y).alias("__y")).agg(F.count(F.lit(1)).alias("__n"))
+    served = counts.withColumn("__for", F.explode(F.filter(F.sequence(F.lit(0), F.lit(folds - 1)), lambda f: f != F.col(fold))))
+    return quantiles(served, {"q": F.col("__y")}, [0.5], ["__for", *by], "__n").select("__for", *by, F.get("q", F.lit(0)).alias("__median"))
+
+
 def median_baseline(df: DataFrame, fold: str, folds: int, y: str, by: str | None = None) -> DataFrame:
     """MOD-6: ``df`` with ``p``: the median of the training folds, of its label if ``by`` is given (else, and for new labels, of all)."""
-    train = serving(df, fold, folds)
-    every = train.groupBy("for_fold").agg(F.percentile(y, 0.5).alias("__every"))
-    out = df.join(F.broadcast(every), F.col(fold) == F.col("for_fold")).drop("for_fold")
+    every = fold_medians(df, fold, folds, y, []).withColumnRenamed("__median", "__every")
+    out = df.join(F.broadcast(every), F.col(fold) == F.col("__for"), "left").drop("__for")  # a row for each fold
     if by is None:
         return out.withColumnRenamed("__every", "p")
-    own = train.groupBy("for_fold", F.col(by).alias("__by")).agg(F.percentile(y, 0.5).alias("__own"))
-    joined = out.join(own, (F.col(fold) == F.col("for_fold")) & F.col(by).eqNullSafe(F.col("__by")), "left").drop("for_fold", "__by")
-    return joined.withColumn("p", F.coalesce("__own", "__every")).drop("__own", "__every")
+    own = written(fold_medians(df.withColumn("__by", F.col(by)), fold, folds, y, ["__by"]), "fold-medians")
+    joined = out.join(broadcast_if_small(own), (F.col(fold) == F.col("__for")) & F.col(by).eqNullSafe(F.col("__by")), "left").drop("__for", "__by")
+    return joined.withColumn("p", F.coalesce("__median", "__every")).drop("__median", "__every")
 
 
 def design(numeric: list[str], categorical: list[str]) -> list:
@@ -74,14 +83,23 @@ def linear(y: str) -> LinearRegression:
     return LinearRegression(featuresCol="features", labelCol=y, predictionCol="p", regParam=1e-6, solver="auto")
 
 
-def random_forest(y: str, trees: int = 24, depth: int = 8, min_rows: int = 5) -> RandomForestRegressor:
-    """MOD-8. Depth bounds the trees, as leaf counts cannot."""
-    return RandomForestRegressor(featuresCol="features", labelCol=y, predictionCol="p", numTrees=trees, maxDepth=depth, minInstancesPerNode=min_rows, featureSubsetStrategy="0.6", subsamplingRate=0.8, seed=7, maxBins=64)
+#: MOD-8: trees, depth, least rows of a leaf, share of features, share of rows. Depth bounds the trees, as leaf counts cannot.
+FORESTS = {"f1": (24, 9, 5, "0.5", 0.6), "f2": (32, 10, 15, "0.7", 0.8), "f3": (40, 11, 15, "0.7", 0.8), "f4": (40, 10, 30, "1.0", 0.8), "f5": (32, 11, 30, "0.5", 1.0), "f6": (24, 10, 5, "1.0", 0.6)}
+#: MOD-9: loss, rounds, step, depth, least rows of a leaf, share of rows, share of features. MLlib has no Huber loss; absolute loss is the robust one it has.
+BOOSTED = {
+    "g1": ("squared", 12, 0.3, 2, 20, 0.8, "0.8"), "g2": ("squared", 18, 0.2, 2, 20, 0.65, "0.8"), "g3": ("squared", 24, 0.15, 3, 50, 0.65, "0.5"),
+    "g4": ("absolute", 18, 0.2, 2, 20, 0.65, "0.8"), "g5": ("absolute", 24, 0.15, 2, 50, 0.8, "0.5"), "g6": ("absolute", 12, 0.3, 3, 50, 0.65, "0.5"),
+}
+
+
+def random_forest(y: str, trees: int = 24, depth: int = 9, min_rows: int = 5, features: str = "0.5", rows: float = 0.6) -> RandomForestRegressor:
+    """MOD-8."""
+    return RandomForestRegressor(featuresCol="features", labelCol=y, predictionCol="p", numTrees=trees, maxDepth=depth, minInstancesPerNode=min_rows, featureSubsetStrategy=features, subsamplingRate=rows, seed=7, maxBins=64)
 
 
-def boosting(y: str, rounds: int = 20, depth: int = 5, step: float = 0.1) -> GBTRegressor:
-    """MOD-9. MLlib has no Huber loss; absolute loss is the robust one it has."""
-    return GBTRegressor(featuresCol="features", labelCol=y, predictionCol="p", maxIter=rounds, maxDepth=depth, stepSize=step, subsamplingRate=0.8, lossType="absolute", seed=7, maxBins=64)
+def boosting(y: str, loss: str = "absolute", rounds: int = 18, step: float = 0.2, depth: int = 2, min_rows: int = 20, rows: float = 0.65, features: str = "0.8") -> GBTRegressor:
+    """MOD-9."""
+    return GBTRegressor(featuresCol="features", labelCol=y, predictionCol="p", lossType=loss, maxIter=rounds, stepSize=step, maxDepth=depth, minInstancesPerNode=min_rows, subsamplingRate=rows, featureSubsetStrategy=features, seed=7, maxBins=64)
 
 
 def residual_scale(y: str) -> GeneralizedLinearRegression:
@@ -89,6 +107,21 @@ def residual_scale(y: str) -> GeneralizedLinearRegression:
     return GeneralizedLinearRegression(featuresCol="features", labelCol=y, predictionCol="scale", family="gamma", link="log", regParam=1.0, maxIter=25)
 
 
+def grid(df: DataFrame, fold: str, folds: int, key: str, y: str, prepare: Callable[[], list], candidates: dict[str, Callable[[], object]], out: str = "p") -> DataFrame:
+    """MOD-8/9/11: ``candidate, key, fold, y, p`` of every candidate on the same folds: features are fitted once a fold, models one after the other."""
+    rows = written(df, "grid")
+
+    def one(f: int) -> list[DataFrame]:
+        train, test = rows.where(F.col(fold) != f), rows.where(F.col(fold) == f)
+        features = Pipeline(stages=prepare()).fit(train)
+        seen = written(features.transform(train).select("features", y), "grid-train")
+        asked = features.transform(test).select(key, fold, y, "features")
+        return [make().fit(seen).transform(asked).select(F.lit(name).alias("candidate"), key, fold, y, out) for name, make in candidates.items()]
+
+    with ThreadPoolExecutor(min(folds, 5)) as pool:
+        return reduce(DataFrame.unionByName, [d for found in pool.map(one, range(folds)) for d in found])
+
+
 def out_of_fold(df: DataFrame, fold: str, folds: int, key: str, y: str, stages: Callable[[], list], out: str = "p") -> DataFrame:
     """MOD-11: ``key, fold, y, p``: every row scored by a model that was fitted without its fold. Folds run side by side."""
     rows = written(df, "oof")
@@ -114,14 +147,16 @@ def shortlist(results: DataFrame, k: int = 2) -> DataFrame:
     return ranked.join(F.broadcast(results.agg(same))).where("shapes = 1").drop("shapes")
 
 
-def promote(results: DataFrame, incumbent: str, min_gain: float, min_gain_abs: float, max_regression: float = 0.05, near: float = 0.01) -> DataFrame:
+def promote(results: DataFrame, incumbent: str, min_gain: float, min_gain_abs: float, max_regression: float = 0.05, near: float = 0.01, budgets: dict[str, float] | None = None) -> DataFrame:
     """MOD-14: each challenger's gates, and ``promoted``: of those that pass within ``near`` of the best, the smallest, fastest, first.
 
-    ``results`` has ``candidate, mae, rmse, worst_slice_mae, size_mb, latency_ms``.
+    ``results`` has ``candidate, mae, rmse, worst_slice_mae, size_mb, latency_ms``; ``budgets`` are upper bounds of
+    its resource columns (a null or larger value fails as ``budget:<column>``), looked at last.
     """
-    ref = results.where(F.col("candidate") == incumbent).select(*[F.col(c).alias(f"__{c}") for c in ("mae", "rmse", "worst_slice_mae")])
+    ref = results.where(F.col("candidate") == incumbent).agg(*[F.first(c).alias(f"__{c}") for c in ("mae", "rmse", "worst_slice_mae")])
     gain = F.col("__mae") - F.col("mae")
     rules: list[Rule] = [("gain", (gain < min_gain * F.col("__mae")) | (gain < min_gain_abs)), ("rmse", F.col("rmse") > F.col("__rmse") * (1 + max_regression)), ("slice", F.col("worst_slice_mae") > F.col("__worst_slice_mae") * (1 + max_regression))]
+    rules += [(f"budget:{c}", F.col(c).isNull() | (F.col(c) > most)) for c, most in (budgets or {}).items()]
     judged = results.where(F.col("candidate") != incumbent).join(F.broadcast(ref)).withColumn("failed", first_failure(rules))
     best = judged.where("failed is null").agg(F.min("mae").alias("__least"))
     near_best = judged.where("failed is null").join(F.broadcast(best)).where(F.col("mae") <= F.col("__least") * (1 + near)).agg(F.min_by("candidate", F.struct("size_mb", "latency_ms", "candidate")).alias("__winner"))

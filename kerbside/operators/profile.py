@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kerbside.functions.scalars import is_missing, percent
+from kerbside.functions.scalars import is_missing, percent, zip_ok
+from kerbside.operators.quantiles import with_quantiles
 
 PROBS = [0.01, 0.25, 0.5, 0.75, 0.95, 0.99]
 
@@ -20,11 +21,12 @@ def long_slices(df: DataFrame, dimensions: list[str], *keep: str) -> DataFrame:
 
 def distribution(df: DataFrame, value: str, by: list[str] | None = None, probs: list[float] | None = None) -> DataFrame:
     """PRF-2: count, min, exact percentiles (linear), max. Null and non-finite values do not count; empty gives nulls."""
-    probs = probs or PROBS
-    x = F.when(~F.isnan(F.col(value).cast("double")), F.col(value).cast("double"))
-    p = F.percentile(x, F.array(*[F.lit(q) for q in probs]))
-    out = df.groupBy(*(by or [])).agg(F.count(x).alias("n"), F.min(x).alias("min"), p.alias("__p"), F.max(x).alias("max"))
-    return out.select(*(by or []), "n", "min", *[F.get("__p", F.lit(k)).alias(f"p{round(100 * q):02d}") for k, q in enumerate(probs)], "max")
+    probs, by = probs or PROBS, by or []
+    x = F.col(value).cast("double")
+    x = F.when(F.abs(x) < float("inf"), x)
+    names = [f"p{round(100 * q):02d}" for q in probs]
+    out = with_quantiles(df.groupBy(*by).agg(F.count(x).alias("n"), F.min(x).alias("min"), F.max(x).alias("max")), df, {n: (x, q) for n, q in zip(names, probs)}, by)
+    return out.select(*by, "n", "min", *names, "max")
 
 
 def categorical_coverage(df: DataFrame, columns: list[str], k: int = 15) -> DataFrame:
@@ -74,6 +76,55 @@ def valid_by(df: DataFrame, valid: Column, by: str) -> DataFrame:
     return df.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.count_if(valid).alias("valid")).withColumn("percent_valid", percent(F.col("valid"), F.col("n")))
 
 
+def scope_audit(df: DataFrame, region: str, allowed: list[str], postcode: str) -> DataFrame:
+    """PRF-10: how many rows lack a region, are in scope, out of it or malformed, and how many postal codes have no five digits."""
+    r, z = F.col(region), F.col(postcode)
+    missing = is_missing(r)
+    return df.agg(
+        F.count_if(missing).alias("missing"), F.count_if(r.isin(allowed)).alias("in_scope"), F.count_if(~missing & r.rlike("^[A-Z]{2}$") & ~r.isin(allowed)).alias("out_of_scope"), F.count_if(~missing & ~r.rlike("^[A-Z]{2}$")).alias("malformed"),
+        F.count_distinct(F.when(~missing, r)).alias("regions"), F.count_if(~is_missing(z) & ~zip_ok(z)).alias("zip_malformed"), F.count_if(is_missing(z)).alias("zip_missing"),
+    )
+
+
+def time_audit(df: DataFrame, first: str, last: str, day: str, year: str) -> DataFrame:
+    """PRF-11: the range of days, days that are missing, differ from the file's, or precede the model year, and rows first seen after they were last seen."""
+    f, x, d = F.col(first), F.col(last), F.col(day)
+    return df.agg(
+        F.min(x).cast("string").alias("first_day"), F.max(x).cast("string").alias("last_day"), F.count_if(x.isNull()).alias("invalid"), F.count_if(x == d).alias("on_file_date"),
+        F.count_if(x != d).alias("off_file_date"), F.count_if(f > x).alias("first_after_last"), F.count_if(F.year(x) < F.col(year)).alias("before_model_year"),
+    )
+
+
+def repeated_composites(df: DataFrame, columns: list[str]) -> DataFrame:
+    """PRF-12: rows that share a complete composite key with an earlier one, and such keys; a key with a missing part is none."""
+    sizes = df.where(~reduce(lambda a, b: a | b, [is_missing(F.col(c)) for c in columns])).groupBy(*columns).agg(F.count(F.lit(1)).alias("n"))
+    return sizes.agg(F.count(F.lit(1)).alias("composite_keys"), F.count_if(F.col("n") > 1).alias("repeated_composites"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("composite_rows_beyond_first"))
+
+
+def source_profile(df: DataFrame, by: str, mapping: dict[str, str | None], numeric: str, categorical: list[str], reason: Column, k: int = 15) -> DataFrame:
+    """PRF-1: one long report ``source, part, name, value`` of every source.
+
+    Parts: ``accounting`` (read, accepted, and rejected by reason), ``mapping`` (percent of rows that have each
+    mapped field; unmapped ones 0), ``distribution`` of a number, ``distinct`` values of categories and ``top``
+    values (the ``k`` most frequent). Each part is one aggregate over all sources.
+    """
+    rows = df.withColumn("__reason", F.coalesce(reason, F.lit("accepted")))
+    entry = lambda part, name, value: F.struct(F.lit(part).alias("part"), name.alias("name"), value.cast("double").alias("value"))
+    long = lambda d, pairs: d.select(F.col(by).alias("source"), F.explode(F.array(*pairs)).alias("x")).select("source", "x.*")
+    counts = rows.groupBy(by).agg(F.count(F.lit(1)).alias("__n"), *[(F.count_if(~is_missing(F.col(c))) if c else F.lit(0)).alias(f"__{f}") for f, c in mapping.items()])
+    reasons = rows.groupBy(by, "__reason").agg(F.count(F.lit(1)).alias("__c"))
+    d = distribution(rows, numeric, [by])
+    levels = df.select(by, F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in categorical])).alias("x")).select(by, "x.*").where(~is_missing(F.col("v")))
+    sizes = levels.groupBy(by, "c", "v").agg(F.count(F.lit(1)).alias("__c"))
+    top = sizes.withColumn("__r", F.row_number().over(Window.partitionBy(by, "c").orderBy(F.desc("__c"), "v"))).where(F.col("__r") <= k)
+    parts = [
+        long(counts, [entry("accounting", F.lit("read"), F.col("__n")), *[entry("mapping", F.lit(f), percent(F.col(f"__{f}"), F.col("__n"))) for f in mapping]]),
+        long(reasons, [entry("accounting", F.col("__reason"), F.col("__c"))]), long(d, [entry("distribution", F.lit(c), F.col(c)) for c in d.columns if c != by]),
+        long(sizes.groupBy(by, "c").agg(F.count(F.lit(1)).alias("__c")), [entry("distinct", F.col("c"), F.col("__c"))]), long(top, [entry("top", F.concat_ws("=", "c", "v"), F.col("__c"))]),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def repetition_audit(df: DataFrame, key: str, snapshot: str, values: list[str]) -> DataFrame:
     """PRF-12: how ids repeat over snapshots and whether their values changed (null counts as a value)."""
     rows = F.struct(*[F.coalesce(F.col(v).cast("string"), F.lit("\x00")).alias(v) for v in values])
@@ -82,18 +133,25 @@ def repetition_audit(df: DataFrame, key: str, snapshot: str, values: list[str])
 
 
 def feature_coverage(df: DataFrame, numeric: list[str], categorical: list[str]) -> DataFrame:
-    """PRF-13: non-missing and distinct values of every feature; min, median and max of numeric ones."""
-    def one(c: str, number: bool) -> DataFrame:
-        x = F.col(c).cast("double")
-        extra = [F.min(x), F.percentile(x, 0.5), F.max(x)] if number else [F.lit(None).cast("double")] * 3
-        return df.agg(F.count_if(~is_missing(F.col(c))).alias("present"), F.count_distinct(c).alias("distinct_values"), *[e.alias(n) for e, n in zip(extra, ("min", "median", "max"))]).select(F.lit(c).alias("feature"), "*")
-
-    return reduce(DataFrame.unionByName, [one(c, True) for c in numeric] + [one(c, False) for c in categorical])
-
-
-def compare_sources(df: DataFrame, source: str, value: str, columns: list[str]) -> DataFrame:
-    """PRF-14: rows, median and coverage of every source side by side."""
-    return df.groupBy(source).agg(F.count(F.lit(1)).alias("n"), F.percentile(F.col(value), 0.5).alias("median"), *[F.round(100.0 * F.count_if(~is_missing(F.col(c))) / F.count(F.lit(1)), 6).alias(f"coverage_{c}") for c in columns])
+    """PRF-13: non-missing and distinct values of every feature; min, median and max of numeric ones. Features are rows of one scan."""
+    pair = lambda c, number: F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("text"), (F.col(c).cast("double") if number else F.lit(None).cast("double")).alias("x"))
+    long = df.select(F.explode(F.array(*[pair(c, True) for c in numeric], *[pair(c, False) for c in categorical])).alias("p")).select("p.*")
+    base = long.groupBy("feature").agg(F.count_if(~is_missing(F.col("text"))).alias("present"), F.count_distinct("text").alias("distinct_values"), F.min("x").alias("min"), F.max("x").alias("max"))
+    return with_quantiles(base, long, {"median": (F.col("x"), 0.5)}, ["feature"]).select("feature", "present", "distinct_values", "min", "median", "max")
+
+
+def compare_sources(df: DataFrame, source: str, value: str, columns: list[str], base: str | None = None) -> DataFrame:
+    """PRF-14: rows, median and coverage (percent) of every source side by side.
+
+    With ``base`` also each source's differences from that one: of coverage in points, of the median in percent.
+    """
+    counts = df.groupBy(source).agg(F.count(F.lit(1)).alias("n"), *[F.round(100.0 * F.count_if(~is_missing(F.col(c))) / F.count(F.lit(1)), 6).alias(f"coverage_{c}") for c in columns])
+    out = with_quantiles(counts, df, {"median": (F.col(value), 0.5)}, [source]).select(source, "n", "median", *[f"coverage_{c}" for c in columns])
+    if base is None:
+        return out
+    ref = out.where(F.col(source) == base).agg(F.first("median").alias("__m"), *[F.first(f"coverage_{c}").alias(f"__{c}") for c in columns])
+    joined = out.join(F.broadcast(ref)).withColumn("median_shift", 100.0 * (F.col("median") - F.col("__m")) / F.col("__m"))
+    return joined.withColumns({f"points_{c}": F.round(F.col(f"coverage_{c}") - F.col(f"__{c}"), 6) for c in columns}).drop("__m", *[f"__{c}" for c in columns])
 
 
 def composition(df: DataFrame, source: str) -> DataFrame:

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kerbside.staging import broadcast_if_small, written
+
 
 def align(raw: DataFrame, candidate: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """JON-1: candidate rows beside their raw rows by ``key``, and candidates that have none (must be empty)."""
@@ -42,15 +44,17 @@ def coverage_difference(a: DataFrame, b: DataFrame, columns: list[str]) -> DataF
 
 
 def overlap_risk(origins: DataFrame) -> DataFrame:
-    """JON-6: every pair of sources with ``risk``: shared upstream families, unknown provenance, or none.
+    """JON-6: pairs of sources that are not known to be apart: ``left_id, right_id, risk``.
 
-    ``origins`` is the small catalogue ``source_id, families`` (array; null or empty: unknown).
+    ``origins`` is ``source_id, families`` (array of upstream families; null or empty: unknown). ``confirmed``
+    pairs share a family, found by joining on families. A source of unknown provenance may overlap with any
+    other: it is one row with a null ``right_id`` and risk ``indeterminate``. All other pairs have risk none, and no row.
     """
-    a = origins.select(F.col("source_id").alias("left_id"), F.col("families").alias("f"))
-    b = origins.select(F.col("source_id").alias("right_id"), F.col("families").alias("g"))
-    unknown = lambda c: F.coalesce(F.size(c), F.lit(0)) <= 0
-    risk = F.when(F.arrays_overlap("f", "g"), "confirmed").when(unknown(F.col("f")) | unknown(F.col("g")), "indeterminate").otherwise("none")
-    return a.join(b, F.col("left_id") < F.col("right_id")).select("left_id", "right_id", F.coalesce(risk, F.lit("indeterminate")).alias("risk"))
+    known = origins.select("source_id", F.explode("families").alias("__f")).distinct()
+    a, b = known.withColumnRenamed("source_id", "left_id"), known.withColumnRenamed("source_id", "right_id")
+    shared = a.join(b, "__f").where(F.col("left_id") < F.col("right_id")).select("left_id", "right_id").distinct().withColumn("risk", F.lit("confirmed"))
+    unknown = origins.where(F.coalesce(F.size("families"), F.lit(0)) <= 0).select(F.col("source_id").alias("left_id"), F.lit(None).cast("string").alias("right_id"), F.lit("indeterminate").alias("risk"))
+    return shared.unionByName(unknown)
 
 
 def combine_sources(first: DataFrame, second: DataFrame, columns: list[str], keys: list[str], keep: Column) -> tuple[DataFrame, DataFrame]:
@@ -75,15 +79,23 @@ def mixed_groups(df: DataFrame, group: str, part: str) -> DataFrame:
 def lookup_with_fallback(df: DataFrame, table: DataFrame, levels: list[tuple[str, list[str]]], value: str, support: str) -> DataFrame:
     """JON-9: ``df`` with ``value``, ``support`` and ``method`` from the first level that has a value for the row.
 
-    ``table`` is tidy: ``level, key, value, support``; a level's key is its columns joined by ``|``. The
-    entries are few (levels times categories) and one map for each row of a single-row table.
+    ``table`` is tidy: ``level, key, value, support``, one row for each level and key; a level's key is its
+    columns joined by ``|``, a null one ``missing``. Each level is an equi-join, broadcast if its entries
+    are few; a level without columns is one row.
     """
-    entries = table.where(F.col(value).isNotNull()).agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("=", "level", "key"), F.struct(F.col(value).alias("value"), F.col(support).alias("support"))))).alias("__table"))
-    key = lambda level, cols: F.concat_ws("=", F.lit(level), F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("missing")) for c in cols]))
-    found = [F.try_element_at("__table", key(level, cols)) for level, cols in levels]
-    joined = df.join(F.broadcast(entries))
-    method = F.coalesce(*[F.when(f.isNotNull(), level) for f, (level, _) in zip(found, levels)])
-    return joined.withColumn("__hit", F.coalesce(*found)).withColumn("method", method).withColumn(value, F.col("__hit")["value"]).withColumn(support, F.col("__hit")["support"]).drop("__hit", "__table")
+    entries = written(table.where(F.col(value).isNotNull()).select("level", "key", F.struct(F.col(value).alias("value"), F.col(support).alias("support")).alias("__e")), "lookup")
+    joined = df
+    for k, (level, cols) in enumerate(levels):
+        mine = entries.where(F.col("level") == level)
+        if cols:
+            key = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("missing")) for c in cols])
+            joined = joined.join(broadcast_if_small(mine.select(F.col("key").alias(f"__key{k}"), F.col("__e").alias(f"__hit{k}"))), key == F.col(f"__key{k}"), "left").drop(f"__key{k}")
+        else:
+            joined = joined.join(F.broadcast(mine.agg(F.first("__e").alias(f"__hit{k}"))))
+    hits = [F.col(f"__hit{k}") for k in range(len(levels))]
+    method = F.coalesce(*[F.when(h.isNotNull(), level) for h, (level, _) in zip(hits, levels)])
+    found = joined.withColumn("__hit", F.coalesce(*hits)).withColumn("method", method)
+    return found.withColumn(value, F.col("__hit")["value"]).withColumn(support, F.col("__hit")["support"]).drop("__hit", *[f"__hit{k}" for k in range(len(levels))])
 
 
 def slice_changes(base: DataFrame, challenger: DataFrame, metric: str, k: int = 10) -> DataFrame:

@@ -18,8 +18,8 @@ def first_failure(rules: list[Rule]) -> Column:
 
 
 def with_reason(df: DataFrame, rules: list[Rule]) -> DataFrame:
-    """``df`` with ``reason_code`` (null: accepted); split it with two filters."""
-    return df.withColumn("reason_code", first_failure(rules))
+    """``df`` with ``reason_code`` (null: accepted); split it with two filters. The cascade is looked at once for a row, whatever follows."""
+    return df.select(*[c for c in df.columns if c != "reason_code"], S.once(first_failure(rules)).alias("reason_code"))
 
 
 def target_violations(df: DataFrame, target: str) -> DataFrame:

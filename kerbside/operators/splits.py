@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kerbside.operators.quantiles import quantiles, running_sums
 from kerbside.staging import broadcast_if_small, written
 
 
@@ -75,10 +76,11 @@ def chrono_group_split(df: DataFrame, key: str, day: str, cutoff: str) -> DataFr
     return joined.withColumn("promoted", F.col("__test") & ~late).drop("__key", "__test")
 
 
-def split_metrics(split: DataFrame, key: str, by: str = "split") -> DataFrame:
-    """SPL-7: rows, groups, promoted rows and groups of each part."""
-    groups = split.groupBy(by, key).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("promoted").cast("long")).alias("p"))
-    return groups.groupBy(by).agg(F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("n_groups"), F.sum("p").alias("promoted_rows"), F.count_if(F.col("p") > 0).alias("promoted_groups"))
+def split_metrics(split: DataFrame, key: str, day: str, cutoff: str, by: str = "split") -> DataFrame:
+    """SPL-7: rows, groups, promoted rows and groups of each part (or bucket), and its rows on or after the cutoff (none in training)."""
+    late = (F.col(day) >= F.lit(cutoff).cast("date")).cast("long")
+    groups = split.groupBy(by, key).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("promoted").cast("long")).alias("p"), F.sum(late).alias("l"))
+    return groups.groupBy(by).agg(F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("n_groups"), F.sum("p").alias("promoted_rows"), F.count_if(F.col("p") > 0).alias("promoted_groups"), F.coalesce(F.sum("l"), F.lit(0)).alias("rows_after_cutoff"))
 
 
 def bucket_partition(df: DataFrame, bucket: str, buckets: list[str]) -> DataFrame:
@@ -127,28 +129,50 @@ def proportional_quotas(strata: DataFrame, key: str, target: int) -> DataFrame:
     base = strata.withColumn("__floor", F.floor(product / F.lit(max(1, total)))).withColumn("__rest", F.pmod(product, F.lit(max(1, total)).cast("long")))
     base = base.withColumn("__floor", ((product - F.col("__rest")) / F.lit(max(1, total))).cast("long"))
     short = target - (base.agg(F.sum("__floor").alias("s")).first()["s"] or 0)
-    up = F.row_number().over(Window.orderBy(F.desc("__rest"), key)) <= short
-    return base.select(key, "n", (F.col("__floor") + up.cast("long")).alias("quota"))
+    ranked = running_sums(base, [], [F.desc("__rest"), F.col(key)], {}, "quota-ranks")
+    return ranked.select(key, "n", (F.col("__floor") + (F.col("rank") <= short).cast("long")).alias("quota"))
 
 
 def nested_quotas(strata: DataFrame, key: str, target: int, minimum: str) -> DataFrame:
-    """SPL-14: quotas for ``target`` of at least ``minimum``; the excess comes off strata above it, smallest remainder first, one each a round."""
+    """SPL-14: quotas for ``target`` of at least ``minimum``; the excess comes off strata above it, smallest remainder first, one each a round.
+
+    The order of strata is fixed, and one that is above its minimum by s gives in the first s rounds. So how
+    many rounds are full follows from the counts of s, and ranks among those that still give from one pass.
+    """
     quotas = proportional_quotas(strata.select(key, "n"), key, target).withColumnRenamed("n", "__n").join(strata, key)
     total = strata.agg(F.sum("n").alias("t")).first()["t"] or 1
     rest = F.pmod(F.col("n") * F.lit(target).cast("long"), F.lit(total).cast("long"))
-    current = written(quotas.select(key, "n", minimum, F.greatest("quota", minimum).alias("quota"), rest.alias("__rest")), "quotas")
-    while (excess := (current.agg(F.sum("quota").alias("s")).first()["s"] or 0) - target) > 0:
-        can = F.col("quota") > F.col(minimum)
-        if not current.where(can).limit(1).count():
-            raise ValueError("the minimum sample is larger than the target")
-        down = can & (F.row_number().over(Window.orderBy(F.desc(can), "__rest", key)) <= excess)
-        current = written(current.withColumn("quota", F.col("quota") - down.cast("long")), "quotas")
-    return current.drop("__rest")
+    quota = F.greatest("quota", minimum)
+    current = written(quotas.select(key, "n", minimum, quota.alias("quota"), rest.alias("__rest"), (quota - F.col(minimum)).alias("__spare")), "quotas")
+    sums = current.agg(F.coalesce(F.sum("quota"), F.lit(0)).alias("q"), F.coalesce(F.sum("__spare"), F.lit(0)).alias("s")).first()
+    excess = sums["q"] - target
+    if excess > sums["s"]:
+        raise ValueError("the minimum sample is larger than the target")
+    # The last full round: the largest r for which all strata together give at most the excess in r rounds.
+    given = lambda r: current.agg(F.coalesce(F.sum(F.least("__spare", F.lit(r))), F.lit(0)).alias("g")).first()["g"]
+    low, high = 0, max(0, excess)
+    while low < high:
+        middle = (low + high + 1) // 2
+        low, high = (middle, high) if given(middle) <= excess else (low, middle - 1)
+    left = max(0, excess - given(low))
+    gives = (F.col("__spare") > low).cast("long")
+    ranked = running_sums(current, [], [F.col("__rest"), F.col(key)], {"__turn": gives}, "quota-turns")
+    down = F.least("__spare", F.lit(low)) + F.when((gives == 1) & (F.col("__turn") <= left), 1).otherwise(0)
+    return ranked.select(key, "n", minimum, (F.col("quota") - down).alias("quota"))
+
+
+def value_decile(df: DataFrame, value: str, name: str = "decile") -> DataFrame:
+    """SPL-15: ``df`` with the decile (1 to 10, null for null) of ``value`` in the whole table, by exact edges."""
+    edges = quantiles(df, {"__e": F.col(value)}, [k / 10 for k in range(1, 10)]).agg(F.first("__e").alias("__e"))
+    return df.join(F.broadcast(edges)).withColumn(name, F.when(F.col(value).isNotNull(), 1 + F.size(F.filter("__e", lambda e: e < F.col(value))))).drop("__e")
 
 
 def stratified_sample(df: DataFrame, key: str, stratum: str, quotas: DataFrame, seed: str) -> DataFrame:
-    """SPL-15: the ``quota`` rows of each stratum with the smallest digests; quotas that grow give nested samples."""
-    order = Window.partitionBy(stratum).orderBy(seeded_digest(seed, F.col(key)), key)
-    ranked = df.withColumn("__rank", F.row_number().over(order))
-    limits = quotas.select(F.col(stratum).alias("__stratum"), "quota")
-    return ranked.join(limits, F.col(stratum) == F.col("__stratum")).where(F.col("__rank") <= F.col("quota")).drop("__rank", "__stratum", "quota")
+    """SPL-15: the ``quota`` rows of each stratum with the smallest digests; quotas that grow give nested samples.
+
+    Only keys are ranked, in digest buckets of a stratum, and rows are joined with those that were chosen: ``key`` is unique.
+    """
+    keys = df.select(F.col(key).alias("__key"), F.col(stratum).alias("__stratum")).withColumn("__digest", seeded_digest(seed, F.col("__key"))).withColumn("__one", F.lit(1).cast("long"))
+    limits = quotas.select(F.col(stratum).alias("__of"), "quota")
+    ranked = prefix_sums(keys, ["__stratum"], "__digest", "__one").join(limits, F.col("__stratum") == F.col("__of"))
+    return df.join(ranked.where(F.col("rank") <= F.col("quota")).select("__key"), F.col(key) == F.col("__key")).drop("__key")

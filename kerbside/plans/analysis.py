@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kerbside.operators import conformal, evaluate, profile, relate, rules, splits
+from kerbside.operators.quantiles import with_quantiles
 from kerbside.plans.bindings import JUDGED, LISTINGS, RAW, listings, query, raw_listings, reason_rules, rounded, scored, table
+from kerbside.staging import written
 
 L = f"WITH {LISTINGS}"
 QUANT = "round(quantile_cont(price, 0.01), 4) AS p01, round(quantile_cont(price, 0.25), 4) AS p25, round(quantile_cont(price, 0.5), 4) AS p50, round(quantile_cont(price, 0.75), 4) AS p75, round(quantile_cont(price, 0.95), 4) AS p95, round(quantile_cont(price, 0.99), 4) AS p99"
@@ -17,12 +19,17 @@ def tidy(df: DataFrame) -> DataFrame:
     return rounded(rounded(df, "mae", "rmse"), "r2", digits=6)
 
 
-@query("prf_1_source_profile", f"""{L} SELECT source, count(*) AS n, count(DISTINCT make) AS makes, round(100.0::DOUBLE * count(*) FILTER (mileage IS NULL) / count(*), 6) AS percent_missing, {QUANT} FROM listings GROUP BY source""")
+D_NAMES, D_VALUES = "['n', 'min', 'p01', 'p25', 'p50', 'p75', 'p95', 'p99', 'max']", "[count(price)::DOUBLE, min(price), quantile_cont(price, 0.01), quantile_cont(price, 0.25), quantile_cont(price, 0.5), quantile_cont(price, 0.75), quantile_cont(price, 0.95), quantile_cont(price, 0.99), max(price)]"
+
+
+@query("prf_1_source_profile", f"""{L}, a AS (SELECT *, CASE WHEN mileage > 49000 THEN 'mileage_high' ELSE 'accepted' END AS reason FROM listings), d AS (SELECT source, 'distribution' AS part, unnest({D_NAMES}) AS name, unnest({D_VALUES}) AS value FROM a GROUP BY source),
+v AS (SELECT source, 'make' AS c, make AS v, count(*) AS n FROM a GROUP BY ALL UNION ALL SELECT source, 'status', status, count(*) FROM a GROUP BY ALL),
+r AS (SELECT source, 'accounting' AS part, 'read' AS name, count(*)::DOUBLE AS value FROM a GROUP BY source UNION ALL SELECT source, 'accounting', reason, count(*) FROM a GROUP BY ALL UNION ALL SELECT source, 'mapping', 'make', 100.0::DOUBLE * count(make) / count(*) FROM a GROUP BY source
+  UNION ALL SELECT source, 'mapping', 'miles', 100.0::DOUBLE * count(mileage) / count(*) FROM a GROUP BY source UNION ALL SELECT source, 'mapping', 'vin', 0 FROM a GROUP BY source UNION ALL SELECT * FROM d UNION ALL SELECT source, 'distinct', c, count(*) FROM v GROUP BY source, c
+  UNION ALL SELECT source, 'top', c || '=' || v, n FROM v QUALIFY row_number() OVER (PARTITION BY source, c ORDER BY n DESC, v) <= 3) SELECT source, part, name, round(value, 4) AS value FROM r""")
 def _(spark, sf):
-    rows = listings(spark, sf)
-    counts = rows.groupBy("source").agg(F.count_distinct("make").alias("makes"), F.round(100.0 * F.count_if(F.col("mileage").isNull()) / F.count(F.lit(1)), 6).alias("percent_missing"))
-    d = profile.distribution(rows, "price", ["source"]).drop("min", "max")
-    return rounded(d, "p01", "p25", "p50", "p75", "p95", "p99").join(counts, "source")
+    reason = F.when(F.col("mileage") > 49000, "mileage_high")
+    return rounded(profile.source_profile(listings(spark, sf), "source", {"make": "make", "miles": "mileage", "vin": None}, "price", ["make", "status"], reason, 3), "value")
 
 
 @query("prf_2_distribution", f"{L} SELECT status, count(price) AS n, min(price) AS min, {QUANT}, max(price) AS max FROM listings GROUP BY status")
@@ -75,16 +82,26 @@ def _(spark, sf):
     return profile.valid_by(listings(spark, sf), F.coalesce(F.col("mileage") > 0, F.lit(False)), "make")
 
 
-@query("prf_10_scope_audit", f"WITH {RAW} SELECT count(*) AS present, count(*) FILTER (state IN ('CA', 'TX')) AS valid, count(*) FILTER (NOT regexp_full_match(state, '[A-Z]{{2}}')) AS malformed, count(DISTINCT state) AS regions FROM raw")
+@query("prf_10_scope_audit", f"""WITH {RAW}, r AS (SELECT CASE WHEN k = 8 THEN ' ' ELSE state END AS state, CASE WHEN k = 9 THEN '1234' WHEN k <> 10 THEN '90210' END AS zip FROM raw)
+SELECT count(*) FILTER (trim(state) = '') AS missing, count(*) FILTER (state IN ('CA', 'TX')) AS in_scope, count(*) FILTER (regexp_full_match(state, '[A-Z]{{2}}') AND state NOT IN ('CA', 'TX')) AS out_of_scope, count(*) FILTER (trim(state) <> '' AND NOT regexp_full_match(state, '[A-Z]{{2}}')) AS malformed,
+count(DISTINCT state) FILTER (trim(state) <> '') AS regions, count(*) FILTER (zip = '1234') AS zip_malformed, count(*) FILTER (zip IS NULL) AS zip_missing FROM r""")
 def _(spark, sf):
-    s = F.col("state")
-    return raw_listings(spark, sf).agg(F.count_if(s.isNotNull()).alias("present"), F.count_if(s.isin("CA", "TX")).alias("valid"), F.count_if(~s.rlike("^[A-Z]{2}$")).alias("malformed"), F.count_distinct(s).alias("regions"))
+    k = F.col("k")
+    rows = raw_listings(spark, sf).select(F.when(k == 8, " ").otherwise(F.col("state")).alias("state"), F.when(k == 9, "1234").when(k != 10, "90210").alias("zip"))
+    return profile.scope_audit(rows, "state", ["CA", "TX"], "zip")
 
 
-@query("prf_11_time_audit", f"{L} SELECT CAST(min(sold_on) AS VARCHAR) AS first_day, CAST(max(sold_on) AS VARCHAR) AS last_day, count(*) FILTER (sold_on IS NULL) AS invalid, count(*) FILTER (year(sold_on) < year) AS before_model_year FROM listings")
+@query("prf_11_time_audit", f"""{L}, s AS (SELECT year, sold_on AS day, CAST(sold_on + CAST(seller % 4 - 2 AS INTEGER) AS DATE) AS first, CASE WHEN seller % 9 > 0 THEN CAST(sold_on - CAST(seller % 2 AS INTEGER) AS DATE) END AS last FROM listings)
+SELECT CAST(min(last) AS VARCHAR) AS first_day, CAST(max(last) AS VARCHAR) AS last_day, count(*) FILTER (last IS NULL) AS invalid, count(*) FILTER (last = day) AS on_file_date, count(*) FILTER (last <> day) AS off_file_date, count(*) FILTER (first > last) AS first_after_last, count(*) FILTER (year(last) < year) AS before_model_year FROM s""")
 def _(spark, sf):
-    d = F.col("sold_on")
-    return listings(spark, sf).agg(F.min(d).cast("string").alias("first_day"), F.max(d).cast("string").alias("last_day"), F.count_if(d.isNull()).alias("invalid"), F.count_if(F.year(d) < F.col("year")).alias("before_model_year"))
+    c = F.col
+    rows = listings(spark, sf).select(c("year"), c("sold_on").alias("day"), F.date_add("sold_on", (c("seller") % 4 - 2).cast("int")).alias("first"), F.when(c("seller") % 9 > 0, F.date_sub("sold_on", (c("seller") % 2).cast("int"))).alias("last"))
+    return profile.time_audit(rows, "first", "last", "day", "year")
+
+
+@query("prf_12_repeated_composites", f"{L}, e AS (SELECT count(*) AS n FROM listings WHERE mileage IS NOT NULL GROUP BY make, body, mileage, year) SELECT count(*) AS composite_keys, count(*) FILTER (n > 1) AS repeated_composites, CAST(sum(n - 1) AS BIGINT) AS composite_rows_beyond_first FROM e")
+def _(spark, sf):
+    return profile.repeated_composites(listings(spark, sf), ["make", "body", "mileage", "year"])
 
 
 @query("prf_12_identity_repetition", f"""{L}, e AS (SELECT private_key, count(*) AS n, count(DISTINCT year(sold_on)) AS s, count(DISTINCT coalesce(CAST(mileage AS VARCHAR), 'none')) AS v FROM listings GROUP BY 1)
@@ -99,9 +116,10 @@ def _(spark, sf):
     return profile.feature_coverage(listings(spark, sf), ["mileage"], ["make"])
 
 
-@query("prf_14_compare_sources", f"{L} SELECT source, count(*) AS n, round(median(price), 4) AS median, round(100.0::DOUBLE * count(mileage) / count(*), 6) AS coverage_mileage FROM listings GROUP BY source")
+@query("prf_14_compare_sources", f"""{L}, s AS (SELECT source, count(*) AS n, median(price) AS m, round(100.0::DOUBLE * count(mileage) / count(*), 6) AS coverage_mileage FROM listings GROUP BY source), b AS (SELECT m AS bm, coverage_mileage AS bc FROM s WHERE source = 'F')
+SELECT source, n, round(m, 4) AS median, coverage_mileage, round(100 * (m - bm) / bm, 6) AS median_shift, round(coverage_mileage - bc, 6) AS points_mileage FROM s, b""")
 def _(spark, sf):
-    return rounded(profile.compare_sources(listings(spark, sf), "source", "price", ["mileage"]), "median")
+    return rounded(rounded(profile.compare_sources(listings(spark, sf), "source", "price", ["mileage"], "F"), "median"), "median_shift", digits=6)
 
 
 @query("prf_15_composition", f"{L} SELECT source, count(*) AS n, round(100.0::DOUBLE * count(*) / sum(count(*)) OVER (), 6) AS percent FROM listings GROUP BY source")
@@ -154,11 +172,12 @@ def _(spark, sf):
     return relate.coverage_difference(rows.where("status = 'New'"), rows.where("status = 'Used'"), ["model"])
 
 
-@query("jon_6_overlap_risk", """WITH o AS (SELECT 's' || n_nationkey AS id, CASE WHEN n_nationkey % 6 = 0 THEN NULL ELSE n_regionkey END AS f FROM nation)
-SELECT a.id AS left_id, b.id AS right_id, CASE WHEN a.f = b.f THEN 'confirmed' WHEN a.f IS NULL OR b.f IS NULL THEN 'indeterminate' ELSE 'none' END AS risk FROM o a JOIN o b ON a.id < b.id""")
+@query("jon_6_overlap_risk", """WITH o AS (SELECT 'p' || p_partkey AS id, unnest(['a' || p_partkey // 4, 'b' || (p_partkey + 2) // 4]) AS f FROM part WHERE p_partkey % 6 <> 0)
+SELECT DISTINCT a.id AS left_id, b.id AS right_id, 'confirmed' AS risk FROM o a JOIN o b ON a.f = b.f AND a.id < b.id UNION ALL SELECT 'p' || p_partkey, NULL, 'indeterminate' FROM part WHERE p_partkey % 6 = 0""")
 def _(spark, sf):
-    n = table(spark, sf, "nation")
-    return relate.overlap_risk(n.select(F.concat(F.lit("s"), "n_nationkey").alias("source_id"), F.when(F.col("n_nationkey") % 6 != 0, F.array("n_regionkey")).alias("families")))
+    k = F.col("p_partkey")
+    family = lambda name, x: F.concat(F.lit(name), F.floor(x / 4).cast("long").cast("string"))
+    return relate.overlap_risk(table(spark, sf, "part").select(F.concat(F.lit("p"), k.cast("string")).alias("source_id"), F.when(k % 6 != 0, F.array(family("a", k), family("b", k + 2))).alias("families")))
 
 
 @query("jon_7_combine_sources", f"""{L}, d AS (SELECT DISTINCT year, make, mileage FROM listings WHERE source = 'O'), k AS (SELECT * FROM d WHERE year >= 1996), c AS (SELECT * FROM k WHERE NOT EXISTS (SELECT 1 FROM listings f WHERE f.source = 'F' AND f.year = k.year AND f.make = k.make AND f.mileage IS NOT DISTINCT FROM k.mileage)),
@@ -170,6 +189,14 @@ def _(spark, sf):
     return steps
 
 
+@query("jon_7_combined_rows", f"""{L}, d AS (SELECT DISTINCT year, make, mileage FROM listings WHERE source = 'O' AND year >= 1996), c AS (SELECT * FROM d WHERE NOT EXISTS (SELECT 1 FROM listings f WHERE f.source = 'F' AND f.year = d.year AND f.make = d.make AND f.mileage IS NOT DISTINCT FROM d.mileage))
+SELECT year, make, mileage, count(*) AS n FROM (SELECT year, make, mileage FROM listings WHERE source = 'F' UNION ALL SELECT * FROM c) GROUP BY ALL""")
+def _(spark, sf):
+    rows = listings(spark, sf).select("year", "make", "mileage", "source")
+    union, _ = relate.combine_sources(rows.where("source = 'F'"), rows.where("source = 'O'"), ["year", "make", "mileage"], ["year", "make", "mileage"], F.col("year") >= 1996)
+    return union.groupBy("year", "make", "mileage").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("jon_8_group_isolation", f"{L} SELECT private_key FROM listings GROUP BY 1 HAVING min(source) <> max(source)")
 def _(spark, sf):
     return relate.mixed_groups(listings(spark, sf), "private_key", "source")
@@ -179,10 +206,9 @@ def _(spark, sf):
 SELECT row_id, round(CASE WHEN t.n >= 40 THEN t.m ELSE s.m END, 4) AS value, CASE WHEN t.n >= 40 THEN t.n ELSE s.n END AS support, CASE WHEN t.n >= 40 THEN 'make_status' ELSE 'status' END AS method FROM listings l JOIN t USING (make, status) JOIN s USING (status)""")
 def _(spark, sf):
     rows = listings(spark, sf)
-    m = [F.count(F.lit(1)).alias("support"), F.percentile("price", 0.5).alias("value")]
-    a = rows.groupBy("make", "status").agg(*m).where("support >= 40").select(F.lit("make_status").alias("level"), F.concat_ws("|", "make", "status").alias("key"), "support", "value")
-    b = rows.groupBy("status").agg(*m).select(F.lit("status").alias("level"), F.col("status").alias("key"), "support", "value")
-    found = relate.lookup_with_fallback(rows, a.unionByName(b), [("make_status", ["make", "status"]), ("status", ["status"])], "value", "support")
+    keyed = rows.select("price", F.explode(F.array(F.struct(F.lit("make_status").alias("level"), F.concat_ws("|", "make", "status").alias("key")), F.struct(F.lit("status").alias("level"), F.col("status").alias("key")))).alias("x")).select("x.*", "price")
+    medians = with_quantiles(keyed.groupBy("level", "key").agg(F.count(F.lit(1)).alias("support")), keyed, {"value": (F.col("price"), 0.5)}, ["level", "key"])
+    found = relate.lookup_with_fallback(rows, medians.where("level = 'status' or support >= 40"), [("make_status", ["make", "status"]), ("status", ["status"])], "value", "support")
     return rounded(found.select("row_id", "value", "support", "method"), "value")
 
 
@@ -261,9 +287,17 @@ def _(spark, sf):
     return bucketed(spark, sf).select("row_id", "bucket")
 
 
-@query("spl_7_split_metrics", CHRONO + ", g2 AS (SELECT split, private_key, count(*) AS n, count(*) FILTER (promoted) AS p FROM s GROUP BY ALL) SELECT split, CAST(sum(n) AS BIGINT) AS n_rows, count(*) AS n_groups, CAST(sum(p) AS BIGINT) AS promoted_rows, count(*) FILTER (p > 0) AS promoted_groups FROM g2 GROUP BY split")
+PARTS = "SELECT {by}, CAST(sum(n) AS BIGINT) AS n_rows, count(*) AS n_groups, CAST(sum(p) AS BIGINT) AS promoted_rows, count(*) FILTER (p > 0) AS promoted_groups, CAST(sum(l) AS BIGINT) AS rows_after_cutoff FROM (SELECT {by}, private_key, count(*) AS n, count(*) FILTER (promoted) AS p, count(*) FILTER (sold_on >= DATE '2000-06-01') AS l FROM {t} GROUP BY ALL) GROUP BY {by}"
+
+
+@query("spl_7_split_metrics", f"{CHRONO} {PARTS.format(by='split', t='s')}")
 def _(spark, sf):
-    return splits.split_metrics(chrono(spark, sf), "private_key")
+    return splits.split_metrics(chrono(spark, sf), "private_key", "sold_on", "2000-06-01")
+
+
+@query("spl_7_bucket_metrics", f"{BUCKETED} {PARTS.format(by='bucket', t='k')}")
+def _(spark, sf):
+    return splits.split_metrics(bucketed(spark, sf), "private_key", "sold_on", "2000-06-01", "bucket")
 
 
 @query("spl_8_fixed_bucket_calibration", BUCKETED + " SELECT bucket, CASE WHEN bucket = 'b3' THEN 'calibration' WHEN bucket IS NOT NULL THEN 'development' END AS part, count(*) AS n FROM k GROUP BY ALL")
@@ -290,35 +324,66 @@ def _(spark, sf):
     return splits.forward_folds(bucketed(spark, sf), "bucket", [b for _, b in BUCKETS]).groupBy("fold", "role").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("spl_12_fold_validity", "SELECT count(*) AS once, 0 AS never, 0 AS often, 0 AS two_roles FROM orders")
+@query("spl_12_fold_validity", "SELECT count(*) FILTER (o_orderkey % 10 NOT IN (0, 1)) AS once, count(*) FILTER (o_orderkey % 10 = 0) AS never, count(*) FILTER (o_orderkey % 10 = 1) AS often, count(*) FILTER (o_orderkey % 10 = 2) AS two_roles FROM orders")
 def _(spark, sf):
-    o = table(spark, sf, "orders").select("o_orderkey", F.pmod("o_orderkey", F.lit(4)).alias("own"))
-    folds = o.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(3)))).withColumn("role", F.when(F.col("fold") == F.col("own"), "validate").otherwise("train"))
-    return splits.fold_check(folds, "o_orderkey")
+    """Four folds with mistakes: of ten keys one is never validated, one twice, and one trains where it validates."""
+    k = F.col("o_orderkey")
+    o = table(spark, sf, "orders").select("o_orderkey", F.pmod("o_orderkey", F.lit(4)).alias("own"), F.pmod(k, F.lit(10)).alias("kind"))
+    folds = o.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(3))))
+    mine = (F.col("fold") == F.col("own")) & (F.col("kind") != 0) | (F.col("fold") == F.pmod(F.col("own") + 1, F.lit(4))) & (F.col("kind") == 1)
+    roles = F.when(mine & (F.col("kind") == 2), F.array(F.lit("validate"), F.lit("train"))).when(mine, F.array(F.lit("validate"))).otherwise(F.array(F.lit("train")))
+    return splits.fold_check(folds.withColumn("role", F.explode(roles)), "o_orderkey")
+
+
+def quota_sql(strata, n):
+    """Quotas by largest remainder of ``strata`` (``key, n``) as a table ``q{n}``."""
+    return f"""f{n} AS (SELECT *, (SELECT sum(n) FROM {strata})::BIGINT AS total FROM {strata}), g{n} AS (SELECT key, n, n * {n} // total AS base, n * {n} % total AS rest FROM f{n}),
+q{n} AS (SELECT key, n, rest, CAST(base + CASE WHEN row_number() OVER (ORDER BY rest DESC, key) <= {n} - sum(base) OVER () THEN 1 ELSE 0 END AS BIGINT) AS quota FROM g{n})"""
+
 
+def nested_sql(small, large):
+    """Quotas ``nested`` of ``large`` rows that are at least those of ``small``: in rounds, as the rule says."""
+    return f"""r AS (SELECT 0 AS i, a.key, a.n, b.quota AS minimum, greatest(a.quota, b.quota) AS quota, a.rest FROM q{large} a JOIN q{small} b USING (key)
+  UNION ALL SELECT i + 1, key, n, minimum, CASE WHEN quota > minimum AND row_number() OVER (ORDER BY quota > minimum DESC, rest, key) <= sum(quota) OVER () - {large} THEN quota - 1 ELSE quota END, rest FROM r QUALIFY sum(quota) OVER () > {large}),
+nested AS (SELECT key, n, minimum, quota FROM r WHERE i = (SELECT max(i) FROM r))"""
 
-QUOTA = f"""{L}, s AS (SELECT make, count(*) AS n, (SELECT count(*) FROM listings) AS total FROM listings GROUP BY 1), f AS (SELECT *, n * {{t}} // total AS base, n * {{t}} % total AS rest FROM s),
-q AS (SELECT make, n, rest, base + CASE WHEN row_number() OVER (ORDER BY rest DESC, make) <= {{t}} - sum(base) OVER () THEN 1 ELSE 0 END AS quota FROM f)"""
+
+STRATA = "s AS (SELECT make AS key, count(*) AS n FROM listings GROUP BY 1)"
+RL = L.replace("WITH ", "WITH RECURSIVE ", 1)
 
 
 def strata(spark, sf):
     return listings(spark, sf).groupBy("make").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("spl_13_proportional_quotas", QUOTA.format(t=997) + " SELECT make, n, CAST(quota AS BIGINT) AS quota FROM q")
+@query("spl_13_proportional_quotas", f"{L}, {STRATA}, {quota_sql('s', 997)} SELECT key AS make, n, quota FROM q997")
 def _(spark, sf):
     return splits.proportional_quotas(strata(spark, sf), "make", 997)
 
 
-@query("spl_14_nested_quotas")
+@query("spl_14_nested_quotas", f"{RL}, {STRATA}, m AS (SELECT key, n, CASE WHEN key < 'Brand#3' THEN n // 5 ELSE 0 END AS quota FROM s), q1 AS (SELECT key, n, quota FROM m), {quota_sql('s', 1000)}, {nested_sql(1, 1000)} SELECT key AS make, n, minimum, quota FROM nested")
 def _(spark, sf):
-    small = splits.proportional_quotas(strata(spark, sf), "make", 500).withColumnRenamed("quota", "minimum")
-    return splits.nested_quotas(small, "make", 1000, "minimum")
+    """Makes below Brand#3 keep a fifth of their rows at least, more than their share of 1,000; the others give."""
+    held = strata(spark, sf).withColumn("minimum", F.when(F.col("make") < "Brand#3", F.floor(F.col("n") / 5)).otherwise(0).cast("long"))
+    total = held.agg(F.sum("minimum").alias("m")).first()["m"] or 0
+    return splits.nested_quotas(held, "make", max(1000, total), "minimum")
+
+
+CELLS = """e AS (SELECT quantile_cont(price, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS e FROM listings), c AS (SELECT row_id, concat_ws('|', make, year, CAST(1 + len(list_filter(e.e, lambda x: x < price)) AS INTEGER)) AS key FROM listings, e),
+s AS (SELECT key, count(*) AS n FROM c GROUP BY 1)"""
 
 
-@query("spl_15_nested_stratified_sample", QUOTA.format(t=997) + ", r AS (SELECT row_id, make, row_number() OVER (PARTITION BY make ORDER BY sha256(concat_ws('|', 'nested', row_id)), row_id) AS k FROM listings) SELECT row_id FROM r JOIN q USING (make) WHERE k <= quota")
+@query("spl_15_nested_stratified_sample", f"""{RL}, {CELLS}, {quota_sql('s', 400)}, {quota_sql('s', 997)}, {nested_sql(400, 997)}, k AS (SELECT row_id, key, row_number() OVER (PARTITION BY key ORDER BY sha256(concat_ws('|', 'nested', row_id))) AS k FROM c)
+SELECT row_id, key AS cell, k <= minimum AS small FROM k JOIN nested USING (key) WHERE k <= quota""")
 def _(spark, sf):
-    return splits.stratified_sample(listings(spark, sf), "row_id", "make", splits.proportional_quotas(strata(spark, sf), "make", 997), "nested").select("row_id")
+    """Strata of make, year and price decile; the sample of 400 lies within that of 997."""
+    rows = written(splits.value_decile(listings(spark, sf).select("row_id", "make", "year", "price"), "price").select("row_id", F.concat_ws("|", "make", "year", "decile").alias("cell")), "cells")
+    counts = written(rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n")), "cell-counts")
+    small = written(splits.proportional_quotas(counts, "cell", 400), "small-quotas")
+    large = splits.nested_quotas(small.withColumnRenamed("quota", "minimum"), "cell", 997, "minimum")
+    few = splits.stratified_sample(rows, "row_id", "cell", small, "nested").select(F.col("row_id").alias("__id"))
+    many = splits.stratified_sample(rows, "row_id", "cell", large.select("cell", "quota"), "nested")
+    return many.join(few, F.col("row_id") == F.col("__id"), "full_outer").select("row_id", "cell", F.col("__id").isNotNull().alias("small"))
 
 
 @query("evl_1_regression_metrics", f"{L} SELECT {METRICS} FROM listings")
@@ -331,10 +396,10 @@ def _(spark, sf):
     return tidy(evaluate.slice_metrics(scored(spark, sf), "status"))
 
 
-@query("evl_3_point_metrics", f"""{L} SELECT status, count(*) AS n, round(median(abs(p - y)), 4) AS median_ae, round(quantile_cont(abs(p - y), 0.9), 4) AS p90_ae, round(avg(p - y), 4) AS mean_error, round(median(p - y), 4) AS median_error,
-count(*) FILTER (p < y) AS under, count(*) FILTER (p > y) AS over, count(*) FILTER (p = y) AS exact FROM listings GROUP BY status""")
+@query("evl_3_point_metrics", f"""{L} SELECT status, count(*) AS n, round(median(abs(p - y)), 4) AS median_ae, round(quantile_cont(abs(p - y), 0.75), 4) AS p75_ae, round(quantile_cont(abs(p - y), 0.9), 4) AS p90_ae, round(quantile_cont(abs(p - y), 0.95), 4) AS p95_ae, round(avg(p - y), 4) AS mean_error,
+round(median(p - y), 4) AS median_error, count(*) FILTER (p < y) AS under, count(*) FILTER (p > y) AS over, count(*) FILTER (p = y) AS exact, (count(*) FILTER (p < y))::DOUBLE / count(*) AS under_rate, (count(*) FILTER (p > y))::DOUBLE / count(*) AS over_rate, (count(*) FILTER (p = y))::DOUBLE / count(*) AS exact_rate FROM listings GROUP BY status""")
 def _(spark, sf):
-    return rounded(evaluate.point_metrics(scored(spark, sf), ["status"]), "median_ae", "p90_ae", "mean_error", "median_error")
+    return rounded(evaluate.point_metrics(scored(spark, sf), ["status"]), "median_ae", "p75_ae", "p90_ae", "p95_ae", "mean_error", "median_error")
 
 
 @query("evl_4_slice_diagnostics", f"{L} SELECT 'make' AS dimension, make AS label, {METRICS} FROM listings GROUP BY make HAVING count(*) >= 20 UNION ALL SELECT 'year', CAST(year AS VARCHAR), {METRICS} FROM listings GROUP BY year HAVING count(*) >= 20")
@@ -365,10 +430,10 @@ def _(spark, sf):
 
 
 @query("evl_9_residual_stats", f"""{L}, s AS (SELECT 'make' AS dimension, make AS label, count(*) AS n, round(avg(score), 4) AS mean, round(var_pop(score), 0) AS variance, round(quantile_cont(score, 0.5), 4) AS q50, round(quantile_cont(score, 0.8), 4) AS q80, round(quantile_cont(score, 0.9), 4) AS q90,
-round(quantile_cont(score, 0.95), 4) AS q95, round(avg(score / y), 6) AS mean_ratio FROM listings GROUP BY make HAVING count(*) >= 20) SELECT * FROM s QUALIFY row_number() OVER (ORDER BY n DESC, label) <= 20""")
+round(quantile_cont(score, 0.95), 4) AS q95, round(avg(score / y), 6) AS mean_ratio, round(quantile_cont(score / y, 0.5), 6) AS median_ratio, round(quantile_cont(score / y, 0.9), 6) AS p90_ratio FROM listings GROUP BY make HAVING count(*) >= 20) SELECT * FROM s QUALIFY row_number() OVER (ORDER BY n DESC, label) <= 20""")
 def _(spark, sf):
     found = evaluate.residual_stats(scored(spark, sf), ["make"], 20, 20)
-    return rounded(rounded(rounded(found, "mean", "q50", "q80", "q90", "q95"), "variance", digits=0), "mean_ratio", digits=6)
+    return rounded(rounded(rounded(found, "mean", "q50", "q80", "q90", "q95"), "variance", digits=0), "mean_ratio", "median_ratio", "p90_ratio", digits=6)
 
 
 @query("evl_10_error_relationship", f"""{L}, r AS (SELECT y AS v, score AS e, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0 AS rv, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0 AS re FROM listings)
@@ -377,6 +442,12 @@ def _(spark, sf):
     return rounded(evaluate.error_relationship(scored(spark, sf)), "pearson_log", "spearman", digits=6)
 
 
+@query("evl_10_quartile_errors", f"""{L}, e AS (SELECT quantile_cont(y, [0.25, 0.5, 0.75]) AS e FROM listings), m AS (SELECT CAST(1 + len(list_filter(e.e, lambda x: x < y)) AS INTEGER) AS quartile, count(*) AS n, avg(score) AS m FROM listings, e GROUP BY 1)
+SELECT quartile, n, round(m, 4) AS mean_error, round((SELECT max(m) / min(m) FROM m), 6) AS highest_to_lowest FROM m""")
+def _(spark, sf):
+    return rounded(rounded(evaluate.quartile_errors(scored(spark, sf)), "mean_error"), "highest_to_lowest", digits=6)
+
+
 @query("evl_11_strict_quartiles", f"{L} SELECT round(quantile_cont(price, 0.25), 4) AS q1, round(quantile_cont(price, 0.5), 4) AS q2, round(quantile_cont(price, 0.75), 4) AS q3 FROM listings")
 def _(spark, sf):
     rows = listings(spark, sf)
@@ -394,11 +465,20 @@ def long_report(spark, sf, where):
     return evaluate.report_long(slices(spark, sf, where), ["dimension", "label"], ["mae", "rmse"])
 
 
-@query("evl_13_report_comparison", f"""{L}, a AS (SELECT make, round(avg(abs(p - y)), 4) AS now FROM listings WHERE source = 'O' GROUP BY 1), b AS (SELECT make, round(avg(abs(p - y)), 4) AS prior FROM listings WHERE source = 'F' GROUP BY 1)
-SELECT 'make' AS dimension, make AS label, 'mae' AS metric, now, prior, round(now - prior, 4) AS difference, round(now / prior, 6) AS ratio FROM a JOIN b USING (make)""")
+@query("evl_13_report_comparison", f"""{L}, r AS (SELECT status, list_sort(list(score))[CAST(ceil((count(*) + 1)::DOUBLE * 0.9::DOUBLE) AS BIGINT)] AS radius FROM listings GROUP BY status), i AS (SELECT l.*, greatest(0, p - radius) AS lower, p + radius AS upper FROM listings l JOIN r USING (status)),
+m AS (SELECT source, make, round(avg(abs(p - y)), 4) AS mae, round(avg(CASE WHEN y BETWEEN lower AND upper THEN 1.0 ELSE 0.0 END), 6) AS coverage, round(avg(upper - lower), 4) AS mean_width FROM i GROUP BY ALL),
+u AS (SELECT source, make, unnest(['mae', 'coverage', 'mean_width']) AS metric, unnest([mae, coverage, mean_width]) AS v FROM m)
+SELECT 'make' AS dimension, a.make AS label, a.metric, a.v AS now, b.v AS prior, round(a.v - b.v, 4) AS difference, round(a.v / b.v, 6) AS ratio FROM u a JOIN u b ON a.make = b.make AND a.metric = b.metric WHERE a.source = 'O' AND b.source = 'F'""")
 def _(spark, sf):
-    found = evaluate.compare_reports(long_report(spark, sf, "source = 'O'"), long_report(spark, sf, "source = 'F'")).where("metric = 'mae'")
-    return rounded(rounded(found, "difference"), "ratio", digits=6)
+    """Errors, coverages and widths by make, of one source after the other."""
+    rows = written(intervals(spark, sf).select("source", "make", "y", "p", "lower", "upper", "fallback"), "evaluated")
+
+    def report(source):
+        own = rows.where(F.col("source") == source)
+        widths = tidy_intervals(conformal.slices_of(own, ["make"], 0.9, 1))
+        return evaluate.report_long(tidy(evaluate.slice_diagnostics(own, ["make"], 1)), ["dimension", "label"], ["mae"]).unionByName(evaluate.report_long(widths, ["dimension", "label"], ["coverage", "mean_width"]))
+
+    return rounded(rounded(evaluate.compare_reports(report("O"), report("F")), "difference"), "ratio", digits=6)
 
 
 CONFIDENCE = "CASE WHEN status = 'Certified' THEN 'high' WHEN status = 'Used' THEN 'moderate' ELSE 'low' END"
@@ -490,11 +570,12 @@ def _(spark, sf):
 
 
 I_METRICS = """count(*) AS n, round(avg(CASE WHEN y BETWEEN lower AND upper THEN 1.0 ELSE 0.0 END), 6) AS coverage, round(avg(CASE WHEN y BETWEEN lower AND upper THEN 1.0 ELSE 0.0 END) - 0.9, 6) AS gap, round(avg(CASE WHEN y < lower THEN 1.0 ELSE 0.0 END), 6) AS under,
-round(avg(CASE WHEN y > upper THEN 1.0 ELSE 0.0 END), 6) AS over, round(avg(upper - lower), 4) AS mean_width, round(median(upper - lower), 4) AS median_width, round(avg((upper - lower) / greatest(p, 1)), 6) AS relative_width, count(*) FILTER (lower = 0) AS clipped, count(*) FILTER (fallback) AS fallbacks, 0 AS reversed"""
+round(avg(CASE WHEN y > upper THEN 1.0 ELSE 0.0 END), 6) AS over, round(avg(upper - lower), 4) AS mean_width, round(quantile_cont(upper - lower, 0.1), 4) AS p10_width, round(median(upper - lower), 4) AS median_width, round(quantile_cont(upper - lower, 0.9), 4) AS p90_width, round(avg((upper - lower) / greatest(p, 1)), 6) AS relative_width,
+count(*) FILTER (lower = 0) AS clipped, count(*) FILTER (fallback) AS fallbacks, 0 AS reversed, 0 AS invalid, round(avg(CASE WHEN y BETWEEN p - radius AND p + radius THEN 1.0 ELSE 0.0 END), 6) AS unclipped_coverage, 0 AS clip_changes"""
 
 
 def tidy_intervals(df):
-    return rounded(rounded(df, "coverage", "gap", "under", "over", "relative_width", digits=6), "mean_width", "median_width")
+    return rounded(rounded(df, "coverage", "gap", "under", "over", "relative_width", "unclipped_coverage", digits=6), "mean_width", "p10_width", "median_width", "p90_width")
 
 
 @query("cnf_6_interval_metrics", INTERVALS + f" SELECT source, {I_METRICS} FROM i GROUP BY source")
@@ -503,34 +584,41 @@ def _(spark, sf):
 
 
 @query("cnf_7_crossfit", L + f""", r AS (SELECT f.f AS fold, status, list_sort(list(score))[CAST(ceil((count(*) + 1)::DOUBLE * 0.9::DOUBLE) AS BIGINT)] AS radius FROM listings l, (SELECT unnest(range(0, 5)) AS f) f WHERE l.fold <> f.f GROUP BY ALL),
-i AS (SELECT l.*, greatest(0, p - radius) AS lower, p + radius AS upper, false AS fallback FROM listings l JOIN r USING (fold, status)) SELECT fold, {I_METRICS} FROM i GROUP BY fold""")
+i AS (SELECT l.*, radius, greatest(0, p - radius) AS lower, p + radius AS upper, false AS fallback FROM listings l JOIN r USING (fold, status)), j AS (SELECT *, NULL AS label FROM i UNION ALL SELECT *, status FROM i),
+d AS (SELECT label, stddev_pop(c) AS d FROM (SELECT label, fold, avg(CASE WHEN y BETWEEN lower AND upper THEN 1.0 ELSE 0.0 END) AS c FROM j GROUP BY ALL) GROUP BY label)
+SELECT j.label, {I_METRICS}, round(any_value(d.d), 9) AS fold_std FROM j JOIN d ON j.label IS NOT DISTINCT FROM d.label GROUP BY j.label""")
 def _(spark, sf):
-    i = conformal.crossfit_intervals(scored(spark, sf), "fold", 5, {"status": ["status"], "global": []}, "score", 0.9, 0)
-    return tidy_intervals(conformal.interval_metrics(i, 0.9, ["fold"]))
+    rows = scored(spark, sf).select("fold", "status", "y", "p", "score")
+    i = conformal.crossfit_intervals(rows, "fold", 5, {"status": ["status"], "global": []}, "score", 0.9, 0)
+    return rounded(tidy_intervals(conformal.crossfit_report(written(i, "crossfit"), 0.9, "fold", "status")), "fold_std", digits=9)
 
 
 def method_metrics(spark, sf):
-    """Two methods' interval metrics: one radius for all, and one for each status."""
-    rows = scored(spark, sf)
+    """What the gates look at for two methods: one radius for all, and one for each status."""
+    rows = written(scored(spark, sf).select("make", "status", "y", "p", "score"), "methods")
     radii = conformal.fit_radii(rows, "status", "score")
-    one = conformal.interval_metrics(conformal.apply_intervals(rows, radii, [("global", [])], 0.9), 0.9).withColumn("method", F.lit("global"))
-    two = conformal.interval_metrics(conformal.apply_intervals(rows, radii, [("status", ["status"]), ("global", [])], 0.9), 0.9).withColumn("method", F.lit("status"))
-    return one.unionByName(two).select("method", F.round("gap", 6).alias("coverage_gap"), F.round("under", 6).alias("slice_gap"), F.round("mean_width", 4).alias("mean_width"))
+    one = conformal.apply_intervals(rows, radii, [("global", [])], 0.9).withColumn("method", F.lit("global"))
+    two = conformal.apply_intervals(rows, radii, [("status", ["status"]), ("global", [])], 0.9).withColumn("method", F.lit("status"))
+    m = conformal.gate_metrics(one.unionByName(two), 0.9, ["make", "status"], "y", 60_000.0, 100)
+    return written(rounded(rounded(m, "coverage_gap", "slice_gap", "high_price_gap", "balance", "fallback_rate", digits=6), "mean_width", "median_width"), "method-metrics")
 
 
 METHOD_SQL = L + """, g AS (SELECT list_sort(list(score))[CAST(ceil((count(*) + 1)::DOUBLE * 0.9::DOUBLE) AS BIGINT)] AS radius FROM listings), s AS (SELECT status, list_sort(list(score))[CAST(ceil((count(*) + 1)::DOUBLE * 0.9::DOUBLE) AS BIGINT)] AS radius FROM listings GROUP BY 1),
-i AS (SELECT 'global' AS method, y, greatest(0, p - radius) AS lower, p + radius AS upper FROM listings, g UNION ALL SELECT 'status', y, greatest(0, p - radius), p + radius FROM listings JOIN s USING (status)),
-m AS (SELECT method, round(avg(CASE WHEN y BETWEEN lower AND upper THEN 1.0 ELSE 0.0 END) - 0.9, 6) AS coverage_gap, round(avg(CASE WHEN y < lower THEN 1.0 ELSE 0.0 END), 6) AS slice_gap, round(avg(upper - lower), 4) AS mean_width FROM i GROUP BY method),
-t AS (SELECT method, 'overall_gap' AS gate, abs(coverage_gap) AS observed, 0.01::DOUBLE AS threshold FROM m UNION ALL SELECT method, 'slice_gap', abs(slice_gap), 0.05 FROM m UNION ALL SELECT method, 'width_ratio', mean_width / (SELECT mean_width FROM m WHERE method = 'global'), 1.05 FROM m)"""
-LIMITS = {"overall_gap": 0.01, "slice_gap": 0.05, "width_ratio": 1.05}
+i AS (SELECT 'global' AS method, make, status, y, greatest(0, p - radius) AS lower, p + radius AS upper FROM listings, g UNION ALL SELECT 'status', make, status, y, greatest(0, p - radius), p + radius FROM listings JOIN s USING (status)),
+h AS (SELECT *, CASE WHEN y BETWEEN lower AND upper THEN 1.0 ELSE 0.0 END AS hit FROM i), k AS (SELECT method, max(abs(c - 0.9)) AS slice_gap FROM (SELECT method, 'make' AS d, make AS l, avg(hit) AS c, count(*) AS n FROM h GROUP BY ALL UNION ALL SELECT method, 'status', status, avg(hit), count(*) FROM h GROUP BY ALL) WHERE n >= 100 GROUP BY method),
+m AS (SELECT h.method, round(avg(hit) - 0.9, 6) AS coverage_gap, round(any_value(k.slice_gap), 6) AS slice_gap, round(0.9 - avg(hit) FILTER (y >= 60000), 6) AS high_price_gap, round(abs(avg(CASE WHEN y < lower THEN 1.0 ELSE 0.0 END) - avg(CASE WHEN y > upper THEN 1.0 ELSE 0.0 END)), 6) AS balance,
+  round(avg(upper - lower), 4) AS mean_width, round(median(upper - lower), 4) AS median_width FROM h LEFT JOIN k ON h.method = k.method GROUP BY h.method),
+t AS (SELECT m.method, unnest(['overall_gap', 'slice_gap', 'high_price_gap', 'balance', 'fallback_rate', 'reversed', 'width_ratio', 'median_width_ratio']) AS gate,
+  unnest([abs(coverage_gap), slice_gap, high_price_gap, balance, 0, 0, mean_width / b.w, median_width / b.d]) AS observed, unnest([0.01::DOUBLE, 0.05, 0.1, 0.08, 0.1, 0, 1.05, 1.1]) AS threshold FROM m, (SELECT mean_width AS w, median_width AS d FROM m WHERE method = 'global') b)"""
+LIMITS = {"overall_gap": 0.01, "slice_gap": 0.05, "high_price_gap": 0.1, "balance": 0.08, "fallback_rate": 0.1, "reversed": 0.0, "width_ratio": 1.05, "median_width_ratio": 1.1}
 
 
-@query("cnf_8_11_sharpness_gates", METHOD_SQL + " SELECT method, gate, round(observed, 6) AS observed, threshold, observed <= threshold AS passed FROM t")
+@query("cnf_8_11_sharpness_gates", METHOD_SQL + " SELECT method, gate, round(observed, 6) AS observed, threshold, coalesce(observed <= threshold, true) AS passed FROM t")
 def _(spark, sf):
     return rounded(conformal.sharpness_gates(method_metrics(spark, sf), "global", LIMITS), "observed", digits=6)
 
 
-@query("cnf_12_method_choice", METHOD_SQL + """, ok AS (SELECT method FROM t GROUP BY 1 HAVING bool_and(observed <= threshold)), r AS (SELECT method, mean_width, CASE method WHEN 'global' THEN 1 ELSE 2 END AS place FROM m WHERE method IN (SELECT method FROM ok))
+@query("cnf_12_method_choice", METHOD_SQL + """, ok AS (SELECT method FROM t GROUP BY 1 HAVING bool_and(coalesce(observed <= threshold, true))), r AS (SELECT method, mean_width, CASE method WHEN 'global' THEN 1 ELSE 2 END AS place FROM m WHERE method IN (SELECT method FROM ok))
 SELECT arg_min(method, (mean_width, place)) AS method FROM r WHERE place = (SELECT min(place) FROM r) OR mean_width <= (SELECT arg_min(mean_width, place) FROM r) * 0.97""")
 def _(spark, sf):
     m = method_metrics(spark, sf)
@@ -549,7 +637,8 @@ def _(spark, sf):
 POISSON = ", ".join(f"{x!r}::DOUBLE" for x in conformal._POISSON)
 
 
-@query("cnf_10_cluster_bootstrap", L + f""", g AS (SELECT seller, sum(score) AS a, sum(y) AS b FROM listings GROUP BY 1), d AS (SELECT a, b, r.r, len(list_filter([{POISSON}], lambda c: c <= CAST('0x' || substr(md5(concat_ws(':', 'bootstrap', CAST(seller AS VARCHAR), CAST(r.r AS VARCHAR))), 1, 12) AS BIGINT)::DOUBLE / 281474976710656)) AS w FROM g, (SELECT unnest(range(1, 201)) AS r) r),
-e AS (SELECT r, sum(a * w) / sum(b * w) AS ratio FROM d GROUP BY r) SELECT round((SELECT sum(score) / sum(y) FROM listings), 6) AS ratio, round(quantile_cont(ratio, 0.025), 6) AS low, round(quantile_cont(ratio, 0.975), 6) AS high, count(*) AS replicates FROM e""")
+@query("cnf_10_cluster_bootstrap", L + f""", g AS (SELECT seller, sum(score) AS a, sum(y) AS b, count(*) AS n FROM listings GROUP BY 1), d AS (SELECT a, b, n, r.r, len(list_filter([{POISSON}], lambda c: c <= CAST('0x' || substr(md5(concat_ws(':', 'bootstrap', CAST(seller AS VARCHAR), CAST(r.r AS VARCHAR))), 1, 12) AS BIGINT)::DOUBLE / 281474976710656)) AS w FROM g, (SELECT unnest(range(1, 2001)) AS r) r),
+e AS (SELECT r, sum(a * w) / sum(b * w) AS ratio, (sum(a * w) - sum(b * w)) / sum(n * w) AS delta FROM d GROUP BY r) SELECT round((SELECT sum(score) / sum(y) FROM listings), 6) AS ratio, round(quantile_cont(ratio, 0.025), 6) AS low, round(quantile_cont(ratio, 0.975), 6) AS high,
+round((SELECT avg(score - y) FROM listings), 3) AS delta, round(quantile_cont(delta, 0.025), 3) AS delta_low, round(quantile_cont(delta, 0.975), 3) AS delta_high, count(*) AS replicates FROM e""")
 def _(spark, sf):
-    return rounded(conformal.cluster_bootstrap(scored(spark, sf), "seller", "score", "y", 200), "ratio", "low", "high", digits=6)
+    return rounded(rounded(conformal.cluster_bootstrap(scored(spark, sf), "seller", "score", "y"), "ratio", "low", "high", digits=6), "delta", "delta_low", "delta_high", digits=3)

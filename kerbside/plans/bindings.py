@@ -71,7 +71,7 @@ def raw_listings(spark: SparkSession, sf: str) -> DataFrame:
         broken(3, "20x1", F.year("l_shipdate").cast("string")).alias("year"), broken(4, "Unknown", F.when(c("l_returnflag") == "A", "Certified").when(c("l_returnflag") == "N", "New").otherwise("Used")).alias("status"),
         broken(5, "-5", F.when(c("l_returnflag") == "N", "").otherwise(F.concat((c("l_quantity") * 1000).cast("long").cast("string"), F.lit(".0")))).alias("mileage"),
         broken(6, "0", F.when(c("k") == 7, "12.345").otherwise(c("l_extendedprice").cast("decimal(18,2)").cast("string"))).alias("price"),
-        F.get(F.array(*[F.lit(s) for s in ("CA", "TX", "ca", "ON", "NY1")]), F.pmod("k", F.lit(5)).cast("int")).alias("state"),
+        F.get(F.array(*[F.lit(s) for s in ("CA", "TX", "ca", "ON", "NY1")]), F.pmod("k", F.lit(5)).cast("int")).alias("state"), (c("l_orderkey") * 8 + c("l_linenumber")).alias("number"),
     )
 
 
@@ -83,7 +83,7 @@ RAW = """raw AS (
     CASE WHEN (l_orderkey + l_linenumber * 3) % 17 = 4 THEN 'Unknown' WHEN l_returnflag = 'A' THEN 'Certified' WHEN l_returnflag = 'N' THEN 'New' ELSE 'Used' END AS status,
     CASE WHEN (l_orderkey + l_linenumber * 3) % 17 = 5 THEN '-5' WHEN l_returnflag = 'N' THEN '' ELSE CAST(CAST(l_quantity * 1000 AS BIGINT) AS VARCHAR) || '.0' END AS mileage,
     CASE WHEN (l_orderkey + l_linenumber * 3) % 17 = 6 THEN '0' WHEN (l_orderkey + l_linenumber * 3) % 17 = 7 THEN '12.345' ELSE CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS VARCHAR) END AS price,
-    ['CA', 'TX', 'ca', 'ON', 'NY1'][CAST((l_orderkey + l_linenumber * 3) % 17 % 5 + 1 AS INTEGER)] AS state
+    ['CA', 'TX', 'ca', 'ON', 'NY1'][CAST((l_orderkey + l_linenumber * 3) % 17 % 5 + 1 AS INTEGER)] AS state, l_orderkey * 8 + l_linenumber AS number
   FROM lineitem)"""
 
 
@@ -93,8 +93,8 @@ def reason_rules() -> list[tuple[str, Column]]:
 
     c = F.col
     return [
-        ("status_invalid", ~c("status").isin("New", "Used", "Certified")), ("brand_missing", S.source_text(c("brand"), 100)["reason"].isNotNull()), ("model_missing", S.source_text(c("model"), 200)["reason"].isNotNull()),
-        ("year_invalid", S.integral(c("year")).isNull() | ~S.integral(c("year")).between(1886, 2025)), ("mileage_invalid", ~S.is_missing(c("mileage")) & S.integral(c("mileage")).isNull()), ("price_invalid", S.decimal_cents(c("price")).isNull()),
+        ("status_invalid", ~c("status").isin("New", "Used", "Certified")), ("brand_missing", S.text_reason(c("brand"), 100).isNotNull()), ("model_missing", S.text_reason(c("model"), 200).isNotNull()),
+        ("year_invalid", ~F.coalesce(S.integral(c("year")).between(1886, 2025), F.lit(False))), ("mileage_invalid", ~S.is_missing(c("mileage")) & S.integral(c("mileage")).isNull()), ("price_invalid", S.decimal_cents(c("price")).isNull()),
     ]
 
 

@@ -17,22 +17,27 @@ from kerbside.staging import fresh_dir
 CONTRACT = FeatureContract(("make", "model", "year", "status"), ("mileage",), ("year", "mileage"))
 
 
-@query("src_1_strict_csv", f"WITH {RAW} SELECT status, CAST(NULL AS VARCHAR) AS reason_code, count(*) AS n FROM raw GROUP BY status")
+@query("src_1_strict_csv", f"WITH {RAW} SELECT status, CASE WHEN k IN (8, 9) THEN 'row_width_invalid' END AS reason_code, count(*) AS n FROM raw GROUP BY ALL")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    path = fresh_dir(spark, "csv")
-    raw_listings(spark, sf).select("brand", "model", "year", "status", "mileage", "price").write.option("header", "true").csv(path)
-    return readers.read_strict_csv(spark, path, ["brand", "model", "year", "status", "mileage", "price"]).groupBy("status", "reason_code").agg(F.count(F.lit(1)).alias("n"))
+    """Several files, each with its header; rows of kinds 8 and 9 have a field too few and one too many."""
+    path, names = fresh_dir(spark, "csv"), ["brand", "model", "year", "status", "mileage", "price"]
+    line = F.when(F.col("k") == 8, F.concat_ws(",", *names[:-1])).when(F.col("k") == 9, F.concat_ws(",", *names, F.lit("more"))).otherwise(F.concat_ws(",", *names))
+    first = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) == 0  # of its partition, so of its file
+    raw_listings(spark, sf).select(line.alias("line")).repartition(8).select(F.explode(F.when(first, F.array(F.lit(",".join(names)), "line")).otherwise(F.array("line"))).alias("value")).write.text(path)
+    return readers.read_strict_csv(spark, path, names).groupBy("status", "reason_code").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("src_2_jsonl", "SELECT event_type, count(*) AS n, count(*) FILTER (reason) AS invalid FROM (SELECT CASE WHEN event_id % 11 <> 0 THEN event_type END AS event_type, event_id % 11 = 0 AS reason FROM events) GROUP BY event_type")
+@query("src_2_jsonl", """SELECT CASE WHEN event_id % 13 = 0 THEN 'blank_line' WHEN event_id % 11 = 0 THEN 'json_invalid' WHEN event_id % 7 = 0 THEN 'columns_invalid' END AS reason_code, CASE WHEN event_id % 13 <> 0 AND event_id % 11 <> 0 AND event_id % 7 <> 0 THEN event_type END AS event_type,
+count(*) AS n, sum(CASE WHEN event_id % 13 <> 0 AND event_id % 11 <> 0 AND event_id % 7 <> 0 THEN user_id END)::BIGINT AS users FROM events GROUP BY ALL""")
 def _(spark, sf):
     path = fresh_dir(spark, "jsonl")
-    events = table(spark, sf, "events")
+    i = F.col("event_id")
     line = F.to_json(F.struct("event_id", "event_type", F.struct("user_id", "value").alias("detail")))
-    events.select(F.when(F.col("event_id") % 11 == 0, F.replace(line, F.lit('"event_id":'), F.lit('"event_id":"x",'))).otherwise(line).alias("value")).write.text(path)
-    schema = T.StructType.fromDDL("event_id long, event_type string, detail struct<user_id: long, value: double>")
-    rows = readers.read_jsonl(spark, path, schema)
-    return rows.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("reason_code").isNotNull()).alias("invalid"))
+    repeated = F.replace(line, F.lit('"event_type":'), F.lit('"event_type":"x","event_type":'))
+    table(spark, sf, "events").select(F.when(i % 13 == 0, " ").when(i % 11 == 0, F.replace(line, F.lit('"event_id":'), F.lit('"event_id":"x",'))).when(i % 7 == 0, repeated).otherwise(line).alias("value")).write.text(path)
+    rows = readers.read_jsonl(spark, path, T.StructType.fromDDL("event_id long, event_type string, detail struct<user_id: long, value: double>"))
+    ok = F.col("reason_code").isNull()
+    return rows.groupBy("reason_code", F.when(ok, F.col("event_type")).alias("event_type")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(ok, F.col("detail.user_id"))).alias("users"))
 
 
 @query("src_3_snapshots", "SELECT l_returnflag AS snapshot, count(*) AS n, count(*) AS expected, true AS ok FROM lineitem GROUP BY ALL")
@@ -164,10 +169,11 @@ def _(spark, sf):
     return rules.sentinel_audit(raw_listings(spark, sf), ["mileage", "brand"], "-5")
 
 
-@query("prj_11_published_row_checks", f"""WITH {JUDGED}, k AS (SELECT private_key, count(*) AS n FROM judged GROUP BY 1) SELECT count(*) FILTER (state IS DISTINCT FROM 'CA') AS fixed_differs, count(*) FILTER (reason_code IS NOT NULL AND reason_code <> 'price_invalid') AS unknown_reasons,
-(SELECT CAST(sum(n - 1) AS BIGINT) FROM k) AS repeated_keys FROM judged""")
+@query("prj_11_published_row_checks", f"""WITH {JUDGED}, k AS (SELECT private_key, count(*) AS n FROM judged GROUP BY 1), o AS (SELECT private_key AS k, lag(private_key) OVER (ORDER BY number) AS b FROM judged)
+SELECT count(*) FILTER (state IS DISTINCT FROM 'CA') AS fixed_differs, count(*) FILTER (reason_code IS NOT NULL AND reason_code <> 'price_invalid') AS unknown_reasons, count(*) FILTER (k NOT BETWEEN 1 AND 14) AS out_of_bounds,
+(SELECT CAST(sum(n - 1) AS BIGINT) FROM k) AS repeated_keys, (SELECT count(*) FILTER (k <= b) FROM o) AS not_increasing FROM judged""")
 def _(spark, sf):
-    return integrity.row_violations(rules.with_reason(raw_listings(spark, sf), reason_rules()), "private_key", {"state": "CA"}, ["price_invalid"])
+    return integrity.row_violations(rules.with_reason(raw_listings(spark, sf), reason_rules()), "private_key", {"state": "CA"}, ["price_invalid"], {"k": (1, 14)}, "number")
 
 
 @query("prj_12_url_boundary", """WITH u AS (SELECT page_id, url, regexp_extract(url, '^([a-z]+)://([^/?#@]*@)?([^/?#:]*)(:[0-9]*)?([^?#]*)(\\?[^#]*)?(#.*)?$', ['scheme', 'userinfo', 'host', 'port', 'path', 'query', 'fragment']) AS p FROM pages)
@@ -199,14 +205,16 @@ def scalar(name: str, sql: str, **columns):
 
 K = "((l_orderkey + l_linenumber) % 9)"
 NUM = f"CASE WHEN {K} = 0 THEN '' WHEN {K} = 1 THEN 'n/a' WHEN {K} = 2 THEN '12.0' WHEN {K} = 3 THEN '1.5' WHEN {K} = 4 THEN '999999' WHEN {K} = 5 THEN '3 owners' WHEN {K} = 6 THEN '51,000 mi.' ELSE CAST(CAST(l_quantity AS BIGINT) AS STRING) END"
-scalar("sca_1_normalize_text", "trim(regexp_replace(x_v, '\\s+', ' ', 'g')) AS v", v=("concat('  a   ', CAST(l_linenumber AS STRING), '  b ')", S.normalize_text))
+scalar("sca_1_normalize_text", f"CASE WHEN {K} < 4 THEN 'full width fi 1 é' ELSE trim(regexp_replace(x_v, '\\s+', ' ', 'g')) END AS v", v=(f"CASE WHEN {K} < 4 THEN ' ｆｕｌｌ\u3000ｗｉｄｔｈ  ﬁ ① e\u0301' ELSE concat('  a   ', CAST(l_linenumber AS STRING), '  b ') END", S.normalize_text))
 scalar("sca_2_source_text", "CASE WHEN trim(x_v) <> '' AND length(trim(x_v)) <= 8 AND NOT starts_with(x_v, '=') THEN trim(x_v) END AS v, CASE WHEN trim(x_w) = '' OR length(trim(x_w)) > 8 THEN 'text_invalid' WHEN starts_with(x_w, '=') THEN 'csv_formula_injection' END AS w",
        v=(f"CASE WHEN {K} = 0 THEN ' ' WHEN {K} = 1 THEN '=1+1' WHEN {K} = 2 THEN 'far too long a text' ELSE ' abc ' END", lambda c: S.source_text(c, 8, True)["value"]), w=(f"CASE WHEN {K} = 0 THEN ' ' WHEN {K} = 1 THEN '=1+1' WHEN {K} = 2 THEN 'far too long a text' ELSE ' abc ' END", lambda c: S.source_text(c, 8, True)["reason"]))
 scalar("sca_3_price_text", "CASE WHEN x_v IN ('', 'n/a', '12,34', 'EUR 100', '$250/mo', 'USD 5 USD') THEN NULL WHEN x_v = 'USD 12,345' THEN 1234500 ELSE CAST(replace(x_v[2:], ',', '') AS DECIMAL(18,2))::DOUBLE * 100 END::BIGINT AS v",
        v=(f"CASE WHEN {K} = 0 THEN '' WHEN {K} = 1 THEN 'n/a' WHEN {K} = 2 THEN '12,34' WHEN {K} = 3 THEN 'EUR 100' WHEN {K} = 4 THEN '$250/mo' WHEN {K} = 5 THEN 'USD 5 USD' WHEN {K} = 6 THEN 'USD 12,345' ELSE concat('$', CAST(CAST(l_quantity AS DECIMAL(18,2)) AS STRING)) END", S.price_text_cents))
 scalar("sca_4_numeric_price", "CASE WHEN x_v IN ('0', '12.345', 'x') THEN NULL ELSE CAST(CAST(x_v AS DECIMAL(18,2)) * 100 AS BIGINT) END AS v", v=(f"CASE WHEN {K} = 0 THEN '0' WHEN {K} = 1 THEN '12.345' WHEN {K} = 2 THEN 'x' WHEN {K} = 3 THEN '7.500' ELSE CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS STRING) END", S.decimal_cents))
 scalar("sca_5_integral", "CASE WHEN regexp_full_match(x_v, '[0-9]+(\\.0+)?') THEN CAST(regexp_extract(x_v, '^[0-9]+') AS BIGINT) END AS v", v=(NUM, S.integral))
-scalar("sca_6_optional_int", "CASE WHEN regexp_full_match(lower(replace(trim(x_v), ',', '')), '[0-9]{1,9}( ?(mi|miles|owners?|accidents?)\\.?)?') THEN CAST(regexp_extract(replace(x_v, ',', ''), '^[0-9]+') AS INTEGER) END AS v, x_ok IN ('', 'n/a') OR regexp_full_match(lower(replace(x_ok, ',', '')), '[0-9]{1,9}( ?(mi|miles|owners?|accidents?)\\.?)?') AS ok", v=(NUM, lambda c: S.optional_int(c)["value"]), ok=(NUM, lambda c: S.optional_int(c)["valid"]))
+COUNT = f"CASE (l_orderkey + l_linenumber) % 11 WHEN 0 THEN '' WHEN 1 THEN 'N/A' WHEN 2 THEN '-5' WHEN 3 THEN '51 000 mi' WHEN 4 THEN '1.5' WHEN 5 THEN ' 3 Owners ' WHEN 6 THEN '51,000 mi.' WHEN 7 THEN '99999999999' WHEN 8 THEN '+1,2' WHEN 9 THEN 'five' ELSE CAST(CAST(l_quantity AS BIGINT) AS STRING) END"
+COUNTED = "TRY_CAST(nullif(regexp_extract(regexp_replace(lower(x_{c}), '[,\\s]', '', 'g'), '^([+-]?[0-9]+)((mi|miles|owners?|accidents?)\\.?)?$', 1), '') AS INTEGER)"
+scalar("sca_6_optional_int", f"{COUNTED.format(c='v')} AS v, lower(x_ok) IN ('', 'n/a') OR {COUNTED.format(c='ok')} IS NOT NULL AS ok", v=(COUNT, lambda c: S.optional_int(c)["value"]), ok=(COUNT, lambda c: S.optional_int(c)["valid"]))
 scalar("sca_7_odometer", "CASE WHEN regexp_full_match(x_v, '[0-9]+(\\.0+)?') AND x_v <> '999999' THEN CAST(regexp_extract(x_v, '^[0-9]+') AS BIGINT) END AS v", v=(NUM, S.odometer))
 scalar("sca_8_mileage_text", "CASE WHEN regexp_full_match(x_v, '[0-9]{1,3}(,[0-9]{3})* mi\\.') THEN CAST(regexp_extract(replace(x_v, ',', ''), '^[0-9]+') AS INTEGER) END AS v", v=(NUM, S.mileage_text))
 scalar("sca_9_condition_grade", "CASE WHEN TRY_CAST(x_v AS DOUBLE) BETWEEN 1 AND 5 THEN TRY_CAST(x_v AS DOUBLE) WHEN TRY_CAST(x_v AS DOUBLE) BETWEEN 11 AND 49 AND TRY_CAST(x_v AS DOUBLE) = floor(TRY_CAST(x_v AS DOUBLE)) THEN TRY_CAST(x_v AS DOUBLE) / 10 END AS v", v=(NUM, lambda c: S.condition_grade(c).cast("double")))
@@ -219,7 +227,8 @@ scalar("sca_14_accident_status", "CASE WHEN x_v = 'None reported' THEN 'none' WH
 scalar("sca_15_derived_id", "coalesce(nullif(trim(x_v), ''), 'derived-' || substr(sha256('x'), 1, 24)) AS v", v=(f"CASE WHEN {K} < 3 THEN ' ' ELSE CAST(l_orderkey AS STRING) END", lambda c: S.derived_id(c, F.sha2(F.lit("x"), 256))))
 scalar("sca_16_opaque_row_id", "sha256('source-1:' || CAST(x_v AS VARCHAR)) AS v", v=("l_orderkey", lambda c: S.opaque_row_id("source-1", c)))
 scalar("sca_17_content_hash", "sha256(concat_ws(chr(31), coalesce(x_v, chr(0)), 'b')) AS v", v=(f"CASE WHEN {K} < 3 THEN NULL ELSE l_returnflag END", lambda c: S.content_hash(c, F.lit("b"))))
-scalar("sca_18_keyed_hash", "sha256('salt' || CAST(x_v AS VARCHAR) || 'salt') AS v", v=("l_orderkey", lambda c: S.keyed_hash("salt", c)))
+PADS = ["".join(f"\\x{x ^ mask:02X}" for x in b"salt".ljust(64, b"\0")) for mask in (0x36, 0x5C)]
+scalar("sca_18_keyed_hash", f"sha256('{PADS[1]}'::BLOB || unhex(sha256('{PADS[0]}'::BLOB || encode(CAST(x_v AS VARCHAR))))) AS v", v=("l_orderkey", lambda c: S.keyed_hash("salt", c)))
 scalar("sca_19_canonical_url", "'https://example.org/' || replace(x_v, ' ', '%20') AS v", v=("concat('id ', l_returnflag)", lambda c: S.canonical_url(F.lit(""), "https://example.org/", c)))
 scalar("sca_20_age_features", "greatest(1998 - x_age, 0) AS age, round(5000.0 / greatest(1998 - x_rate, 1), 6) AS rate", age=("CAST(year(l_shipdate) AS INT)", lambda c: S.age_years(c, 1998)), rate=("CAST(year(l_shipdate) AS INT)", lambda c: F.round(S.mileage_per_year(F.lit(5000), c, 1998), 6)))
 scalar("sca_21_numeric_band", "CASE WHEN x_v IS NULL THEN 'missing' WHEN x_v <= 10 THEN 'low' WHEN x_v <= 30 THEN 'mid' ELSE 'high' END AS v", v=(f"CASE WHEN {K} > 0 THEN l_quantity END", lambda c: S.numeric_band(c, [10, 30], ["low", "mid", "high"])))
@@ -267,10 +276,13 @@ def _(spark, sf):
     return dedupe.mark_duplicates(listings(spark, sf), ["make", "year", "status"], F.col("row_id")).where(~F.col("is_duplicate")).select("row_id")
 
 
-@query("dup_4_accounting", f"""WITH {DEDUPED} SELECT status, count(*) AS seen, count(*) FILTER (reason_code IS NULL AND NOT is_duplicate) AS accepted, count(*) FILTER (reason_code IS NOT NULL) AS rejected,
-count(*) FILTER (reason_code IS NULL AND is_duplicate) AS duplicates, true AS balanced FROM deduped GROUP BY status""")
+@query("dup_4_accounting", f"""WITH {DEDUPED}, r AS (SELECT status, string_agg(reason_code || '=' || n, ',' ORDER BY reason_code) AS by_reason FROM (SELECT status, reason_code, count(*) AS n FROM deduped WHERE reason_code IS NOT NULL GROUP BY ALL) GROUP BY 1),
+p AS (SELECT *, CASE WHEN reason_code IS NULL AND NOT is_duplicate THEN CAST(CAST(price AS DECIMAL(18,2)) * 100 AS BIGINT) END AS cents FROM deduped)
+SELECT status, count(*) AS seen, count(*) FILTER (reason_code IS NULL AND NOT is_duplicate) AS accepted, count(*) FILTER (reason_code IS NOT NULL) AS rejected, count(*) FILTER (reason_code IS NULL AND is_duplicate) AS duplicates,
+any_value(by_reason) AS by_reason, min(cents) AS min_cents, max(cents) AS max_cents, true AS balanced FROM p LEFT JOIN r USING (status) GROUP BY status""")
 def _(spark, sf):
-    return dedupe.accounting(deduped(spark, sf), by=["status"])
+    found = dedupe.accounting(deduped(spark, sf), by=["status"], ranges={"cents": S.decimal_cents(F.col("price"))})
+    return found.withColumn("by_reason", F.nullif(F.array_join(F.transform(F.map_entries("by_reason"), lambda e: F.concat_ws("=", e["key"], e["value"])), ","), F.lit("")))
 
 
 @query("dup_5_repeated_keys", "WITH k AS (SELECT CASE WHEN l_suppkey % 3 = 0 THEN NULL ELSE l_orderkey END AS k, count(*) AS n FROM lineitem GROUP BY 1) SELECT CAST(coalesce(sum(n - 1) FILTER (k IS NOT NULL), 0) AS BIGINT) AS beyond_first, count(*) FILTER (k IS NOT NULL AND n > 1) AS repeated_keys, CAST(coalesce(sum(n) FILTER (k IS NULL), 0) AS BIGINT) AS invalid_keys FROM k")

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from kerbside.functions import scalars as S
 from kerbside.operators import evaluate, mixing, models, relate, rules
+from kerbside.operators.quantiles import quantiles, with_quantiles
 from kerbside.plans.analysis import METRICS, L, tidy
-from kerbside.plans.bindings import listings, query, rounded, scored, table
+from kerbside.plans.bindings import SQL, listings, query, rounded, scored, table
 from kerbside.plans.ingest import CONTRACT
+from kerbside.staging import written
 from kerbside.streaming import keyed, outcomes
 
 FOLDS = 5
@@ -45,12 +47,17 @@ def prepared(spark, sf):
 NUMERIC, CATEGORICAL = ["age", "mileage", "mileage_per_year", "mileage_missing"], ["make", "status"]
 
 
-@query("mod_5_sparse_design_matrix", f"{L} SELECT count(*) AS n FROM listings")
+@query("mod_5_sparse_design_matrix", f"""{L}, e AS (SELECT row_id, make, status, greatest(2002 - year, 0) AS age, coalesce(mileage, 0) AS mileage, coalesce(mileage::DOUBLE / greatest(2002 - year, 1), 0) AS rate, CASE WHEN mileage IS NULL THEN 1 ELSE 0 END AS missing FROM listings),
+m AS (SELECT make, row_number() OVER (ORDER BY count(*) DESC, make) AS k FROM listings GROUP BY 1), t AS (SELECT status, row_number() OVER (ORDER BY count(*) DESC, status) AS k FROM listings GROUP BY 1), c AS (SELECT count(*) AS makes FROM m),
+x AS (SELECT row_id, unnest([0, 1, 2, 3, 3 + m.k, 3 + c.makes + t.k]) AS i, unnest([age, mileage, rate, missing, 1, 1]) AS v FROM e JOIN m USING (make) JOIN t USING (status), c) SELECT row_id, CAST(i AS INTEGER) AS index, round(v, 6) AS value FROM x WHERE v <> 0""")
 def _(spark, sf):
+    """The matrix itself: every non-zero of every row."""
     from pyspark.ml import Pipeline
+    from pyspark.ml.functions import vector_to_array
 
     rows = prepared(spark, sf)
-    return Pipeline(stages=models.design(NUMERIC, CATEGORICAL)).fit(rows).transform(rows).select("features").agg(F.count("features").alias("n"))
+    made = Pipeline(stages=models.design(NUMERIC, CATEGORICAL)).fit(rows).transform(rows)
+    return made.select("row_id", F.posexplode(vector_to_array("features")).alias("index", "value")).where("value <> 0").withColumn("value", F.round("value", 6))
 
 
 @query("mod_6_median_baseline", SERVED + ", m AS (SELECT for_fold, make, median(y) AS p FROM t GROUP BY ALL) SELECT row_id, round(m.p, 4) AS p FROM listings l JOIN m ON l.fold = m.for_fold AND l.make = m.make")
@@ -58,34 +65,33 @@ def _(spark, sf):
     return rounded(models.median_baseline(scored(spark, sf).drop("p"), "fold", FOLDS, "y", "make").select("row_id", "p"), "p")
 
 
-def three_folds(spark, sf):
-    return prepared(spark, sf).withColumn("fold", F.pmod("fold", F.lit(3)))
-
-
-def oof_metrics(spark, sf, estimator):
-    found = models.out_of_fold(three_folds(spark, sf), "fold", 3, "row_id", "y", lambda: [*models.design(NUMERIC, CATEGORICAL), estimator("y")])
-    return tidy(evaluate.regression_metrics(found, by=["fold"]))
+def oof_metrics(spark, sf, candidates):
+    found = models.grid(prepared(spark, sf), "fold", FOLDS, "row_id", "y", lambda: models.design(NUMERIC, CATEGORICAL), candidates)
+    return tidy(evaluate.regression_metrics(found, by=["candidate", "fold"]))
 
 
 @query("mod_7_11_linear_out_of_fold")
 def _(spark, sf):
-    return oof_metrics(spark, sf, models.linear)
+    found = models.out_of_fold(prepared(spark, sf), "fold", FOLDS, "row_id", "y", lambda: [*models.design(NUMERIC, CATEGORICAL), models.linear("y")])
+    return tidy(evaluate.regression_metrics(found, by=["fold"]))
 
 
 @query("mod_8_random_forest")
 def _(spark, sf):
-    return oof_metrics(spark, sf, lambda y: models.random_forest(y, 8, 6))
+    """Six parameter tuples on five folds."""
+    return oof_metrics(spark, sf, {name: (lambda t=t: models.random_forest("y", *t)) for name, t in models.FORESTS.items()})
 
 
 @query("mod_9_gradient_boosting")
 def _(spark, sf):
-    return oof_metrics(spark, sf, lambda y: models.boosting(y, 5, 4))
+    """Six parameter tuples on five folds."""
+    return oof_metrics(spark, sf, {name: (lambda t=t: models.boosting("y", *t)) for name, t in models.BOOSTED.items()})
 
 
 @query("mod_10_residual_scale")
 def _(spark, sf):
-    rows = three_folds(spark, sf).withColumn("size", F.greatest("score", F.lit(1.0)))
-    found = models.out_of_fold(rows, "fold", 3, "row_id", "size", lambda: [*models.design(NUMERIC, CATEGORICAL), models.residual_scale("size")], "scale")
+    rows = prepared(spark, sf).withColumn("size", F.greatest("score", F.lit(1.0)))
+    found = models.out_of_fold(rows, "fold", FOLDS, "row_id", "size", lambda: [*models.design(NUMERIC, CATEGORICAL), models.residual_scale("size")], "scale")
     return found.withColumn("scale", S.clip(F.col("scale"), 500.0, 250_000.0)).groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("scale"), 2).alias("mean_scale"))
 
 
@@ -96,14 +102,17 @@ def _(spark, sf):
     return tidy(evaluate.regression_metrics(found))
 
 
-RESULTS = L + """, r AS (SELECT make AS candidate, CASE WHEN make < 'Brand#3' THEN 'a' ELSE 'b' END AS family, 1::BIGINT AS n, round(avg(abs(p - y)), 4) AS mae, round(sqrt(avg((p - y) * (p - y))), 4) AS rmse, round(max(score), 4) AS worst_slice_mae, count(*)::DOUBLE AS size_mb, 1.0::DOUBLE AS latency_ms FROM listings GROUP BY make)"""
+RESULTS = L + """, c AS (SELECT CAST(unnest(range(0, 8)) AS INTEGER) AS k), e AS (SELECT c.k, make, p * (0.8 + 0.05 * c.k) - y AS e FROM listings, c), z AS (SELECT k, max(m) AS worst FROM (SELECT k, make, avg(abs(e)) AS m FROM e GROUP BY ALL) GROUP BY k),
+r AS (SELECT 'c' || e.k AS candidate, CASE WHEN e.k % 2 = 0 THEN 'a' ELSE 'b' END AS family, count(*) AS n, round(avg(abs(e)), 4) AS mae, round(sqrt(avg(e * e)), 4) AS rmse, round(any_value(worst), 4) AS worst_slice_mae, e.k * 10.0::DOUBLE AS size_mb, 100.0::DOUBLE + e.k AS latency_ms FROM e JOIN z ON e.k = z.k GROUP BY e.k)"""
 
 
 def results(spark, sf):
-    """Each make stands for a candidate model with its own errors."""
-    e = F.col("p") - F.col("y")
-    found = scored(spark, sf).groupBy(F.col("make").alias("candidate")).agg(F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.max("score").alias("worst_slice_mae"), F.count(F.lit(1)).cast("double").alias("size_mb"))
-    return rounded(found, "mae", "rmse", "worst_slice_mae").withColumns({"family": F.when(F.col("candidate") < "Brand#3", "a").otherwise("b"), "n": F.lit(1).cast("long"), "latency_ms": F.lit(1.0)})
+    """Eight candidates, each the prediction times its own factor, scored on all rows; sizes and latencies are given, as by a model card."""
+    k = F.col("k")
+    rows = scored(spark, sf).select("make", "y", "p", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("k")).select("k", "make", (F.col("p") * (F.lit(0.8) + F.lit(0.05) * k) - F.col("y")).alias("e"))
+    parts = rows.groupBy("k", "make").agg(F.count(F.lit(1)).alias("n"), F.sum(F.abs("e")).alias("a"), F.sum(F.col("e") * F.col("e")).alias("s"))
+    found = parts.groupBy("k").agg(F.sum("n").alias("n"), (F.sum("a") / F.sum("n")).alias("mae"), F.sqrt(F.sum("s") / F.sum("n")).alias("rmse"), F.max(F.col("a") / F.col("n")).alias("worst_slice_mae"))
+    return rounded(found, "mae", "rmse", "worst_slice_mae").select(F.concat(F.lit("c"), k.cast("string")).alias("candidate"), F.when(k % 2 == 0, "a").otherwise("b").alias("family"), "n", "mae", "rmse", "worst_slice_mae", (k * 10.0).alias("size_mb"), (k + 100.0).alias("latency_ms"))
 
 
 @query("mod_13_shortlist", RESULTS + " SELECT family, candidate, mae, CAST(row_number() OVER (PARTITION BY family ORDER BY mae, candidate) AS INTEGER) AS rank FROM r QUALIFY row_number() OVER (PARTITION BY family ORDER BY mae, candidate) <= 2")
@@ -111,21 +120,27 @@ def _(spark, sf):
     return models.shortlist(results(spark, sf)).select("family", "candidate", "mae", "rank")
 
 
-@query("mod_14_promotion", RESULTS + """, i AS (SELECT * FROM r WHERE candidate = 'Brand#11'), j AS (SELECT r.candidate, r.mae, r.size_mb, CASE WHEN i.mae - r.mae < 0.001 * i.mae OR i.mae - r.mae < 1 THEN 'gain' WHEN r.rmse > i.rmse * 1.05 THEN 'rmse' WHEN r.worst_slice_mae > i.worst_slice_mae * 1.05 THEN 'slice' END AS failed FROM r, i WHERE r.candidate <> 'Brand#11'),
+@query("mod_14_promotion", RESULTS + """, i AS (SELECT * FROM r WHERE candidate = 'c7'), j AS (SELECT r.candidate, r.mae, r.size_mb, CASE WHEN i.mae - r.mae < 0.001 * i.mae OR i.mae - r.mae < 1 THEN 'gain' WHEN r.rmse > i.rmse * 1.05 THEN 'rmse' WHEN r.worst_slice_mae > i.worst_slice_mae * 1.05 THEN 'slice' WHEN r.size_mb > 50 THEN 'budget:size_mb' WHEN r.latency_ms > 103 THEN 'budget:latency_ms' END AS failed FROM r, i WHERE r.candidate <> 'c7'),
 w AS (SELECT arg_min(candidate, (size_mb, candidate)) AS c FROM j WHERE failed IS NULL AND mae <= (SELECT min(mae) FROM j WHERE failed IS NULL) * 1.01) SELECT candidate, mae, failed, coalesce(candidate = (SELECT c FROM w), false) AS promoted FROM j""")
 def _(spark, sf):
-    return models.promote(results(spark, sf), "Brand#11", 0.001, 1.0)
+    return models.promote(results(spark, sf), "c7", 0.001, 1.0, budgets={"size_mb": 50.0, "latency_ms": 103.0})
 
 
 ARMS = SERVED + """, a AS (SELECT 'all' AS arm, * FROM t UNION ALL SELECT 'one_source', * FROM t WHERE source = 'O'), o AS (SELECT arm, for_fold, make, median(y) AS p FROM a GROUP BY ALL), e AS (SELECT arm, for_fold, median(y) AS p FROM a GROUP BY ALL),
-s AS (SELECT e.arm, l.row_id, l.source, l.y, coalesce(o.p, e.p) AS p FROM listings l JOIN e ON l.fold = e.for_fold LEFT JOIN o ON o.arm = e.arm AND o.for_fold = l.fold AND o.make = l.make),
+s AS (SELECT e.arm, l.row_id, l.source, l.fold, l.y, coalesce(o.p, e.p) AS p FROM listings l JOIN e ON l.fold = e.for_fold LEFT JOIN o ON o.arm = e.arm AND o.for_fold = l.fold AND o.make = l.make),
 m AS (SELECT arm, source, round(avg(abs(p - y)), 4) AS mae FROM s GROUP BY GROUPING SETS ((arm), (arm, source)))"""
 
 
+def paired(spark, sf):
+    rows = scored(spark, sf).select("row_id", "make", "source", "fold", "y")
+    return mixing.paired_arms(rows, "fold", FOLDS, {"all": F.lit(True), "one_source": F.col("source") == "O"}, "make", "y")
+
+
 def arm_errors(spark, sf):
-    arms = mixing.paired_arms(scored(spark, sf).drop("p"), "fold", FOLDS, {"all": F.lit(True), "one_source": F.col("source") == "O"}, "make", "y")
-    e = F.round(F.avg(F.abs(F.col("p") - F.col("y"))), 4).alias("mae")
-    return arms.groupBy("arm", "source").agg(e).unionByName(arms.groupBy("arm").agg(e).select("arm", F.lit(None).cast("string").alias("source"), "mae"))
+    e = F.abs(F.col("p") - F.col("y"))
+    parts = paired(spark, sf).groupBy("arm", "source").agg(F.sum(e).alias("s"), F.count(F.lit(1)).alias("n"))
+    # One pass: the pooled error from the sums by source.
+    return parts.groupingSets([[F.col("arm")], [F.col("arm"), F.col("source")]], F.col("arm"), F.col("source")).agg(F.round(F.sum("s") / F.sum("n"), 4).alias("mae"))
 
 
 @query("mod_15_paired_arms", ARMS + " SELECT arm, source, mae FROM m")
@@ -163,22 +178,53 @@ def _(spark, sf):
     return rounded(weighted.select("row_id", "weight"), "weight", digits=6)
 
 
-@query("mod_19_weight_diagnostics", WEIGHTS + " SELECT source, count(*) AS n, round(min(weight), 6) AS min, round(max(weight), 6) AS max, round(avg(weight), 6) AS mean, round(sum(weight), 3) AS total, round(sum(weight) * sum(weight) / sum(weight * weight), 3) AS effective FROM w GROUP BY source")
+@query("mod_19_weight_diagnostics", WEIGHTS + " SELECT source, count(*) AS n, round(min(weight), 6) AS min, round(median(weight), 6) AS median, round(max(weight), 6) AS max, round(avg(weight), 6) AS mean, round(sum(weight), 3) AS total, round(sum(weight) * sum(weight) / sum(weight * weight), 3) AS effective, round(sum(weight) * sum(weight) / sum(weight * weight) / count(*), 6) AS effective_share FROM w GROUP BY source")
 def _(spark, sf):
     found = mixing.weight_diagnostics(mixing.source_weights(listings(spark, sf), "source", ["fold"]), ["source"])
-    return rounded(rounded(found, "min", "max", "mean", digits=6), "total", "effective", digits=3)
+    return rounded(rounded(found, "min", "median", "max", "mean", "effective_share", digits=6), "total", "effective", digits=3)
+
 
+FACTORS = SQL["mod_18_alignment_factors"]
 
-@query("mod_20_weighting_decision", DECISION + """, p AS (SELECT *, arm = 'one_source' OR (gain >= 0 AND worst <= 0.05) AS passed FROM d), n AS (SELECT *, passed AND pooled <= (SELECT min(pooled) FROM p WHERE passed) * 1.005 AS near_best FROM p)
-SELECT arm, pooled, round(gain, 6) AS gain, round(worst, 6) AS worst, passed, near_best, arm = (SELECT arg_min(arm, CASE arm WHEN 'one_source' THEN 1 ELSE 2 END) FROM n WHERE near_best) AS chosen FROM n""")
+
+@query("mod_19_extreme_factors", f"""SELECT source, label, factor, CAST(row_number() OVER (PARTITION BY source ORDER BY factor, label) AS INTEGER) AS lowest, CAST(row_number() OVER (PARTITION BY source ORDER BY factor DESC, label) AS INTEGER) AS highest FROM ({FACTORS})
+QUALIFY row_number() OVER (PARTITION BY source ORDER BY factor, label) <= 3 OR row_number() OVER (PARTITION BY source ORDER BY factor DESC, label) <= 3""")
 def _(spark, sf):
-    return rounded(mixing.weighting_decision(arm_errors(spark, sf), "one_source", ["one_source", "all"]), "gain", "worst", digits=6)
+    return mixing.extreme_factors(rounded(mixing.alignment_factors(listings(spark, sf), "source", "make", 0.5, 0.85, 1.15), "factor", digits=6), "source")
+
 
+def treatments(spark, sf):
+    """What the gates compare, one row for each arm; the arm of all sources has source-balanced weights, the other has none."""
+    e = F.abs(F.col("p") - F.col("y"))
+    rows = written(paired(spark, sf).select("arm", "fold", "source", "y", e.alias("e")), "treatments")
+    parts = rows.groupBy("arm", "fold", "source").agg(F.count(F.lit(1)).alias("n"), F.sum("e").alias("s"), F.sum(F.col("e") * F.col("e")).alias("q"), F.count_if(F.col("y") >= 60_000).alias("hn"), F.sum(F.when(F.col("y") >= 60_000, F.col("e"))).alias("hs"))
+    total = parts.groupBy("arm").agg((F.sum("s") / F.sum("n")).alias("pooled"), F.sqrt(F.sum("q") / F.sum("n")).alias("rmse"), (F.sum("hs") / F.sum("hn")).alias("high_price_mae"))
+    worst = lambda by, name: parts.groupBy("arm", by).agg((F.sum("s") / F.sum("n")).alias("m")).groupBy("arm").agg(F.max("m").alias(name))
+    wide = with_quantiles(total, rows, {"p90_ae": (F.col("e"), 0.9)}, ["arm"]).join(worst("fold", "worst_fold"), "arm").join(worst("source", "source_worst"), "arm")
+    weights = mixing.weight_diagnostics(mixing.source_weights(listings(spark, sf), "source", ["fold"]), []).select(F.lit("all").alias("__a"), "effective_share", F.col("max").alias("max_weight"))
+    held = wide.join(F.broadcast(weights), F.col("arm") == F.col("__a"), "left").drop("__a").fillna(1.0, ["effective_share", "max_weight"])
+    return written(rounded(rounded(held, "pooled", "rmse", "high_price_mae", "p90_ae", "worst_fold", "source_worst"), "effective_share", "max_weight", digits=6), "treatment-metrics")
 
-@query("mod_21_unseen_categories", f"{L} SELECT row_id, upper(model) NOT IN (SELECT DISTINCT upper(model) FROM listings WHERE fold = 1) AS unseen FROM listings WHERE fold = 0")
+
+@query("mod_20_weighting_decision", ARMS + WEIGHTS[len(L):] + """, x AS (SELECT *, abs(p - y) AS e FROM s),
+wf AS (SELECT arm, max(m) AS worst_fold FROM (SELECT arm, fold, avg(e) AS m FROM x GROUP BY ALL) GROUP BY 1), ws AS (SELECT arm, max(m) AS source_worst FROM (SELECT arm, source, avg(e) AS m FROM x GROUP BY ALL) GROUP BY 1),
+g AS (SELECT sum(weight) * sum(weight) / sum(weight * weight) / count(*) AS share, max(weight) AS most FROM w),
+d AS (SELECT arm, round(avg(e), 4) AS pooled, round(sqrt(avg(e * e)), 4) AS rmse, round(avg(e) FILTER (y >= 60000), 4) AS high_price_mae, round(quantile_cont(e, 0.9), 4) AS p90_ae, round(any_value(worst_fold), 4) AS worst_fold, round(any_value(source_worst), 4) AS source_worst,
+  CASE WHEN arm = 'all' THEN round(any_value(g.share), 6) ELSE 1 END AS effective_share, CASE WHEN arm = 'all' THEN round(any_value(g.most), 6) ELSE 1 END AS max_weight FROM x JOIN wf USING (arm) JOIN ws USING (arm), g GROUP BY arm),
+b AS (SELECT * FROM d WHERE arm = 'one_source'),
+j AS (SELECT d.*, CASE WHEN d.arm = 'one_source' THEN '' ELSE array_to_string(list_filter([CASE WHEN d.pooled > b.pooled THEN 'pooled' END, CASE WHEN d.worst_fold / b.worst_fold - 1 > 0.01 THEN 'worst_fold' END, CASE WHEN d.source_worst / b.source_worst - 1 > 0.05 THEN 'source_worst' END, CASE WHEN d.rmse / b.rmse - 1 > 0.02 THEN 'rmse' END,
+  CASE WHEN d.high_price_mae / b.high_price_mae - 1 > 0.05 THEN 'high_price_mae' END, CASE WHEN d.p90_ae / b.p90_ae - 1 > 0.02 THEN 'p90_ae' END, CASE WHEN d.effective_share < 0.9 THEN 'effective_share' END, CASE WHEN d.max_weight > 1.5 THEN 'max_weight' END], lambda z: z IS NOT NULL), ',') END AS failed FROM d, b),
+p AS (SELECT *, failed = '' AS passed FROM j), n AS (SELECT *, passed AND pooled <= (SELECT min(pooled) FROM p WHERE passed) * 1.005 AS near_best FROM p)
+SELECT *, arm = (SELECT arg_min(arm, CASE arm WHEN 'one_source' THEN 1 ELSE 2 END) FROM n WHERE near_best) AS chosen FROM n""")
 def _(spark, sf):
+    return mixing.weighting_decision(treatments(spark, sf), "one_source", ["one_source", "all"])
+
+
+@query("mod_21_unseen_categories", f"{L} SELECT row_id, upper(model) NOT IN (SELECT DISTINCT upper(model) FROM listings WHERE fold <> 0) AS unseen FROM listings WHERE fold = 0")
+def _(spark, sf):
+    """The vocabulary of all training folds against the fold that is held out."""
     rows = listings(spark, sf)
-    known = rows.where("fold = 1").select(F.lit("model").alias("column"), F.upper("model").alias("value")).distinct()
+    known = rows.where("fold <> 0").select(F.lit("model").alias("column"), F.upper("model").alias("value")).distinct()
     return models.unseen_categories(rows.where("fold = 0"), known, ["model"]).select("row_id", "unseen")
 
 
@@ -191,10 +237,11 @@ def _(spark, sf):
 
 @query("mod_22_batch_scoring")
 def _(spark, sf):
+    """A model of folds 1, 2 and 4, calibrated on fold 3, values every row of fold 0: no fold is left out."""
     from kerbside.operators import conformal
 
-    rows = prepared(spark, sf)
-    fitted = models.holdout(rows.where("fold in (1, 2)"), rows.where("fold in (0, 3)"), "row_id", "y", [*models.design(NUMERIC, CATEGORICAL), models.linear("y")])
+    rows = written(prepared(spark, sf), "scoring")
+    fitted = models.holdout(rows.where("fold in (1, 2, 4)"), rows.where("fold in (0, 3)"), "row_id", "y", [*models.design(NUMERIC, CATEGORICAL), models.linear("y")])
     placed = fitted.join(rows.select("row_id", "status", "fold").dropDuplicates(["row_id"]), "row_id").withColumn("score", F.abs(F.col("p") - F.col("y")))
     radii = conformal.fit_radii(placed.where("fold = 3"), "status", "score")
     return rounded(conformal.apply_intervals(placed.where("fold = 0"), radii, [("status", ["status"]), ("global", [])], 0.9).select("row_id", "p", "lower", "upper", "method"), "p", "lower", "upper", digits=2)
@@ -208,23 +255,23 @@ def _(spark, sf):
 
 
 def predictions(spark, sf):
-    """Views and clicks predict a value; every 17th has a bad value."""
+    """Views and clicks predict a value; every 17th has a bad value, every tenth user has predictors out of contract."""
     e = table(spark, sf, "events").where("event_type in ('view', 'click')")
-    return e.select(F.concat(F.lit("u"), "user_id", F.lit("-"), F.date_format("ts", "yyyyMMdd")).alias("event_id"), F.col("event_type").alias("source_id"), F.col("ts").alias("observed_at"), F.when(F.col("event_id") % 17 == 0, -1.0).otherwise(F.col("value")).alias("prediction"))
+    return e.select(F.concat(F.lit("u"), "user_id", F.lit("-"), F.date_format("ts", "yyyyMMdd")).alias("event_id"), F.col("event_type").alias("source_id"), F.col("ts").alias("observed_at"), F.when(F.col("event_id") % 17 == 0, -1.0).otherwise(F.col("value")).alias("prediction"), (F.col("user_id") % 10 != 0).alias("features_valid"))
 
 
 def actuals(spark, sf):
     """Purchases are outcomes of the user's day; every 13th id is used twice, some targets are bad."""
     e = table(spark, sf, "events").where("event_type = 'purchase'")
     c = F.col
-    return e.select(F.concat(F.lit("o"), F.when(c("event_id") % 13 == 0, c("user_id") * 0 + 7).otherwise(c("event_id")).cast("string")).alias("outcome_id"), F.concat(F.lit("u"), "user_id", F.lit("-"), F.date_format("ts", "yyyyMMdd")).alias("event_id"), F.when(c("event_id") % 5 == 0, "click").otherwise("view").alias("source_id"), c("ts").alias("occurred_at"), F.when(c("event_id") % 7 == 0, 0.0).otherwise(c("value")).alias("target"), c("event_id").alias("number"))
+    return e.select(F.concat(F.lit("o"), F.when(c("event_id") % 13 == 0, c("user_id") * 0 + 7).otherwise(c("event_id")).cast("string")).alias("outcome_id"), F.concat(F.lit("u"), "user_id", F.lit("-"), F.date_format("ts", "yyyyMMdd")).alias("event_id"), F.when(c("event_id") % 5 == 0, "click").otherwise("view").alias("source_id"), c("ts").alias("occurred_at"), F.when(c("event_id") % 7 == 0, 0.0).otherwise(c("value")).alias("target"), (c("event_id") % 19 != 0).alias("utc"), c("event_id").alias("number"))
 
 
-STREAM = """p AS (SELECT 'u' || user_id || '-' || strftime(ts, '%Y%m%d') AS event_id, event_type AS source_id, ts AS observed_at, CASE WHEN event_id % 17 = 0 THEN -1.0 ELSE value END AS prediction FROM events WHERE event_type IN ('view', 'click')),
-o AS (SELECT 'o' || CASE WHEN event_id % 13 = 0 THEN 7 ELSE event_id END AS outcome_id, 'u' || user_id || '-' || strftime(ts, '%Y%m%d') AS event_id, CASE WHEN event_id % 5 = 0 THEN 'click' ELSE 'view' END AS source_id, ts AS occurred_at, CASE WHEN event_id % 7 = 0 THEN 0.0 ELSE value END AS target, event_id AS number FROM events WHERE event_type = 'purchase'),
-f AS (SELECT event_id, arg_min(source_id, (observed_at, prediction)) AS p_source, min(observed_at) AS observed_at, arg_min(prediction, (observed_at, prediction)) AS prediction FROM p GROUP BY 1),
-j AS (SELECT o.*, f.p_source, f.observed_at, f.prediction, row_number() OVER (PARTITION BY outcome_id ORDER BY occurred_at, o.event_id) > 1 AS again FROM o LEFT JOIN f USING (event_id)),
-r AS (SELECT *, CASE WHEN again THEN 'duplicate_outcome' WHEN p_source IS NULL THEN 'event_not_found' WHEN p_source <> source_id THEN 'source_mismatch' WHEN source_id NOT IN ('view') THEN 'source_not_approved' WHEN occurred_at < observed_at THEN 'outcome_before_prediction' WHEN target <= 0 THEN 'invalid_target' END AS reason FROM j),
+STREAM = """p AS (SELECT 'u' || user_id || '-' || strftime(ts, '%Y%m%d') AS event_id, event_type AS source_id, ts AS observed_at, CASE WHEN event_id % 17 = 0 THEN -1.0 ELSE value END AS prediction, user_id % 10 <> 0 AS features_valid FROM events WHERE event_type IN ('view', 'click')),
+o AS (SELECT 'o' || CASE WHEN event_id % 13 = 0 THEN 7 ELSE event_id END AS outcome_id, 'u' || user_id || '-' || strftime(ts, '%Y%m%d') AS event_id, CASE WHEN event_id % 5 = 0 THEN 'click' ELSE 'view' END AS source_id, ts AS occurred_at, CASE WHEN event_id % 7 = 0 THEN 0.0 ELSE value END AS target, event_id % 19 <> 0 AS utc, event_id AS number FROM events WHERE event_type = 'purchase'),
+f AS (SELECT event_id, arg_min(source_id, (observed_at, prediction)) AS p_source, min(observed_at) AS observed_at, arg_min(prediction, (observed_at, prediction)) AS prediction, bool_and(features_valid) AS features_valid FROM p GROUP BY 1),
+j AS (SELECT o.*, f.p_source, f.observed_at, f.prediction, f.features_valid, row_number() OVER (PARTITION BY outcome_id ORDER BY occurred_at, o.event_id) > 1 AS again FROM o LEFT JOIN f USING (event_id)),
+r AS (SELECT *, CASE WHEN again THEN 'duplicate_outcome' WHEN p_source IS NULL THEN 'event_not_found' WHEN p_source <> source_id THEN 'source_mismatch' WHEN source_id NOT IN ('view') THEN 'source_not_approved' WHEN NOT utc OR occurred_at < observed_at THEN 'outcome_before_prediction' WHEN NOT features_valid THEN 'invalid_predictors' WHEN target <= 0 THEN 'invalid_target' END AS reason FROM j),
 m AS (SELECT outcome_id, event_id, source_id, occurred_at, prediction, target, CASE WHEN reason IS NULL AND row_number() OVER (PARTITION BY event_id, reason IS NULL ORDER BY occurred_at, outcome_id) > 1 THEN 'duplicate_outcome' ELSE reason END AS reason_code FROM r)"""
 
 
@@ -233,11 +280,16 @@ def matched(spark, sf):
 
 
 def accepted(spark, sf):
-    m = matched(spark, sf).where("reason_code is null")
-    return m.select("outcome_id", "event_id", F.substring("event_id", 2, 1).alias("segment"), "occurred_at", F.col("prediction").alias("p"), F.col("target").alias("y"), F.lit(50.0).alias("static"))
+    """Accepted outcomes in whole cents, so that sums are the same in any order."""
+    return in_cents(matched(spark, sf).where("reason_code is null"))
 
 
-A = "WITH " + STREAM + ", a AS (SELECT outcome_id, substr(event_id, 2, 1) AS segment, occurred_at, prediction AS p, target AS y FROM m WHERE reason_code IS NULL)"
+def in_cents(m):
+    cents = lambda c: F.round(100 * F.col(c)).cast("long")
+    return m.select("outcome_id", "event_id", F.substring("event_id", 2, 1).alias("segment"), "occurred_at", cents("prediction").alias("p"), cents("target").alias("y"), F.lit(5000).cast("long").alias("static"), "reason_code")
+
+
+A = "WITH " + STREAM + ", b AS (SELECT outcome_id, substr(event_id, 2, 1) AS segment, occurred_at, CAST(round(100 * prediction) AS BIGINT) AS p, CAST(round(100 * target) AS BIGINT) AS y, reason_code FROM m), a AS (SELECT * FROM b WHERE reason_code IS NULL)"
 
 
 @query("jon_12_delayed_label_join", f"WITH {STREAM} SELECT o.outcome_id, o.event_id, p.prediction, o.target FROM o JOIN p ON o.event_id = p.event_id AND o.source_id = p.source_id AND o.occurred_at >= p.observed_at")
@@ -250,9 +302,16 @@ def _(spark, sf):
     return outcomes.validate_events(predictions(spark, sf)).groupBy("reason_code").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("str_2_idempotent_ids", f"WITH {STREAM} SELECT event_id, min(observed_at) AS observed_at FROM p GROUP BY 1")
+@query("str_2_idempotent_ids", f"WITH {STREAM} SELECT event_id, 1::BIGINT AS n FROM p GROUP BY 1")
 def _(spark, sf):
-    return predictions(spark, sf).groupBy("event_id").agg(F.min("observed_at").alias("observed_at"))
+    """Predictions as a stream of files: every id leaves it once."""
+    from kerbside.staging import fresh_dir
+    from kerbside.streaming.runs import run_available
+
+    base, made = fresh_dir(spark, "ids"), predictions(spark, sf)
+    made.select("event_id", F.col("observed_at").cast("timestamp").alias("observed_at")).write.parquet(f"{base}/in")
+    run_available(lambda s: outcomes.dedupe_stream(s, "event_id", "observed_at"), spark.readStream.schema("event_id string, observed_at timestamp").parquet(f"{base}/in"), f"{base}/out", f"{base}/c")
+    return spark.read.schema("event_id string").parquet(f"{base}/out").groupBy("event_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("str_3_delayed_outcome_matcher", f"WITH {STREAM} SELECT outcome_id, event_id, reason_code, prediction FROM m")
@@ -260,15 +319,16 @@ def _(spark, sf):
     return matched(spark, sf).select("outcome_id", "event_id", "reason_code", "prediction")
 
 
-@query("str_5_prequential_metrics", A + """ SELECT outcome_id, segment, count(*) OVER w AS n, round(avg(abs(p - y)) OVER w, 4) AS mae, round(sqrt(avg((p - y) * (p - y)) OVER w), 4) AS rmse, round(avg(abs(p - y)) OVER w - avg(abs(50 - y)) OVER w, 4) AS mae_delta FROM a WINDOW w AS (PARTITION BY segment ORDER BY occurred_at, outcome_id ROWS UNBOUNDED PRECEDING)""")
+@query("str_5_prequential_metrics", A + """ SELECT outcome_id, segment, count(*) OVER w AS n, (sum(abs(p - y)) OVER w)::DOUBLE / count(*) OVER w AS mae, sqrt((sum((p - y) * (p - y)) OVER w)::DOUBLE / count(*) OVER w) AS rmse, (sum(abs(p - y)) OVER w)::DOUBLE / count(*) OVER w - (sum(abs(5000 - y)) OVER w)::DOUBLE / count(*) OVER w AS mae_delta,
+sqrt((sum((p - y) * (p - y)) OVER w)::DOUBLE / count(*) OVER w) - sqrt((sum((5000 - y) * (5000 - y)) OVER w)::DOUBLE / count(*) OVER w) AS rmse_delta FROM a WINDOW w AS (PARTITION BY segment ORDER BY occurred_at, outcome_id ROWS UNBOUNDED PRECEDING)""")
 def _(spark, sf):
     found = outcomes.prequential(accepted(spark, sf), "segment", ["occurred_at", "outcome_id"])
-    return rounded(found.select("outcome_id", "segment", "n", "mae", "rmse", "mae_delta"), "mae", "rmse", "mae_delta")
+    return found.select("outcome_id", "segment", "n", "mae", "rmse", "mae_delta", "rmse_delta")
 
 
-@query("str_6_rolling_last_n", A + " SELECT outcome_id, count(*) OVER w AS rolling_n, round(avg(abs(p - y)) OVER w, 4) AS rolling_mae FROM a WINDOW w AS (PARTITION BY segment ORDER BY occurred_at, outcome_id ROWS 19 PRECEDING)")
+@query("str_6_rolling_last_n", A + " SELECT outcome_id, count(*) OVER w AS rolling_n, (sum(abs(p - y)) OVER w)::DOUBLE / count(*) OVER w AS rolling_mae FROM a WINDOW w AS (PARTITION BY segment ORDER BY occurred_at, outcome_id ROWS 19 PRECEDING)")
 def _(spark, sf):
-    return rounded(outcomes.rolling_last_n(accepted(spark, sf), "segment", ["occurred_at", "outcome_id"], 20).select("outcome_id", "rolling_n", "rolling_mae"), "rolling_mae")
+    return outcomes.rolling_last_n(accepted(spark, sf), "segment", ["occurred_at", "outcome_id"], 20).select("outcome_id", "rolling_n", "rolling_mae")
 
 
 @query("str_7_drift_by_segment")
@@ -281,15 +341,28 @@ def _(spark, sf):
     return rounded(keyed.online_linear_by_key(scored(spark, sf), "make", ["sold_on", "row_id"], ["mileage", "year"], ["status"], "price", 1000.0), "mae")
 
 
-@query("str_9_stream_counters", f"WITH {STREAM}, c AS (SELECT (SELECT count(DISTINCT event_id) FROM p) AS a, count(*) FILTER (reason_code IS NULL) AS b, count(*) FILTER (reason_code IS NOT NULL) AS d FROM m) SELECT 'predicted' AS counter, a AS n FROM c UNION ALL SELECT 'learned', b FROM c UNION ALL SELECT 'pending', a - b FROM c UNION ALL SELECT 'quarantined', d FROM c")
+@query("str_9_stream_counters", f"""WITH {STREAM}, c AS (SELECT (SELECT count(DISTINCT event_id) FROM p) AS a, count(*) FILTER (reason_code IS NULL) AS b, count(*) FILTER (reason_code IS NOT NULL) AS d FROM m) SELECT 'predicted' AS counter, a AS n FROM c UNION ALL SELECT 'learned', b FROM c UNION ALL SELECT 'pending', a - b FROM c
+UNION ALL SELECT 'processed', b + d FROM c UNION ALL SELECT 'quarantined', d FROM c UNION ALL SELECT 'quarantined:' || reason_code, count(*) FROM m WHERE reason_code IS NOT NULL GROUP BY reason_code""")
 def _(spark, sf):
     return outcomes.stream_status(matched(spark, sf), predictions(spark, sf))
 
 
-@query("str_11_windowed_summaries", A + " SELECT CAST(time_bucket(INTERVAL '1 day', occurred_at) AS VARCHAR) AS day, count(*) AS n, round(avg(abs(p - y)), 4) AS mae FROM a GROUP BY 1")
+SUMMARY = "SELECT {start} AS window_start, count(*) FILTER (reason_code IS NULL) AS n, (sum(abs(p - y)) FILTER (reason_code IS NULL))::DOUBLE / nullif(count(*) FILTER (reason_code IS NULL), 0) AS mae, count(*) FILTER (reason_code IS NOT NULL) AS quarantined FROM {rows} GROUP BY 1"
+
+
+def summaries(spark, sf, width, slide=None):
+    found = outcomes.windowed_metrics(in_cents(matched(spark, sf)), "occurred_at", width, slide)
+    return found.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))
+
+
+@query("str_11_windowed_summaries", f"{A} {SUMMARY.format(start='CAST(time_bucket(INTERVAL 1 DAY, occurred_at) AS VARCHAR)', rows='b')}")
 def _(spark, sf):
-    found = outcomes.windowed_metrics(accepted(spark, sf), "occurred_at", "1 day")
-    return rounded(found.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("day"), "n", "mae"), "mae")
+    return summaries(spark, sf, "1 day")
+
+
+@query("str_11_sliding_summaries", f"{A}, v AS (SELECT *, unnest([0, 1]) AS back FROM b) {SUMMARY.format(start='CAST(time_bucket(INTERVAL 1 DAY, occurred_at) - to_days(back) AS VARCHAR)', rows='v')}")
+def _(spark, sf):
+    return summaries(spark, sf, "2 days", "1 day")
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
@@ -298,10 +371,13 @@ def flagship(spark: SparkSession, sf: str) -> DataFrame:
     from kerbside.operators.splits import closest_prefix_split
 
     c = F.col
-    rows = rules.with_reason(listings(spark, sf), [("mileage_invalid", c("mileage") > 49_000), ("price_invalid", c("price") <= 0)])
+    listed = listings(spark, sf).select("row_id", "make", "model", "year", "status", "price", "mileage")
+    rows = rules.with_reason(listed, [("mileage_invalid", c("mileage") > 49_000), ("price_invalid", c("price") <= 0)])
     first = mark_duplicates(rows, ["make", "model", "year", "status", "price"], c("row_id"), c("reason_code").isNull()).where("reason_code is null and not is_duplicate")
-    split = closest_prefix_split(first.select("make", "model", "status", "price"), ["make", "model"], "status", 1, 5, "holdout")
-    baseline = split.where("not selected").groupBy(c("make").alias("__make")).agg(F.percentile("price", 0.5).alias("p"))
+    kept = written(first.select("make", "model", "status", "price"), "flagship")
+    split = closest_prefix_split(kept, ["make", "model"], "status", 1, 5, "holdout")
+    train = split.where("not selected")
+    baseline = with_quantiles(train.select(c("make").alias("__make")).distinct(), train.select(c("make").alias("__make"), "price"), {"p": (c("price"), 0.5)}, ["__make"])
     test = split.where("selected").join(baseline, c("make") == c("__make")).withColumn("y", c("price"))
     return tidy(evaluate.slice_metrics(test, "status"))
 
@@ -315,12 +391,15 @@ s AS (SELECT d.*, r.rank <= b.cut AS selected FROM d JOIN r USING (status, make,
 t AS (SELECT status, price AS y, f.p FROM s JOIN f USING (make) WHERE selected) SELECT status AS label, CAST(grouping(status) AS INTEGER) AS overall, {METRICS} FROM t GROUP BY GROUPING SETS ((), (status))""")(flagship)
 
 
+FILES = 4
+
+
 def half_files(spark, sf, folder, which):
-    """Half of the events (by time) as one more file below ``folder``."""
+    """Half of the events (by time) as ``FILES`` more files below ``folder``."""
+    at = F.unix_micros(F.col("ts").cast("timestamp")).cast("double")
     events = table(spark, sf, "events")
-    at = F.unix_micros(F.col("ts").cast("timestamp"))
-    middle = events.agg(F.percentile(at, 0.5).alias("m")).first()["m"]
-    events.where((at < middle) == F.lit(which == 0)).coalesce(1).write.mode("append").parquet(folder)
+    middle = quantiles(events, {"m": at}, [0.5]).first()["m"] or [0.0]
+    events.where((at < middle[0]) == F.lit(which == 0)).repartition(FILES).write.mode("append").parquet(folder)
 
 
 def match_events(source: DataFrame) -> DataFrame:
@@ -338,7 +417,7 @@ def _(spark, sf):
     from kerbside.streaming.runs import run_available
 
     base, schema = fresh_dir(spark, "stream"), table(spark, sf, "events").schema
-    read = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    read = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", FILES).parquet(f"{base}/in")
     for which in (0, 1):
         half_files(spark, sf, f"{base}/in", which)
         run_available(match_events, read(), f"{base}/restarted", f"{base}/c1")

@@ -12,6 +12,7 @@ CORRUPT = "_corrupt"
 def read_strict_csv(spark: SparkSession, path: str, columns: list[str], encoding: str = "UTF-8") -> DataFrame:
     """SRC-1: all-text rows of a CSV with exactly this header; ``reason_code`` is ``row_width_invalid`` for a wrong number of fields.
 
+    All fields are parsed, whichever are asked for (Spark wants one of them beside the reason). One file's header is checked at once, that of every other file when it is read: Spark fails there.
     UTF-16 cannot be split, so such files are read one task each and should be written as Parquet once.
     """
     first = spark.read.option("encoding", encoding).option("header", "false").option("multiLine", str(encoding.upper().startswith("UTF-16")).lower()).csv(path).limit(1).first()
@@ -19,14 +20,22 @@ def read_strict_csv(spark: SparkSession, path: str, columns: list[str], encoding
     if header != columns:
         raise ValueError(f"header is {header}, not {columns}")
     schema = T.StructType([T.StructField(c, T.StringType()) for c in [*columns, CORRUPT]])
-    rows = spark.read.schema(schema).option("encoding", encoding).option("header", "true").option("enforceSchema", "true").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).option("multiLine", str(encoding.upper().startswith("UTF-16")).lower()).csv(path)
+    rows = spark.read.schema(schema).option("encoding", encoding).option("header", "true").option("enforceSchema", "false").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).option("columnPruning", "false").option("multiLine", str(encoding.upper().startswith("UTF-16")).lower()).csv(path)
     return rows.withColumn("reason_code", F.when(F.col(CORRUPT).isNotNull(), "row_width_invalid")).drop(CORRUPT)
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """SRC-2: JSON lines with nested fields; a line that is no object of the schema has ``reason_code``."""
-    rows = spark.read.schema(T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).json(path)
-    return rows.withColumn("reason_code", F.when(F.col(CORRUPT).isNotNull(), "json_invalid")).drop(CORRUPT)
+    """SRC-2: JSON lines with nested fields, and ``reason_code``: ``blank_line``, ``json_invalid`` (no object of the schema), or ``columns_invalid`` (an empty or repeated name).
+
+    Lines are read as text, so that none is passed over.
+    """
+    parsed = F.from_json("value", T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())]), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
+    names = F.json_object_keys("value")
+    blank = F.trim("value") == ""
+    rows = spark.read.text(path).select("value", F.when(~blank, parsed).alias("__r"), names.alias("__n"))
+    bad = F.col("__r").isNull() | F.col(f"__r.{CORRUPT}").isNotNull() | F.col("__n").isNull()
+    reason = F.when(F.trim("value") == "", "blank_line").when(bad, "json_invalid").when(F.array_contains("__n", "") | (F.size(F.array_distinct("__n")) < F.size("__n")), "columns_invalid")
+    return rows.select(*[F.col(f"__r.`{f.name}`") for f in schema.fields], reason.alias("reason_code"))
 
 
 def read_snapshots(spark: SparkSession, paths: list[str], schema: T.StructType) -> DataFrame:

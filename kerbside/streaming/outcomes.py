@@ -13,8 +13,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from kerbside.functions.scalars import identifier_ok
+from kerbside.operators.quantiles import running_sums
 from kerbside.operators.rules import Rule, first_failure
+from kerbside.staging import written
 
+_COLUMNS = ["outcome_id", "event_id", "source_id", "occurred_at", "prediction", "target", "reason_code"]
 RESULT = "outcome_id string, event_id string, source_id string, occurred_at timestamp, prediction double, target double, reason_code string"
 
 
@@ -30,36 +33,51 @@ def validate_events(events: DataFrame) -> DataFrame:
 
 
 def static_rules(approved: list[str]) -> list[Rule]:
+    """STR-3: the checks after duplicates, unknown events and sources, in order. ``utc`` and ``features_valid`` are flags, true where not given."""
     c = F.col
     target = c("target").isNull() | F.isnan("target") | (F.abs("target") == float("inf")) | (c("target") <= 0)
-    return [("invalid_target", ~identifier_ok(c("outcome_id"))), ("source_not_approved", ~c("source_id").isin(approved)), ("outcome_before_prediction", c("occurred_at").isNull() | (c("occurred_at") < c("observed_at"))), ("invalid_target", target)]
+    return [
+        ("invalid_target", ~identifier_ok(c("outcome_id"))), ("source_not_approved", ~c("source_id").isin(approved)), ("outcome_before_prediction", c("occurred_at").isNull() | ~c("utc") | (c("occurred_at") < c("observed_at"))),
+        ("invalid_predictors", ~c("features_valid")), ("invalid_target", target),
+    ]
+
+
+def _flag(df: DataFrame, name: str) -> DataFrame:
+    return df.withColumn(name, F.coalesce(F.col(name), F.lit(False)) if name in df.columns else F.lit(True))
 
 
 def match_outcomes(predictions: DataFrame, outcomes: DataFrame, approved: list[str]) -> DataFrame:
     """STR-3, batch: every outcome with ``reason_code`` (null: accepted), in the order of checks.
 
     Of outcomes with one id, and of accepted ones with one event, the first by time and id counts and the
-    others are duplicates. Predictions that repeat an event id count once, the first.
+    others are duplicates. Predictions that repeat an event id count once, the first. ``predictions`` may have
+    ``features_valid`` (were its predictors within their contract) and ``outcomes`` may have ``utc`` (did its time say
+    that it is UTC); a time that is not counts as out of order. Firsts come from aggregates joined back, so no
+    id's rows meet in one task.
     """
-    first = predictions.groupBy("event_id").agg(F.min_by(F.struct("source_id", "observed_at", "prediction"), F.struct("observed_at", "prediction")).alias("__p"))
-    joined = outcomes.join(first, "event_id", "left").withColumn("observed_at", F.col("__p.observed_at")).withColumn("prediction", F.col("__p.prediction"))
-    by_id = F.row_number().over(Window.partitionBy("outcome_id").orderBy("occurred_at", "event_id"))
-    judged = joined.withColumn("__again", by_id > 1).withColumn("reason_code", first_failure([("duplicate_outcome", F.col("__again")), ("event_not_found", F.col("__p").isNull()), ("source_mismatch", F.col("__p.source_id") != F.col("source_id")), *static_rules(approved)]))
+    p = _flag(predictions, "features_valid").select("event_id", "source_id", "observed_at", "prediction", "features_valid")
+    first = p.groupBy("event_id").agg(F.min_by(F.struct("source_id", "observed_at", "prediction", "features_valid"), F.struct("observed_at", "prediction")).alias("__p"))
+    joined = _flag(outcomes, "utc").join(first, "event_id", "left").withColumns({c: F.col(f"__p.{c}") for c in ("observed_at", "prediction", "features_valid")})
+    rows = written(joined.select("outcome_id", "event_id", "source_id", "occurred_at", "target", "utc", "observed_at", "prediction", "features_valid", F.col("__p.source_id").alias("__source"), F.col("__p").isNull().alias("__unknown"), F.monotonically_increasing_id().alias("__no")), "outcomes")
+    least = lambda df, key, *order: df.groupBy(F.col(key).alias("__key")).agg(F.min(F.struct(*order, "__no"))["__no"].alias("__least"))
+    ids = rows.join(least(rows, "outcome_id", "occurred_at", "event_id"), F.col("outcome_id").eqNullSafe(F.col("__key"))).withColumn("__again", F.col("__no") != F.col("__least")).drop("__key", "__least")
+    reason = first_failure([("duplicate_outcome", F.col("__again")), ("event_not_found", F.col("__unknown")), ("source_mismatch", F.col("__source") != F.col("source_id")), *static_rules(approved)])
+    judged = ids.withColumn("reason_code", reason)
     # A second accepted outcome of an event is a duplicate.
-    order = F.row_number().over(Window.partitionBy("event_id", F.col("reason_code").isNull()).orderBy("occurred_at", "outcome_id"))
-    final = F.when(F.col("reason_code").isNull() & (F.col("__n") > 1), "duplicate_outcome").otherwise(F.col("reason_code"))
-    return judged.withColumn("__n", order).withColumn("reason_code", final).select("outcome_id", "event_id", "source_id", "occurred_at", "prediction", "target", "reason_code")
+    used = least(judged.where("reason_code is null"), "event_id", "occurred_at", "outcome_id")
+    final = F.when(F.col("reason_code").isNull() & (F.col("__no") != F.col("__least")), "duplicate_outcome").otherwise(F.col("reason_code"))
+    return judged.join(used, F.col("event_id") == F.col("__key"), "left").select("outcome_id", "event_id", "source_id", "occurred_at", "prediction", "target", final.alias("reason_code"))
 
 
 class OutcomeMatcher(StatefulProcessor):
-    """STR-3/4: per event id the pending prediction, with an optional time to live after which it is gone and late outcomes are not found."""
+    """STR-3/4: per event id the pending prediction. With a time to live a timer gives it up: it is reported as ``event_expired`` and late outcomes are not found."""
 
     def __init__(self, approved: list[str], ttl_ms: int | None):
         self.approved, self.ttl_ms = approved, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.pending = handle.getValueState("pending", "source_id string, observed_ms long, prediction double", self.ttl_ms)
+        self.pending = handle.getValueState("pending", "source_id string, observed_ms long, prediction double")
         self.done = handle.getValueState("done", "outcome_id string", self.ttl_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
@@ -68,14 +86,25 @@ class OutcomeMatcher(StatefulProcessor):
         out = []
         for row in both.sort_values(["__order", "at", "outcome_id"], na_position="first").itertuples():
             if row.kind == "prediction":
-                if not self.pending.exists():
+                if not self.pending.exists() and not self.done.exists():
                     self.pending.update((row.source_id, int(row.at.timestamp() * 1000), float(row.prediction)))
+                    if self.ttl_ms is not None:
+                        self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.ttl_ms)
                 continue
             held = self.pending.get() if self.pending.exists() else None
             out.append((row.outcome_id, key[0], row.source_id, row.at, held[2] if held else None, row.target, self._reason(row, held)))
             if out[-1][-1] is None:
                 self.done.update((row.outcome_id,))
-        yield pd.DataFrame(out, columns=["outcome_id", "event_id", "source_id", "occurred_at", "prediction", "target", "reason_code"])
+                self.pending.clear()
+        yield pd.DataFrame(out, columns=_COLUMNS)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        out = []
+        if self.pending.exists():
+            held = self.pending.get()
+            self.pending.clear()
+            out.append((None, key[0], held[0], pd.Timestamp(held[1], unit="ms"), held[2], None, "event_expired"))
+        yield pd.DataFrame(out, columns=_COLUMNS)
 
     def _reason(self, row, held) -> str | None:
         if self.done.exists():
@@ -99,8 +128,9 @@ class OutcomeMatcher(StatefulProcessor):
 def match_stream(predictions: DataFrame, outcomes: DataFrame, approved: list[str], ttl_ms: int | None = None) -> DataFrame:
     """STR-3, streaming: both streams keyed by event id. Needs the RocksDB state store; ids that two events share are not seen here (STR-2).
 
-    With ``ttl_ms`` (processing time) state expires; Spark then wakes the query up again and again, so it
-    must run with an interval trigger and be stopped, not with ``availableNow``.
+    With ``ttl_ms`` (processing time) pending predictions expire, each with a row ``event_expired`` that has no
+    outcome; Spark then wakes the query up again and again, so it must run with an interval trigger and be
+    stopped, not with ``availableNow``.
     """
     p = predictions.select(F.lit("prediction").alias("kind"), "event_id", "source_id", F.col("observed_at").alias("at"), F.col("prediction").cast("double").alias("prediction"), F.lit(None).cast("string").alias("outcome_id"), F.lit(None).cast("double").alias("target"))
     o = outcomes.select(F.lit("outcome").alias("kind"), "event_id", "source_id", F.col("occurred_at").alias("at"), F.lit(None).cast("double").alias("prediction"), "outcome_id", F.col("target").cast("double").alias("target"))
@@ -113,28 +143,48 @@ def dedupe_stream(events: DataFrame, key: str, at: str, late: str = "1 day") ->
 
 
 def prequential(scored: DataFrame, by: str, at: list[str], y: str = "y", p: str = "p", static: str = "static") -> DataFrame:
-    """STR-5: after each outcome the cumulative errors of the candidate and of the static reference, by segment."""
-    w = Window.partitionBy(by).orderBy(*at).rowsBetween(Window.unboundedPreceding, 0)
+    """STR-5: after each outcome the cumulative errors of the candidate and of the static reference, by segment; ``at`` is a total order.
+
+    Running sums go over ranges of time within a segment, so a segment is as many tasks as it needs.
+    """
     e, s = F.col(p) - F.col(y), F.col(static) - F.col(y)
-    return scored.withColumns({"n": F.count(F.lit(1)).over(w), "mae": F.avg(F.abs(e)).over(w), "rmse": F.sqrt(F.avg(e * e).over(w)), "static_mae": F.avg(F.abs(s)).over(w)}).withColumn("mae_delta", F.col("mae") - F.col("static_mae"))
+    run = running_sums(scored, [by], [F.col(c) for c in at], {"__ae": F.abs(e), "__se": e * e, "__sae": F.abs(s), "__sse": s * s}, "prequential")
+    mean = lambda c: F.col(c) / F.col("rank")
+    found = run.withColumns({"n": F.col("rank"), "mae": mean("__ae"), "rmse": F.sqrt(mean("__se")), "static_mae": mean("__sae"), "static_rmse": F.sqrt(mean("__sse"))})
+    return found.withColumns({"mae_delta": F.col("mae") - F.col("static_mae"), "rmse_delta": F.col("rmse") - F.col("static_rmse")}).drop("rank", "__ae", "__se", "__sae", "__sse")
 
 
 def rolling_last_n(scored: DataFrame, by: str, at: list[str], n: int = 100, y: str = "y", p: str = "p") -> DataFrame:
-    """STR-6: the error over the last ``n`` outcomes of the segment by arrival."""
-    w = Window.partitionBy(by).orderBy(*at).rowsBetween(-(n - 1), 0)
-    return scored.withColumns({"rolling_n": F.count(F.lit(1)).over(w), "rolling_mae": F.avg(F.abs(F.col(p) - F.col(y))).over(w)})
+    """STR-6: the error over the last ``n`` outcomes of the segment by arrival; ``at`` is a total order.
+
+    Outcomes are numbered and cut into blocks of ``n``; each is also context for the next block, so a window holds two blocks.
+    """
+    e = F.abs(F.col(p) - F.col(y))
+    block = F.floor((F.col("rank") - 1) / n)
+    ranked = running_sums(scored, [by], [F.col(c) for c in at], {}, "rolling")
+    rows = ranked.withColumn("__own", block).withColumn("__block", F.explode(F.array(block, block + 1)))
+    w = Window.partitionBy(by, "__block").orderBy("rank").rowsBetween(-(n - 1), 0)
+    found = rows.withColumns({"rolling_n": F.count(F.lit(1)).over(w), "rolling_mae": F.sum(e).over(w) / F.count(F.lit(1)).over(w)})
+    return found.where(F.col("__own") == F.col("__block")).drop("__own", "__block", "rank")
 
 
 def stream_status(matched: DataFrame, predictions: DataFrame) -> DataFrame:
-    """STR-9 / PRF-17: predicted, learned, pending, and quarantined by reason, as ``counter, n``."""
+    """STR-9 / PRF-17: predicted, learned, pending, processed (all outcomes that were judged) and quarantined, and quarantined by reason, as ``counter, n``."""
     made = predictions.agg(F.count_distinct("event_id").alias("predicted"))
     learned = matched.agg(F.count_if(F.col("reason_code").isNull()).alias("learned"), F.count_if(F.col("reason_code").isNotNull()).alias("quarantined"))
     one = made.join(F.broadcast(learned))
-    pairs = F.array(*[F.struct(F.lit(n).alias("counter"), c.alias("n")) for n, c in (("predicted", F.col("predicted")), ("learned", F.col("learned")), ("pending", F.col("predicted") - F.col("learned")), ("quarantined", F.col("quarantined")))])
-    return one.select(F.explode(pairs).alias("x")).select("x.*")
+    pairs = F.array(*[F.struct(F.lit(n).alias("counter"), c.alias("n")) for n, c in (("predicted", F.col("predicted")), ("learned", F.col("learned")), ("pending", F.col("predicted") - F.col("learned")), ("processed", F.col("learned") + F.col("quarantined")), ("quarantined", F.col("quarantined")))])
+    reasons = matched.where("reason_code is not null").groupBy(F.concat(F.lit("quarantined:"), "reason_code").alias("counter")).agg(F.count(F.lit(1)).alias("n"))
+    return one.select(F.explode(pairs).alias("x")).select("x.*").unionByName(reasons)
 
 
-def windowed_metrics(scored: DataFrame, at: str, width: str, slide: str | None = None, late: str | None = None, y: str = "y", p: str = "p") -> DataFrame:
-    """STR-11: outcomes and mean error of tumbling or sliding windows; with ``late`` a watermark for streams."""
-    rows = scored.withWatermark(at, late) if late else scored
-    return rows.groupBy(F.window(at, width, slide) if slide else F.window(at, width)).agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs(F.col(p) - F.col(y))).alias("mae")).select(F.col("window.start").alias("window_start"), "n", "mae")
+def windowed_metrics(matched: DataFrame, at: str, width: str, slide: str | None = None, late: str | None = None, y: str = "y", p: str = "p") -> DataFrame:
+    """STR-11: of tumbling or sliding windows the accepted outcomes, their mean error, and the quarantined ones; with ``late`` a watermark for streams.
+
+    ``matched`` may have ``reason_code`` (null: accepted); without it all rows are accepted.
+    """
+    rows = matched.withWatermark(at, late) if late else matched
+    ok = F.col("reason_code").isNull() if "reason_code" in matched.columns else F.lit(True)
+    window = F.window(at, width, slide) if slide else F.window(at, width)
+    error = F.sum(F.when(ok, F.abs(F.col(p) - F.col(y)))) / F.count_if(ok)
+    return rows.groupBy(window).agg(F.count_if(ok).alias("n"), F.when(F.count_if(ok) > 0, error).alias("mae"), F.count_if(~ok).alias("quarantined")).select(F.col("window.start").alias("window_start"), "n", "mae", "quarantined")

@@ -66,7 +66,7 @@ def test_two_dedupe_orders(spark):
     before = dedupe.mark_duplicates(df, ["v"], F.col("n"))
     assert sorted(r.n for r in after.where("is_duplicate").collect()) == [3, 5]
     assert sorted(r.n for r in before.where("is_duplicate").collect()) == [2, 3, 5]
-    assert dedupe.accounting(after).first().asDict() == {"seen": 5, "accepted": 2, "rejected": 1, "duplicates": 2, "balanced": True}
+    assert dedupe.accounting(after).first().asDict() == {"seen": 5, "accepted": 2, "rejected": 1, "duplicates": 2, "by_reason": {"bad": 1}, "balanced": True}
 
 
 def test_closest_prefix_ties_take_the_smaller(spark):
