@@ -19,4 +19,7 @@ def spark():
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    from kerbside.staging import release
+
+    release(session)
     session.stop()
