@@ -32,7 +32,7 @@ def validity_intervals(entries: DataFrame) -> DataFrame:
     """``scope, pattern, action, valid_from, valid_to`` (exclusive; null: still valid) from dated entries.
 
     ``entries`` has ``scope`` (``domain``: a host and all below it; ``host``: that host; ``prefix``: a host and the
-    first segments of a path, such as ``example.org/a/b``), ``pattern``, ``action`` (one of ``ACTIONS``) and
+    first segments of a path, such as ``example.org/a/b``; case does not count, in paths either), ``pattern``, ``action`` (one of ``ACTIONS``) and
     ``listed_at``. Entries with a null or another action say nothing; repeated ones count once. A pattern's
     own history is what one window partition holds.
     """
