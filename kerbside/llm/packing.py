@@ -28,15 +28,9 @@ from kerbside.staging import written
 PARTITION, LARGEST, TEXT_BYTES = 8192, 1 << 19, 4 << 20
 #: Words of a generation: a worker remembers the ids of up to two.
 REMEMBERED = 150_000
-_MARKS = b",.!%*#&$|?;:"
-
-
-def _ends_group(stem: bytes) -> bool:
-    """Whether the last character is a letter or digit up to U+00FF."""
-    if stem[-1:].isascii():
-        return stem[-1:].isalnum()
-    last = stem.decode("utf-8", "replace")[-1]
-    return last < "\u0100" and last.isalnum()
+#: A word whose last letter or digit is followed by marks: they are two token groups. Beyond Latin-1 normalisation
+#: may take the letter apart, and its mark then belongs to the marks' group, so such words stay whole.
+_STEM_AND_MARKS = r"(?s)^(?P<stem>.*[0-9A-Za-z\x{AA}\x{B2}\x{B3}\x{B5}\x{B9}\x{BA}\x{BC}-\x{BE}\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{FF}])(?P<marks>[,.!%*#&$|?;:]+)$"
 
 
 class WordIds(dict):
@@ -73,27 +67,12 @@ class WordIds(dict):
         if len(self) > REMEMBERED:  # what is asked for again comes back from the generation before
             self.older = dict(self)
             self.clear()
-        self[b""] = b""  # white space at the ends of a text
-        older, parts, new = self.older, {}, set()
-        for word in words:
-            if word in self:
-                continue
-            if word in older:
-                self[word] = older[word]
-                continue
-            stem = word.rstrip(_MARKS)
-            # A letter or digit ends one token group and a run of marks is the next. Beyond Latin-1
-            # normalisation may take the letter apart, and its mark then belongs to that run.
-            if len(stem) < len(word) and _ends_group(stem):
-                tail = word[len(stem) :]
-                parts[word] = (stem, tail)
-                new.add(stem)
-                new.add(tail)
-            else:
-                new.add(word)
-        new.difference_update(self)
+        self[b""] = b""  # white space at the ends of a text, and no marks
+        new = [w for w in words if w not in self]
+        self.update((w, self.older[w]) for w in new if w in self.older)
+        new = [w for w in new if w not in self]
         plain = [w for w in new if (w if w.isascii() else w.decode("utf-8", "replace")).isalpha()]
-        alone = list(new.difference(plain))
+        alone = list(set(new).difference(plain))
         for k in range(0, len(plain), 512):
             some = plain[k : k + 512]
             ids = self.encode([b" ".join(some).decode("utf-8", "replace")])[0]
@@ -107,7 +86,13 @@ class WordIds(dict):
         for k in range(0, len(alone), 512):
             some = alone[k : k + 512]
             self.update(zip(some, (x.tobytes() for x in self.encode([w.decode("utf-8", "replace") for w in some]))))
-        self.update((word, self[stem] + self[tail]) for word, (stem, tail) in parts.items())
+
+    def ids(self, words: pa.Array) -> pa.Array:
+        """The ids of distinct words, as bytes; each distinct one is learned."""
+        coded = words.dictionary_encode()
+        distinct = coded.dictionary.cast(pa.binary()).to_pylist()
+        self.learn(distinct)
+        return pa.array(map(self.__getitem__, distinct), pa.large_binary()).take(coded.indices)
 
 
 _known: dict[str, WordIds] = {}
@@ -139,19 +124,13 @@ def token_ids(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
         return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])])
     words = pc.ascii_split_whitespace(texts)
     coded = words.flatten().dictionary_encode()
-    keys = known.keys(coded.dictionary).dictionary_encode()
-    distinct = keys.dictionary.cast(pa.binary()).to_pylist()
-    known.learn(distinct)
-    parts = list(map(known.__getitem__, distinct))
-    flat = np.frombuffer(b"".join(parts), "<u4")
-    sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
-    starts = np.cumsum(sizes) - sizes
-    at = keys.indices.to_numpy()[coded.indices.to_numpy()]
-    size = sizes[at]
-    ends = np.cumsum(size)
-    take = np.repeat(starts[at] - (ends - size), size)
-    take += np.arange(len(take))
-    return flat[take], np.concatenate([[0], ends])[words.offsets.to_numpy()]
+    keys = known.keys(coded.dictionary)
+    split = pc.extract_regex(keys, _STEM_AND_MARKS)
+    stems, marks = (pc.struct_field(split, name) for name in ("stem", "marks"))
+    ids = pc.binary_join_element_wise(known.ids(pc.coalesce(stems, keys)), known.ids(pc.fill_null(marks, "")), pa.scalar(b"", pa.large_binary()))
+    flat = ids.take(coded.indices)
+    ends, data = (np.frombuffer(flat.buffers()[k] or b"", kind) for k, kind in ((1, "<i8"), (2, "<u4")))
+    return data[: ends[len(flat)] // 4], ends[words.offsets.to_numpy()] // 4
 
 
 def slices(batch: pa.RecordBatch, column: int, most: int = TEXT_BYTES) -> Iterator[pa.RecordBatch]:
