@@ -361,12 +361,11 @@ def _(spark, sf):
     return splits.proportional_quotas(strata(spark, sf), "make", 997)
 
 
-@query("spl_14_nested_quotas", f"{RL}, {STRATA}, m AS (SELECT key, n, CASE WHEN key < 'Brand#3' THEN n // 5 ELSE 0 END AS quota FROM s), q1 AS (SELECT key, n, quota FROM m), {quota_sql('s', 1000)}, {nested_sql(1, 1000)} SELECT key AS make, n, minimum, quota FROM nested")
+@query("spl_14_nested_quotas", f"{RL}, {STRATA}, m AS (SELECT key, n, CASE WHEN key < 'Brand#3' THEN least(n, 50) ELSE 0 END AS quota FROM s), q1 AS (SELECT key, n, quota FROM m), {quota_sql('s', 1000)}, {nested_sql(1, 1000)} SELECT key AS make, n, minimum, quota FROM nested")
 def _(spark, sf):
-    """Makes below Brand#3 keep a fifth of their rows at least, more than their share of 1,000; the others give."""
-    held = strata(spark, sf).withColumn("minimum", F.when(F.col("make") < "Brand#3", F.floor(F.col("n") / 5)).otherwise(0).cast("long"))
-    total = held.agg(F.sum("minimum").alias("m")).first()["m"] or 0
-    return splits.nested_quotas(held, "make", max(1000, total), "minimum")
+    """Makes below Brand#3 keep 50 rows at least, more than their share of 1,000; the others give."""
+    held = strata(spark, sf).withColumn("minimum", F.when(F.col("make") < "Brand#3", F.least("n", F.lit(50))).otherwise(0).cast("long"))
+    return splits.nested_quotas(held, "make", 1000, "minimum")
 
 
 CELLS = """e AS (SELECT quantile_cont(price, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS e FROM listings), c AS (SELECT row_id, concat_ws('|', make, year, CAST(1 + len(list_filter(e.e, lambda x: x < price)) AS INTEGER)) AS key FROM listings, e),
