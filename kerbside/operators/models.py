@@ -53,20 +53,22 @@ def fit_vocabulary(df: DataFrame, columns: list[str], fold: str, folds: int, min
     return ranked.select("for_fold", "column", "value", "n", F.when(keep, F.col("value")).otherwise("__infrequent__").alias("level"))
 
 
-def fold_medians(df: DataFrame, fold: str, folds: int, y: str, by: list[str]) -> DataFrame:
-    """``__for, by..., __median``: medians over the training rows of every fold. Equal values are counted before they expand to the folds they serve."""
-    counts = df.groupBy(fold, *by, F.col(y).alias("__y")).agg(F.count(F.lit(1)).alias("__n"))
-    served = counts.withColumn("__for", F.explode(F.filter(F.sequence(F.lit(0), F.lit(folds - 1)), lambda f: f != F.col(fold))))
-    return quantiles(served, {"q": F.col("__y")}, [0.5], ["__for", *by], "__n").select("__for", *by, F.get("q", F.lit(0)).alias("__median"))
+def fold_medians(df: DataFrame, fold: str, folds: int, y: str, by: list[str], stored: bool = False) -> DataFrame:
+    """``__for, by..., __median``: medians over the training rows of every fold. Three columns are written, unless ``df`` is ``stored``; rows expand to the folds they serve as they are read."""
+    rows = df.select(fold, *by, F.col(y).alias("__y"))
+    rows = rows if stored else written(rows, "fold-values")
+    served = rows.withColumn("__for", F.explode(F.filter(F.sequence(F.lit(0), F.lit(folds - 1)), lambda f: f != F.col(fold))))
+    return quantiles(served, {"q": F.col("__y")}, [0.5], ["__for", *by], stored=True).select("__for", *by, F.get("q", F.lit(0)).alias("__median"))
 
 
 def median_baseline(df: DataFrame, fold: str, folds: int, y: str, by: str | None = None) -> DataFrame:
     """MOD-6: ``df`` with ``p``: the median of the training folds, of its label if ``by`` is given (else, and for new labels, of all)."""
-    every = fold_medians(df, fold, folds, y, []).withColumnRenamed("__median", "__every")
+    train = written(df.select(F.col(fold).alias("__fold"), F.col(y).alias("__value"), *([F.col(by).alias("__by")] if by else [])), "fold-values")
+    every = fold_medians(train, "__fold", folds, "__value", [], stored=True).withColumnRenamed("__median", "__every")
     out = df.join(F.broadcast(every), F.col(fold) == F.col("__for"), "left").drop("__for")  # a row for each fold
     if by is None:
         return out.withColumnRenamed("__every", "p")
-    own = written(fold_medians(df.withColumn("__by", F.col(by)), fold, folds, y, ["__by"]), "fold-medians")
+    own = written(fold_medians(train, "__fold", folds, "__value", ["__by"], stored=True), "fold-medians")
     joined = out.join(broadcast_if_small(own), (F.col(fold) == F.col("__for")) & F.col(by).eqNullSafe(F.col("__by")), "left").drop("__for", "__by")
     return joined.withColumn("p", F.coalesce("__median", "__every")).drop("__median", "__every")
 

@@ -19,36 +19,39 @@ def _octave(x: Column) -> Column:
     return F.when(x > 0, size).when(x < 0, -size).otherwise(0).cast("int")
 
 
-def values_at(df: DataFrame, value: Column, by: list[str], wanted: Callable[[Column], Column], weight: str | None = None) -> DataFrame:
+def values_at(df: DataFrame, value: Column, by: list[str], wanted: Callable[[Column], Column], weight: str | None = None, stored: bool = False) -> DataFrame:
     """``by...``, ``n`` (values) and ``values``: of every group the values at the ranks ``wanted(n)``, an array of longs from 1.
 
     Null, NaN and infinite values do not count; a rank outside of 1 to n gives null; groups without values have no
-    row; null keys are keys. With ``weight`` a row stands for that many values. Values are counted first;
-    then counts are summed up over ranges, only ranges that hold a wanted rank are cut further, and only
-    those parts are put in order: each step's windows hold a bounded number of sums, or the values of one
-    small part.
+    row; null keys are keys. With ``weight`` a row stands for that many values. Rows are never shuffled as
+    they are: counts are summed up over ranges, on the map side first, only ranges that hold a wanted rank are cut
+    further, and only the values of those parts are counted one by one and put in order. Each step's windows
+    hold a bounded number of sums, or the values of one small part. ``df`` is read three times: it is
+    written first, unless it is ``stored``, that is, cheap to read again.
     """
-    x = value.cast("double")
     group = F.struct(*[F.col(c) for c in by]) if by else F.struct(F.lit(0).alias("__all"))
     times = F.sum(weight) if weight else F.count(F.lit(1))
-    rows = df.select(group.alias("__g"), x.alias("__x"), *([weight] if weight else [])).where(F.abs("__x") < float("inf"))
-    rows = rows.groupBy("__g", "__x").agg(times.alias("__n")).withColumn("__a", _octave(F.col("__x")))
+    rows = df.select(group.alias("__g"), value.cast("double").alias("__x"), *([weight] if weight else [])).where(F.abs("__x") < float("inf"))
+    rows = (rows if stored else written(rows, "values")).withColumn("__a", _octave(F.col("__x")))
     total = F.sum("__s")
 
     def hits(parts: DataFrame, keys: list[str], part: str, need: Column, *keep: str) -> DataFrame:
-        """Parts that hold a needed rank, with the ranks counted from their own first value."""
+        """Parts that hold a needed rank, with the ranks counted from their own first value; written, and broadcast if they are few."""
         below = (total.over(Window.partitionBy(*keys).orderBy(part)) - F.col("__s")).alias("__below")
         asked = parts.select("*", below).select("*", F.explode(need).alias("__k")).select("*", "__k.*").where((F.col("rank") > F.col("__below")) & (F.col("rank") <= F.col("__below") + F.col("__s")))
         need = F.collect_list(F.struct("pos", (F.col("rank") - F.col("__below")).alias("rank"))).alias("__need")
-        return asked.groupBy(*keys, part).agg(need, *[F.first(c).alias(c) for c in keep])
+        return broadcast_if_small(written(asked.groupBy(*keys, part).agg(need, *[F.first(c).alias(c) for c in keep]), "wanted"))
 
-    parts = rows.groupBy("__g", "__a").agg(F.sum("__n").alias("__s"), F.min("__x").alias("__lo"), F.max("__x").alias("__hi")).withColumn("n", total.over(Window.partitionBy("__g")))
+    octaves = rows.groupBy("__g", "__a").agg(times.alias("__s"), F.min("__x").alias("__lo"), F.max("__x").alias("__hi"))
+    parts = written(octaves.withColumn("n", total.over(Window.partitionBy("__g"))), "octaves")
     numbered = F.transform(wanted(F.col("n")), lambda k, i: F.struct(i.alias("pos"), k.cast("long").alias("rank")))
     first = hits(parts, ["__g"], "__a", numbered, "__lo", "__hi")
     place = F.when(F.col("__hi") > F.col("__lo"), F.floor((F.col("__x") - F.col("__lo")) / (F.col("__hi") - F.col("__lo")) * PARTS)).otherwise(0).cast("int")
-    near = rows.join(first, ["__g", "__a"]).withColumn("__b", place)
-    second = hits(near.groupBy("__g", "__a", "__b").agg(F.sum("__n").alias("__s"), F.first("__need").alias("__need")), ["__g", "__a"], "__b", F.col("__need"))
-    last = near.drop("__need").join(second, ["__g", "__a", "__b"]).withColumn("__upto", F.sum("__n").over(Window.partitionBy("__g", "__a", "__b").orderBy("__x")))
+    near = rows.join(first.drop("__need"), ["__g", "__a"]).withColumn("__b", place)
+    cells = near.groupBy("__g", "__a", "__b").agg(times.alias("__s"))
+    second = hits(cells.join(first.select("__g", "__a", "__need"), ["__g", "__a"]), ["__g", "__a"], "__b", F.col("__need"))
+    counted = near.join(second.drop("__need"), ["__g", "__a", "__b"]).groupBy("__g", "__a", "__b", "__x").agg(times.alias("__n"))
+    last = counted.join(second, ["__g", "__a", "__b"]).withColumn("__upto", F.sum("__n").over(Window.partitionBy("__g", "__a", "__b").orderBy("__x")))
     found = last.select("__g", "__x", "__n", "__upto", F.explode("__need").alias("__k")).where((F.col("__k.rank") <= F.col("__upto")) & (F.col("__k.rank") > F.col("__upto") - F.col("__n")))
     at = found.groupBy("__g").agg(F.map_from_entries(F.collect_list(F.struct("__k.pos", "__x"))).alias("__at"))
     every = parts.groupBy("__g").agg(F.first("n").alias("n")).join(at, "__g", "left")
@@ -56,17 +59,18 @@ def values_at(df: DataFrame, value: Column, by: list[str], wanted: Callable[[Col
     return every.select(*[F.col(f"__g.`{c}`").alias(c) for c in by], "n", values.alias("values"))
 
 
-def quantiles(df: DataFrame, values: dict[str, Column], probs: list[float], by: list[str] | None = None, weight: str | None = None) -> DataFrame:
+def quantiles(df: DataFrame, values: dict[str, Column], probs: list[float], by: list[str] | None = None, weight: str | None = None, stored: bool = False) -> DataFrame:
     """``by...`` and for each of ``values`` an array of its exact quantiles at ``probs``, between neighbours in proportion.
 
     Quantiles of all ``values`` are found together. A value that is null or not finite does not count; a group
-    without any value at all has no row; without ``by`` there is always one row.
+    without any value at all has no row; without ``by`` there is always one row. ``stored`` is that of :func:`values_at`.
     """
     by = by or []
-    rows = df.select(*by, *([weight] if weight else []), F.explode(F.array(*[F.struct(F.lit(k).alias("__name"), v.cast("double").alias("__v")) for k, v in values.items()])).alias("__p")).select(*by, *([weight] if weight else []), "__p.*")
+    pairs = [F.struct(F.lit(k).alias("__name"), v.cast("double").alias("__v")) for k, v in values.items()]
+    rows = df.select(*by, *([weight] if weight else []), (F.explode(F.array(*pairs)) if len(pairs) > 1 else pairs[0]).alias("__p")).select(*by, *([weight] if weight else []), "__p.*")
     at = [F.lit(float(p)) for p in probs]
     ranks = lambda n: F.flatten(F.transform(F.array(*at), lambda p: F.array(F.floor((n - 1) * p) + 1, F.ceil((n - 1) * p) + 1)))
-    found = values_at(rows, F.col("__v"), [*by, "__name"], ranks, weight)
+    found = values_at(rows, F.col("__v"), [*by, "__name"], ranks, weight, stored)
     between = F.transform(F.array(*at), lambda p, i: F.get("values", 2 * i) + (F.get("values", 2 * i + 1) - F.get("values", 2 * i)) * ((F.col("n") - 1) * p - F.floor((F.col("n") - 1) * p)))
     return found.withColumn("__q", between).groupBy(*by).agg(*[F.max(F.when(F.col("__name") == k, F.col("__q"))).alias(k) for k in values])
 
