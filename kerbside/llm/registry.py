@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerbside.llm import chat, html, mixing, packing, quality, simhash, topk, toxicity, urls, warc
+from kerbside.llm import alignment, chat, html, mixing, packing, quality, simhash, topk, toxicity, urls, warc
 from kerbside.llm.words import n_words
 from kerbside.staging import fresh_dir, written
 
@@ -219,11 +219,16 @@ def op10_toxicity_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_tokenizers(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_chat_formatting, op2_warc_dictionary_writer, op3_best_fit_packing, op4_url_filters, op5_systematic_mixing,
         op6_quality_rules, op7_exact_top_k, op8_html_main_text, op9_simhash_near_dedup, op10_toxicity_grades,
+        op11_tokenizer_alignment,
     )
 }
 SQL = {
