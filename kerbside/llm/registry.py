@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerbside.llm import alignment, chat, html, mixing, packing, quality, simhash, topk, toxicity, urls, warc
+from kerbside.llm import alignment, chat, html, linededup, mixing, packing, quality, simhash, spelling, topk, toxicity, urls, warc
 from kerbside.llm.words import n_words
 from kerbside.staging import fresh_dir, written
 
@@ -223,15 +223,35 @@ def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align_tokenizers(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling.spelled(table(spark, sf_dir, "documents"), 7, 31).where("n >= 2")
+    return spelling.variant_groups(words, 10).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = linededup.dedup_lines(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+OP13_SQL = r"""
+WITH lines AS (
+  SELECT doc_id, pos, line, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS pos FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents))),
+often AS (SELECT key, max(doc_id) AS keeper FROM lines WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+judged AS (SELECT l.*, o.key IS NOT NULL AND l.doc_id <> o.keeper AS lost FROM lines l LEFT JOIN often o ON l.key = o.key)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (lost) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT lost), '')) AS kept_sha256
+FROM judged GROUP BY doc_id"""
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_chat_formatting, op2_warc_dictionary_writer, op3_best_fit_packing, op4_url_filters, op5_systematic_mixing,
         op6_quality_rules, op7_exact_top_k, op8_html_main_text, op9_simhash_near_dedup, op10_toxicity_grades,
-        op11_tokenizer_alignment,
+        op11_tokenizer_alignment, op12_spelling_variants, op13_line_dedup,
     )
 }
 SQL = {
     "op1_chat_formatting": OP1_SQL, "op2_warc_dictionary_writer": OP2_SQL, "op4_url_filters": OP4_SQL, "op5_systematic_mixing": OP5_SQL,
-    "op6_quality_rules": OP6_SQL, "op7_exact_top_k": OP7_SQL,
+    "op6_quality_rules": OP6_SQL, "op7_exact_top_k": OP7_SQL, "op13_line_dedup": OP13_SQL,
 }
