@@ -33,12 +33,12 @@ from kerbside.llm.packing import slices
 from kerbside.staging import written
 
 #: Bytes of a range of a very long text, ranges that one task composes, and bytes of text in a block.
-CHUNK, FAN, BLOCK_BYTES = 1 << 15, 8, 8 << 20
+CHUNK, FAN, BLOCK_BYTES = 1 << 15, 8, 4 << 20
 #: Segments of a generation that a worker remembers; it remembers two.
-REMEMBERED = 200_000
+REMEMBERED = 60_000
 #: The last bytes of white space beyond ASCII, in UTF-8: fixed values.
 _WIDE_SPACE = ["c285", "c2a0", "e19a80", *(f"e280{x:02x}" for x in range(0x80, 0x8B)), "e280a8", "e280a9", "e280af", "e2819f", "e38080"]
-_CHUNKS = "doc_id long, row long, chunk int, chunks int, a binary, a_ends binary, b binary, b_ends binary"
+_CHUNKS = "doc_id long, row long, chunk int, chunks int, a binary, a_start long, b binary, b_start long"
 _NODES = "doc_id long, row long, node int, cut boolean, a binary, a_ends binary, b binary, b_ends binary, n_a long, n_b long, n_groups long, text binary, links binary, last_a binary, last_a_ends binary, last_b binary, last_b_ends binary"
 _BLOCKS = "block long, doc_id array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, sha array<string>, ends array<long>, codes binary, code_docs binary, links binary"
 
@@ -127,6 +127,11 @@ class Pair:
             (a, a_to), (b, b_to) = map(_flat, (of_a, of_b))
             self.known.update(zip(some, zip((a[i:j] for i, j in zip(a_to, a_to[1:])), (b[i:j] for i, j in zip(b_to, b_to[1:])), exact)))
 
+    def placed(self, a: bytes, a_start: int, b: bytes, b_start: int) -> Tokens:
+        """Tokens that follow each other from a byte on."""
+        a, b = (np.frombuffer(x, "<u4").astype(np.int64) for x in (a, b))
+        return Tokens(a, a_start + np.cumsum(self.a_size[a]), b, b_start + np.cumsum(self.b_size[b]))
+
     def segments(self, joined: pa.LargeBinaryArray) -> tuple[pa.LargeBinaryArray, np.ndarray]:
         """The texts cut into segments, and each text's first segment, with the number of segments at the end."""
         at = np.frombuffer(joined.buffers()[1], "<i8")[joined.offset : joined.offset + len(joined) + 1]
@@ -338,7 +343,7 @@ def long_blocks(docs: DataFrame, paths: tuple[str, str], chunk: int = CHUNK, fan
 
     def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair, numbers = pair_of(paths), _numbers()
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), *(pa.binary(),) * 4]
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), *(pa.binary(), pa.int64()) * 2]
         for batch in batches:
             for k in range(batch.num_rows):
                 one = batch.slice(k, 1)
@@ -355,8 +360,11 @@ def long_blocks(docs: DataFrame, paths: tuple[str, str], chunk: int = CHUNK, fan
                         where = np.repeat(to[at] - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths) + np.arange(lengths.sum())
                         laid += [ids[where], np.cumsum(sizes[ids[where]])]
                     tokens = Tokens(*laid)
-                    rows = [tokens.upto(low, low + chunk).packed() for low in range(0, int(tokens.a_ends[-1]), chunk)]
-                rows = rows or [NO_TOKENS.packed()]
+                    for low in range(0, int(tokens.a_ends[-1]), chunk):
+                        some = tokens.upto(low, low + chunk)
+                        start = [int(ends[0] - sizes[ids[0]]) if len(ids) else low for ids, ends, sizes in ((some.a, some.a_ends, pair.a_size), (some.b, some.b_ends, pair.b_size))]
+                        rows.append((some.a.astype("<u4").tobytes(), start[0], some.b.astype("<u4").tobytes(), start[1]))
+                rows = rows or [(b"", 0, b"", 0)]
                 doc, number = one.column(0)[0].as_py(), next(numbers)
                 columns = [[doc] * len(rows), [number] * len(rows), range(len(rows)), [len(rows)] * len(rows), *zip(*rows)]
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), kind) for c, kind in zip(columns, kinds)], names=[c.split()[0] for c in _CHUNKS.split(", ")])
@@ -369,7 +377,7 @@ def long_blocks(docs: DataFrame, paths: tuple[str, str], chunk: int = CHUNK, fan
 
     def leaves(group: pa.Table) -> pa.Table:
         pair, group = pair_of(paths), group.sort_by("chunk")
-        found = [fragment(Tokens.read(*(group[c][k].as_py() for c in ("a", "a_ends", "b", "b_ends"))), pair) for k in range(group.num_rows)]
+        found = [fragment(pair.placed(*(group[c][k].as_py() for c in ("a", "a_start", "b", "b_start"))), pair) for k in range(group.num_rows)]
         return composed(group, group["chunk"][0].as_py() // fan, found, pair)
 
     def unpacked(row: dict) -> Fragment:
