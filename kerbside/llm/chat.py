@@ -36,27 +36,43 @@ def format_conversations(turns: DataFrame, learn_from: str = "assistant") -> Dat
     repeat are turns that repeat. ``loss_spans`` are the ``start`` and ``length`` (code points of
     ``formatted``) of the texts whose role is ``learn_from``, one for each turn, in order. Other columns, also
     ``formatted`` or ``loss_spans`` of ``turns``, are not looked at. A conversation is one row, so all its texts
-    must fit a task's memory; blocks and spans are gathered turn by turn, so that time grows a little faster than turns.
+    must fit a task's memory; time is in proportion to its turns.
     """
     row = F.struct(F.col("turn").isNull().alias("last"), F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), escape(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text"))
     sorted_turns = turns.groupBy(F.col("conv_id").cast("long").alias("conv_id")).agg(F.sort_array(F.collect_list(row)).alias("turns"))
-    # Neighbouring turns of one role are merged: a block is a role, its first turn and its number of turns.
-    block = lambda role, at, n: F.struct(role.alias("role"), at.alias("at"), n.alias("n"))
-    nothing = F.struct(F.array().cast("array<struct<role:string,at:int,n:int>>").alias("done"), F.lit("").alias("role"), F.lit(0).alias("at"), F.lit(0).alias("n"))
-    done = lambda a: F.when(a["n"] > 0, F.array_append(a["done"], block(a["role"], a["at"], a["n"]))).otherwise(a["done"])
-    state = lambda done, role, at, n: F.struct(done.alias("done"), role.alias("role"), at.alias("at"), n.alias("n"))
-    merge = lambda a, x: F.when((a["n"] > 0) & (a["role"] == x["role"]), state(a["done"], a["role"], a["at"], a["n"] + 1)).otherwise(state(done(a), x["role"], a["at"] + a["n"], F.lit(1)))
-    blocks = F.aggregate("turns", nothing, merge, done)
-    texts = lambda b: F.transform(F.slice("turns", b["at"] + 1, b["n"]), lambda x: x["text"])
-    merged = sorted_turns.select("conv_id", "turns", once(blocks).alias("blocks")).select("conv_id", once(F.transform("blocks", lambda b: F.struct(b["role"].alias("role"), texts(b).alias("texts")))).alias("blocks"))
-    head = lambda b: F.concat(F.lit(TURN), escape(b["role"]), F.lit(TEXT))
-    formatted = F.array_join(F.transform("blocks", lambda b: F.concat(head(b), F.array_join(b["texts"], NEXT), F.lit(END))), "")
-    # A text begins after all that stands before it: blocks and, within its own, texts and marks between them.
-    place = lambda at, spans: F.struct(at.alias("at"), spans.alias("spans"))
-    step = lambda a, x, learn: place(a["at"] + F.length(x) + len(NEXT), F.when(learn, F.array_append(a["spans"], F.struct(a["at"].alias("start"), F.length(x).alias("length")))).otherwise(a["spans"]))
-    within = lambda a, b: F.aggregate(b["texts"], place(a["at"] + F.length(head(b)), a["spans"]), lambda c, x: step(c, x, b["role"] == learn_from), lambda c: place(c["at"] - len(NEXT) + len(END), c["spans"]))
-    spans = F.aggregate("blocks", place(F.lit(0), F.array().cast("array<struct<start:int,length:int>>")), within, lambda a: a["spans"])
-    return merged.select("conv_id", formatted.alias("formatted"), spans.alias("loss_spans"))
+    # Neighbouring turns of one role are merged: a block begins where the role changes.
+    role = lambda i: F.get("turns", i)["role"]
+    begins = F.filter(F.sequence(F.lit(0), F.size("turns") - 1), lambda i: (i == 0) | (role(i) != role(i - 1)))
+    begun = sorted_turns.select("conv_id", "turns", once(begins).alias("begins"))
+    upto = lambda k: F.coalesce(F.get("begins", k + 1), F.size("turns"))
+    texts = lambda at, k: F.transform(F.slice("turns", at + 1, upto(k) - at), lambda x: x["text"])
+    head = lambda r: F.concat(F.lit(TURN), escape(r), F.lit(TEXT))
+    block = lambda at, k: F.struct(role(at).alias("role"), texts(at, k).alias("texts"))
+    merged = begun.select("conv_id", once(F.transform("begins", block)).alias("blocks"))
+    formatted = F.array_join(F.transform("blocks", lambda b: F.concat(head(b["role"]), F.array_join(b["texts"], NEXT), F.lit(END))), "")
+    # A text begins after all that stands before it: other texts, marks between them, heads and ends of blocks.
+    part = lambda first, last, r, x: F.struct(first.alias("head"), F.length(x).cast("long").alias("length"), (first + F.length(x) + F.when(last, len(END)).otherwise(len(NEXT))).cast("long").alias("all"), (r == learn_from).alias("learn"))
+    parts = F.flatten(F.transform("blocks", lambda b: F.transform(b["texts"], lambda x, i: part(F.when(i == 0, F.length(head(b["role"]))).otherwise(0), i == F.size(b["texts"]) - 1, b["role"], x))))
+    placed = merged.select("conv_id", formatted.alias("formatted"), once(parts).alias("parts")).select("*", once(_sums_within(F.transform("parts", lambda x: x["all"]))).alias("local"))
+    placed = placed.select("*", once(_sums(F.transform("local", lambda x: x["at"]))["sums"]).alias("before"))
+    starts = placed.select("conv_id", "formatted", "parts", once(F.flatten(F.transform("local", lambda x, k: F.transform(x["sums"], lambda s: s + F.get("before", k))))).alias("starts"))
+    spans = F.filter(F.transform("parts", lambda x, i: F.struct((F.get("starts", i) + x["head"]).cast("int").alias("start"), x["length"].cast("int").alias("length"), x["learn"].alias("learn"))), lambda x: x["learn"])
+    return starts.select("conv_id", "formatted", F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x["length"].alias("length"))).alias("loss_spans"))
+
+
+#: Numbers that are added up one by one; an array of more is added up in runs of so many.
+RUN = 512
+
+
+def _sums(values: Column) -> Column:
+    """``sums`` (of what stands before each value) and ``at`` (of all) of an array of longs; for short arrays, as the sums are appended one by one."""
+    state = lambda sums, at: F.struct(sums.alias("sums"), at.alias("at"))
+    return F.aggregate(values, state(F.array().cast("array<bigint>"), F.lit(0).cast("long")), lambda a, x: state(F.array_append(a["sums"], a["at"]), a["at"] + x))
+
+
+def _sums_within(values: Column) -> Column:
+    """:func:`_sums` of each run of ``RUN`` values."""
+    return F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / RUN).cast("int")), lambda k: _sums(F.slice(values, k * RUN + 1, F.lit(RUN))))
 
 
 #: Code points of a piece of a formatted conversation, out of which spans are cut.
