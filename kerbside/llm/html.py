@@ -2,12 +2,13 @@
 
 Every paragraph gives points for its length and its commas to its ancestors, less to the farther ones; a
 container's sum is discounted by the share of its text that is in links. The best container is kept with
-those of its siblings that score well too; menus, headers, footers, sidebars, notices, adverts, forms,
-scripts, styles and reader comments are taken out beforehand by element, role and name.
+its siblings, but for those that are mostly links or stand before what precedes it; menus, headers, footers,
+sidebars, notices, adverts, forms, scripts, styles and reader comments are taken out beforehand by element, role
+and name. Where articles are marked as such, the best is looked for in them, and all of them are kept.
 
 A name (a class or an id) says so only as a whole: each of its words is one of ``NAMES`` or tells of layout
-(``PLAIN``), such as ``comments``, ``ad-box`` or ``left-sidebar``, but not ``share-price-table``. Beside an article
-that is marked as one, any word of ``NAMES`` is enough. Parsing and scoring take time in proportion to the page,
+(``PLAIN``), such as ``comments``, ``ad-box``, ``usercomments`` or ``left-sidebar``, but not ``share-price-table``. Beside an
+article that is marked as one, any word of ``NAMES`` is enough. Parsing and scoring take time in proportion to the page,
 however deep or broken it is.
 """
 
@@ -16,6 +17,7 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 from html import unescape
 
 import pyarrow as pa
@@ -61,9 +63,20 @@ def _attributes(text: str) -> dict[str, str]:
     return {m[1].lower(): unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(text)} if text.strip(" /") else {}
 
 
-def _name_words(attributes: dict[str, str]) -> list[set[str]]:
+@lru_cache(100_000)
+def _parts(word: str) -> frozenset[str]:
+    """The words that a word is glued from, if all of them are known, else the word itself."""
+    if word in _WHOLE or len(word) > 40:
+        return frozenset([word])
+    for k in range(len(word) - 2, 1, -1):
+        if word[:k] in _WHOLE and (rest := _parts(word[k:])) <= _WHOLE:
+            return rest | {word[:k]}
+    return frozenset([word])
+
+
+def _name_words(attributes: dict[str, str]) -> list[frozenset[str]]:
     """The words of each class name and of the id, in lower case, without numbers."""
-    return [{w.lower() for w in _NAME.findall(name) if not w.isdigit()} for c in ("class", "id") for name in attributes.get(c, "").split()]
+    return [frozenset().union(*(_parts(w.lower()) for w in _NAME.findall(name) if not w.isdigit())) for c in ("class", "id") for name in attributes.get(c, "").split()]
 
 
 class _Page:
@@ -185,6 +198,9 @@ def main_text(html: str | None) -> str:
         links[parent[i]] += links[i]
     for i in range(1, n):  # outside the article a list or box of links only is a menu, whatever its name
         out[i] = out[i] or out[parent[i]] or not page.inside[i] and tag[i] in ("ul", "ol", "div", "section", "table", "dl") and links[i] >= 3 and link[i] >= 0.9 * size[i] > 0
+    holds = [False] * n  # a marked article is inside
+    for i in range(n - 1, 0, -1):
+        holds[parent[i]] = holds[parent[i]] or holds[i] or page.inside[i]
     density = lambda i: link[i] / size[i] if size[i] else 0.0
     points = [0.0] * n
     for i in range(1, n):
@@ -196,22 +212,33 @@ def main_text(html: str | None) -> str:
                 points[node] += gives / (1 if level == 0 else 2 if level == 1 else 3 * level)
                 node, level = parent[node], level + 1
     scored = [p * (1 - density(i)) for i, p in enumerate(points)]
-    best = max((i for i in range(1, n) if not out[i]), key=lambda i: (scored[i], -i), default=0)
+    # Articles that are marked and hold more than a small part of what stands outside come first.
+    marked = [i for i in range(1, n) if tag[i] in ("article", "main") and not page.inside[parent[i]] and not out[i] and size[i]]
+    inner = [i for i in range(1, n) if page.inside[i] and not out[i]]
+    outer = max((size[i] for i in range(1, n) if tag[i] in PARAGRAPH and tag[i] != "body" and not page.inside[i] and not out[i] and not holds[i]), default=0)
+    use = inner if marked and 4 * sum(size[i] for i in marked) >= outer else [i for i in range(1, n) if not out[i]]
+    best = max(use, key=lambda i: (scored[i], -i), default=0)
     if best == 0 or scored[best] <= 0:  # no paragraph at all
-        best = next((i for t in ("article", "main", "body") for i in range(1, n) if tag[i] == t and not out[i] and size[i]), 0)
-        roots = {best}
+        roots = set(marked) or {next((i for i in range(1, n) if tag[i] == "body" and not out[i] and size[i]), 0)}
     else:
         node, around = best, 0
         while node:
             around = node if tag[node] == "article" or tag[node] == "main" and tag[around] != "article" else around
             node = parent[node]
         best = around or best
-        least = max(10.0, 0.2 * scored[best])
-        roots = {best} | {
-            i for i in range(1, n) if parent[i] == parent[best] and not out[i] and best and parent[best] and (
-                scored[i] >= least or tag[i] in HEADING or tag[i] == "p" and paragraph_size[i] > 80 and density(i) < 0.25
-            )
-        }
+        while parent[best] and size[parent[best]] == size[best]:  # nothing else is in it
+            best = parent[best]
+        roots = {best} | {i for i in marked if around and density(i) < 0.5}
+        beside = [i for i in range(1, n) if parent[i] == parent[best] and (out[i] or size[i])] if parent[best] else []
+        place = beside.index(best) if beside else 0
+        good = lambda i: not out[i] and density(i) < 0.5
+        roots.update(filter(good, beside[place + 1 :]))
+        led = [i for i in beside[:place] if not out[i] and (scored[i] >= 0.2 * scored[best] or tag[i] in HEADING or tag[i] == "p" and paragraph_size[i] > 80 and density(i) < 0.25)]
+        first = beside.index(led[0]) if led else place
+        while first and good(beside[first - 1]):
+            first -= 1
+        roots.update(filter(good, beside[first:place]))
+        roots.update(led)
     kept = [i in roots for i in range(n)]
     for i in range(1, n):
         kept[i] = (kept[i] or kept[parent[i]]) and not out[i]
