@@ -54,14 +54,19 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_
     ``vectors`` has a long id and integer ``components`` (array of longs; a missing component counts as
     zero). Rows whose id or components are null take no part. Every other row is one of its own, whether or
     not it repeats an id or a vector: a query meets all rows but itself, and two query rows of one id have
-    rankings of their own (``k`` rows each). Ties go to the smaller id. Scores wrap beyond 64 bits. Fewer than
+    rankings of their own (``k`` rows each). Ties go to the smaller id. Vectors so long that a score might not fit
+    64 bits (a squared length of 2^62 or more) are an error. Fewer than
     k other rows: all of them. No query: no rows. A block's vectors are in one task's memory together, so
     very long vectors want smaller blocks.
     """
     # Rows are numbered once and written, so that a row has the same number in every block.
     known = vectors.where(F.col(id_col).isNotNull() & F.col(components).isNotNull())
     rows = written(known.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("vec_id"), F.col(components).alias("components"), is_query.alias("asks")), "topk-rows")
-    sizes = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if("asks").alias("q")).first()
+    # No inner product, and no part of one, is larger than the largest squared length.
+    length = F.aggregate("components", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
+    sizes = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if("asks").alias("q"), F.max(length).alias("longest")).first()
+    if (sizes["longest"] or 0.0) >= 2.0**62:
+        raise OverflowError(f"scores of vectors of squared length {sizes['longest']:.3g} may not fit 64 bits; use a smaller scale")
     n_blocks, q_blocks = max(1, math.ceil(sizes["n"] / CANDIDATES)), max(1, math.ceil(sizes["q"] / QUERIES))
     block = lambda n: F.pmod(F.xxhash64("row"), F.lit(n)).cast("int")
     pair = (F.col("c") * F.lit(q_blocks).cast("long") + F.col("q")).alias("pair")

@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kerbside.llm import chat, html, mixing, packing, quality, registry, simhash, topk, toxicity, urls, warc
+from kerbside.llm import alignment, chat, html, linededup, mixing, packing, quality, registry, simhash, spelling, topk, toxicity, urls, warc
 from kerbside.llm.components import component_labels
 from kerbside.llm.words import n_words, words
 from kerbside.staging import written
@@ -662,3 +662,219 @@ def test_pipeline_of_odd_and_of_no_documents(spark, tmp_path):
     check_stages(spark, stages, labels)
     assert stages["SimHash near-dedup"][1].where("doc_id is null").count() == 3 and stages["SimHash near-dedup"][1].where("doc_id = 2").count() == 2
     assert all(after.count() == 0 for _, after in pipeline_stages(spark, frame.limit(0), f"file://{tmp_path}").values())
+
+
+# 11. Alignment of two tokenizers
+
+
+A, B = (registry.tokenizer_path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+
+
+def aligned_by_hand(rows):
+    """Whole texts tokenised at once, overlaps by comparing every pair of a group, counts by a dictionary."""
+    pair, docs = alignment.Pair(A, B), []
+    for doc, text in rows:
+        a, b = ([], []) if not text else (pair.a.encode(" " + text, add_special_tokens=False).ids, pair.b.encode(text))
+        spelled = (" " + text).encode() if text else b""
+        if not text or b"".join(pair.a_bytes[i] for i in a) != spelled or b"".join(pair.b_bytes[i] for i in b) != spelled:
+            docs.append((doc, 0, 0, 0, [], ""))
+            continue
+        ends = lambda ids, table: list(np.cumsum([len(table[i]) for i in ids]))
+        a_ends, b_ends = ends(a, pair.a_bytes), ends(b, pair.b_bytes)
+        links, groups, low = [], [], 0
+        for cut in sorted(set(a_ends) & set(b_ends)):
+            mine, other = ([k for k, e in enumerate(x) if low < e <= cut] for x in (a_ends, b_ends))
+            groups.append(",".join(str(a[k]) for k in mine) + "|" + ",".join(str(b[k]) for k in other))
+            links += [(a[i], b[j]) for i in mine for j in other if max(a_ends[i] - len(pair.a_bytes[a[i]]), b_ends[j] - len(pair.b_bytes[b[j]])) < min(a_ends[i], b_ends[j])]
+            low = cut
+        docs.append((doc, len(a), len(b), len(groups), links, hashlib.sha256(";".join(groups).encode()).hexdigest()))
+    n = Counter(link for d in docs for link in set(d[4]))
+    top = Counter()
+    for (a, _), times in n.items():
+        top[a] = max(top[a], times)
+    return Counter((*d[:4], len(d[4]), sum(n[x] == top[x[0]] for x in d[4]), sum(n[x] for x in d[4]), d[5]) for d in docs)
+
+
+PIECES = ["a", "the", "ing", " ", "  ", "\n", "\t", "é", "ß", "\u00a0", "\u2003", "x\u0301", "<|endoftext|>", "<s>", "'s", "'ll", "12", "!?", "▁", "\x00", "😀", "中文", "\x85", "\x0b", "\x1c", " \n", "\r\n", ".", "("]
+
+
+@pytest.mark.parametrize("chunk", [40, 1 << 15])
+def test_alignment_is_that_of_whole_texts(spark, chunk):
+    rng = random.Random(chunk)
+    rows = [(k, "".join(rng.choices(PIECES, k=rng.randrange(1, 40)))) for k in range(600)]
+    rows += [(None, None), (7, ""), (7, " "), (7, " "), (8, "\n"), (9, "x" * 3000), (10, "word " * 1500), (11, "".join(rng.choices([p for p in PIECES if p != "▁"], k=3000)))]
+    docs = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, n_a long, sha string")
+    found = alignment.align_tokenizers(docs, A, B, chunk=chunk)
+    assert Counter(tuple(r) for r in found.collect()) == aligned_by_hand(rows)
+
+
+def test_alignment_of_real_documents(spark):
+    rows = [tuple(r) for r in registry.table(spark, SF, "documents").select("doc_id", "text").collect()]
+    assert Counter(tuple(r) for r in registry.op11_tokenizer_alignment(spark, SF).collect()) == aligned_by_hand(rows)
+
+
+def test_fragments_compose_in_any_order():
+    pair, rng = alignment.pair_of((A, B)), random.Random(2)
+    text = "".join(rng.choices([p for p in PIECES if p != "▁"], k=300))
+    ids = pair.a.encode(" " + text, add_special_tokens=False).ids, pair.b.encode(text)
+    tokens = alignment.Tokens(*(np.array(x, np.int64) for x in (ids[0], np.cumsum(pair.a_size[ids[0]]), ids[1], np.cumsum(pair.b_size[ids[1]]))))
+    parts = [alignment.fragment(tokens.upto(low, low + 7), pair) for low in range(0, int(tokens.a_ends[-1]), 7)]
+    while len(parts) > 1:
+        k = rng.randrange(len(parts) - 1)
+        parts[k : k + 2] = [alignment.compose(parts[k], parts[k + 1], pair)]
+    whole = alignment.fragment(tokens, pair)
+    empty = alignment.Fragment()
+    for found in (parts[0], alignment.compose(empty, whole, pair), alignment.compose(whole, empty, pair)):
+        assert (found.text, found.n_groups, found.links.tolist()) == (whole.text, whole.n_groups, whole.links.tolist())
+        assert all(x.tolist() == y.tolist() for x, y in zip((*found.first, *found.last), (*whole.first, *whole.last)))
+
+
+def test_alignment_of_nothing(spark):
+    assert alignment.align_tokenizers(spark.createDataFrame([], DOCS), A, B).collect() == []
+    found = {(r.doc_id, r.n_a > 0, r.groups_sha256 == "") for r in alignment.align_tokenizers(odd_docs(spark), A, B).collect()}
+    assert found == {(1, False, True), (2, False, True), (3, True, False), (None, True, False), (5, True, False), (6, True, False), (7, True, False)}
+
+
+# 12. Spelling variants
+
+
+def variants_by_hand(n, times=10):
+    near, without = {w: set() for w in n}, {}
+    for w in n:
+        for i in range(len(w)):
+            rest = w[:i] + w[i + 1 :]
+            without.setdefault((i, rest), []).append(w)
+            if rest in n:
+                near[w].add(rest)
+                near[rest].add(w)
+    for some in without.values():
+        for w in some:
+            near[w].update(x for x in some if x != w)
+    best = {w: min(x, key=lambda y: (-n[y], y)) for w, x in near.items() if x}
+    form = {w: x for w, x in best.items() if n[x] >= times * n[w]}
+
+    def root(w):
+        while w in form:
+            w = form[w]
+        return w
+
+    return Counter((w, form.get(w), root(w), n[w], len(near[w]), n[form[w]] if w in form else None) for w in n)
+
+
+@pytest.mark.parametrize("alphabet,size,most", [("abé", 900, 25), ("ab", 700, 8), ("abcdefgh", 1500, 20_000)])
+def test_variants_by_composition(spark, alphabet, size, most):
+    """Small ``most``: prefixes and suffixes are so common that edits fall between them."""
+    rng = random.Random(size)
+    n = {"".join(rng.choices(alphabet, k=rng.randrange(1, 12))): rng.choice([2, 3, 30, 400, 5000]) for _ in range(size)}
+    n |= {"abcdefgh" * 2 + "".join(rng.choices("ab", k=rng.randrange(1, 7))): 5 for _ in range(100)} | {"é" * 5000: 2, "é" * 4999: 40}
+    words = spark.createDataFrame([*n.items(), (None, 3), ("", 5)], "word string, n long")
+    found = spelling.variant_groups(words, 10, most).select("word", "form", "root", "n", "n_near", "form_n")
+    assert Counter(tuple(r) for r in found.collect()) == variants_by_hand(n)
+
+
+def test_spelling_variants_of_documents(spark):
+    n = Counter()
+    for doc, text in registry.table(spark, SF, "documents").select("doc_id", "text").collect():
+        for run in re.findall("[A-Za-z\u00C0-\u00FF]+", text or ""):
+            run = "".join(c.lower() if c.isascii() else c for c in run)
+            h = zlib.crc32(f"{doc}:{run}".encode())
+            n[run[: h % len(run)] + run[h % len(run) + 1 :] if h % 31 == 0 else run] += 1
+    n = {w: k for w, k in n.items() if len(w) >= 7 and k >= 2}
+    found = registry.op12_spelling_variants(spark, SF)
+    assert Counter(tuple(r) for r in found.collect()) == variants_by_hand(n)
+    assert len(n) > 1000
+
+
+def test_spelling_of_odd_documents(spark):
+    words = spelling.spelled(odd_docs(spark), 3)
+    assert {(r.word[:3], len(r.word), r.n) for r in words.collect()} == {("one", 3, 3), ("two", 3, 3), ("ééé", 40_000, 1)}
+    assert spelling.variant_groups(words).count() == 3
+    none = spelling.spelled(spark.createDataFrame([], DOCS), 3)
+    assert (none.count(), spelling.variant_groups(none).count()) == (0, 0)
+
+
+# 13. Lines
+
+
+def lines_by_hand(rows, least_chars=20, least_docs=3):
+    key = lambda line: "".join(c.lower() if c.isascii() else c for c in line.strip(" \t\n\x0b\x0c\r"))
+    holders = {}
+    for doc, text in rows:
+        for line in (text or "").split("\n"):
+            if len(key(line)) >= least_chars:
+                holders.setdefault(key(line), set()).add(doc)
+    order = lambda doc: (doc is not None, doc or 0)
+    keeper = {k: max(docs, key=order) for k, docs in holders.items() if len(docs) >= least_docs}
+    out = Counter()
+    for doc, text in rows:
+        lines = (text or "").split("\n")
+        kept = [x for x in lines if key(x) not in keeper or keeper[key(x)] == doc]
+        out[doc, len(lines), len(lines) - len(kept), "\n".join(kept)] += 1
+    return out
+
+
+@pytest.mark.parametrize("batches,fan_out", [(1, 2), (7, 2), (12, 3)])
+def test_lines_dropped_as_by_hand(spark, batches, fan_out):
+    rng = random.Random(batches)
+    lines = ["", " ", "short", "A line of some length é", "a LINE of some length é\t", "another line that is long", "\x0bAnother line that is long ", "É line of some length here", "é line of some length here", "x" * 19, "y" * 20]
+    lines += [f"line number {k} that few hold" for k in range(30)]
+    rows = [(k, "\n".join(rng.choices(lines, k=rng.randrange(0, 9)))) for k in range(150)]
+    rows += [(None, "\n".join(lines)), (None, "a line of some length é"), (3, "\n".join(lines)), (3, rows[3][1]), (3, rows[3][1]), (400, None), (401, ""), (402, "\n" * 3), (-5, "\n".join(lines * 3))]
+    docs = spark.createDataFrame([(*r, 1, 2, "x") for r in rows], "doc_id long, text string, pos int, h1 long, lost string").repartition(3)
+    assert Counter(tuple(r) for r in linededup.dedup_lines(docs, batches=batches, fan_out=fan_out).collect()) == lines_by_hand(rows)
+
+
+def test_line_runs_are_compacted(spark):
+    runs = linededup.LineRuns(spark, 2)
+    for k in range(5):
+        made = runs.sorted_run(spark.createDataFrame([(k, 0, 1), (99, 0, 1)], "h1 long, h2 long, n long"))
+        assert [r.h1 for r in runs.unseen(made).collect()] == ([0, 99] if not k else [k])
+        runs.add(made)
+    assert [len(level) for level in runs.levels] == [1, 0, 1]
+    assert {(r.h1, r.n) for r in runs.totals().collect()} == {(0, 1), (1, 1), (2, 1), (3, 1), (4, 1), (99, 5)}
+    plan = runs.unseen(made)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+    runs.forget()
+
+
+def test_lines_of_odd_and_no_documents(spark):
+    assert linededup.dedup_lines(spark.createDataFrame([], DOCS)).collect() == []
+    assert {(r.doc_id, r.n_lines, r.n_dropped) for r in linededup.dedup_lines(odd_docs(spark)).collect()} == {(1, 1, 0), (2, 1, 0), (3, 2, 0), (None, 1, 0), (5, 1, 0), (6, 1, 0), (7, 1, 0)}
+
+
+# Mended
+
+
+def test_scores_that_do_not_fit_are_refused(spark):
+    rows = spark.createDataFrame([(0, [2**31, 2**31]), (100, [1, 1])], "vec_id long, components array<long>")
+    with pytest.raises(OverflowError, match="64 bits"):
+        topk.top_k(rows, F.col("vec_id") % 100 == 0)
+
+
+def test_long_conversation_in_time(spark):
+    n = 20_000
+    turns = spark.range(n).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 3 == 0, "assistant").otherwise("user").alias("role"), F.concat(F.lit("hi <| wörld "), "id").alias("text"))
+    chat.format_conversations(turns.limit(10)).collect()
+    began = time.time()
+    found = chat.read_back(chat.format_conversations(turns)).select(F.size("turns").alias("n"), F.sha2(F.array_join("learned", "").cast("binary"), 256).alias("sha")).first()
+    assert found.n == n and found.sha == hashlib.sha256("".join(f"hi <| wörld {k}" for k in range(0, n, 3)).encode()).hexdigest()
+    assert time.time() - began < 15
+
+
+STORY = "This is a long paragraph, with commas, and many words that go on and on, to be the main story of the page. " * 3
+
+
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        (f"<h1>T</h1><div class=post><p>{STORY}<p>{STORY}</div><ul><li>fact one<li>fact two</ul><table><tr><td>a<td>b</table><blockquote>q</blockquote><section><h2>s</h2><p>short</section>", f"T {STORY}{STORY}fact one fact two a b q s short"),
+        (f"<article><p>{STORY}<div class=usercomments><p>{STORY}</div><div id=cookiebanner>c</div></article><div class=cookiebanner><p>{STORY * 4}</div>", STORY),
+        (f"<article><p>{STORY}</article><div class=xnotice><p>{STORY * 3}</div>", STORY),
+        (f"<article><p>{STORY}</article><article><p>a short one</article>", f"{STORY}a short one"),
+        (f"<div>My Site</div><nav>m</nav><p>lead</p><div><p>{STORY}</div><div><a>one</a> <a>two</a> <a>three</a></div>", f"lead {STORY}"),
+        (f"<main><h1>t</h1><article><p>{STORY}</article><p>after</main>", f"t {STORY}after"),
+        (f"<div class=headline>h</div><div class=spread><p>{STORY}</div><div class='sharebuttons'>s</div>", f"h {STORY}"),
+    ],
+)
+def test_whole_story_and_nothing_else(page, text):
+    assert html.main_text(page) == text.strip()
