@@ -369,44 +369,44 @@ def long_blocks(docs: DataFrame, paths: tuple[str, str], chunk: int = CHUNK, fan
                 columns = [[doc] * len(rows), [number] * len(rows), range(len(rows)), [len(rows)] * len(rows), *zip(*rows)]
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), kind) for c, kind in zip(columns, kinds)], names=[c.split()[0] for c in _CHUNKS.split(", ")])
 
-    def composed(group: pa.Table, node: int, fragments: list[Fragment], pair: Pair) -> pa.Table:
+    def composed(group: pa.Table, node: int, fragments: list[Fragment], whole: bool) -> pa.Table:
+        """The fragments' composition as a node of the tree, or as a block if it is the whole text."""
+        pair, row = pair_of(paths), group["row"][0].as_py()
         f = reduce(lambda x, y: compose(x, y, pair), fragments, Fragment())
-        values = [group["doc_id"][0].as_py(), group["row"][0].as_py(), node, f.cut, *f.first.packed(), f.n_a, f.n_b, f.n_groups, f.text, f.links.astype("<u4").tobytes(), *f.last.packed()]
+        if whole:
+            # The text begins at a cut: what stood open before the first one is a group.
+            f = compose(Fragment(cut=True), f, pair)
+            f = f.closed(f.last, pair)
+            codes, place = _distinct(f.links)
+            sha = hashlib.sha256(f.text[:-1]).hexdigest() if f.text else ""
+            return pa.Table.from_batches([_block(-1 - row, [group["doc_id"][0].as_py()], [f.n_a], [f.n_b], [f.n_groups], [sha], np.array([len(place)]), codes, place)])
+        values = [group["doc_id"][0].as_py(), row, node, f.cut, *f.first.packed(), f.n_a, f.n_b, f.n_groups, f.text, f.links.astype("<u4").tobytes(), *f.last.packed()]
         kinds = [pa.int64(), pa.int64(), pa.int32(), pa.bool_(), *(pa.binary(),) * 4, *(pa.int64(),) * 3, *(pa.binary(),) * 6]
         return pa.table([pa.array([v], kind) for v, kind in zip(values, kinds)], names=[c.split()[0] for c in _NODES.split(", ")])
 
-    def leaves(group: pa.Table) -> pa.Table:
-        pair, group = pair_of(paths), group.sort_by("chunk")
-        found = [fragment(pair.placed(*(group[c][k].as_py() for c in ("a", "a_start", "b", "b_start"))), pair) for k in range(group.num_rows)]
-        return composed(group, group["chunk"][0].as_py() // fan, found, pair)
+    def leaves(whole: bool):
+        def one(group: pa.Table) -> pa.Table:
+            pair, group = pair_of(paths), group.sort_by("chunk")
+            found = [fragment(pair.placed(*(group[c][k].as_py() for c in ("a", "a_start", "b", "b_start"))), pair) for k in range(group.num_rows)]
+            return composed(group, group["chunk"][0].as_py() // fan, found, whole)
 
-    def unpacked(row: dict) -> Fragment:
-        return Fragment(Tokens.read(row["a"], row["a_ends"], row["b"], row["b_ends"]), row["cut"], row["n_a"], row["n_b"], row["n_groups"], row["text"], np.frombuffer(row["links"], "<u4").astype(np.int64), Tokens.read(row["last_a"], row["last_a_ends"], row["last_b"], row["last_b_ends"]))
+        return one
 
-    def branches(group: pa.Table) -> pa.Table:
-        group = group.sort_by("node")
-        return composed(group, group["node"][0].as_py() // fan, [unpacked(r) for r in group.to_pylist()], pair_of(paths))
+    def branches(whole: bool):
+        def one(group: pa.Table) -> pa.Table:
+            group = group.sort_by("node")
+            found = [Fragment(Tokens.read(r["a"], r["a_ends"], r["b"], r["b_ends"]), r["cut"], r["n_a"], r["n_b"], r["n_groups"], r["text"], np.frombuffer(r["links"], "<u4").astype(np.int64), Tokens.read(r["last_a"], r["last_a_ends"], r["last_b"], r["last_b_ends"])) for r in group.to_pylist()]
+            return composed(group, group["node"][0].as_py() // fan, found, whole)
 
-    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pair, numbers = pair_of(paths), _numbers()
-        for batch in batches:
-            for k in range(batch.num_rows):
-                row = batch.slice(k, 1).to_pylist()[0]
-                f = unpacked(row)
-                # The text begins at a cut: what stood open before the first one is its first group.
-                f = Fragment().closed(f.first, pair)._replace(cut=f.cut) if not f.text else compose(Fragment(cut=True), f, pair)
-                codes, place = _distinct(f.links)
-                sha = hashlib.sha256(f.text[:-1]).hexdigest() if f.text else ""
-                yield _block(-1 - next(numbers), [row["doc_id"]], [f.n_a], [f.n_b], [f.n_groups], [sha], np.array([len(place)]), codes, place)
+        return one
 
     chunks = written(docs.mapInArrow(ranges, _CHUNKS), "alignment-chunks")
-    most = chunks.agg(F.max("chunks")).first()[0] or 1
-    nodes = chunks.groupBy("row", F.floor(F.col("chunk") / fan).alias("__up")).applyInArrow(leaves, _NODES)
-    most = math.ceil(most / fan)
-    while most > 1:
-        nodes = nodes.groupBy("row", F.floor(F.col("node") / fan).alias("__up")).applyInArrow(branches, _NODES)
-        most = math.ceil(most / fan)
-    return nodes.mapInArrow(blocks, _BLOCKS)
+    left = math.ceil((chunks.agg(F.max("chunks")).first()[0] or 1) / fan)
+    nodes = chunks.groupBy("row", F.floor(F.col("chunk") / fan).alias("__up")).applyInArrow(leaves(left == 1), _BLOCKS if left == 1 else _NODES)
+    while left > 1:
+        left = math.ceil(left / fan)
+        nodes = nodes.groupBy("row", F.floor(F.col("node") / fan).alias("__up")).applyInArrow(branches(left == 1), _BLOCKS if left == 1 else _NODES)
+    return nodes
 
 
 def align_tokenizers(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
