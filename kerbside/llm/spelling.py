@@ -20,7 +20,6 @@ import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -199,28 +198,33 @@ def near_words(words: DataFrame, state_words: int = STATE_WORDS) -> DataFrame:
             at += 1
         return -1 if at >= head else at
 
-    def rows(pairs: Iterator[tuple[str, str]], n: dict[str, int]) -> pd.DataFrame:
+    def rows(pairs: Iterator[tuple[str, str]], group: pa.Table) -> pa.Table:
+        n = of(group, "n")
         found = [(x, y) for a, b in pairs for x, y in ((a, b), (b, a))]
-        return pd.DataFrame({"word": [x for x, _ in found], "near": [y for _, y in found], "near_n": [n[y] for _, y in found]}).astype({"near_n": "int64"})
+        return pa.table({"word": pa.array([x for x, _ in found], pa.string()), "near": pa.array([y for _, y in found], pa.string()), "near_n": pa.array([n[y] for _, y in found], pa.int64())})
 
-    def states(group: pd.DataFrame) -> Iterator[tuple[str, list[str]]]:
+    def of(group: pa.Table, column: str) -> dict[str, int]:
+        """A column by word."""
+        return dict(zip(group["word"].to_pylist(), group[column].to_pylist()))
+
+    def states(group: pa.Table) -> Iterator[tuple[str, list[str]]]:
         """Initial states of a task, with the words behind each."""
         behind = defaultdict(list)
-        for begins, word in zip(group["begins"], group["word"]):
+        for begins, word in zip(group["begins"].to_pylist(), group["word"].to_pylist()):
             behind[begins].append(word)
         yield from behind.items()
 
-    def begin_alike(group: pd.DataFrame) -> pd.DataFrame:
+    def begin_alike(group: pa.Table) -> pa.Table:
         def pairs():
             for begins, some in states(group):
                 if len(some) > 1:
                     for x, y in edit_pairs(Acceptor(sorted(w[len(begins) :] for w in some))):
                         yield begins + x, begins + y
 
-        return rows(pairs(), dict(zip(group["word"], group["n"])))
+        return rows(pairs(), group)
 
-    def end_alike(group: pd.DataFrame) -> pd.DataFrame:
-        head = dict(zip(group["word"], group["head"]))
+    def end_alike(group: pa.Table) -> pa.Table:
+        head = of(group, "head")
 
         def pairs():
             for begins, some in states(group):
@@ -230,10 +234,10 @@ def near_words(words: DataFrame, state_words: int = STATE_WORDS) -> DataFrame:
                         if alone(x, y, head[x]) >= 0:
                             yield x, y
 
-        return rows(pairs(), dict(zip(group["word"], group["n"])))
+        return rows(pairs(), group)
 
-    def meet_between(group: pd.DataFrame) -> pd.DataFrame:
-        head, tail = dict(zip(group["word"], group["head"])), dict(zip(group["word"], group["tail"]))
+    def meet_between(group: pa.Table) -> pa.Table:
+        head, tail = of(group, "head"), of(group, "tail")
 
         def pairs():
             for begins, some in states(group):
@@ -244,7 +248,7 @@ def near_words(words: DataFrame, state_words: int = STATE_WORDS) -> DataFrame:
                         if alone(x, y, head[x]) == at and alone(x[::-1], y[::-1], tail[x]) >= 0:
                             yield x, y
 
-        return rows(pairs(), dict(zip(group["word"], group["n"])))
+        return rows(pairs(), group)
 
     def task(*keys) -> Column:
         return F.pmod(F.xxhash64(*keys), F.lit(n_tasks)).cast("int").alias("task")
@@ -252,15 +256,15 @@ def near_words(words: DataFrame, state_words: int = STATE_WORDS) -> DataFrame:
     def dealt_by(begins: Column) -> DataFrame:
         return dealt.select(begins.alias("begins"), "word", "n", "head").select(task("begins"), "begins", "word", "n", "head")
 
-    first = dealt_by(F.substring("word", F.lit(1), F.col("head"))).groupBy("task").applyInPandas(begin_alike, shape)
-    second = dealt_by(F.substring(F.reverse("word"), F.lit(1), F.col("tail"))).groupBy("task").applyInPandas(end_alike, shape)
+    first = dealt_by(F.substring("word", F.lit(1), F.col("head"))).groupBy("task").applyInArrow(begin_alike, shape)
+    second = dealt_by(F.substring(F.reverse("word"), F.lit(1), F.col("tail"))).groupBy("task").applyInArrow(end_alike, shape)
     # Edited at a place that neither the common prefix nor the common suffix leaves out.
     size = F.char_length("word")
     places = dealt.where(F.col("head") + F.col("tail") > size).select("*", F.explode(F.sequence(F.greatest(size - F.col("tail"), F.lit(0)), F.least(F.col("head") - 1, size))).alias("at"))
     without = F.concat(F.substring("word", F.lit(1), F.col("at")), F.lit("\n"), F.substring("word", F.col("at") + 2, size))
     opened = F.concat(F.substring("word", F.lit(1), F.col("at")), F.lit("\n"), F.substring("word", F.col("at") + 1, size))
     between = places.select("word", "n", "head", "tail", F.explode(F.array(without, opened)).alias("begins"))
-    third = between.select(task("begins"), "begins", "word", "n", "head", "tail").groupBy("task").applyInPandas(meet_between, shape)
+    third = between.select(task("begins"), "begins", "word", "n", "head", "tail").groupBy("task").applyInArrow(meet_between, shape)
     return first.unionByName(second).unionByName(third)
 
 
