@@ -25,11 +25,15 @@ def mark_duplicates(df: DataFrame, columns: list[str], order: Column, eligible:
 
 
 def resolve_keyed(df: DataFrame, key: list[str], digest: str, order: Column) -> DataFrame:
-    """DUP-2 / SRC-6: ``outcome``: ``accepted`` (first of its key), ``duplicate`` (same content) or ``conflict`` (other content)."""
+    """DUP-2 / SRC-6: ``df`` with ``outcome``: ``accepted`` (first of its key by ``order``), ``duplicate`` (same content) or ``conflict`` (other content).
+
+    Every row has an outcome: a null in a key is a value like others, and so is a null digest.
+    """
     with_order = df.withColumn("__order", order)
-    first = with_order.groupBy(*key).agg(F.min_by(F.struct("__order", digest), "__order").alias("__first"))
-    outcome = F.when(F.col("__order") == F.col("__first")["__order"], "accepted").when(F.col(digest) == F.col("__first")[digest], "duplicate").otherwise("conflict")
-    return with_order.join(first, key).withColumn("outcome", outcome).drop("__order", "__first")
+    first = with_order.groupBy(*[F.col(k).alias(f"__{k}") for k in key]).agg(F.min_by(F.struct("__order", digest), "__order").alias("__first"))
+    outcome = F.when(F.col("__order") == F.col("__first")["__order"], "accepted").when(F.col(digest).eqNullSafe(F.col("__first")[digest]), "duplicate").otherwise("conflict")
+    joined = with_order.join(first, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in key])
+    return joined.withColumn("outcome", outcome).drop("__order", "__first", *[f"__{k}" for k in key])
 
 
 def accounting(df: DataFrame, reason: str = "reason_code", duplicate: str = "is_duplicate", by: list[str] | None = None, ranges: dict[str, Column] | None = None) -> DataFrame:

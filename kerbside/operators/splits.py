@@ -16,19 +16,29 @@ def seeded_digest(seed: str, *columns: Column) -> Column:
     return F.sha2(F.concat_ws("|", F.lit(seed), *[F.coalesce(c.cast("string"), F.lit("\x00")) for c in columns]), 256)
 
 
-def prefix_sums(df: DataFrame, by: list[str], digest: str, value: str, digits: int = 2) -> DataFrame:
-    """``df`` with ``running`` and ``rank`` (inclusive) of its rows in digest order within ``by``.
+#: Rows that a digest bucket holds on average, at most.
+BUCKET_ROWS = 100_000
+
+
+def prefix_sums(df: DataFrame, by: list[str], digest: str, value: str, digits: int | None = None) -> DataFrame:
+    """``df`` with ``running`` and ``rank`` (inclusive) of its rows in digest order within ``by``; nulls in ``by`` are values.
 
     Two levels: rows are summed within buckets of equal leading hex digits, buckets within ``by``. A stratum
-    with a third of all rows is thus ``16 ** digits`` tasks, not one.
+    with a third of all rows is thus ``16 ** digits`` tasks, not one; without ``digits`` rows are counted for as
+    many as keep a bucket below ``BUCKET_ROWS``.
     """
+    if digits is None:
+        digits, n = 1, df.count()
+        while digits < 8 and n > BUCKET_ROWS * 16**digits:
+            digits += 1
     rows = df.withColumn("__bucket", F.substring(digest, 1, digits))
     buckets = rows.groupBy(*by, "__bucket").agg(F.sum(value).alias("__v"), F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy(*by).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = buckets.select(*by, "__bucket", F.coalesce(F.sum("__v").over(before), F.lit(0)).alias("__v0"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__n0"))
+    starts = buckets.select(*[F.col(c).alias(f"__by_{c}") for c in by], F.col("__bucket").alias("__b"), F.coalesce(F.sum("__v").over(before), F.lit(0)).alias("__v0"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__n0"))
     inside = Window.partitionBy(*by, "__bucket").orderBy(digest).rowsBetween(Window.unboundedPreceding, 0)
-    joined = rows.join(starts, [*by, "__bucket"])
-    return joined.withColumn("running", F.sum(value).over(inside) + F.col("__v0")).withColumn("rank", F.row_number().over(inside) + F.col("__n0")).drop("__bucket", "__v0", "__n0")
+    joined = rows.join(starts, [F.col("__bucket") == F.col("__b"), *[F.col(c).eqNullSafe(F.col(f"__by_{c}")) for c in by]])
+    found = joined.withColumn("running", F.sum(value).over(inside) + F.col("__v0")).withColumn("rank", F.row_number().over(inside) + F.col("__n0"))
+    return found.drop("__bucket", "__b", "__v0", "__n0", *[f"__by_{c}" for c in by])
 
 
 def closest_prefix_groups(df: DataFrame, group: list[str], stratum: str, num: int, den: int, seed: str) -> DataFrame:
@@ -39,7 +49,7 @@ def closest_prefix_groups(df: DataFrame, group: list[str], stratum: str, num: in
     """
     name = "__s"
     keyed = df.withColumn(name, F.coalesce(F.col(stratum).cast("string"), F.lit("\x00")))
-    groups = keyed.groupBy(name, stratum, *group).agg(F.count(F.lit(1)).alias("n")).withColumn("__digest", seeded_digest(seed, F.col(stratum), *[F.col(g) for g in group]))
+    groups = written(keyed.groupBy(name, stratum, *group).agg(F.count(F.lit(1)).alias("n")).withColumn("__digest", seeded_digest(seed, F.col(stratum), *[F.col(g) for g in group])), "split-sizes")
     ranked = written(prefix_sums(groups, [name], "__digest", "n"), "split-groups")
     totals = ranked.groupBy(name).agg(F.sum("n").alias("__total"))
     off = F.abs(F.col("running") * den - F.col("__total") * num)
@@ -57,12 +67,12 @@ def closest_prefix_split(df: DataFrame, group: list[str], stratum: str, num: int
 
 
 def ranked_sample(df: DataFrame, bucket: str, key: str, num: int, den: int, seed: str) -> DataFrame:
-    """SPL-4: ``bucket, key, selected``: rows ranked by digest, as many as lie closest to num/den (half rounds down)."""
+    """SPL-4: ``bucket, key, selected`` for every row: rows ranked by digest, as many as lie closest to num/den (half rounds down). A null bucket is one like others."""
     rows = df.select(bucket, key).withColumn("__digest", seeded_digest(seed, F.col(bucket), F.col(key))).withColumn("__one", F.lit(1).cast("long"))
     ranked = prefix_sums(rows, [bucket], "__digest", "__one")
-    totals = df.groupBy(bucket).agg(F.count(F.lit(1)).alias("__total"))
+    totals = df.groupBy(F.col(bucket).alias("__of")).agg(F.count(F.lit(1)).alias("__total"))
     want = F.ceil((2 * F.col("__total") * num - den) / F.lit(2 * den))
-    return ranked.join(totals, bucket).select(bucket, key, (F.col("rank") <= want).alias("selected"))
+    return ranked.join(totals, F.col(bucket).eqNullSafe(F.col("__of"))).select(bucket, key, (F.col("rank") <= want).alias("selected"))
 
 
 def chrono_group_split(df: DataFrame, key: str, day: str, cutoff: str) -> DataFrame:
@@ -91,19 +101,40 @@ def bucket_partition(df: DataFrame, bucket: str, buckets: list[str]) -> DataFram
     return df.withColumn("part", F.when(F.col(bucket) == buckets[-1], "calibration").when(F.col(bucket).isNotNull(), "development"))
 
 
+def lightest_first(sizes: list[tuple[int, int]], k: int) -> dict[int, list[int]]:
+    """For every size (size, number of groups), largest first, how many of its groups each of ``k`` folds gets if each group goes to the lightest fold (ties: the first).
+
+    Groups of one size s go to the ``c`` smallest of ``load + j * s`` over all folds and j, so their numbers follow from the value up to which all are taken.
+    """
+    loads, given = [0] * k, {}
+    for size, c in sorted(sizes, reverse=True):
+        upto = lambda t: [max(0, (t - load) // size + 1) for load in loads]  # noqa: B023, E731
+        low, high = min(loads) - 1, max(loads) + size * c
+        while low < high:
+            middle = (low + high + 1) // 2
+            low, high = (middle, high) if sum(upto(middle)) <= c else (low, middle - 1)
+        counts = upto(low)
+        left = c - sum(counts)
+        for f in range(k):  # the next value is taken by the first folds that reach it
+            if left and (low + 1 - loads[f]) % size == 0 and low + 1 >= loads[f]:
+                counts[f], left = counts[f] + 1, left - 1
+        loads = [load + size * n for load, n in zip(loads, counts)]
+        given[size] = counts
+    return given
+
+
 def group_kfold(df: DataFrame, group: str, k: int) -> DataFrame:
-    """SPL-10: ``group, n, fold`` with folds of nearly equal rows: groups by size, largest first, dealt back and forth.
+    """SPL-10: ``group, n, fold``: groups by size, largest first, each to the fold with the fewest rows so far (ties: the first fold).
 
-    A group's turn is its rank among all groups. Ranks come from counts for each size (few rows) and
-    positions inside a size and digest bucket, so no task sees all groups.
+    The assignment runs over sizes, not groups: the driver gets the number of groups of each distinct size (at most
+    the root of twice the rows), and a group's fold follows from its rank, by digest, among those of its size.
     """
-    groups = df.groupBy(group).agg(F.count(F.lit(1)).alias("n")).withColumn("__digest", seeded_digest("kfold", F.col(group)))
-    sizes = groups.groupBy("n").agg(F.count(F.lit(1)).alias("__c"))
-    above = sizes.select("n", F.coalesce(F.sum("__c").over(Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__above"))
-    ranked = prefix_sums(groups.withColumn("__one", F.lit(1).cast("long")), ["n"], "__digest", "__one").join(above, "n")
-    turn = F.col("rank") + F.col("__above") - 1
-    at = F.pmod(turn, F.lit(2 * k))
-    return ranked.select(group, "n", F.when(at < k, at).otherwise(2 * k - 1 - at).cast("int").alias("fold"))
+    groups = written(df.groupBy(group).agg(F.count(F.lit(1)).alias("n")).withColumn("__digest", seeded_digest("kfold", F.col(group))), "kfold-groups")
+    given = lightest_first([(r["n"], r["count"]) for r in groups.groupBy("n").count().collect()], k)
+    upto = [(size, [sum(counts[: f + 1]) for f in range(k)]) for size, counts in given.items()]
+    limits = df.sparkSession.createDataFrame(upto, "__n long, __upto array<long>")
+    ranked = prefix_sums(groups.withColumn("__one", F.lit(1).cast("long")), ["n"], "__digest", "__one").join(limits, F.col("n") == F.col("__n"))
+    return ranked.select(group, "n", F.size(F.filter("__upto", lambda x: x < F.col("rank"))).cast("int").alias("fold"))
 
 
 def forward_folds(df: DataFrame, bucket: str, order: list[str]) -> DataFrame:
@@ -120,19 +151,45 @@ def fold_check(folds: DataFrame, key: str) -> DataFrame:
     return each.agg(F.count_if(F.col("v") == 1).alias("once"), F.count_if(F.col("v") == 0).alias("never"), F.count_if(F.col("v") > 1).alias("often"), F.count_if(F.col("n") > F.col("f")).alias("two_roles"))
 
 
+def _remainder(target: int, total: int) -> Column:
+    """What is left of ``n * target`` over whole shares of ``total``; the product may need more than 64 bits."""
+    return F.pmod(F.col("n").cast("decimal(19,0)") * F.lit(target).cast("decimal(19,0)"), F.lit(max(1, total)).cast("decimal(38,0)")).cast("long")
+
+
+def _share(target: int, total: int) -> Column:
+    """Whole shares: ``n * target div total``."""
+    product = F.col("n").cast("decimal(19,0)") * F.lit(target).cast("decimal(19,0)")
+    return F.call_function("div", product, F.lit(max(1, total)).cast("decimal(38,0)"))
+
+
 def proportional_quotas(strata: DataFrame, key: str, target: int) -> DataFrame:
     """SPL-13: ``key, n, quota`` by largest remainder; ties go to the smaller key. ``strata`` has ``key`` and ``n``."""
     total = strata.agg(F.sum("n").alias("t")).first()["t"] or 0
     if not 0 <= target <= total:
         raise ValueError("the target must lie between 0 and the number of rows")
-    product = F.col("n") * F.lit(target).cast("long")
-    base = strata.withColumn("__floor", F.floor(product / F.lit(max(1, total)))).withColumn("__rest", F.pmod(product, F.lit(max(1, total)).cast("long")))
-    base = base.withColumn("__floor", ((product - F.col("__rest")) / F.lit(max(1, total))).cast("long"))
+    base = strata.withColumns({"__floor": _share(target, total), "__rest": _remainder(target, total)})
     short = target - (base.agg(F.sum("__floor").alias("s")).first()["s"] or 0)
     ranked = running_sums(base, [], [F.desc("__rest"), F.col(key)], {}, "quota-ranks")
     return ranked.select(key, "n", (F.col("__floor") + (F.col("rank") <= short).cast("long")).alias("quota"))
 
 
+def _full_rounds(current: DataFrame, excess: int) -> tuple[int, int]:
+    """How many rounds, each giving one of every stratum that still can, take at most ``excess``; and what the next round has to give.
+
+    Up to the spare s of a stratum all with at most s have given their own, the others s each: running sums over
+    the distinct spares in order show the last of them that is within the excess.
+    """
+    spares = running_sums(current.groupBy("__spare").agg(F.count(F.lit(1)).alias("c")), [], [F.col("__spare")], {"upto": F.col("c").cast("decimal(38,0)"), "own": F.col("c") * F.col("__spare").cast("decimal(19,0)")}, "spares")
+    many = current.count()
+    given = F.col("own") + (F.lit(many) - F.col("upto")) * F.col("__spare").cast("decimal(19,0)")
+    last = spares.where(given <= F.lit(excess).cast("decimal(38,0)")).agg(F.max(F.struct("__spare", given.alias("given"), "upto")).alias("x")).first()["x"]
+    low, used, gone = (int(last["__spare"]), int(last["given"]), int(last["upto"])) if last else (0, 0, 0)
+    if many > gone:  # between two spares every stratum that is left gives in every round
+        more = (excess - used) // (many - gone)
+        low, used = low + more, used + more * (many - gone)
+    return low, excess - used
+
+
 def nested_quotas(strata: DataFrame, key: str, target: int, minimum: str) -> DataFrame:
     """SPL-14: quotas for ``target`` of at least ``minimum``; the excess comes off strata above it, smallest remainder first, one each a round.
 
@@ -141,20 +198,14 @@ def nested_quotas(strata: DataFrame, key: str, target: int, minimum: str) -> Dat
     """
     quotas = proportional_quotas(strata.select(key, "n"), key, target).withColumnRenamed("n", "__n").join(strata, key)
     total = strata.agg(F.sum("n").alias("t")).first()["t"] or 1
-    rest = F.pmod(F.col("n") * F.lit(target).cast("long"), F.lit(total).cast("long"))
+    rest = _remainder(target, total)
     quota = F.greatest("quota", minimum)
     current = written(quotas.select(key, "n", minimum, quota.alias("quota"), rest.alias("__rest"), (quota - F.col(minimum)).alias("__spare")), "quotas")
     sums = current.agg(F.coalesce(F.sum("quota"), F.lit(0)).alias("q"), F.coalesce(F.sum("__spare"), F.lit(0)).alias("s")).first()
     excess = sums["q"] - target
     if excess > sums["s"]:
         raise ValueError("the minimum sample is larger than the target")
-    # The last full round: the largest r for which all strata together give at most the excess in r rounds.
-    given = lambda r: current.agg(F.coalesce(F.sum(F.least("__spare", F.lit(r))), F.lit(0)).alias("g")).first()["g"]
-    low, high = 0, max(0, excess)
-    while low < high:
-        middle = (low + high + 1) // 2
-        low, high = (middle, high) if given(middle) <= excess else (low, middle - 1)
-    left = max(0, excess - given(low))
+    low, left = _full_rounds(current, max(0, excess))
     gives = (F.col("__spare") > low).cast("long")
     ranked = running_sums(current, [], [F.col("__rest"), F.col(key)], {"__turn": gives}, "quota-turns")
     down = F.least("__spare", F.lit(low)) + F.when((gives == 1) & (F.col("__turn") <= left), 1).otherwise(0)
@@ -171,8 +222,9 @@ def stratified_sample(df: DataFrame, key: str, stratum: str, quotas: DataFrame,
     """SPL-15: the ``quota`` rows of each stratum with the smallest digests; quotas that grow give nested samples.
 
     Only keys are ranked, in digest buckets of a stratum, and rows are joined with those that were chosen: ``key`` is unique.
+    A null stratum is one like others; strata without a quota give no rows.
     """
     keys = df.select(F.col(key).alias("__key"), F.col(stratum).alias("__stratum")).withColumn("__digest", seeded_digest(seed, F.col("__key"))).withColumn("__one", F.lit(1).cast("long"))
     limits = quotas.select(F.col(stratum).alias("__of"), "quota")
-    ranked = prefix_sums(keys, ["__stratum"], "__digest", "__one").join(limits, F.col("__stratum") == F.col("__of"))
-    return df.join(ranked.where(F.col("rank") <= F.col("quota")).select("__key"), F.col(key) == F.col("__key")).drop("__key")
+    ranked = prefix_sums(keys, ["__stratum"], "__digest", "__one").join(limits, F.col("__stratum").eqNullSafe(F.col("__of")))
+    return df.join(ranked.where(F.col("rank") <= F.col("quota")).select("__key"), F.col(key).eqNullSafe(F.col("__key"))).drop("__key")

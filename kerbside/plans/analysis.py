@@ -259,6 +259,13 @@ def _(spark, sf):
     return splits.ranked_sample(table(spark, sf, "orders"), "o_orderstatus", "o_orderkey", 1, 4, "rows")
 
 
+@query("spl_4_null_bucket", L + """, r AS (SELECT mileage, row_id, row_number() OVER (PARTITION BY mileage ORDER BY sha256(concat_ws('|', 'rows', coalesce(CAST(mileage AS VARCHAR), chr(0)), row_id))) AS rank, count(*) OVER (PARTITION BY mileage) AS total FROM listings)
+SELECT mileage, row_id, rank <= ceil((2 * total - 4) / 8.0) AS selected FROM r""")
+def _(spark, sf):
+    """New listings have no mileage: they are a bucket of their own."""
+    return splits.ranked_sample(listings(spark, sf), "mileage", "row_id", 1, 4, "rows")
+
+
 CHRONO = f"""{L}, g AS (SELECT private_key, max(sold_on) AS last_day FROM listings GROUP BY 1),
 s AS (SELECT l.*, g.last_day, CASE WHEN g.last_day >= DATE '2000-06-01' THEN 'test' ELSE 'train' END AS split, g.last_day >= DATE '2000-06-01' AND l.sold_on < DATE '2000-06-01' AS promoted FROM listings l JOIN g USING (private_key))"""
 BUCKETS = [("1990-01-01", "warmup"), ("1997-01-01", "b1"), ("1998-01-01", "b2"), ("1999-01-01", "b3")]
@@ -312,8 +319,12 @@ def _(spark, sf):
     return listings(spark, sf).select("row_id", content_hash(F.col("year"), F.col("make"), F.col("mileage")).alias("key"))
 
 
-@query("spl_10_group_kfold", """WITH g AS (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY n DESC, sha256('kfold|' || CAST(l_orderkey AS VARCHAR))) - 1 AS t FROM g)
-SELECT l_orderkey, n, CAST(CASE WHEN t % 10 < 5 THEN t % 10 ELSE 9 - t % 10 END AS INTEGER) AS fold FROM r""")
+@query("spl_10_group_kfold", """WITH RECURSIVE g AS (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1), r AS (SELECT *, row_number() OVER (PARTITION BY n ORDER BY sha256('kfold|' || CAST(l_orderkey AS VARCHAR))) AS rank FROM g),
+sizes AS (SELECT n, count(*) AS c, row_number() OVER (ORDER BY n DESC) AS i FROM g GROUP BY 1),
+steps AS (SELECT 0::BIGINT AS i, 0::BIGINT AS n, [0, 0, 0, 0, 0]::BIGINT[] AS loads, [0, 0, 0, 0, 0]::BIGINT[] AS counts
+  UNION ALL SELECT i, n, list_transform(range(1, 6), lambda f: loads[f] + n * counts[f]), counts FROM (SELECT i, n, loads, list_transform(range(1, 6), lambda f: len(list_filter(taken, lambda t: t[2] = f))) AS counts
+    FROM (SELECT s.i, s.n, t.loads, list_sort(flatten(list_transform(range(1, 6), lambda f: list_transform(range(s.c), lambda j: [t.loads[f] + j * s.n, f]))))[:s.c] AS taken FROM steps t JOIN sizes s ON s.i = t.i + 1)))
+SELECT l_orderkey, r.n, CAST(len(list_filter(range(1, 6), lambda f: list_sum(counts[:f]) < rank)) AS INTEGER) AS fold FROM r JOIN steps USING (n)""")
 def _(spark, sf):
     return splits.group_kfold(table(spark, sf, "lineitem"), "l_orderkey", 5)
 
@@ -385,6 +396,15 @@ def _(spark, sf):
     return many.join(few, F.col("row_id") == F.col("__id"), "full_outer").select("row_id", "cell", F.col("__id").isNotNull().alias("small"))
 
 
+@query("spl_15_null_stratum", L + """, k AS (SELECT row_id, mileage, row_number() OVER (PARTITION BY mileage ORDER BY sha256(concat_ws('|', 'nulls', row_id))) AS k FROM listings)
+SELECT row_id, mileage FROM k WHERE k <= CASE WHEN mileage IS NULL THEN 50 ELSE 3 END""")
+def _(spark, sf):
+    """Three listings of each mileage and fifty without one."""
+    rows = listings(spark, sf).select("row_id", "mileage")
+    quotas = rows.select("mileage").distinct().withColumn("quota", F.when(F.col("mileage").isNull(), 50).otherwise(3))
+    return splits.stratified_sample(rows, "row_id", "mileage", quotas, "nulls")
+
+
 @query("evl_1_regression_metrics", f"{L} SELECT {METRICS} FROM listings")
 def _(spark, sf):
     return tidy(evaluate.regression_metrics(scored(spark, sf)))

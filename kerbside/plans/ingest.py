@@ -271,6 +271,14 @@ def _(spark, sf):
     return dedupe.resolve_keyed(listings(spark, sf), ["private_key"], "status", F.col("row_id")).select("row_id", "outcome")
 
 
+@query("dup_2_null_keys", f"""WITH {LISTINGS}, f AS (SELECT *, first_value(row_id) OVER w AS r1, first_value(mileage) OVER w AS m1 FROM listings WINDOW w AS (PARTITION BY CASE WHEN mileage IS NOT NULL THEN seller END, status ORDER BY row_id))
+SELECT row_id, CASE WHEN row_id = r1 THEN 'accepted' WHEN mileage IS NOT DISTINCT FROM m1 THEN 'duplicate' ELSE 'conflict' END AS outcome FROM f""")
+def _(spark, sf):
+    """Listings without a mileage have no seller either: their key is null, and so is what they are compared by."""
+    rows = listings(spark, sf).withColumn("key", F.when(F.col("mileage").isNotNull(), F.col("seller")))
+    return dedupe.resolve_keyed(rows, ["key", "status"], "mileage", F.col("row_id")).select("row_id", "outcome")
+
+
 @query("dup_3_content_hash", f"WITH {LISTINGS} SELECT min(row_id) AS row_id FROM listings GROUP BY make, year, status")
 def _(spark, sf):
     return dedupe.mark_duplicates(listings(spark, sf), ["make", "year", "status"], F.col("row_id")).where(~F.col("is_duplicate")).select("row_id")
