@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kerbside.operators.models import fold_medians
-from kerbside.operators.quantiles import with_quantiles
+from kerbside.operators.quantiles import weighted_quantiles, with_quantiles
 from kerbside.staging import broadcast_if_small, written
 
 
@@ -23,32 +23,70 @@ def source_weights(df: DataFrame, source: str, by: list[str] | None = None) -> D
     return df.join(weights, on).drop(*[f"__{c}" for c in [*by, source]])
 
 
-def alignment_factors(df: DataFrame, source: str, dimension: str, exponent: float, low: float, high: float, prior: float = 200.0) -> DataFrame:
-    """MOD-18: ``source, label, factor``: (mean share / own share) to a power shrunk by n / (n + prior), clipped.
+#: Sources that a mix may have: factors are a row for each label and source.
+MOST_SOURCES = 1000
 
-    Every source has every label of any source; one it lacks counts as zero rows and gets the upper bound.
+
+def alignment_factors(df: DataFrame, source: str, dimension: str, exponent: float, low: float, high: float, prior: float = 200.0, by: list[str] | None = None) -> DataFrame:
+    """MOD-18: ``by..., source, label, n, factor``: (mean share / own share) to a power shrunk by n / (n + prior), clipped, within ``by``.
+
+    Every source has every label of any source; one it lacks counts as zero rows and gets the upper bound. A null
+    source is a source, and there may be ``MOST_SOURCES`` of them. ``prior`` 0 does not shrink.
     """
+    by = by or []
     label = F.coalesce(F.col(dimension).cast("string"), F.lit("missing"))
-    counts = df.groupBy(source, label.alias("label")).agg(F.count(F.lit(1)).alias("n"))
-    grid = counts.groupBy("label").agg(F.collect_set(source).alias("__have")).join(F.broadcast(counts.agg(F.collect_set(source).alias("__all"))))
-    full = grid.select("label", F.explode("__all").alias(source)).join(counts, [source, "label"], "left").fillna(0, ["n"])
-    share = full.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(source)))
-    mean = F.avg("share").over(Window.partitionBy("label"))
+    counts = written(df.groupBy(*by, source, label.alias("label")).agg(F.count(F.lit(1)).alias("n")), "alignment-counts")
+    sources = counts.groupBy(*[F.col(c).alias(f"__{c}") for c in [*by, source]]).agg(F.sum("n").alias("__all"))
+    most = sources.groupBy(*[f"__{c}" for c in by]).count().agg(F.max("count")).first()[0] or 0
+    if most > MOST_SOURCES:
+        raise ValueError(f"{most} sources; a mix may have {MOST_SOURCES}")
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by]
+    labels = counts.select(*by, "label").distinct()
+    grid = labels.join(broadcast_if_small(written(sources, "alignment-sources")), same) if by else labels.join(F.broadcast(sources))  # at most MOST_SOURCES rows each
+    grid = grid.select(*by, F.col(f"__{source}").alias(source), "label", "__all")
+    held = counts.select(*[F.col(c).alias(f"__{c}") for c in [*by, source, "label"]], "n")
+    full = grid.join(held, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in [*by, source, "label"]], "left").fillna(0, ["n"])
+    share = full.withColumn("share", F.col("n") / F.col("__all"))
+    mean = F.avg("share").over(Window.partitionBy(*by, "label"))
     power = F.lit(exponent) * F.col("n") / (F.col("n") + prior)
     factor = F.when(F.col("share") > 0, F.pow(mean / F.col("share"), power)).otherwise(high)
-    return share.select(source, "label", "n", F.least(F.greatest(factor, F.lit(low)), F.lit(high)).alias("factor"))
+    return share.select(*by, source, "label", "n", F.least(F.greatest(factor, F.lit(low)), F.lit(high)).alias("factor"))
 
 
-def alignment_weights(df: DataFrame, source: str, dimensions: dict[str, tuple[float, float, float]], combined: tuple[float, float] = (0.8, 1.25)) -> DataFrame:
-    """MOD-18: ``df`` with ``weight``: the product of its labels' factors, clipped, and scaled so that each source's weights average 1."""
+def alignment_weights(df: DataFrame, source: str, dimensions: dict[str, tuple[float, float, float]], combined: tuple[float, float] = (0.8, 1.25), final: tuple[float, float] = (0.5, 2.0), by: list[str] | None = None, start: str | None = None, prior: float = 200.0) -> DataFrame:
+    """MOD-18: ``df`` with ``weight``: the product of its labels' factors, clipped, times ``start`` (a column, or 1), scaled so that each source has the total of ``start`` again, within ``by``.
+
+    A weight outside of ``final`` is an error (as the data are read): clipped factors and balanced sources cannot lead there unless a source is far too small.
+    """
+    by = by or []
     rows, factor = df, F.lit(1.0)
     for k, (d, (e, lo, hi)) in enumerate(dimensions.items()):
-        f = alignment_factors(df, source, d, e, lo, hi).select(F.col(source).alias(f"__s{k}"), F.col("label").alias(f"__l{k}"), F.col("factor").alias(f"__f{k}"))
-        rows = rows.join(f, F.col(source).eqNullSafe(F.col(f"__s{k}")) & (F.coalesce(F.col(d).cast("string"), F.lit("missing")) == F.col(f"__l{k}")))
+        f = alignment_factors(df, source, d, e, lo, hi, prior, by).select(*[F.col(c).alias(f"__{c}{k}") for c in [*by, source]], F.col("label").alias(f"__l{k}"), F.col("factor").alias(f"__f{k}"))
+        rows = rows.join(f, [*[F.col(c).eqNullSafe(F.col(f"__{c}{k}")) for c in [*by, source]], F.coalesce(F.col(d).cast("string"), F.lit("missing")) == F.col(f"__l{k}")])
         factor = factor * F.col(f"__f{k}")
-    clipped = rows.select(*df.columns, F.least(F.greatest(factor, F.lit(combined[0])), F.lit(combined[1])).alias("__w"))
-    means = clipped.groupBy(F.col(source).alias("__source")).agg(F.avg("__w").alias("__mean"))
-    return clipped.join(means, F.col(source).eqNullSafe(F.col("__source"))).withColumn("weight", F.col("__w") / F.col("__mean")).drop("__w", "__source", "__mean")
+    first = F.col(start) if start else F.lit(1.0)
+    clipped = rows.select(*df.columns, (F.least(F.greatest(factor, F.lit(combined[0])), F.lit(combined[1])) * first).alias("__w"))
+    totals = clipped.groupBy(*[F.col(c).alias(f"__{c}") for c in [*by, source]]).agg((F.sum(first) / F.sum("__w")).alias("__scale"))
+    weight = F.col("__w") * F.col("__scale")
+    checked = F.when(weight.between(final[0] - 1e-9, final[1] + 1e-9), weight).otherwise(F.raise_error(F.concat(F.lit("a weight is out of bounds: "), weight.cast("string"))).cast("double"))
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in [*by, source]]
+    return clipped.join(totals, same).withColumn("weight", checked).select(*[c for c in df.columns if c != "weight"], "weight")
+
+
+def weighted_predictions(df: DataFrame, weighted: DataFrame, fold: str, by: str, y: str) -> DataFrame:
+    """MOD-20: ``df`` once for each ``arm`` with ``p``: the weighted median of ``y`` by label (else of all) over the arm's training rows for the row's fold.
+
+    ``weighted`` has a row for each ``arm``, ``for_fold`` and training row, with ``by``, ``y`` and ``weight``, so treatments differ by
+    weights, not by rows.
+    """
+    rows = written(weighted.select("arm", "for_fold", F.col(by).alias("__by"), F.col(y).alias("__y"), "weight"), "weighted-rows")
+    median = lambda keys, name: weighted_quantiles(rows, F.col("__y"), keys, ["0.5"], F.col("weight"), stored=True).select(*[F.col(c).alias(f"__{c}") for c in keys], F.get("values", F.lit(0)).alias(name))
+    own, every = median(["arm", "for_fold", "__by"], "__own"), median(["arm", "for_fold"], "__every")
+    arms = rows.select(F.col("arm").alias("__a")).distinct().groupBy().agg(F.collect_set("__a").alias("__arms"))  # a few names
+    out = df.join(F.broadcast(arms)).withColumn("arm", F.explode("__arms")).drop("__arms")
+    mine = (F.col("arm") == F.col("__arm")) & (F.col(fold) == F.col("__for_fold"))
+    found = out.join(broadcast_if_small(written(own, "weighted-medians")), mine & F.col(by).eqNullSafe(F.col("____by")), "left").drop("__arm", "__for_fold", "____by")
+    return found.join(F.broadcast(every), mine, "left").withColumn("p", F.coalesce("__own", "__every")).drop("__own", "__every", "__arm", "__for_fold")  # a row for each arm and fold
 
 
 def weight_diagnostics(df: DataFrame, by: list[str]) -> DataFrame:

@@ -80,9 +80,10 @@ def design(numeric: list[str], categorical: list[str]) -> list:
     return [index, hot, VectorAssembler(inputCols=[*numeric, *[f"{c}__v" for c in categorical]], outputCol="features")]
 
 
-def linear(y: str) -> LinearRegression:
-    """MOD-7."""
-    return LinearRegression(featuresCol="features", labelCol=y, predictionCol="p", regParam=1e-6, solver="auto")
+def linear(y: str, weight: str | None = None) -> LinearRegression:
+    """MOD-7; with ``weight`` a row counts that many times."""
+    more = {"weightCol": weight} if weight else {}
+    return LinearRegression(featuresCol="features", labelCol=y, predictionCol="p", regParam=1e-6, solver="auto", **more)
 
 
 #: MOD-8: trees, depth, least rows of a leaf, share of features, share of rows. Depth bounds the trees, as leaf counts cannot.
@@ -124,12 +125,16 @@ def grid(df: DataFrame, fold: str, folds: int, key: str, y: str, prepare: Callab
         return reduce(DataFrame.unionByName, [d for found in pool.map(one, range(folds)) for d in found])
 
 
-def out_of_fold(df: DataFrame, fold: str, folds: int, key: str, y: str, stages: Callable[[], list], out: str = "p") -> DataFrame:
-    """MOD-11: ``key, fold, y, p``: every row scored by a model that was fitted without its fold. Folds run side by side."""
+def out_of_fold(df: DataFrame, fold: str, folds: int, key: str, y: str, stages: Callable[[], list], out: str = "p", weigh: Callable[[DataFrame, int], DataFrame] | None = None) -> DataFrame:
+    """MOD-11: ``key, fold, y, p``: every row scored by a model that was fitted without its fold. Folds run side by side.
+
+    ``weigh`` gives the training rows of a fold their weights, as a column that the stages use.
+    """
     rows = written(df, "oof")
 
     def one(f: int) -> DataFrame:
-        model = Pipeline(stages=stages()).fit(rows.where(F.col(fold) != f))
+        train = rows.where(F.col(fold) != f)
+        model = Pipeline(stages=stages()).fit(weigh(train, f) if weigh else train)
         return model.transform(rows.where(F.col(fold) == f)).select(key, fold, y, out)
 
     with ThreadPoolExecutor(min(folds, 4)) as pool:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,13 +20,15 @@ def _octave(x: Column) -> Column:
     return F.when(x > 0, size).when(x < 0, -size).otherwise(0).cast("int")
 
 
-def values_at(df: DataFrame, value: Column, by: list[str], wanted: Callable[[Column], Column], weight: str | None = None, stored: bool = False) -> DataFrame:
+def values_at(df: DataFrame, value: Column, by: list[str], wanted: Callable[[Column], Column], weight: str | None = None, stored: bool = False, rank_type: str = "long") -> DataFrame:
     """``by...``, ``n`` (values) and ``values``: of every group the values at the ranks ``wanted(n)``, an array of longs from 1.
 
     Null, NaN and infinite values do not count; a rank outside of 1 to n gives null; groups without values have no
-    row; null keys are keys. With ``weight`` a row stands for that many values. Rows are never shuffled as
-    they are: counts are summed up over ranges, on the map side first, only ranges that hold a wanted rank are cut
-    further, and only the values of those parts are counted one by one and put in order. Each step's windows
+    row; null keys are keys. With ``weight`` a row stands for that many values, also for a part of one if ``rank_type`` is
+    a decimal; a rank is then reached by the first value up to which the weights add up to it. Counts are summed up over
+    ranges, on the map side first, only ranges that hold a wanted rank are cut further, and only the values of those
+    parts are counted one by one and put in order. Rows are shuffled only where more than 10,000 ranges or
+    parts hold a wanted rank, that is, with many groups: those are joined and not broadcast. Each step's windows
     hold a bounded number of sums, or the values of one small part. ``df`` is read three times: it is
     written first, unless it is ``stored``, that is, cheap to read again.
     """
@@ -44,7 +47,7 @@ def values_at(df: DataFrame, value: Column, by: list[str], wanted: Callable[[Col
 
     octaves = rows.groupBy("__g", "__a").agg(times.alias("__s"), F.min("__x").alias("__lo"), F.max("__x").alias("__hi"))
     parts = written(octaves.withColumn("n", total.over(Window.partitionBy("__g"))), "octaves")
-    numbered = F.transform(wanted(F.col("n")), lambda k, i: F.struct(i.alias("pos"), k.cast("long").alias("rank")))
+    numbered = F.transform(wanted(F.col("n")), lambda k, i: F.struct(i.alias("pos"), k.cast(rank_type).alias("rank")))
     first = hits(parts, ["__g"], "__a", numbered, "__lo", "__hi")
     place = F.when(F.col("__hi") > F.col("__lo"), F.floor((F.col("__x") - F.col("__lo")) / (F.col("__hi") - F.col("__lo")) * PARTS)).otherwise(0).cast("int")
     near = rows.join(first.drop("__need"), ["__g", "__a"]).withColumn("__b", place)
@@ -59,6 +62,18 @@ def values_at(df: DataFrame, value: Column, by: list[str], wanted: Callable[[Col
     return every.select(*[F.col(f"__g.`{c}`").alias(c) for c in by], "n", values.alias("values"))
 
 
+def weighted_quantiles(df: DataFrame, value: Column, by: list[str], probs: list[str], weight: Column, stored: bool = False) -> DataFrame:
+    """``by...``, ``total`` and ``values``: of every group the smallest value up to which at least the share p of the weight lies, for each of ``probs`` (decimals as text).
+
+    Weights may be fractions. They are rounded to nine decimals, so that their sums are exact, whatever the order of rows;
+    rows whose weight is null or not above zero do not count.
+    """
+    rows = df.select(*by, value.alias("__v"), weight.cast("decimal(18,9)").alias("__w")).where("__w > 0")
+    share = lambda n: F.array(*[(n.cast("decimal(28,9)") * F.lit(Decimal(p))).cast("decimal(38,12)") for p in probs])
+    found = values_at(rows, F.col("__v"), by, share, "__w", stored, "decimal(38,12)")
+    return found.select(*by, F.col("n").alias("total"), "values")
+
+
 def quantiles(df: DataFrame, values: dict[str, Column], probs: list[float], by: list[str] | None = None, weight: str | None = None, stored: bool = False) -> DataFrame:
     """``by...`` and for each of ``values`` an array of its exact quantiles at ``probs``, between neighbours in proportion.
 

@@ -193,31 +193,85 @@ def _(spark, sf):
     return mixing.extreme_factors(rounded(mixing.alignment_factors(listings(spark, sf), "source", "make", 0.5, 0.85, 1.15), "factor", digits=6), "source")
 
 
+ARM_ORDER = ["unweighted", "source", "source_segment"]
+SEGMENTS = {"make": (0.5, 0.85, 1.15), "status": (0.5, 0.85, 1.15)}
+
+
+def weighted_training(spark, sf):
+    """Every training row for each fold that it serves, once for each treatment: weight 1, balanced sources, and balanced sources with aligned makes and statuses. Weights come from the fold's training rows alone."""
+    rows = listings(spark, sf).select("row_id", "make", "status", "source", "fold", F.col("price").alias("y"))
+    served = written(models.serving(rows, "fold", FOLDS), "served")
+    balanced = written(mixing.source_weights(served, "source", ["for_fold"]).withColumnRenamed("weight", "start"), "balanced")
+    aligned = mixing.alignment_weights(balanced, "source", SEGMENTS, by=["for_fold"], start="start").withColumn("arm", F.lit("source_segment"))
+    plain = balanced.select("*", F.explode(F.array(F.struct(F.lit("unweighted").alias("arm"), F.lit(1.0).alias("weight")), F.struct(F.lit("source").alias("arm"), F.col("start").alias("weight")))).alias("x")).select(*balanced.columns, "x.*")
+    return written(plain.unionByName(aligned).select("arm", "for_fold", "row_id", "make", "status", "source", "y", F.round("weight", 9).alias("weight")), "weighted")
+
+
 def treatments(spark, sf):
-    """What the gates compare, one row for each arm; the arm of all sources has source-balanced weights, the other has none."""
+    """What the gates compare, one row for each treatment: errors of weighted medians on the same folds, and how far its weights go."""
+    weighted = weighted_training(spark, sf)
+    asked = listings(spark, sf).select("row_id", "make", "source", "fold", F.col("price").alias("y"))
     e = F.abs(F.col("p") - F.col("y"))
-    rows = written(paired(spark, sf).select("arm", "fold", "source", "y", e.alias("e")), "treatments")
+    rows = written(mixing.weighted_predictions(asked, weighted, "fold", "make", "y").select("arm", "fold", "source", "y", e.alias("e")), "treatments")
     parts = rows.groupBy("arm", "fold", "source").agg(F.count(F.lit(1)).alias("n"), F.sum("e").alias("s"), F.sum(F.col("e") * F.col("e")).alias("q"), F.count_if(F.col("y") >= 60_000).alias("hn"), F.sum(F.when(F.col("y") >= 60_000, F.col("e"))).alias("hs"))
     total = parts.groupBy("arm").agg((F.sum("s") / F.sum("n")).alias("pooled"), F.sqrt(F.sum("q") / F.sum("n")).alias("rmse"), (F.sum("hs") / F.sum("hn")).alias("high_price_mae"))
     worst = lambda by, name: parts.groupBy("arm", by).agg((F.sum("s") / F.sum("n")).alias("m")).groupBy("arm").agg(F.max("m").alias(name))
     wide = with_quantiles(total, rows, {"p90_ae": (F.col("e"), 0.9)}, ["arm"]).join(worst("fold", "worst_fold"), "arm").join(worst("source", "source_worst"), "arm")
-    weights = mixing.weight_diagnostics(mixing.source_weights(listings(spark, sf), "source", ["fold"]), []).select(F.lit("all").alias("__a"), "effective_share", F.col("max").alias("max_weight"))
-    held = wide.join(F.broadcast(weights), F.col("arm") == F.col("__a"), "left").drop("__a").fillna(1.0, ["effective_share", "max_weight"])
+    effect = mixing.weight_diagnostics(weighted, ["arm", "for_fold"]).groupBy("arm").agg(F.min("effective_share").alias("effective_share"), F.max("max").alias("max_weight"))
+    held = wide.join(effect, "arm")
     return written(rounded(rounded(held, "pooled", "rmse", "high_price_mae", "p90_ae", "worst_fold", "source_worst"), "effective_share", "max_weight", digits=6), "treatment-metrics")
 
 
-@query("mod_20_weighting_decision", ARMS + WEIGHTS[len(L):] + """, x AS (SELECT *, abs(p - y) AS e FROM s),
+def factor_sql(name, dimension):
+    """Alignment factors of the table ``b`` by fold, source and label."""
+    return f"""c_{name} AS (SELECT s.for_fold, s.source, s.total, m.label, count(b.row_id) AS n FROM (SELECT for_fold, source, count(*) AS total FROM b GROUP BY ALL) s JOIN (SELECT DISTINCT for_fold, {dimension} AS label FROM b) m USING (for_fold)
+  LEFT JOIN b ON b.for_fold = s.for_fold AND b.source = s.source AND b.{dimension} = m.label GROUP BY ALL),
+f_{name} AS (SELECT for_fold, source, label, least(greatest(CASE WHEN n > 0 THEN pow(avg(n::DOUBLE / total) OVER (PARTITION BY for_fold, label) / (n::DOUBLE / total), 0.5 * n / (n + 200)) ELSE 1.15 END, 0.85), 1.15) AS factor FROM c_{name})"""
+
+
+WEIGHTED = SERVED + f""", b AS (SELECT *, (count(*) OVER (PARTITION BY for_fold))::DOUBLE / 2 / count(*) OVER (PARTITION BY for_fold, source) AS start FROM t),
+{factor_sql('make', 'make')}, {factor_sql('status', 'status')},
+g AS (SELECT b.*, least(greatest(f.factor * h.factor, 0.8), 1.25) * start AS w FROM b JOIN f_make f ON f.for_fold = b.for_fold AND f.source = b.source AND f.label = b.make JOIN f_status h ON h.for_fold = b.for_fold AND h.source = b.source AND h.label = b.status),
+a AS (SELECT 'unweighted' AS arm, for_fold, row_id, make, source, y, 1.0::DOUBLE AS weight FROM b UNION ALL SELECT 'source', for_fold, row_id, make, source, y, start FROM b
+  UNION ALL SELECT 'source_segment', for_fold, row_id, make, source, y, w * sum(start) OVER (PARTITION BY for_fold, source) / sum(w) OVER (PARTITION BY for_fold, source) FROM g),
+w AS (SELECT arm, for_fold, make, y, CAST(round(weight, 9) AS DECIMAL(28,9)) AS weight FROM a),
+o AS (SELECT arm, for_fold, make, min(y) AS p FROM (SELECT *, sum(weight) OVER (PARTITION BY arm, for_fold, make ORDER BY y) * 2 >= sum(weight) OVER (PARTITION BY arm, for_fold, make) AS upper FROM w) WHERE upper GROUP BY ALL),
+s AS (SELECT o.arm, l.row_id, l.source, l.fold, l.y, o.p FROM listings l JOIN o ON o.for_fold = l.fold AND o.make = l.make)"""
+
+
+@query("mod_20_weighted_medians", WEIGHTED + " SELECT arm, row_id, p FROM s")
+def _(spark, sf):
+    """Predictions of the three treatments; every make is in every training set."""
+    asked = listings(spark, sf).select("row_id", "make", "fold")
+    return mixing.weighted_predictions(asked, weighted_training(spark, sf), "fold", "make", "y").select("arm", "row_id", "p")
+
+
+@query("mod_20_weighting_decision", WEIGHTED + """, x AS (SELECT *, abs(p - y) AS e FROM s),
 wf AS (SELECT arm, max(m) AS worst_fold FROM (SELECT arm, fold, avg(e) AS m FROM x GROUP BY ALL) GROUP BY 1), ws AS (SELECT arm, max(m) AS source_worst FROM (SELECT arm, source, avg(e) AS m FROM x GROUP BY ALL) GROUP BY 1),
-g AS (SELECT sum(weight) * sum(weight) / sum(weight * weight) / count(*) AS share, max(weight) AS most FROM w),
+h AS (SELECT arm, min(share) AS share, max(most) AS most FROM (SELECT arm, for_fold, (sum(weight::DOUBLE) * sum(weight::DOUBLE) / sum(weight::DOUBLE * weight::DOUBLE)) / count(*) AS share, max(weight)::DOUBLE AS most FROM w GROUP BY ALL) GROUP BY 1),
 d AS (SELECT arm, round(avg(e), 4) AS pooled, round(sqrt(avg(e * e)), 4) AS rmse, round(avg(e) FILTER (y >= 60000), 4) AS high_price_mae, round(quantile_cont(e, 0.9), 4) AS p90_ae, round(any_value(worst_fold), 4) AS worst_fold, round(any_value(source_worst), 4) AS source_worst,
-  CASE WHEN arm = 'all' THEN round(any_value(g.share), 6) ELSE 1 END AS effective_share, CASE WHEN arm = 'all' THEN round(any_value(g.most), 6) ELSE 1 END AS max_weight FROM x JOIN wf USING (arm) JOIN ws USING (arm), g GROUP BY arm),
-b AS (SELECT * FROM d WHERE arm = 'one_source'),
-j AS (SELECT d.*, CASE WHEN d.arm = 'one_source' THEN '' ELSE array_to_string(list_filter([CASE WHEN d.pooled > b.pooled THEN 'pooled' END, CASE WHEN d.worst_fold / b.worst_fold - 1 > 0.01 THEN 'worst_fold' END, CASE WHEN d.source_worst / b.source_worst - 1 > 0.05 THEN 'source_worst' END, CASE WHEN d.rmse / b.rmse - 1 > 0.02 THEN 'rmse' END,
-  CASE WHEN d.high_price_mae / b.high_price_mae - 1 > 0.05 THEN 'high_price_mae' END, CASE WHEN d.p90_ae / b.p90_ae - 1 > 0.02 THEN 'p90_ae' END, CASE WHEN d.effective_share < 0.9 THEN 'effective_share' END, CASE WHEN d.max_weight > 1.5 THEN 'max_weight' END], lambda z: z IS NOT NULL), ',') END AS failed FROM d, b),
+  round(any_value(h.share), 6) AS effective_share, round(any_value(h.most), 6) AS max_weight FROM x JOIN wf USING (arm) JOIN ws USING (arm) JOIN h USING (arm) GROUP BY arm),
+b0 AS (SELECT * FROM d WHERE arm = 'unweighted'),
+j AS (SELECT d.*, CASE WHEN d.arm = 'unweighted' THEN '' ELSE array_to_string(list_filter([CASE WHEN d.pooled > b.pooled THEN 'pooled' END, CASE WHEN d.worst_fold / b.worst_fold - 1 > 0.01 THEN 'worst_fold' END, CASE WHEN d.source_worst / b.source_worst - 1 > 0.05 THEN 'source_worst' END, CASE WHEN d.rmse / b.rmse - 1 > 0.02 THEN 'rmse' END,
+  CASE WHEN d.high_price_mae / b.high_price_mae - 1 > 0.05 THEN 'high_price_mae' END, CASE WHEN d.p90_ae / b.p90_ae - 1 > 0.02 THEN 'p90_ae' END, CASE WHEN d.effective_share < 0.9 THEN 'effective_share' END, CASE WHEN d.max_weight > 1.5 THEN 'max_weight' END], lambda z: z IS NOT NULL), ',') END AS failed FROM d, b0 b),
 p AS (SELECT *, failed = '' AS passed FROM j), n AS (SELECT *, passed AND pooled <= (SELECT min(pooled) FROM p WHERE passed) * 1.005 AS near_best FROM p)
-SELECT *, arm = (SELECT arg_min(arm, CASE arm WHEN 'one_source' THEN 1 ELSE 2 END) FROM n WHERE near_best) AS chosen FROM n""")
+SELECT *, arm = (SELECT arg_min(arm, CASE arm WHEN 'unweighted' THEN 1 WHEN 'source' THEN 2 ELSE 3 END) FROM n WHERE near_best) AS chosen FROM n""")
 def _(spark, sf):
-    return mixing.weighting_decision(treatments(spark, sf), "one_source", ["one_source", "all"])
+    return mixing.weighting_decision(treatments(spark, sf), "unweighted", ARM_ORDER)
+
+
+@query("mod_20_weighted_linear")
+def _(spark, sf):
+    """The linear model of every treatment on the same folds, its training rows weighted; errors by treatment and fold."""
+    rows = prepared(spark, sf)
+    weights = weighted_training(spark, sf).select("arm", "for_fold", F.col("row_id").alias("__id"), "weight")
+    found = None
+    for arm in ARM_ORDER:
+        mine = weights.where(F.col("arm") == arm)
+        each = models.out_of_fold(rows, "fold", FOLDS, "row_id", "y", lambda: [*models.design(NUMERIC, CATEGORICAL), models.linear("y", "weight")], weigh=lambda train, f: train.join(mine.where(F.col("for_fold") == f).select("__id", "weight"), F.col("row_id") == F.col("__id")))  # noqa: B023
+        each = each.withColumn("arm", F.lit(arm))
+        found = each if found is None else found.unionByName(each)
+    return tidy(evaluate.regression_metrics(found, by=["arm", "fold"]))
 
 
 @query("mod_21_unseen_categories", f"{L} SELECT row_id, upper(model) NOT IN (SELECT DISTINCT upper(model) FROM listings WHERE fold <> 0) AS unseen FROM listings WHERE fold = 0")
