@@ -7,12 +7,12 @@ from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.ml import Pipeline
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kerbside.functions import scalars as S
+from kerbside.operators.preparation import Preparation
 from kerbside.operators.quantiles import quantiles
 from kerbside.operators.rules import Rule, first_failure
 from kerbside.schema import FeatureContract
@@ -73,11 +73,9 @@ def median_baseline(df: DataFrame, fold: str, folds: int, y: str, by: str | None
     return joined.withColumn("p", F.coalesce("__median", "__every")).drop("__median", "__every")
 
 
-def design(numeric: list[str], categorical: list[str]) -> list:
-    """MOD-5: pipeline stages for a sparse design matrix ``features``; unseen categories are all zeros."""
-    index = StringIndexer(inputCols=categorical, outputCols=[f"{c}__i" for c in categorical], handleInvalid="keep", stringOrderType="frequencyDesc")
-    hot = OneHotEncoder(inputCols=[f"{c}__i" for c in categorical], outputCols=[f"{c}__v" for c in categorical], dropLast=True)
-    return [index, hot, VectorAssembler(inputCols=[*numeric, *[f"{c}__v" for c in categorical]], outputCol="features")]
+def design(numeric: list[str], categorical: list[str], min_frequency: int = 25, max_categories: int = 512) -> list:
+    """MOD-5: pipeline stages for a sparse design matrix ``features``, learned from the training rows alone."""
+    return [Preparation(numeric=numeric, categorical=categorical, minFrequency=min_frequency, maxCategories=max_categories)]
 
 
 def linear(y: str, weight: str | None = None) -> LinearRegression:

@@ -40,23 +40,34 @@ def _(spark, sf):
 
 
 def prepared(spark, sf):
-    rows = models.engineer(scored(spark, sf), CONTRACT).fillna(0, ["mileage", "mileage_per_year"])
+    rows = models.engineer(scored(spark, sf), CONTRACT)
     return rows.select("row_id", "fold", "make", "status", "age", "mileage", "mileage_per_year", "mileage_missing", "source", "y", "score")
 
 
 NUMERIC, CATEGORICAL = ["age", "mileage", "mileage_per_year", "mileage_missing"], ["make", "status"]
 
 
-@query("mod_5_sparse_design_matrix", f"""{L}, e AS (SELECT row_id, make, status, greatest(2002 - year, 0) AS age, coalesce(mileage, 0) AS mileage, coalesce(mileage::DOUBLE / greatest(2002 - year, 1), 0) AS rate, CASE WHEN mileage IS NULL THEN 1 ELSE 0 END AS missing FROM listings),
-m AS (SELECT make, row_number() OVER (ORDER BY count(*) DESC, make) AS k FROM listings GROUP BY 1), t AS (SELECT status, row_number() OVER (ORDER BY count(*) DESC, status) AS k FROM listings GROUP BY 1), c AS (SELECT count(*) AS makes FROM m),
-x AS (SELECT row_id, unnest([0, 1, 2, 3, 3 + m.k, 3 + c.makes + t.k]) AS i, unnest([age, mileage, rate, missing, 1, 1]) AS v FROM e JOIN m USING (make) JOIN t USING (status), c) SELECT row_id, CAST(i AS INTEGER) AS index, round(v, 6) AS value FROM x WHERE v <> 0""")
+def design_sql(column, offset):
+    """The level of ``column`` of every row and its place: at least 1,000 training rows or infrequent, at most 20 levels, in order of names."""
+    return f"""v_{column} AS (SELECT {column} AS label, count(*) AS n FROM e WHERE fold <> 0 GROUP BY 1), w_{column} AS (SELECT label, row_number() OVER (ORDER BY n DESC, label) AS k FROM v_{column} WHERE n >= 1000),
+x_{column} AS (SELECT label FROM w_{column} WHERE k <= CASE WHEN (SELECT count(*) FROM v_{column}) = (SELECT count(*) FROM w_{column}) AND (SELECT count(*) FROM v_{column}) <= 20 THEN 20 ELSE 19 END),
+y_{column} AS (SELECT label, {offset} + row_number() OVER (ORDER BY label) - 1 AS i FROM x_{column}),
+z_{column} AS (SELECT e.row_id, coalesce(y.i, CASE WHEN (SELECT count(*) FROM y_{column}) < (SELECT count(*) FROM v_{column}) THEN {offset} + (SELECT count(*) FROM y_{column}) END) AS i FROM e LEFT JOIN y_{column} y ON y.label = e.{column})"""
+
+
+@query("mod_5_sparse_design_matrix", f"""{L}, e AS (SELECT row_id, fold, make, CASE WHEN fold = 0 AND year < 1994 THEN 'Unseen' ELSE status END AS status, greatest(2002 - year, 0)::DOUBLE AS age, mileage::DOUBLE AS mileage, mileage::DOUBLE / greatest(2002 - year, 1) AS rate, CASE WHEN mileage IS NULL THEN 1.0 ELSE 0.0 END AS missing FROM listings),
+m AS (SELECT median(age) AS age, median(mileage) AS mileage, median(rate) AS rate, median(missing) AS missing FROM e WHERE fold <> 0),
+s AS (SELECT stddev_pop(e.age) AS age, stddev_pop(coalesce(e.mileage, m.mileage)) AS mileage, stddev_pop(coalesce(e.rate, m.rate)) AS rate, stddev_pop(e.missing) AS missing FROM e, m WHERE fold <> 0),
+{design_sql('make', 4)}, {design_sql('status', '4 + (SELECT count(*) FROM y_make) + CASE WHEN (SELECT count(*) FROM y_make) < (SELECT count(*) FROM v_make) THEN 1 ELSE 0 END')},
+x AS (SELECT row_id, unnest([0, 1, 2, 3]) AS i, unnest([e.age / s.age, coalesce(e.mileage, m.mileage) / s.mileage, coalesce(e.rate, m.rate) / s.rate, e.missing / s.missing]) AS v FROM e, m, s
+  UNION ALL SELECT row_id, i, 1.0 FROM z_make WHERE i IS NOT NULL UNION ALL SELECT row_id, i, 1.0 FROM z_status WHERE i IS NOT NULL) SELECT row_id, CAST(i AS INTEGER) AS index, round(v, 6) AS value FROM x WHERE v <> 0""")
 def _(spark, sf):
-    """The matrix itself: every non-zero of every row."""
-    from pyspark.ml import Pipeline
+    """The matrix itself, every non-zero of every row: learned on folds 1 to 4, whose rarer makes share a level, and made for all folds; old listings of fold 0 have a status that training has not."""
     from pyspark.ml.functions import vector_to_array
 
-    rows = prepared(spark, sf)
-    made = Pipeline(stages=models.design(NUMERIC, CATEGORICAL)).fit(rows).transform(rows)
+    rows = prepared(spark, sf).withColumn("status", F.when((F.col("fold") == 0) & (F.col("age") > 8), "Unseen").otherwise(F.col("status")))
+    (stage,) = models.design(NUMERIC, CATEGORICAL, 1000, 20)
+    made = stage.fit(rows.where("fold <> 0")).transform(rows)
     return made.select("row_id", F.posexplode(vector_to_array("features")).alias("index", "value")).where("value <> 0").withColumn("value", F.round("value", 6))
 
 
