@@ -107,6 +107,19 @@ def scaled_intervals(df: DataFrame, scale: str, by: str, coverage: float, y: str
     return found.withColumn("lower", F.greatest(F.lit(0.0), F.col(p) - r)).withColumn("upper", F.col(p) + r).withColumn("fallback", F.col("method") != by).drop("__score")
 
 
+def staged_intervals(staged: DataFrame, by: str, coverage: float, min_support: int = 0, y: str = "y", p: str = "p") -> DataFrame:
+    """CNF-9: the ``validate`` rows of :func:`models.staged_scale` with intervals: the radius comes from the ``calibrate`` rows of the same outer fold, as a quantile of ``|residual| / scale``.
+
+    It is that of the row's ``by``, or of all where support is too small, times the row's own scale.
+    """
+    scored = staged.withColumn("__score", F.abs(F.col(y) - F.col(p)) / F.col("scale"))
+    levels = {by: ["for_fold", by], "global": ["for_fold"]}
+    radii = fit_hierarchy(scored.where("role = 'calibrate'"), levels, "__score", min_support, (coverage,)).where("radius is not null")
+    found = lookup_with_fallback(scored.where("role = 'validate'"), radii, list(levels.items()), "radius", "support").withColumnRenamed("radius", "factor")
+    r = F.col("factor") * F.col("scale")
+    return found.withColumn("radius", r).withColumn("lower", F.greatest(F.lit(0.0), F.col(p) - r)).withColumn("upper", F.col(p) + r).withColumn("fallback", F.col("method") != by).drop("__score")
+
+
 #: Cumulative chances of 0 to 7 for a Poisson number with mean 1; above the last it is 8.
 _POISSON = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253]
 

@@ -108,6 +108,35 @@ def residual_scale(y: str) -> GeneralizedLinearRegression:
     return GeneralizedLinearRegression(featuresCol="features", labelCol=y, predictionCol="scale", family="gamma", link="log", regParam=1.0, maxIter=25)
 
 
+#: MOD-10: predictions are measured against this price before the logarithm; scales stay within these bounds.
+REFERENCE_PRICE, SCALE_BOUNDS = 10_000.0, (500.0, 250_000.0)
+
+
+def staged_scale(df: DataFrame, fold: str, folds: int, y: str, stages: Callable[[], list], scale_stages: Callable[[str], list], p: str = "p") -> DataFrame:
+    """MOD-10: ``df`` once for each outer fold and role (``for_fold``, ``role``) with ``p`` and ``scale``, so that no row meets a stage that has seen it.
+
+    For outer fold f the value is fitted on all folds but f, f+1 and f+2 (counted around); the scale of residuals, a
+    model of ``scale_stages`` that also sees ``log_value``, on the residuals of fold f+2; rows of fold f+1 have the role
+    ``calibrate`` and those of f ``validate``. Scales are kept within ``SCALE_BOUNDS``.
+    """
+    if folds < 4:
+        raise ValueError("a value, a scale, a radius and a validation need four folds")
+    rows = written(df, "staged")
+
+    def one(f: int) -> DataFrame:
+        value = Pipeline(stages=stages()).fit(rows.where(~F.col(fold).isin(*[(f + k) % folds for k in range(3)])))
+        valued = value.transform(rows.where(F.col(fold).isin(*[(f + k) % folds for k in range(3)]))).withColumn(p, F.greatest(F.col(p), F.lit(0.0)))
+        valued = valued.withColumn("log_value", F.log1p(F.col(p) / REFERENCE_PRICE)).withColumn("size", F.greatest(F.abs(F.col(y) - F.col(p)), F.lit(1.0)))
+        valued = written(valued.select(*rows.columns, p, "log_value", "size"), "staged-values")
+        scale = Pipeline(stages=scale_stages("size")).fit(valued.where(F.col(fold) == (f + 2) % folds))
+        scaled = scale.transform(valued.where(F.col(fold) != (f + 2) % folds)).withColumn("scale", S.clip(F.col("scale"), *SCALE_BOUNDS))
+        role = F.when(F.col(fold) == f, "validate").otherwise("calibrate").alias("role")
+        return scaled.select(*rows.columns, p, "scale", F.lit(f).alias("for_fold"), role)
+
+    with ThreadPoolExecutor(min(folds, 4)) as pool:
+        return written(reduce(DataFrame.unionByName, list(pool.map(one, range(folds)))), "staged-scales")
+
+
 def grid(df: DataFrame, fold: str, folds: int, key: str, y: str, prepare: Callable[[], list], candidates: dict[str, Callable[[], object]], out: str = "p") -> DataFrame:
     """MOD-8/9/11: ``candidate, key, fold, y, p`` of every candidate on the same folds: features are fitted once a fold, models one after the other."""
     rows = written(df, "grid")

@@ -106,6 +106,21 @@ def _(spark, sf):
     return found.withColumn("scale", S.clip(F.col("scale"), 500.0, 250_000.0)).groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("scale"), 2).alias("mean_scale"))
 
 
+def staged(spark, sf):
+    rows = prepared(spark, sf).select("row_id", "fold", *NUMERIC, *CATEGORICAL, "y")
+    return models.staged_scale(rows, "fold", FOLDS, "y", lambda: [*models.design(NUMERIC, CATEGORICAL), models.linear("y")], lambda size: [*models.design([*NUMERIC, "log_value"], CATEGORICAL), models.residual_scale(size)])
+
+
+@query("cnf_9_learned_scale")
+def _(spark, sf):
+    """Intervals from a learned scale: value, scale, radius and validation each on folds of their own; coverage and width by outer fold."""
+    from kerbside.operators import conformal
+
+    found = conformal.staged_intervals(staged(spark, sf), "status", 0.9)
+    inside = F.col("y").between(F.col("lower"), F.col("upper")).cast("double")
+    return found.groupBy("for_fold").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(inside), 6).alias("coverage"), F.round(F.avg(F.col("upper") - F.col("lower")), 2).alias("mean_width"), F.round(F.min("scale"), 2).alias("min_scale"), F.round(F.max("scale"), 2).alias("max_scale"))
+
+
 @query("mod_12_holdout")
 def _(spark, sf):
     rows = prepared(spark, sf)
