@@ -279,6 +279,10 @@ def pack(pieces: DataFrame, capacity: int = 2048, partition: int = PARTITION, ro
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
-    """Tokenise and pack ``docs`` (``doc_id``, ``text``): a row for each piece with its place."""
-    placed, _ = pack(written(token_pieces(docs, tokenizer, capacity, end_id), "packing-pieces"), capacity)
-    return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    """Tokenise and pack ``docs`` (``doc_id``, ``text``): a row for each piece with its place.
+
+    ``fill`` are the ids of its sequence, ``sequences`` how many there are, and ``least_sequences`` the certificate: no
+    packing of these pieces has fewer.
+    """
+    placed, proof = pack(written(token_pieces(docs, tokenizer, capacity, end_id), "packing-pieces"), capacity)
+    return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "fill", F.lit(proof["sequences"]).cast("long").alias("sequences"), F.lit(proof["bound"]).cast("long").alias("least_sequences"))
