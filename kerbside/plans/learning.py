@@ -421,6 +421,35 @@ def _(spark, sf):
     return rounded(keyed.online_linear_by_key(scored(spark, sf), "make", ["sold_on", "row_id"], ["mileage", "year"], ["status"], "price", 1000.0), "mae")
 
 
+def in_two_runs(spark, rows, at, build, schema, name):
+    """What the stream ``build`` puts out over ``rows``, stopped and started again at the middle of ``at``."""
+    from kerbside.staging import fresh_dir
+    from kerbside.streaming.runs import run_available
+
+    base, kept = fresh_dir(spark, name), written(rows, name)
+    number = F.unix_date(at) if dict(rows.dtypes)[at] == "date" else F.unix_micros(at)
+    middle = (quantiles(kept, {"m": number.cast("double")}, [0.5], stored=True).first()["m"] or [0.0])[0]
+    for first in (True, False):
+        kept.where((number < middle) == first).write.mode("append").parquet(f"{base}/in")
+        run_available(build, spark.readStream.schema(kept.schema).parquet(f"{base}/in"), f"{base}/out", f"{base}/c")
+    return spark.read.schema(schema).parquet(f"{base}/out")
+
+
+@query("str_7_drift_stream")
+def _(spark, sf):
+    """Drift of every seller and of listings without one, as a stream with a stop; the same as the batch form."""
+    rows = scored(spark, sf).select(F.when(F.col("seller") % 10 != 0, F.col("seller")).alias("seller"), "sold_on", "row_id", "y", "p")
+    return keyed.latest(in_two_runs(spark, rows, "sold_on", lambda s: keyed.adwin_stream(s, "seller", ["sold_on", "row_id"]), keyed.DRIFT, "drift"))
+
+
+@query("str_8_online_stream")
+def _(spark, sf):
+    """The learner of every make, as a stream with a stop; the same as the batch form."""
+    rows = scored(spark, sf).select("make", "sold_on", "row_id", "mileage", "year", "status", "price")
+    found = in_two_runs(spark, rows, "sold_on", lambda s: keyed.online_linear_stream(s, "make", ["sold_on", "row_id"], ["mileage", "year"], ["status"], "price", 1000.0), keyed.LEARNED, "online")
+    return rounded(keyed.latest(found), "mae")
+
+
 @query("str_9_stream_counters", f"""WITH {STREAM}, c AS (SELECT (SELECT count(DISTINCT event_id) FROM p) AS a, count(*) FILTER (reason_code IS NULL) AS b, count(*) FILTER (reason_code IS NOT NULL) AS d FROM m) SELECT 'predicted' AS counter, a AS n FROM c UNION ALL SELECT 'learned', b FROM c UNION ALL SELECT 'pending', a - b FROM c
 UNION ALL SELECT 'processed', b + d FROM c UNION ALL SELECT 'quarantined', d FROM c UNION ALL SELECT 'quarantined:' || reason_code, count(*) FROM m WHERE reason_code IS NOT NULL GROUP BY reason_code""")
 def _(spark, sf):

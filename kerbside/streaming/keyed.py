@@ -1,18 +1,20 @@
 """Sequential learners and drift detectors, one small state for each segment.
 
 They scale by key. Within a key order is what defines the result, so a key's rows are folded one after the
-other in batches that Spark streams to the worker; nothing but the state is held.
+other; nothing but the state is held. The batch forms fold what Spark streams to a worker; the streaming forms
+keep the same state between batches and over restarts.
 """
 
 from __future__ import annotations
 
 import math
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 
 class Adwin:
@@ -97,43 +99,158 @@ class OnlineLinear:
             self.weights[k] = self.weights.get(k, 0.0) - self.rate * error * v
 
 
-def adwin_by_key(df: DataFrame, key: str, at: list[str], y: str = "y", p: str = "p", delta: float = 0.002) -> DataFrame:
-    """STR-7: ``key, n, detections``: drift of the relative error |p - y| / max(y, 1) in each segment's order."""
-    rows = df.select(F.col(key).cast("string").alias("key"), *at, (F.abs(F.col(p) - F.col(y)) / F.greatest(F.col(y), F.lit(1.0))).cast("double").alias("__x")).where("__x is not null and key is not null")
+def _relative_errors(df: DataFrame, key: str, at: list[str], y: str, p: str) -> DataFrame:
+    error = F.abs(F.col(p) - F.col(y)) / F.greatest(F.col(y), F.lit(1.0))
+    return df.select(F.col(key).cast("string").alias("key"), *at, error.cast("double").alias("error")).where("error is not null")
 
-    def detect(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        state: Adwin | None = None
-        name, found, n = None, 0, 0
-        for frame in frames:
-            for k, x in zip(frame["key"], frame["__x"]):
-                if k != name:
-                    if name is not None:
-                        yield pd.DataFrame({"key": [name], "n": [n], "detections": [found]})
-                    state, name, found, n = Adwin(delta), k, 0, 0
-                n += 1
-                found += state.add(float(x))
-        if name is not None:
-            yield pd.DataFrame({"key": [name], "n": [n], "detections": [found]})
 
-    return rows.repartition("key").sortWithinPartitions("key", *at).mapInPandas(detect, "key string, n long, detections long")
+def _examples(df: DataFrame, key: str, at: list[str], numbers: list[str], categories: list[str], y: str, scale: float) -> DataFrame:
+    return df.select(F.col(key).cast("string").alias("key"), *at, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"n_{c}") for c in numbers], *[F.coalesce(F.col(c).cast("string"), F.lit("__missing__")).alias(f"c_{c}") for c in categories], (F.col(y).cast("double") / scale).alias("target")).where("target is not null")
 
 
-def online_linear_by_key(df: DataFrame, key: str, at: list[str], numbers: list[str], categories: list[str], y: str, scale: float = 1.0) -> DataFrame:
-    """STR-8: ``key, n, mae``: each segment's own model, tested on every row before it learns it; null numbers count 0."""
-    rows = df.select(F.col(key).cast("string").alias("key"), *at, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"n_{c}") for c in numbers], *[F.coalesce(F.col(c).cast("string"), F.lit("__missing__")).alias(f"c_{c}") for c in categories], (F.col(y).cast("double") / scale).alias("__y")).where("__y is not null and key is not null")
+def _fold(rows: DataFrame, at: list[str], start: Callable[[], object], step: Callable[[object, dict], None], result: Callable[[object], dict], schema: str) -> DataFrame:
+    """One state for each ``key`` (null is a key), folded over its rows in order; ``schema`` begins with the key."""
 
-    def learn(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model, name, n, total = None, None, 0, 0.0
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        state, name = None, None
         for frame in frames:
             for row in frame.to_dict("records"):
-                if row["key"] != name:
-                    if name is not None:
-                        yield pd.DataFrame({"key": [name], "n": [n], "mae": [scale * total / n]})
-                    model, name, n, total = OnlineLinear(), row["key"], 0, 0.0
-                x, c = {k: row[f"n_{k}"] for k in numbers}, {k: row[f"c_{k}"] for k in categories}
-                n, total = n + 1, total + abs(model.predict(x, c) - row["__y"])
-                model.learn(x, c, row["__y"])
-        if name is not None:
-            yield pd.DataFrame({"key": [name], "n": [n], "mae": [scale * total / n]})
-
-    return rows.repartition("key").sortWithinPartitions("key", *at).mapInPandas(learn, "key string, n long, mae double")
+                key = row["key"] if isinstance(row["key"], str) else None
+                if state is None or key != name:
+                    if state is not None:
+                        yield pd.DataFrame([{"key": name, **result(state)}])
+                    state, name = start(), key
+                step(state, row)
+        if state is not None:
+            yield pd.DataFrame([{"key": name, **result(state)}])
+
+    return rows.repartition("key").sortWithinPartitions("key", *at).mapInPandas(run, schema)
+
+
+class Drift:
+    """What STR-7 keeps for a segment."""
+
+    def __init__(self, delta: float):
+        self.adwin, self.n, self.detections = Adwin(delta), 0, 0
+
+    def step(self, row: dict) -> None:
+        self.n += 1
+        self.detections += self.adwin.add(float(row["error"]))
+
+    def result(self) -> dict:
+        return {"n": self.n, "detections": self.detections}
+
+
+class Learning:
+    """What STR-8 keeps for a segment."""
+
+    def __init__(self, numbers: list[str], categories: list[str], scale: float):
+        self.model, self.numbers, self.categories, self.scale, self.n, self.total = OnlineLinear(), numbers, categories, scale, 0, 0.0
+
+    def step(self, row: dict) -> None:
+        x, c = {k: row[f"n_{k}"] for k in self.numbers}, {k: row[f"c_{k}"] for k in self.categories}
+        self.n, self.total = self.n + 1, self.total + abs(self.model.predict(x, c) - row["target"])
+        self.model.learn(x, c, row["target"])
+
+    def result(self) -> dict:
+        return {"n": self.n, "mae": self.scale * self.total / self.n}
+
+
+DRIFT, LEARNED = "key string, n long, detections long", "key string, n long, mae double"
+
+
+def adwin_by_key(df: DataFrame, key: str, at: list[str], y: str = "y", p: str = "p", delta: float = 0.002) -> DataFrame:
+    """STR-7, batch: ``key, n, detections``: drift of the relative error |p - y| / max(y, 1) in each segment's order; rows without one do not count, a null segment is a segment."""
+    return _fold(_relative_errors(df, key, at, y, p), at, lambda: Drift(delta), Drift.step, Drift.result, DRIFT)
+
+
+def online_linear_by_key(df: DataFrame, key: str, at: list[str], numbers: list[str], categories: list[str], y: str, scale: float = 1.0) -> DataFrame:
+    """STR-8, batch: ``key, n, mae``: each segment's own model, tested on every row before it learns it; null numbers count 0, rows without ``y`` do not count, a null segment is a segment."""
+    return _fold(_examples(df, key, at, numbers, categories, y, scale), at, lambda: Learning(numbers, categories, scale), Learning.step, Learning.result, LEARNED)
+
+
+class _Segment(StatefulProcessor):
+    """Rows of a batch in order into the segment's state, which is read and written once a batch; the result so far goes out."""
+
+    def __init__(self, at: list[str]):
+        self.at = at
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        state = self.read()
+        for row in pd.concat(list(rows), ignore_index=True).sort_values(self.at).to_dict("records"):
+            state.step(row)
+        self.write(state)
+        yield pd.DataFrame([{"key": key[0], **state.result()}])
+
+    def close(self) -> None:
+        pass
+
+
+class DriftProcessor(_Segment):
+    """STR-7: the exponential histogram as a list (a row for each bucket), counters as one value."""
+
+    def __init__(self, at: list[str], delta: float):
+        super().__init__(at)
+        self.delta = delta
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.buckets = handle.getListState("buckets", "level int, total double, deviations double")
+        self.counters = handle.getValueState("counters", "n long, detections long, held long, total double, seen long, levels int")
+
+    def read(self) -> Drift:
+        state = Drift(self.delta)
+        if self.counters.exists():
+            state.n, state.detections, state.adwin.n, state.adwin.total, state.adwin.seen, levels = self.counters.get()
+            state.adwin.rows = [deque() for _ in range(levels)]
+            for level, total, deviations in self.buckets.get():
+                state.adwin.rows[level].append((total, deviations))
+        return state
+
+    def write(self, state: Drift) -> None:
+        held = state.adwin
+        self.buckets.put([(k, s, v) for k, row in enumerate(held.rows) for s, v in row])
+        self.counters.update((state.n, state.detections, held.n, held.total, held.seen, len(held.rows)))
+
+
+class LearningProcessor(_Segment):
+    """STR-8: weights and moments as maps by feature, the rest as one value; a row is predicted before it is learned."""
+
+    def __init__(self, at: list[str], numbers: list[str], categories: list[str], scale: float):
+        super().__init__(at)
+        self.numbers, self.categories, self.scale = numbers, categories, scale
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.weights = handle.getMapState("weights", "feature string", "weight double")
+        self.moments = handle.getMapState("moments", "feature string", "n long, mean double, square double")
+        self.counters = handle.getValueState("counters", "n long, total double, bias double")
+
+    def read(self) -> Learning:
+        state = Learning(self.numbers, self.categories, self.scale)
+        if self.counters.exists():
+            state.n, state.total, state.model.bias = self.counters.get()
+            state.model.weights = {k[0]: v[0] for k, v in self.weights.iterator()}
+            state.model.moments = {k[0]: list(v) for k, v in self.moments.iterator()}
+        return state
+
+    def write(self, state: Learning) -> None:
+        for k, v in state.model.weights.items():
+            self.weights.updateValue((k,), (v,))
+        for k, v in state.model.moments.items():
+            self.moments.updateValue((k,), tuple(v))
+        self.counters.update((state.n, state.total, state.model.bias))
+
+
+def adwin_stream(stream: DataFrame, key: str, at: list[str], y: str = "y", p: str = "p", delta: float = 0.002) -> DataFrame:
+    """STR-7, streaming: after every batch ``key, n, detections`` so far of the segments that had rows. Rows are put in order within a batch; later batches are later."""
+    return _relative_errors(stream, key, at, y, p).groupBy("key").transformWithStateInPandas(DriftProcessor(at, delta), DRIFT, "append", "none")
+
+
+def online_linear_stream(stream: DataFrame, key: str, at: list[str], numbers: list[str], categories: list[str], y: str, scale: float = 1.0) -> DataFrame:
+    """STR-8, streaming: after every batch ``key, n, mae`` so far of the segments that had rows."""
+    return _examples(stream, key, at, numbers, categories, y, scale).groupBy("key").transformWithStateInPandas(LearningProcessor(at, numbers, categories, scale), LEARNED, "append", "none")
+
+
+def latest(results: DataFrame) -> DataFrame:
+    """Of what a stream has put out the last row of each segment."""
+    last = results.groupBy("key").agg(F.max_by(F.struct(*[c for c in results.columns if c != "key"]), "n").alias("x"))
+    return last.select("key", "x.*")
