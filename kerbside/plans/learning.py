@@ -399,6 +399,67 @@ def _(spark, sf):
     return matched(spark, sf).select("outcome_id", "event_id", "reason_code", "prediction")
 
 
+def in_runs(spark, name, inputs, build, schema, runs, once=False):
+    """What a stream puts out over tables (name to rows and their time) that come in ``runs`` parts of whole days, with a stop after each (``once``: without)."""
+    from kerbside.staging import fresh_dir
+    from kerbside.streaming.runs import run_available
+
+    base = fresh_dir(spark, name)
+    days = F.datediff("__at", F.lit("2024-01-01"))
+    parts = {k: written(rows.withColumn("__at", F.col(at).cast("timestamp")), f"{name}-{k}") for k, (rows, at) in inputs.items()}
+    for run in range(runs):
+        for k, rows in parts.items():
+            rows.where(F.least(F.floor(days * runs / 30), F.lit(runs - 1)) == run).drop("__at").coalesce(1).write.mode("append").parquet(f"{base}/{k}")
+        if run == runs - 1 or not once:
+            run_available(lambda _: build({k: spark.readStream.schema(rows.drop("__at").schema).parquet(f"{base}/{k}") for k, rows in parts.items()}), spark.range(0), f"{base}/out", f"{base}/c")  # noqa: B023
+    return spark.read.schema(schema).parquet(f"{base}/out")
+
+
+@query("str_2_3_chained_stream", f"WITH {STREAM} SELECT outcome_id, event_id, reason_code, prediction FROM m")
+def _(spark, sf):
+    """The matcher as a stream of three runs, with ids refused across events: the rows of the batch form."""
+    made, seen = predictions(spark, sf), actuals(spark, sf).drop("number")
+    found = in_runs(spark, "chained", {"p": (made, "observed_at"), "o": (seen, "occurred_at")}, lambda s: outcomes.match_stream(s["p"], s["o"], ["view"]), outcomes.RESULT, 3)
+    return found.select("outcome_id", "event_id", "reason_code", "prediction")
+
+
+#: Milliseconds that a prediction waits in event time, and days of a run.
+WAITS, RUN_DAYS = 6 * 86_400_000, 10
+
+
+@query("str_4_event_time_expiry", """WITH e AS (SELECT *, least(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) // 10, 2) AS run FROM events WHERE event_type IN ('view', 'purchase')),
+w AS (SELECT run, max(max(ts)) OVER (ORDER BY run) AS upto FROM e GROUP BY run),
+p AS (SELECT user_id, min(ts) AS observed_at, arg_min(value, ts) AS prediction, min(run) AS run FROM e WHERE event_type = 'view' GROUP BY user_id),
+x AS (SELECT p.*, (SELECT min(w.run) FROM w WHERE w.run >= p.run AND w.upto >= p.observed_at + INTERVAL 6 DAY) AS gone FROM p),
+o AS (SELECT e.*, x.observed_at, x.prediction, x.run AS p_run, x.gone, x.user_id IS NULL OR e.run < x.run OR x.gone < e.run AS unknown FROM e LEFT JOIN x USING (user_id) WHERE event_type = 'purchase'),
+r AS (SELECT *, CASE WHEN unknown THEN 'event_not_found' WHEN ts < observed_at THEN 'outcome_before_prediction' WHEN value <= 0 THEN 'invalid_target' END AS reason FROM o),
+m AS (SELECT user_id, CASE WHEN reason IS NULL AND row_number() OVER (PARTITION BY user_id, reason IS NULL ORDER BY ts, event_id) > 1 THEN 'duplicate_outcome' ELSE reason END AS reason_code, run FROM r
+  UNION ALL SELECT user_id, 'event_expired', NULL FROM x WHERE gone IS NOT NULL AND NOT EXISTS (SELECT 1 FROM r WHERE r.user_id = x.user_id AND r.reason IS NULL AND r.run <= x.gone))
+SELECT coalesce(reason_code, 'accepted') AS reason_code, count(*) AS n, count(DISTINCT user_id) AS users FROM m GROUP BY 1""")
+def _(spark, sf):
+    """A user's first view waits six days for a purchase; three runs of ten days. What is late finds nothing, and what waited in vain is reported."""
+    e = table(spark, sf, "events")
+    # Only the first view of a user is a prediction; the others would begin anew once it has expired.
+    first = e.where("event_type = 'view'").groupBy("user_id").agg(F.min("ts").alias("ts"), F.min_by("value", "ts").alias("value"))
+    made = first.select(F.concat(F.lit("u"), "user_id").alias("event_id"), F.lit("view").alias("source_id"), F.col("ts").alias("observed_at"), F.col("value").alias("prediction"))
+    seen = e.where("event_type = 'purchase'").select(F.concat(F.lit("o"), F.lpad(F.col("event_id").cast("string"), 12, "0")).alias("outcome_id"), F.concat(F.lit("u"), "user_id").alias("event_id"), F.lit("view").alias("source_id"), F.col("ts").alias("occurred_at"), F.col("value").alias("target"))
+    clock = e.where("event_type = 'view'").select(F.lit("clock").alias("event_id"), F.lit("view").alias("source_id"), F.col("ts").alias("observed_at"), F.lit(1.0).alias("prediction"))  # all views move the time on
+    found = in_runs(spark, "expiry", {"p": (made.unionByName(clock), "observed_at"), "o": (seen, "occurred_at")}, lambda s: outcomes.match_stream(s["p"], s["o"], ["view"], WAITS, "0 seconds"), outcomes.RESULT, 30 // RUN_DAYS)
+    return found.where("event_id <> 'clock'").groupBy(F.coalesce("reason_code", F.lit("accepted")).alias("reason_code")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("event_id").alias("users"))
+
+
+@query("jon_12_interval_join_stream", f"""WITH {STREAM} SELECT o.outcome_id, p.event_id, p.prediction, o.target FROM p LEFT JOIN o ON o.event_id = p.event_id AND o.source_id = p.source_id AND o.occurred_at >= p.observed_at AND o.occurred_at <= p.observed_at + INTERVAL 12 HOUR""")
+def _(spark, sf):
+    """Predictions and the outcomes of their next twelve hours as two streams in three runs. A last prediction a year later moves the watermark past all others; what it matches itself is left out."""
+    made, seen = predictions(spark, sf).drop("features_valid"), actuals(spark, sf).drop("number", "utc")
+    late = spark.range(1).select(F.lit("end").alias("event_id"), F.lit("view").alias("source_id"), F.lit("2026-01-01").cast("timestamp").alias("at"))
+    made = made.select("event_id", "source_id", F.col("observed_at").cast("timestamp").alias("observed_at"), F.col("prediction").cast("double").alias("prediction")).unionByName(late.select("event_id", "source_id", F.col("at").alias("observed_at"), F.lit(1.0).alias("prediction")))
+    seen = seen.select("outcome_id", "event_id", "source_id", F.col("occurred_at").cast("timestamp").alias("occurred_at"), F.col("target").cast("double").alias("target")).unionByName(late.select(F.lit("end").alias("outcome_id"), F.lit("other").alias("event_id"), "source_id", F.col("at").alias("occurred_at"), F.lit(1.0).alias("target")))
+    shape = "outcome_id string, event_id string, observed_at timestamp, occurred_at timestamp, prediction double, target double"
+    found = in_runs(spark, "interval", {"p": (made, "observed_at"), "o": (seen, "occurred_at")}, lambda s: outcomes.join_outcomes_stream(s["p"], s["o"], "1 day", "12 HOURS"), shape, 3)
+    return found.where("event_id <> 'end'").select("outcome_id", "event_id", "prediction", "target")
+
+
 @query("str_5_prequential_metrics", A + """ SELECT outcome_id, segment, count(*) OVER w AS n, (sum(abs(p - y)) OVER w)::DOUBLE / count(*) OVER w AS mae, sqrt((sum((p - y) * (p - y)) OVER w)::DOUBLE / count(*) OVER w) AS rmse, (sum(abs(p - y)) OVER w)::DOUBLE / count(*) OVER w - (sum(abs(5000 - y)) OVER w)::DOUBLE / count(*) OVER w AS mae_delta,
 sqrt((sum((p - y) * (p - y)) OVER w)::DOUBLE / count(*) OVER w) - sqrt((sum((5000 - y) * (5000 - y)) OVER w)::DOUBLE / count(*) OVER w) AS rmse_delta FROM a WINDOW w AS (PARTITION BY segment ORDER BY occurred_at, outcome_id ROWS UNBOUNDED PRECEDING)""")
 def _(spark, sf):

@@ -69,72 +69,125 @@ def match_outcomes(predictions: DataFrame, outcomes: DataFrame, approved: list[s
     return judged.join(used, F.col("event_id") == F.col("__key"), "left").select("outcome_id", "event_id", "source_id", "occurred_at", "prediction", "target", final.alias("reason_code"))
 
 
+_OUTCOME = "outcome_id string, event_id string, source_id string, at timestamp, target double, utc boolean, id_ok boolean"
+
+
+class IdRefusal(StatefulProcessor):
+    """STR-2: per outcome id whether it has been seen, whatever its event: all but the first by time and event are ``again``."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getValueState("seen", "yes boolean")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        found = pd.concat(list(rows), ignore_index=True).sort_values(["at", "event_id"], na_position="first").reset_index(drop=True)
+        found["again"] = [self.seen.exists() or k > 0 for k in range(len(found))]
+        self.seen.update((True,))
+        found["outcome_id"] = key[0]
+        yield found[[c.split()[0] for c in _OUTCOME.split(", ")] + ["again"]]
+
+    def close(self) -> None:
+        pass
+
+
 class OutcomeMatcher(StatefulProcessor):
-    """STR-3/4: per event id the pending prediction. With a time to live a timer gives it up: it is reported as ``event_expired`` and late outcomes are not found."""
+    """STR-3/4: per event id its prediction and whether an outcome was accepted; the checks and their order are those of :func:`match_outcomes`.
 
-    def __init__(self, approved: list[str], ttl_ms: int | None):
-        self.approved, self.ttl_ms = approved, ttl_ms
+    With a time to live a timer gives up a prediction that still waits: it is reported as ``event_expired`` and late
+    outcomes are not found.
+    """
+
+    def __init__(self, approved: list[str], ttl_ms: int | None, event_time: bool):
+        self.approved, self.ttl_ms, self.event_time = approved, ttl_ms, event_time
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.pending = handle.getValueState("pending", "source_id string, observed_ms long, prediction double")
-        self.done = handle.getValueState("done", "outcome_id string", self.ttl_ms)
+        self.held = handle.getValueState("held", "source_id string, observed_us long, prediction double, features_valid boolean")
+        self.used = handle.getValueState("used", "outcome_id string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         both = pd.concat(list(rows), ignore_index=True)
-        both["__order"] = both["kind"].map({"prediction": 0, "outcome": 1})
         out = []
-        for row in both.sort_values(["__order", "at", "outcome_id"], na_position="first").itertuples():
-            if row.kind == "prediction":
-                if not self.pending.exists() and not self.done.exists():
-                    self.pending.update((row.source_id, int(row.at.timestamp() * 1000), float(row.prediction)))
-                    if self.ttl_ms is not None:
-                        self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.ttl_ms)
-                continue
-            held = self.pending.get() if self.pending.exists() else None
-            out.append((row.outcome_id, key[0], row.source_id, row.at, held[2] if held else None, row.target, self._reason(row, held)))
-            if out[-1][-1] is None:
-                self.done.update((row.outcome_id,))
-                self.pending.clear()
+        for row in both[both["kind"] == "prediction"].sort_values(["at", "prediction"]).itertuples():
+            if not self.held.exists():
+                self.held.update((row.source_id, _micros(row.at), float(row.prediction), bool(row.ok)))
+                if self.ttl_ms is not None:
+                    now = _micros(row.at) // 1000 if self.event_time else timerValues.getCurrentProcessingTimeInMs()
+                    self.handle.registerTimer(now + self.ttl_ms)
+        held = self.held.get() if self.held.exists() else None
+        used = self.used.exists()
+        for row in both[both["kind"] == "outcome"].sort_values(["at", "outcome_id"], na_position="first").itertuples():
+            reason = self._reason(row, held)
+            if reason is None and used:
+                reason = "duplicate_outcome"
+            elif reason is None:
+                used = True
+                self.used.update((row.outcome_id,))
+            out.append((_text(row.outcome_id), key[0], _text(row.source_id), row.at, held[2] if held else None, row.target, reason))
         yield pd.DataFrame(out, columns=_COLUMNS)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         out = []
-        if self.pending.exists():
-            held = self.pending.get()
-            self.pending.clear()
-            out.append((None, key[0], held[0], pd.Timestamp(held[1], unit="ms"), held[2], None, "event_expired"))
+        if self.held.exists():
+            held = self.held.get()
+            if not self.used.exists():
+                out.append((None, key[0], held[0], pd.Timestamp(held[1], unit="us"), held[2], None, "event_expired"))
+            self.held.clear()
+            self.used.clear()
         yield pd.DataFrame(out, columns=_COLUMNS)
 
     def _reason(self, row, held) -> str | None:
-        if self.done.exists():
+        if row.again:
             return "duplicate_outcome"
         if held is None:
             return "event_not_found"
-        if held[0] != row.source_id:
+        if _text(row.source_id) is not None and held[0] is not None and held[0] != row.source_id:
             return "source_mismatch"
-        if row.source_id not in self.approved:
+        if not row.id_ok:
+            return "invalid_target"
+        if _text(row.source_id) is not None and row.source_id not in self.approved:
             return "source_not_approved"
-        if row.at.timestamp() * 1000 < held[1]:
+        if pd.isna(row.at) or not row.ok or _micros(row.at) < held[1]:
             return "outcome_before_prediction"
-        if row.target is None or not 0 < row.target < float("inf"):
-            return "invalid_target"
-        return None
+        if not held[3]:
+            return "invalid_predictors"
+        return None if 0 < row.target < float("inf") else "invalid_target"
 
     def close(self) -> None:
         pass
 
 
-def match_stream(predictions: DataFrame, outcomes: DataFrame, approved: list[str], ttl_ms: int | None = None) -> DataFrame:
-    """STR-3, streaming: both streams keyed by event id. Needs the RocksDB state store; ids that two events share are not seen here (STR-2).
+def _micros(at: pd.Timestamp) -> int:
+    return pd.Timestamp(at).value // 1000
+
+
+def _text(value) -> str | None:
+    return value if isinstance(value, str) else None
+
 
-    With ``ttl_ms`` (processing time) pending predictions expire, each with a row ``event_expired`` that has no
-    outcome; Spark then wakes the query up again and again, so it must run with an interval trigger and be
-    stopped, not with ``availableNow``.
+def match_stream(predictions: DataFrame, outcomes: DataFrame, approved: list[str], ttl_ms: int | None = None, late: str | None = None) -> DataFrame:
+    """STR-2/3/4, streaming: two stateful operators in one query, by outcome id and then by event id. Needs the RocksDB state store.
+
+    The first refuses outcome ids that come again, for whatever event. The results are those of
+    :func:`match_outcomes`, where predictions do not come later than their outcomes; within a batch rows are put in order.
+    With ``ttl_ms`` predictions expire, each that waited in vain with a row ``event_expired`` that has no outcome. With ``late``
+    that is in event time: a timer at the prediction's time and ``ttl_ms``, run down by the watermark, so that it also
+    ends under ``availableNow``; ids are then refused within an event only, and rows later than the watermark are dropped by
+    Spark. Without ``late`` it is in processing time, and Spark wakes the query up again and again: it must run with
+    an interval trigger and be stopped.
     """
-    p = predictions.select(F.lit("prediction").alias("kind"), "event_id", "source_id", F.col("observed_at").alias("at"), F.col("prediction").cast("double").alias("prediction"), F.lit(None).cast("string").alias("outcome_id"), F.lit(None).cast("double").alias("target"))
-    o = outcomes.select(F.lit("outcome").alias("kind"), "event_id", "source_id", F.col("occurred_at").alias("at"), F.lit(None).cast("double").alias("prediction"), "outcome_id", F.col("target").cast("double").alias("target"))
-    return p.unionByName(o).groupBy("event_id").transformWithStateInPandas(statefulProcessor=OutcomeMatcher(approved, ttl_ms), outputStructType=RESULT, outputMode="append", timeMode="none" if ttl_ms is None else "processingTime")
+    flag = lambda df, name: (F.coalesce(F.col(name), F.lit(False)) if name in df.columns else F.lit(True))
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    p = predictions.select(F.lit("prediction").alias("kind"), "event_id", "source_id", F.col("observed_at").cast("timestamp").alias("at"), F.col("prediction").cast("double").alias("prediction"), none("string", "outcome_id"), none("double", "target"), flag(predictions, "features_valid").alias("ok"), F.lit(True).alias("id_ok"), F.lit(False).alias("again"))
+    o = outcomes.select("outcome_id", "event_id", "source_id", F.col("occurred_at").cast("timestamp").alias("at"), F.col("target").cast("double").alias("target"), flag(outcomes, "utc").alias("utc"), F.coalesce(identifier_ok(F.col("outcome_id")), F.lit(False)).alias("id_ok"))
+    if late is None:
+        o = o.groupBy("outcome_id").transformWithStateInPandas(IdRefusal(), _OUTCOME + ", again boolean", "append", "none")
+    else:
+        o = o.withColumn("again", F.lit(False))
+    o = o.select(F.lit("outcome").alias("kind"), "event_id", "source_id", "at", none("double", "prediction"), "outcome_id", "target", F.col("utc").alias("ok"), "id_ok", "again")
+    both = p.unionByName(o)
+    both = both.withWatermark("at", late) if late else both
+    mode = "none" if ttl_ms is None else "eventTime" if late else "processingTime"
+    return both.groupBy("event_id").transformWithStateInPandas(OutcomeMatcher(approved, ttl_ms, late is not None), RESULT, "append", mode)
 
 
 def dedupe_stream(events: DataFrame, key: str, at: str, late: str = "1 day") -> DataFrame:
@@ -142,6 +195,17 @@ def dedupe_stream(events: DataFrame, key: str, at: str, late: str = "1 day") ->
     return events.withWatermark(at, late).dropDuplicatesWithinWatermark([key])
 
 
+def join_outcomes_stream(predictions: DataFrame, outcomes: DataFrame, late: str, within: str) -> DataFrame:
+    """JON-12, streaming: predictions with their outcomes of the same source, at most ``within`` after them; without an outcome when the watermark says that none can come any more.
+
+    Both streams have a watermark of ``late``, and the time bound lets Spark drop rows that can match nothing new.
+    """
+    p = predictions.select("event_id", F.col("source_id").alias("p_source"), F.col("observed_at").cast("timestamp").alias("observed_at"), "prediction").withWatermark("observed_at", late)
+    o = outcomes.select("outcome_id", F.col("event_id").alias("o_event"), "source_id", F.col("occurred_at").cast("timestamp").alias("occurred_at"), "target").withWatermark("occurred_at", late)
+    near = (F.col("event_id") == F.col("o_event")) & (F.col("source_id") == F.col("p_source")) & (F.col("occurred_at") >= F.col("observed_at")) & (F.col("occurred_at") <= F.col("observed_at") + F.expr(f"INTERVAL {within}"))
+    return p.join(o, near, "left_outer").select("outcome_id", "event_id", "observed_at", "occurred_at", "prediction", "target")
+
+
 def prequential(scored: DataFrame, by: str, at: list[str], y: str = "y", p: str = "p", static: str = "static") -> DataFrame:
     """STR-5: after each outcome the cumulative errors of the candidate and of the static reference, by segment; ``at`` is a total order.
 
