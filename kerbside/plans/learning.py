@@ -399,19 +399,24 @@ def _(spark, sf):
     return matched(spark, sf).select("outcome_id", "event_id", "reason_code", "prediction")
 
 
+def part_of(at, runs):
+    """In which of ``runs`` parts of January 2024 a time is; later ones are in the last."""
+    return F.least(F.floor(F.datediff(at.cast("timestamp"), F.lit("2024-01-01")) * runs / 30), F.lit(runs - 1))
+
+
 def in_runs(spark, name, inputs, build, schema, runs, once=False):
-    """What a stream puts out over tables (name to rows and their time) that come in ``runs`` parts of whole days, with a stop after each (``once``: without)."""
+    """What a stream puts out over tables (name to rows and their time, or the number of their part) that come in ``runs`` parts, of whole days, with a stop after each (``once``: without)."""
     from kerbside.staging import fresh_dir
     from kerbside.streaming.runs import run_available
 
     base = fresh_dir(spark, name)
-    days = F.datediff("__at", F.lit("2024-01-01"))
-    parts = {k: written(rows.withColumn("__at", F.col(at).cast("timestamp")), f"{name}-{k}") for k, (rows, at) in inputs.items()}
+    part = lambda at: part_of(F.col(at), runs) if isinstance(at, str) else at
+    parts = {k: written(rows.withColumn("__run", part(at)), f"{name}-{k}") for k, (rows, at) in inputs.items()}
     for run in range(runs):
         for k, rows in parts.items():
-            rows.where(F.least(F.floor(days * runs / 30), F.lit(runs - 1)) == run).drop("__at").coalesce(1).write.mode("append").parquet(f"{base}/{k}")
+            rows.where(F.col("__run") == run).drop("__run").coalesce(1).write.mode("append").parquet(f"{base}/{k}")
         if run == runs - 1 or not once:
-            run_available(lambda _: build({k: spark.readStream.schema(rows.drop("__at").schema).parquet(f"{base}/{k}") for k, rows in parts.items()}), spark.range(0), f"{base}/out", f"{base}/c")  # noqa: B023
+            run_available(lambda _: build({k: spark.readStream.schema(rows.drop("__run").schema).parquet(f"{base}/{k}") for k, rows in parts.items()}), spark.range(0), f"{base}/out", f"{base}/c")  # noqa: B023
     return spark.read.schema(schema).parquet(f"{base}/out")
 
 
@@ -535,6 +540,24 @@ def _(spark, sf):
     return summaries(spark, sf, "2 days", "1 day")
 
 
+@query("str_11_late_rows", f"""{A}, v AS (SELECT *, least(date_diff('day', DATE '2024-01-01', CAST(occurred_at AS DATE)) // 10, 2) AS own FROM b),
+x AS (SELECT *, CASE WHEN CAST(substr(outcome_id, 2) AS BIGINT) % 4 = 0 THEN least(own + 1, 2) ELSE own END AS run FROM v), w AS (SELECT run, max(max(occurred_at)) OVER (ORDER BY run) - INTERVAL 1 DAY AS mark FROM x GROUP BY run),
+y AS (SELECT x.*, time_bucket(INTERVAL 1 DAY, occurred_at) AS start, coalesce(time_bucket(INTERVAL 1 DAY, occurred_at) + INTERVAL 1 DAY <= w.mark, false) AS late FROM x LEFT JOIN w ON w.run = x.run - 1)
+SELECT CAST(start AS VARCHAR) AS window_start, count(*) FILTER (reason_code IS NULL) AS n, (sum(abs(p - y)) FILTER (reason_code IS NULL))::DOUBLE / nullif(count(*) FILTER (reason_code IS NULL), 0) AS mae, count(*) FILTER (reason_code IS NOT NULL) AS quarantined FROM y WHERE NOT late GROUP BY start
+UNION ALL SELECT 'late', count(*) FILTER (late), NULL, 0 FROM y""")
+def _(spark, sf):
+    """Daily summaries as a stream of three runs, in which every fourth outcome comes a run late: windows that the watermark has closed do not take it, and it is counted. A last row a year later closes all windows."""
+    rows = in_cents(matched(spark, sf)).select("outcome_id", "occurred_at", "p", "y", "reason_code").withColumn("occurred_at", F.col("occurred_at").cast("timestamp"))
+    own = part_of(F.col("occurred_at"), 3)
+    rows = written(rows.withColumn("run", F.when(F.substring("outcome_id", 2, 30).cast("long") % 4 == 0, F.least(own + 1, F.lit(2))).otherwise(own)), "late-rows")
+    end = spark.range(1).select(F.lit("end").alias("outcome_id"), F.lit("2026-01-01").cast("timestamp").alias("occurred_at"), F.lit(0).cast("long").alias("p"), F.lit(0).cast("long").alias("y"), F.lit(None).cast("string").alias("reason_code"), F.lit(3).cast("long").alias("run"))
+    found = in_runs(spark, "late", {"m": (rows.unionByName(end), F.col("run"))}, lambda s: outcomes.windowed_metrics(s["m"], "occurred_at", "1 day", late="1 day"), "window_start timestamp, n long, mae double, quarantined long", 4)
+    closed = written(found.where("window_start < '2026-01-01'").withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss")), "late-windows")
+    counted = closed.agg(F.coalesce(F.sum(F.col("n") + F.col("quarantined")), F.lit(0)).alias("c"))
+    late = rows.agg(F.count(F.lit(1)).alias("t")).join(F.broadcast(counted)).select(F.lit("late").alias("window_start"), (F.col("t") - F.col("c")).alias("n"), F.lit(None).cast("double").alias("mae"), F.lit(0).cast("long").alias("quarantined"))
+    return closed.unionByName(late)
+
+
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """Rejection cascade, deduplication, group holdout, a median baseline fitted on the training rows, and its errors by status on the test rows."""
     from kerbside.operators.dedupe import mark_duplicates
