@@ -60,6 +60,39 @@ def _(spark, sf):
     return cards.extract_cards(table(spark, sf, "pages"))
 
 
+#: What a vehicle card holds.
+VEHICLE = cards.Selection((
+    ("year", cards.data_field("year", pattern="[0-9]{4}")), ("make", cards.data_field("make")), ("trim", cards.data_field("trim", required=False)),
+    ("currency", cards.data_field("price", "data-currency", pattern="[A-Z]{3}")), ("price", cards.data_field("price", pattern=r"[$][0-9,]+([.][0-9]{2})?")),
+))
+
+
+@query("src_5_vehicle_cards", """WITH k AS (SELECT page_id, url, regexp_extract(url, '^[a-z]+://[^/?#]+') AS site, unnest(CASE WHEN page_id % 13 = 12 THEN [0] WHEN page_id % 2 = 0 THEN [0, 1] ELSE [0] END) AS position FROM pages),
+c AS (SELECT *, (page_id + position) % 13 AS kind, page_id % 13 = 12 AS bare FROM k)
+SELECT page_id, CAST(position AS INTEGER) AS position, CASE WHEN NOT bare AND kind <> 1 THEN 'L' || page_id || '-' || position END AS listing_id, CASE WHEN bare OR kind = 3 OR kind = 4 THEN NULL WHEN kind = 5 THEN '19x9' ELSE CAST(1990 + page_id % 30 AS VARCHAR) END AS year,
+  CASE WHEN NOT bare THEN 'Brand & ' || page_id % 7 || ' fi' END AS make, CASE WHEN NOT bare AND kind % 2 = 0 THEN 'trim ' || kind END AS trim, CASE WHEN bare OR kind = 6 THEN NULL WHEN kind = 7 THEN 'usd' ELSE 'USD' END AS currency,
+  CASE WHEN bare THEN NULL WHEN kind = 8 THEN 'call us' ELSE '$' || page_id || '.50' END AS price, CASE WHEN NOT bare AND kind <> 2 THEN site || '/v/' || page_id || '?p=' || position END AS url, CASE WHEN page_id % 3 = 0 THEN site || '/next/' || page_id END AS next_url,
+  CASE WHEN bare THEN 'card_missing' WHEN kind = 1 THEN 'id_missing' WHEN kind = 2 THEN 'link_missing' WHEN kind = 3 THEN 'year_missing' WHEN kind = 4 THEN 'year_empty' WHEN kind = 5 THEN 'year_invalid' WHEN kind = 6 THEN 'currency_empty' WHEN kind = 7 THEN 'currency_invalid' WHEN kind = 8 THEN 'price_invalid' END AS reason_code FROM c""")
+def _(spark, sf):
+    """Every page with one or two vehicle cards after its own text, of which most kinds have a fault of their own; one page in thirteen has none."""
+    pages = table(spark, sf, "pages")
+    number, c = F.col("page_id").cast("string"), F.concat
+
+    def planted(position: int):
+        kind = F.pmod(F.col("page_id") + position, F.lit(13))
+        unless = lambda k, text: F.when(kind == k, "").otherwise(text)
+        year = F.when(kind == 3, "").when(kind == 4, "<b data-field=year> </b>").when(kind == 5, "<b data-field=year>19x9</b>").otherwise(c(F.lit("<b data-field=year>"), (F.pmod("page_id", F.lit(30)) + 1990).cast("string"), F.lit("</b>")))
+        trim = F.when(kind % 2 == 0, c(F.lit("<i data-field='trim'>trim <u>"), kind.cast("string"), F.lit("</u></i>"))).otherwise("")
+        price = c(F.lit("<span data-field=price "), unless(6, c(F.lit('data-currency="'), F.when(kind == 7, "usd").otherwise("USD"), F.lit('"'))), F.lit(">"), F.when(kind == 8, "call us").otherwise(c(F.lit("$"), number, F.lit(".50"))), F.lit("</span>"))
+        link = unless(2, c(F.lit('<a class="big vehicle-card__link" href=" /v/'), number, F.lit(f'?p={position} ">see<br>it</a>')))
+        return c(F.lit("<article class='card vehicle-card' "), unless(1, c(F.lit('data-listing-id=" L'), number, F.lit(f'-{position}"'))), F.lit(">"), year, F.lit("<h2 data-field=make>Brand &amp; <em>"), F.pmod("page_id", F.lit(7)).cast("string"), F.lit("</em>\n\ufb01</h2>"), trim, price, link, F.lit("</article>"))
+
+    two = F.when(F.col("page_id") % 2 == 0, c(planted(0), planted(1))).otherwise(planted(0))
+    following = F.when(F.col("page_id") % 3 == 0, c(F.lit("<a rel='nofollow next' href='/next/"), number, F.lit("'>more</a>"))).otherwise("<a rel=nextish href=/no>no</a>")
+    html = c(F.coalesce("html", F.lit("")), F.when(F.pmod("page_id", F.lit(13)) == 12, "").otherwise(two), following)
+    return cards.select_cards(pages.withColumn("html", html), VEHICLE)
+
+
 @query("src_6_listing_conflicts", f"""WITH {LISTINGS}, f AS (SELECT *, first_value(row_id) OVER w AS r1, first_value(year) OVER w AS y1 FROM listings WINDOW w AS (PARTITION BY make, seller ORDER BY row_id))
 SELECT CASE WHEN row_id = r1 THEN 'accepted' WHEN year = y1 THEN 'duplicate' ELSE 'conflict' END AS outcome, count(*) AS n FROM f GROUP BY 1""")
 def _(spark, sf):
