@@ -145,6 +145,13 @@ def accident_status(text: Column) -> Column:
     return F.when(value.isin("none reported", "none", "no"), "none").when(value.contains("at least 1 accident") | value.contains("damage"), "reported")
 
 
+def clean_title(text: Column) -> Column:
+    """SCA-14: ``clean``, ``not_clean`` or ``unknown`` by what was said of the title; null for missing."""
+    value = F.lower(F.trim(text))
+    said = F.when(value.isin("yes", "y", "true", "clean"), "clean").when(value.isin("no", "n", "false", "not clean"), "not_clean").otherwise("unknown")
+    return F.when(~is_missing(text), said)
+
+
 def derived_id(given: Column, digest: Column) -> Column:
     """SCA-15: the given id, or one made from a content hash."""
     return F.coalesce(F.nullif(F.trim(given), F.lit("")), F.concat(F.lit("derived-"), F.substring(digest, 1, 24)))
@@ -221,6 +228,11 @@ def json_kind(text: Column) -> Column:
     return F.when(is_missing(text), None).when(F.json_array_length(text).isNotNull(), "array").when(F.try_parse_json(text).isNotNull(), "not_array").otherwise("invalid")
 
 
+def json_flags(text: Column) -> Column:
+    """SCA-25: the elements of a JSON array as an array of texts (empty: of other or no JSON)."""
+    return F.coalesce(F.from_json(F.when(json_kind(text) == "array", text), "array<string>"), F.array().cast("array<string>"))
+
+
 def utc_or_null(text: Column) -> Column:
     """SCA-26: a timestamp, or null for what is none."""
     return F.try_to_timestamp(text)
@@ -235,6 +247,11 @@ def smooth_scale(price: Column) -> Column:
     return 1 + F.log1p(F.greatest(price, F.lit(0.0)) / 10000)
 
 
+def log_value(price: Column) -> Column:
+    """SCA-27: log1p(p / 10000)."""
+    return F.log1p(F.greatest(price, F.lit(0.0)) / 10000)
+
+
 def clip(value: Column, low: float, high: float) -> Column:
     return F.least(F.greatest(value, F.lit(low)), F.lit(high))
 

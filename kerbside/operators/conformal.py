@@ -177,6 +177,50 @@ def sharpness_gates(metrics: DataFrame, base: str, limits: dict[str, float]) ->
     return metrics.join(F.broadcast(ref)).select("method", F.explode(F.array(*rows)).alias("x")).select("method", "x.*")
 
 
+def regression_gates(intervals: DataFrame, base: str, fold: str, focus: dict[str, tuple[str, str]], limits: dict[str, float]) -> DataFrame:
+    """CNF-11: ``method, gate, observed, threshold, passed`` of what a method may lose against ``base`` on the same rows.
+
+    ``worst_fold_regression`` is the largest loss of coverage in a fold, ``fold_sd_increase`` that of the coverages' deviation
+    over folds, ``fallback_increase`` that of the share of rows not served by their first level, and
+    ``focus_<name>_regression`` the loss of coverage where a column has the given value. A gate without a value (no such
+    rows) passes.
+    """
+    inside = F.col("y").between(F.col("lower"), F.col("upper")).cast("double")
+    parts = intervals.groupBy("method", F.col(fold).alias("__fold")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(inside).alias("c"), F.count_if("fallback").alias("f"),
+        *[F.sum(F.when(F.col(c) == v, inside)).alias(f"c_{k}") for k, (c, v) in focus.items()], *[F.count_if(F.col(c) == v).alias(f"n_{k}") for k, (c, v) in focus.items()],
+    )
+    parts = written(parts.withColumn("share", F.col("c") / F.col("n")), "fold-coverage")
+    rate = lambda a, b: F.try_divide(F.sum(a), F.sum(b))
+    whole = parts.groupBy("method").agg(F.stddev_pop("share").alias("sd"), rate("f", "n").alias("fallbacks"), *[rate(f"c_{k}", f"n_{k}").alias(k) for k in focus])
+    names = ["sd", "fallbacks", *focus]
+    ref = whole.where(F.col("method") == base).agg(*[F.first(c).alias(f"__{c}") for c in names])
+    folds = parts.where(F.col("method") == base).select(F.col("__fold").alias("__f"), F.col("share").alias("__share"))
+    worst = parts.join(folds, F.col("__fold").eqNullSafe(F.col("__f"))).groupBy(F.col("method").alias("__m")).agg(F.max(F.col("__share") - F.col("share")).alias("worst"))
+    wide = whole.join(F.broadcast(ref)).join(worst, F.col("method") == F.col("__m"), "left")
+    tests = {"worst_fold_regression": F.col("worst"), "fold_sd_increase": F.col("sd") - F.col("__sd"), "fallback_increase": F.col("fallbacks") - F.col("__fallbacks")} | {f"focus_{k}_regression": F.col(f"__{k}") - F.col(k) for k in focus}
+    rows = [F.struct(F.lit(g).alias("gate"), tests[g].alias("observed"), F.lit(float(t)).alias("threshold"), F.coalesce(tests[g] <= t, F.lit(True)).alias("passed")) for g, t in limits.items()]
+    return wide.select("method", F.explode(F.array(*rows)).alias("x")).select("method", "x.*")
+
+
+def choose_sharper(gates: DataFrame, widths: DataFrame, base: str, order: list[str], margin: float = 0.005) -> DataFrame:
+    """CNF-12: ``method``: ``base`` unless another passes all gates; of those the simplest (first in ``order``), unless a later one is better.
+
+    That one's mean width must be less by ``margin`` of the base's width in addition, and no gate that both have
+    may come out worse for it. Of several such the narrowest.
+    """
+    width = widths.where(F.col("method") == base).agg(F.first("mean_width").alias("__w"))
+    cut = widths.join(F.broadcast(width)).select("method", (1 - F.col("mean_width") / F.col("__w")).alias("cut"))
+    place = F.array_position(F.array(*[F.lit(m) for m in order]), F.col("method")).cast("int").alias("place")
+    ok = written(gates.where(F.col("method").isin(order)).groupBy("method").agg(F.bool_and("passed").alias("ok")).where("ok").join(cut, "method").select("method", "cut", place), "sharper")
+    simplest = ok.agg(F.min(F.struct("place", "method", "cut")).alias("s")).select(F.col("s.method").alias("__m"), F.col("s.place").alias("__p"), F.col("s.cut").alias("__c"))
+    mine = gates.join(F.broadcast(simplest), F.col("method") == F.col("__m")).select("gate", F.col("observed").alias("__o"))
+    worse = gates.join(mine, "gate").where(F.col("observed") - 1e-12 > F.col("__o")).select(F.col("method").alias("__bad")).distinct()
+    better = ok.join(F.broadcast(simplest)).where((F.col("place") > F.col("__p")) & (F.col("cut") - F.col("__c") >= margin)).join(worse, F.col("method") == F.col("__bad"), "left_anti")
+    best = better.agg(F.max_by("method", F.struct("cut", -F.col("place"))).alias("__best"))
+    return simplest.join(F.broadcast(best)).select(F.coalesce("__best", "__m", F.lit(base)).alias("method"))
+
+
 def choose_method(gates: DataFrame, order: list[str], widths: DataFrame, margin: float = 0.03) -> DataFrame:
     """CNF-12: the simplest method that passes all gates, unless a later one is narrower by more than ``margin`` (relative)."""
     ok = gates.groupBy("method").agg(F.bool_and("passed").alias("ok")).where("ok").join(widths, "method")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kerbside.functions.scalars import is_missing, percent, zip_ok
-from kerbside.operators.quantiles import with_quantiles
+from kerbside.operators.quantiles import quantiles, with_quantiles
 
 PROBS = [0.01, 0.25, 0.5, 0.75, 0.95, 0.99]
 
@@ -167,3 +167,17 @@ def share_drift(full: DataFrame, sample: DataFrame, dimensions: list[str]) -> Da
 
     both = shares(full, "a").join(shares(sample, "b"), ["dimension", "label"], "full_outer").fillna(0.0, ["a", "b"])
     return both.groupBy("dimension").agg(F.round(100 * F.max(F.abs(F.col("a") - F.col("b"))), 6).alias("max_points"))
+
+
+def median_drift(full: DataFrame, sample: DataFrame, numeric: list[str]) -> DataFrame:
+    """PRF-16: ``feature, full_median, sample_median, percent``: medians of population and sample, and the difference in percent of the population's (null where that is 0)."""
+    pairs = lambda df, name: df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x")) for c in numeric])).alias("p")).select("p.*", F.lit(name).alias("part"))
+    found = quantiles(pairs(full, "full").unionByName(pairs(sample, "sample")), {"q": F.col("x")}, [0.5], ["feature", "part"])
+    of = lambda part: F.max(F.when(F.col("part") == part, F.get("q", F.lit(0))))
+    wide = found.groupBy("feature").agg(of("full").alias("full_median"), of("sample").alias("sample_median"))
+    return wide.withColumn("percent", F.when(F.col("full_median") != 0, F.round(100 * (F.col("sample_median") - F.col("full_median")) / F.col("full_median"), 6)))
+
+
+def status_counts(df: DataFrame, status: str, features: list[str]) -> DataFrame:
+    """PRF-13: rows of every status (null is one) and how many of them have each feature (``present_...``)."""
+    return df.groupBy(status).agg(F.count(F.lit(1)).alias("n"), *[F.count_if(~is_missing(F.col(c).cast("string"))).alias(f"present_{c}") for c in features])

@@ -116,6 +116,11 @@ def _(spark, sf):
     return profile.feature_coverage(listings(spark, sf), ["mileage"], ["make"])
 
 
+@query("prf_13_status_counts", f"{L} SELECT status, count(*) AS n, count(mileage) AS present_mileage, count(make) AS present_make FROM listings GROUP BY status")
+def _(spark, sf):
+    return profile.status_counts(listings(spark, sf), "status", ["mileage", "make"])
+
+
 @query("prf_14_compare_sources", f"""{L}, s AS (SELECT source, count(*) AS n, median(price) AS m, round(100.0::DOUBLE * count(mileage) / count(*), 6) AS coverage_mileage FROM listings GROUP BY source), b AS (SELECT m AS bm, coverage_mileage AS bc FROM s WHERE source = 'F')
 SELECT source, n, round(m, 4) AS median, coverage_mileage, round(100 * (m - bm) / bm, 6) AS median_shift, round(coverage_mileage - bc, 6) AS points_mileage FROM s, b""")
 def _(spark, sf):
@@ -134,6 +139,13 @@ def _(spark, sf):
     return profile.share_drift(rows, rows.where("fold = 0"), ["make"])
 
 
+@query("prf_16_median_drift", f"""{L}, m AS (SELECT 'mileage' AS feature, median(mileage)::DOUBLE AS full_median, median(mileage) FILTER (fold = 0)::DOUBLE AS sample_median FROM listings UNION ALL SELECT 'price', median(price)::DOUBLE, median(price) FILTER (fold = 0)::DOUBLE FROM listings)
+SELECT *, round(100 * (sample_median - full_median) / full_median, 6) AS percent FROM m""")
+def _(spark, sf):
+    rows = listings(spark, sf)
+    return profile.median_drift(rows, rows.where("fold = 0"), ["mileage", "price"])
+
+
 @query("prf_17_quarantine_summary", f"WITH {JUDGED} SELECT reason_code, count(*) AS n FROM judged WHERE reason_code IS NOT NULL GROUP BY 1")
 def _(spark, sf):
     return rules.with_reason(raw_listings(spark, sf), reason_rules()).where("reason_code is not null").groupBy("reason_code").agg(F.count(F.lit(1)).alias("n"))
@@ -644,6 +656,63 @@ def _(spark, sf):
     return conformal.choose_method(conformal.sharpness_gates(m, "global", LIMITS), ["global", "status"], m.select("method", "mean_width"))
 
 
+FOCUS = {"used": ("status", "Used"), "high_price": ("band", "high")}
+REGRESSIONS = {"worst_fold_regression": 0.02, "fold_sd_increase": 0.01, "fallback_increase": 0.05, "focus_used_regression": 0.02, "focus_high_price_regression": 0.02}
+
+
+def three_methods(spark, sf):
+    """Every listing with the intervals of three methods: one radius for all, one for each status, and one for each status times a scale that grows with the price."""
+    from kerbside.functions.scalars import smooth_scale
+
+    rows = written(scored(spark, sf).select("make", "status", "fold", "y", "p", "score", F.when(F.col("price") >= 60_000, "high").otherwise("low").alias("band"), smooth_scale(F.col("prediction")).alias("scale")), "three-methods")
+    radii = conformal.fit_radii(rows, "status", "score")
+    one = conformal.apply_intervals(rows, radii, [("global", [])], 0.9).withColumn("method", F.lit("global"))
+    two = conformal.apply_intervals(rows, radii, [("status", ["status"]), ("global", [])], 0.9).withColumn("method", F.lit("status"))
+    three = conformal.scaled_intervals(rows, "scale", "status", 0.9).withColumn("method", F.lit("scaled"))
+    columns = ["method", "make", "status", "band", "fold", "y", "p", "lower", "upper", "radius", "fallback"]
+    return written(one.select(*columns).unionByName(two.select(*columns)).unionByName(three.select(*columns)), "method-intervals")
+
+
+def all_gates(spark, sf):
+    """The gates of CNF-8 and those against the base for the three methods, and their mean widths."""
+    rows = three_methods(spark, sf)
+    m = conformal.gate_metrics(rows, 0.9, ["make", "status"], "y", 60_000.0, 100)
+    m = written(rounded(rounded(m, "coverage_gap", "slice_gap", "high_price_gap", "balance", "fallback_rate", digits=6), "mean_width", "median_width"), "method-metrics")
+    gates = conformal.sharpness_gates(m, "global", LIMITS).unionByName(conformal.regression_gates(rows, "global", "fold", FOCUS, REGRESSIONS))
+    return written(gates.withColumn("observed", F.round("observed", 6)), "gates"), m.select("method", "mean_width")
+
+
+THREE_SQL = L + """, g AS (SELECT list_sort(list(score))[CAST(ceil((count(*) + 1)::DOUBLE * 0.9::DOUBLE) AS BIGINT)] AS radius FROM listings), s AS (SELECT status, list_sort(list(score))[CAST(ceil((count(*) + 1)::DOUBLE * 0.9::DOUBLE) AS BIGINT)] AS radius FROM listings GROUP BY 1),
+v AS (SELECT status, list_sort(list(abs(y - p) / (1 + ln(1 + p / 10000))))[CAST(ceil((count(*) + 1)::DOUBLE * 0.9::DOUBLE) AS BIGINT)] AS radius FROM listings GROUP BY 1),
+i AS (SELECT 'global' AS method, make, status, fold, y, greatest(0, p - radius) AS lower, p + radius AS upper FROM listings, g UNION ALL SELECT 'status', make, status, fold, y, greatest(0, p - radius), p + radius FROM listings JOIN s USING (status)
+  UNION ALL SELECT 'scaled', make, status, fold, y, greatest(0, p - radius * (1 + ln(1 + p / 10000))), p + radius * (1 + ln(1 + p / 10000)) FROM listings JOIN v USING (status)),
+h AS (SELECT *, CASE WHEN y BETWEEN lower AND upper THEN 1.0::DOUBLE ELSE 0.0 END AS hit FROM i), k AS (SELECT method, max(abs(c - 0.9)) AS slice_gap FROM (SELECT method, 'make' AS d, make AS l, avg(hit) AS c, count(*) AS n FROM h GROUP BY ALL UNION ALL SELECT method, 'status', status, avg(hit), count(*) FROM h GROUP BY ALL) WHERE n >= 100 GROUP BY method),
+m AS (SELECT h.method, round(avg(hit) - 0.9, 6) AS coverage_gap, round(any_value(k.slice_gap), 6) AS slice_gap, round(0.9 - avg(hit) FILTER (y >= 60000), 6) AS high_price_gap, round(abs(avg(CASE WHEN y < lower THEN 1.0 ELSE 0.0 END) - avg(CASE WHEN y > upper THEN 1.0 ELSE 0.0 END)), 6) AS balance,
+  round(avg(upper - lower), 4) AS mean_width, round(median(upper - lower), 4) AS median_width FROM h LEFT JOIN k ON h.method = k.method GROUP BY h.method),
+f AS (SELECT method, fold, avg(hit) AS c FROM h GROUP BY ALL), r AS (SELECT f.method, max(b.c - f.c) AS fold_worst, stddev_pop(f.c) - stddev_pop(b.c) AS sd FROM f JOIN f b ON b.method = 'global' AND b.fold = f.fold GROUP BY f.method),
+u AS (SELECT method, avg(hit) FILTER (status = 'Used') AS used, avg(hit) FILTER (y >= 60000) AS high FROM h GROUP BY method),
+o AS (SELECT m.method, unnest([{'gate': 'overall_gap', 'observed': abs(coverage_gap), 'threshold': 0.01::DOUBLE}, {'gate': 'slice_gap', 'observed': slice_gap, 'threshold': 0.05}, {'gate': 'high_price_gap', 'observed': high_price_gap, 'threshold': 0.1}, {'gate': 'balance', 'observed': balance, 'threshold': 0.08},
+  {'gate': 'fallback_rate', 'observed': 0, 'threshold': 0.1}, {'gate': 'reversed', 'observed': 0, 'threshold': 0}, {'gate': 'width_ratio', 'observed': mean_width / b.w, 'threshold': 1.05}, {'gate': 'median_width_ratio', 'observed': median_width / b.d, 'threshold': 1.1},
+  {'gate': 'worst_fold_regression', 'observed': fold_worst, 'threshold': 0.02}, {'gate': 'fold_sd_increase', 'observed': sd, 'threshold': 0.01}, {'gate': 'fallback_increase', 'observed': 0, 'threshold': 0.05},
+  {'gate': 'focus_used_regression', 'observed': z.used - u.used, 'threshold': 0.02}, {'gate': 'focus_high_price_regression', 'observed': z.high - u.high, 'threshold': 0.02}]) AS x
+  FROM m JOIN r USING (method) JOIN u USING (method), (SELECT mean_width AS w, median_width AS d FROM m WHERE method = 'global') b, (SELECT used, high FROM u WHERE method = 'global') z),
+t AS (SELECT method, x.gate AS gate, round(x.observed, 6) AS observed, x.threshold AS threshold, x.observed <= x.threshold AS passed FROM o)"""
+
+
+@query("cnf_11_fold_and_focus_gates", THREE_SQL + " SELECT method, gate, observed, threshold, passed FROM t")
+def _(spark, sf):
+    return all_gates(spark, sf)[0]
+
+
+@query("cnf_12_no_worse_gate", THREE_SQL + """, ok AS (SELECT method FROM t WHERE method <> 'global' GROUP BY 1 HAVING bool_and(passed)), cuts AS (SELECT method, 1 - mean_width / (SELECT mean_width FROM m WHERE method = 'global') AS cut FROM m),
+good AS (SELECT method, cut, CASE method WHEN 'status' THEN 1 ELSE 2 END AS place FROM ok JOIN cuts USING (method)), simple AS (SELECT * FROM good ORDER BY place LIMIT 1),
+better AS (SELECT p.method, p.cut FROM good p, simple s WHERE p.place > s.place AND p.cut - s.cut >= 0.005 AND NOT EXISTS (SELECT 1 FROM t x JOIN t z ON x.gate = z.gate AND z.method = s.method WHERE x.method = p.method AND x.observed > z.observed + 1e-12))
+SELECT coalesce((SELECT method FROM better ORDER BY cut DESC LIMIT 1), (SELECT method FROM simple), 'global') AS method""")
+def _(spark, sf):
+    gates, widths = all_gates(spark, sf)
+    return conformal.choose_sharper(gates, widths, "global", ["status", "scaled"], 0.005)
+
+
 @query("cnf_9_scaled_conformal", L + """, s AS (SELECT *, 1 + ln(1 + p / 10000) AS scale FROM listings), r AS (SELECT status, list_sort(list(abs(y - p) / scale))[CAST(ceil((count(*) + 1)::DOUBLE * 0.9::DOUBLE) AS BIGINT)] AS radius FROM s GROUP BY 1)
 SELECT row_id, round(greatest(0, p - radius * scale), 3) AS lower, round(p + radius * scale, 3) AS upper FROM s JOIN r USING (status)""")
 def _(spark, sf):

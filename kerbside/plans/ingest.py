@@ -257,6 +257,7 @@ scalar("sca_11_sale_local_date", "CASE WHEN x_v LIKE '%Dec 16 2014%' THEN '2014-
 scalar("sca_12_vin", "CASE WHEN regexp_full_match(upper(trim(x_v)), '[A-HJ-NPR-Z0-9]{17}') THEN upper(trim(x_v)) END AS v", v=(f"CASE WHEN {K} = 0 THEN 'NAN' WHEN {K} = 1 THEN '' WHEN {K} = 2 THEN 'iiiiiiiiiiiiiiiii' ELSE concat(' 1hgcm82633a00', lpad(CAST(l_orderkey % 10000 AS STRING), 4, '0')) END", S.vin))
 scalar("sca_13_vehicle_status", "CASE WHEN lower(trim(x_v)) IN ('new', 'used') THEN lower(trim(x_v)) END AS v", v=(f"CASE WHEN {K} < 3 THEN ' NEW ' WHEN {K} < 6 THEN 'Used' ELSE 'sold' END", lambda c: S.closed_domain(c, ["new", "used"])))
 scalar("sca_14_accident_status", "CASE WHEN x_v = 'None reported' THEN 'none' WHEN x_v LIKE 'At least%' THEN 'reported' END AS v", v=(f"CASE WHEN {K} < 3 THEN 'None reported' WHEN {K} < 6 THEN 'At least 1 accident or damage reported' ELSE '' END", S.accident_status))
+scalar("sca_14_clean_title", "CASE WHEN lower(trim(x_v)) IN ('yes', 'clean') THEN 'clean' WHEN lower(trim(x_v)) IN ('no', 'not clean') THEN 'not_clean' WHEN x_v = '' THEN NULL ELSE 'unknown' END AS v", v=(f"CASE {K} WHEN 0 THEN 'Yes' WHEN 1 THEN ' CLEAN ' WHEN 2 THEN 'No' WHEN 3 THEN 'not clean' WHEN 4 THEN 'salvage' ELSE '' END", S.clean_title))
 scalar("sca_15_derived_id", "coalesce(nullif(trim(x_v), ''), 'derived-' || substr(sha256('x'), 1, 24)) AS v", v=(f"CASE WHEN {K} < 3 THEN ' ' ELSE CAST(l_orderkey AS STRING) END", lambda c: S.derived_id(c, F.sha2(F.lit("x"), 256))))
 scalar("sca_16_opaque_row_id", "sha256('source-1:' || CAST(x_v AS VARCHAR)) AS v", v=("l_orderkey", lambda c: S.opaque_row_id("source-1", c)))
 scalar("sca_17_content_hash", "sha256(concat_ws(chr(31), coalesce(x_v, chr(0)), 'b')) AS v", v=(f"CASE WHEN {K} < 3 THEN NULL ELSE l_returnflag END", lambda c: S.content_hash(c, F.lit("b"))))
@@ -270,6 +271,7 @@ scalar("sca_23_date_bucket", "CASE WHEN x_v >= DATE '1998-01-01' THEN 'late' WHE
 scalar("sca_24_missing_percent", "x_v IS NULL OR trim(x_v) = '' AS v, round(100.0::DOUBLE * x_p / 50, 6) AS p", v=(NUM, S.is_missing), p=("l_quantity", lambda c: S.percent(c, F.lit(50))))
 scalar("sca_26_utc_date_zip", "CASE WHEN x_v = 'bad' THEN NULL ELSE '2020-01-02 03:04:05' END AS v, regexp_full_match(x_z, '[0-9]{5}') AS z", v=(f"CASE WHEN {K} < 4 THEN 'bad' ELSE '2020-01-02 03:04:05' END", lambda c: S.utc_or_null(c).cast("string")), z=(f"CASE WHEN {K} < 4 THEN '1234' ELSE '12345' END", S.zip_ok))
 scalar("sca_27_scales", "round(1 + ln(1 + x_v / 10000), 9) AS v, least(greatest(x_c, 500), 50000) AS c", v=("l_extendedprice", lambda c: F.round(S.smooth_scale(c), 9)), c=("l_extendedprice", lambda c: S.clip(c, 500.0, 50000.0)))
+scalar("sca_27_log_value", "round(ln(1 + greatest(x_v, 0) / 10000), 9) AS v", v=("l_extendedprice - 20000", lambda c: F.round(S.log_value(c), 9)))
 scalar("sca_28_confidence_label", "CASE WHEN x_v <= 0.02 THEN 'high' WHEN x_v <= 0.06 THEN 'moderate' ELSE 'low' END AS v", v=("l_discount", lambda c: S.confidence_label(c, F.lit(1000), 0.02, 0.06)))
 scalar("sca_29_quality_warnings", "array_to_string(list_filter([CASE WHEN x_v IS NULL THEN 'missing_mileage' END, CASE WHEN x_v > 300 THEN 'unsupported_combination' END], lambda w: w IS NOT NULL), ',') AS v", v=(f"CASE WHEN {K} > 2 THEN l_quantity * 10 END", lambda c: F.array_join(S.quality_warnings(c, F.lit(False), 300), ",")))
 scalar("sca_30_online_features", "round(x_v / greatest(2000 - 1996, 1), 6) AS v, CASE WHEN x_f IS NULL THEN '1' ELSE '0' END AS f", v=("l_quantity", lambda c: F.round(S.online_features(F.lit(1996), c, F.lit("x"), F.lit(1), 2000)["mileage_per_year"], 6)), f=(f"CASE WHEN {K} > 2 THEN l_linenumber END", lambda c: S.online_features(F.lit(1996), F.lit(1), F.lit("x"), c, 2000)["owner_count_missing"]))
@@ -334,3 +336,12 @@ def _(spark, sf):
 @query("dup_6_duplicate_masks", "WITH k AS (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey, l_returnflag) SELECT CAST(coalesce(sum(n) FILTER (n > 1), 0) AS BIGINT) AS in_sets, CAST(sum(n - 1) AS BIGINT) AS beyond_first FROM k")
 def _(spark, sf):
     return dedupe.duplicate_counts(table(spark, sf, "lineitem"), ["l_orderkey", "l_returnflag"])
+
+
+@query("sca_25_flag_counts", """WITH f AS (SELECT CASE WHEN event_id % 4 = 0 THEN ['clean', 'one_owner'] WHEN event_id % 4 = 3 THEN ['clean', 'use ' || event_type, 'clean'] ELSE [] END AS x FROM events)
+SELECT flag, count(*) AS n FROM (SELECT unnest(x) AS flag FROM f) GROUP BY 1""")
+def _(spark, sf):
+    """Flags of all valid arrays, counted as often as they occur."""
+    i = F.col("event_id") % 4
+    text = F.when(i == 0, '["clean","one_owner"]').when(i == 1, '{"a":1}').when(i == 2, "not-json").otherwise(F.concat(F.lit('["clean", "use '), "event_type", F.lit('", "clean"]')))
+    return table(spark, sf, "events").select(F.explode(S.json_flags(text)).alias("flag")).groupBy("flag").agg(F.count(F.lit(1)).alias("n"))
