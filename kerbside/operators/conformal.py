@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kerbside.operators.profile import long_slices
-from kerbside.operators.quantiles import quantiles, values_at, with_quantiles
+from kerbside.operators.quantiles import quantiles, values_at, values_without, with_quantiles
 from kerbside.operators.relate import lookup_with_fallback
 from kerbside.staging import written
 
@@ -25,11 +25,20 @@ def order_stats(df: DataFrame, score: str, by: list[str], coverages: tuple[float
     With ``weight`` a row stands for that many scores.
     """
     levels = F.array(*[F.lit(float(c)) for c in coverages])
-    found = values_at(df, F.col(score), by, lambda n: F.transform(levels, lambda c: rank_wanted(n, c)), weight)
-    each = found.select(*by, F.col("n").alias("support"), F.explode(F.arrays_zip(levels.alias("coverage"), F.col("values").alias("radius"))).alias("x"))
+    return _tidy(values_at(df, F.col(score), by, lambda n: F.transform(levels, lambda c: rank_wanted(n, c)), weight), by, levels, min_support)
+
+
+def _tidy(found: DataFrame, by: list[str], coverages: Column, min_support: int) -> DataFrame:
+    each = found.select(*by, F.col("n").alias("support"), F.explode(F.arrays_zip(coverages.alias("coverage"), F.col("values").alias("radius"))).alias("x"))
     return each.select(*by, "x.coverage", "support", F.when(F.col("support") >= min_support, F.col("x.radius")).alias("radius"))
 
 
+def _levels(df: DataFrame, levels: dict[str, list[str]], *keep: str) -> DataFrame:
+    """Every row once for each level, with ``level`` and ``key`` (its columns joined by ``|``, a null one ``missing``)."""
+    pairs = F.array(*[F.struct(F.lit(level).alias("level"), F.concat_ws("|", F.lit("") if not cols else F.coalesce(F.col(cols[0]).cast("string"), F.lit("missing")), *[F.coalesce(F.col(c).cast("string"), F.lit("missing")) for c in cols[1:]]).alias("key")) for level, cols in levels.items()])
+    return df.select(F.explode(pairs).alias("x"), *keep).select("x.*", *keep)
+
+
 def fit_radii(df: DataFrame, by: str, score: str, min_support: int = 0, coverages: tuple[float, ...] = COVERAGES) -> DataFrame:
     """CNF-2: tidy radii ``level, key, coverage, support, radius`` for each value of ``by`` and for all rows; too small ones are left out."""
     return fit_hierarchy(df, {"global": [], by: [by]}, score, min_support, coverages).where("radius is not null")
@@ -37,9 +46,7 @@ def fit_radii(df: DataFrame, by: str, score: str, min_support: int = 0, coverage
 
 def fit_hierarchy(df: DataFrame, levels: dict[str, list[str]], score: str, min_support: int = 400, coverages: tuple[float, ...] = COVERAGES, weight: str | None = None) -> DataFrame:
     """CNF-3: tidy radii of several levels in one job; a radius is null where support is below the minimum or k exceeds n."""
-    pairs = F.array(*[F.struct(F.lit(level).alias("level"), F.concat_ws("|", F.lit("") if not cols else F.coalesce(F.col(cols[0]).cast("string"), F.lit("missing")), *[F.coalesce(F.col(c).cast("string"), F.lit("missing")) for c in cols[1:]]).alias("key")) for level, cols in levels.items()])
-    more = [weight] if weight else []
-    long = df.select(F.explode(pairs).alias("x"), score, *more).select("x.*", score, *more)
+    long = _levels(df, levels, score, *([weight] if weight else []))
     return order_stats(long, score, ["level", "key"], coverages, min_support, weight)
 
 
@@ -75,12 +82,13 @@ def interval_metrics(df: DataFrame, coverage: float, by: list[str] | None = None
 
 
 def crossfit_radii(df: DataFrame, fold: str, folds: int, levels: dict[str, list[str]], score: str, min_support: int, coverages: tuple[float, ...] = COVERAGES) -> DataFrame:
-    """CNF-7: tidy radii for each fold from the rows of the other folds: equal scores are counted, then expand to the folds they serve, one job for all."""
-    columns = sorted({c for cols in levels.values() for c in cols})
-    counts = df.groupBy(fold, *columns, score).agg(F.count(F.lit(1)).alias("__times"))
-    served = F.explode(F.filter(F.sequence(F.lit(0), F.lit(folds - 1)), lambda f: f != F.col(fold)))
-    keys = {level: ["__for", *cols] for level, cols in levels.items()}
-    return fit_hierarchy(counts.withColumn("__for", served), keys, score, min_support, coverages, "__times")
+    """CNF-7: tidy radii for each fold from the rows of the other folds, one job for all; a key begins with its fold."""
+    long = _levels(df, levels, score, fold)
+    at = F.array(*[F.lit(float(c)) for c in coverages])
+    found = values_without(long, F.col(score), ["level", "key"], fold, folds, lambda n: F.transform(at, lambda c: rank_wanted(n, c)))
+    plain = [level for level, cols in levels.items() if not cols]
+    key = F.when(F.col("level").isin(plain), F.col("without").cast("string")).otherwise(F.concat_ws("|", F.col("without").cast("string"), "key"))
+    return _tidy(found.withColumn("key", key), ["level", "key"], at, min_support)
 
 
 def crossfit_intervals(df: DataFrame, fold: str, folds: int, levels: dict[str, list[str]], score: str, coverage: float, min_support: int, p: str = "p") -> DataFrame:

@@ -106,15 +106,14 @@ def extreme_factors(factors: DataFrame, source: str, k: int = 3) -> DataFrame:
 def paired_arms(df: DataFrame, fold: str, folds: int, arms: dict[str, Column], by: str, y: str) -> DataFrame:
     """MOD-15: predictions of every arm for every row: the median of ``by`` in the arm's training rows of the other folds.
 
-    Training rows are written once and expand to the arms and folds they serve as they are read. A label without training rows falls back to the arm's median of all.
+    Rows are expanded to their arms only; counts, not rows, are added up for the folds that they serve. A label without training rows falls back to the arm's median of all.
     """
     names = F.filter(F.array(*[F.when(c, F.lit(n)) for n, c in arms.items()]), lambda x: x.isNotNull())
-    train = written(df.select(names.alias("__arms"), F.col(fold), F.col(by).alias("__by"), F.col(y)), "arm-rows").withColumn("__arm", F.explode("__arms"))
-    own = written(fold_medians(train, fold, folds, y, ["__arm", "__by"], stored=True).withColumnRenamed("__median", "__own"), "arm-medians")
-    every = written(fold_medians(train, fold, folds, y, ["__arm"], stored=True).withColumnRenamed("__median", "__every"), "arm-medians-of-all")
+    train = df.select(F.explode(names).alias("__a"), fold, by, y)
+    every, own = fold_medians(train, fold, folds, y, by, "__a")
     rows = df.withColumn("arm", F.explode(F.array(*[F.lit(n) for n in arms])))
     mine = (F.col("arm") == F.col("__arm")) & (F.col(fold) == F.col("__for"))
-    found = rows.join(broadcast_if_small(own), mine & F.col(by).eqNullSafe(F.col("__by")), "left").drop("__arm", "__for", "__by")
+    found = rows.join(broadcast_if_small(own), mine & F.col(by).cast("string").eqNullSafe(F.col("__by")), "left").drop("__arm", "__for", "__by")
     return found.join(F.broadcast(every), mine, "left").withColumn("p", F.coalesce("__own", "__every")).drop("__own", "__every", "__arm", "__for")  # a row for each arm and fold
 
 

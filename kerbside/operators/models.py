@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from kerbside.functions import scalars as S
 from kerbside.operators.preparation import Preparation
-from kerbside.operators.quantiles import quantiles
+from kerbside.operators.quantiles import quantiles_without
 from kerbside.operators.rules import Rule, first_failure
 from kerbside.schema import FeatureContract
 from kerbside.staging import broadcast_if_small, written
@@ -32,9 +32,9 @@ def serving(df: DataFrame, fold: str, folds: int) -> DataFrame:
 
 def fit_medians(df: DataFrame, columns: list[str], fold: str, folds: int) -> DataFrame:
     """MOD-2: exact medians of numeric columns for every training fold, one job."""
-    counts = df.select(fold, F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("v")) for c in columns])).alias("x")).groupBy(fold, "x.c", "x.v").agg(F.count(F.lit(1)).alias("__n"))
-    found = quantiles(serving(counts, fold, folds), {"q": F.col("v")}, [0.5], ["for_fold", "c"], "__n")
-    return found.groupBy("for_fold").agg(*[F.max(F.when(F.col("c") == c, F.get("q", F.lit(0)))).alias(c) for c in columns])
+    long = df.select(fold, F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("v")) for c in columns])).alias("x")).select(fold, "x.*")
+    found = quantiles_without(long, F.col("v"), [0.5], ["c"], fold, folds)
+    return found.groupBy(F.col("without").alias("for_fold")).agg(*[F.max(F.when(F.col("c") == c, F.get("q", F.lit(0)))).alias(c) for c in columns])
 
 
 def fit_scale(df: DataFrame, columns: list[str], fold: str, folds: int) -> DataFrame:
@@ -53,24 +53,25 @@ def fit_vocabulary(df: DataFrame, columns: list[str], fold: str, folds: int, min
     return ranked.select("for_fold", "column", "value", "n", F.when(keep, F.col("value")).otherwise("__infrequent__").alias("level"))
 
 
-def fold_medians(df: DataFrame, fold: str, folds: int, y: str, by: list[str], stored: bool = False) -> DataFrame:
-    """``__for, by..., __median``: medians over the training rows of every fold. Three columns are written, unless ``df`` is ``stored``; rows expand to the folds they serve as they are read."""
-    rows = df.select(fold, *by, F.col(y).alias("__y"))
-    rows = rows if stored else written(rows, "fold-values")
-    served = rows.withColumn("__for", F.explode(F.filter(F.sequence(F.lit(0), F.lit(folds - 1)), lambda f: f != F.col(fold))))
-    return quantiles(served, {"q": F.col("__y")}, [0.5], ["__for", *by], stored=True).select("__for", *by, F.get("q", F.lit(0)).alias("__median"))
+def fold_medians(df: DataFrame, fold: str, folds: int, y: str, by: str | None = None, arm: str | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """Medians over the training rows of every fold: ``__arm, __for, __every`` of all rows and ``__arm, __for, __by, __own`` of each label of ``by``; one call for both."""
+    label = F.struct(F.lit(False).alias("all"), F.col(by).cast("string").alias("by")) if by else None
+    whole = F.struct(F.lit(True).alias("all"), F.lit(None).cast("string").alias("by"))
+    rows = df.select(F.col(fold).alias("__fold"), (F.col(arm) if arm else F.lit("")).alias("__arm"), F.col(y).alias("__y"), F.explode(F.array(whole, label) if by else F.array(whole)).alias("__l")).select("__fold", "__arm", "__y", "__l.*")
+    found = quantiles_without(rows, F.col("__y"), [0.5], ["__arm", "all", "by"], "__fold", folds)
+    found = written(found.select("__arm", F.col("without").alias("__for"), "all", "by", F.get("q", F.lit(0)).alias("median")), "fold-medians")
+    every = found.where("all").select("__arm", "__for", F.col("median").alias("__every"))
+    return every, found.where("not all").select("__arm", "__for", F.col("by").alias("__by"), F.col("median").alias("__own")) if by else None
 
 
 def median_baseline(df: DataFrame, fold: str, folds: int, y: str, by: str | None = None) -> DataFrame:
     """MOD-6: ``df`` with ``p``: the median of the training folds, of its label if ``by`` is given (else, and for new labels, of all)."""
-    train = written(df.select(F.col(fold).alias("__fold"), F.col(y).alias("__value"), *([F.col(by).alias("__by")] if by else [])), "fold-values")
-    every = fold_medians(train, "__fold", folds, "__value", [], stored=True).withColumnRenamed("__median", "__every")
-    out = df.join(F.broadcast(every), F.col(fold) == F.col("__for"), "left").drop("__for")  # a row for each fold
+    every, own = fold_medians(df, fold, folds, y, by)
+    out = df.join(F.broadcast(every.drop("__arm")), F.col(fold) == F.col("__for"), "left").drop("__for")  # a row for each fold
     if by is None:
         return out.withColumnRenamed("__every", "p")
-    own = written(fold_medians(train, "__fold", folds, "__value", ["__by"], stored=True), "fold-medians")
-    joined = out.join(broadcast_if_small(own), (F.col(fold) == F.col("__for")) & F.col(by).eqNullSafe(F.col("__by")), "left").drop("__for", "__by")
-    return joined.withColumn("p", F.coalesce("__median", "__every")).drop("__median", "__every")
+    joined = out.join(broadcast_if_small(own.drop("__arm")), (F.col(fold) == F.col("__for")) & F.col(by).cast("string").eqNullSafe(F.col("__by")), "left").drop("__for", "__by")
+    return joined.withColumn("p", F.coalesce("__own", "__every")).drop("__own", "__every")
 
 
 def design(numeric: list[str], categorical: list[str], min_frequency: int = 25, max_categories: int = 512) -> list:

@@ -20,6 +20,19 @@ def _octave(x: Column) -> Column:
     return F.when(x > 0, size).when(x < 0, -size).otherwise(0).cast("int")
 
 
+def _hits(parts: DataFrame, keys: list[str], part: str, need: Column, *keep: str) -> DataFrame:
+    """Of ``parts`` (with ``__s`` values each) those that hold a needed rank, with the ranks counted from their own first value; written, and broadcast if they are few."""
+    below = (F.sum("__s").over(Window.partitionBy(*keys).orderBy(part)) - F.col("__s")).alias("__below")
+    asked = parts.select("*", below).select("*", F.explode(need).alias("__k")).select("*", "__k.*").where((F.col("rank") > F.col("__below")) & (F.col("rank") <= F.col("__below") + F.col("__s")))
+    need = F.collect_list(F.struct("pos", (F.col("rank") - F.col("__below")).alias("rank"))).alias("__need")
+    return broadcast_if_small(written(asked.groupBy(*keys, part).agg(need, *[F.first(c).alias(c) for c in keep]), "wanted"))
+
+
+def _place() -> Column:
+    """Which of ``PARTS`` equal cells between ``__lo`` and ``__hi`` holds ``__x``."""
+    return F.when(F.col("__hi") > F.col("__lo"), F.floor((F.col("__x") - F.col("__lo")) / (F.col("__hi") - F.col("__lo")) * PARTS)).otherwise(0).cast("int")
+
+
 def values_at(df: DataFrame, value: Column, by: list[str], wanted: Callable[[Column], Column], weight: str | None = None, stored: bool = False, rank_type: str = "long") -> DataFrame:
     """``by...``, ``n`` (values) and ``values``: of every group the values at the ranks ``wanted(n)``, an array of longs from 1.
 
@@ -37,22 +50,13 @@ def values_at(df: DataFrame, value: Column, by: list[str], wanted: Callable[[Col
     rows = df.select(group.alias("__g"), value.cast("double").alias("__x"), *([weight] if weight else [])).where(F.abs("__x") < float("inf"))
     rows = (rows if stored else written(rows, "values")).withColumn("__a", _octave(F.col("__x")))
     total = F.sum("__s")
-
-    def hits(parts: DataFrame, keys: list[str], part: str, need: Column, *keep: str) -> DataFrame:
-        """Parts that hold a needed rank, with the ranks counted from their own first value; written, and broadcast if they are few."""
-        below = (total.over(Window.partitionBy(*keys).orderBy(part)) - F.col("__s")).alias("__below")
-        asked = parts.select("*", below).select("*", F.explode(need).alias("__k")).select("*", "__k.*").where((F.col("rank") > F.col("__below")) & (F.col("rank") <= F.col("__below") + F.col("__s")))
-        need = F.collect_list(F.struct("pos", (F.col("rank") - F.col("__below")).alias("rank"))).alias("__need")
-        return broadcast_if_small(written(asked.groupBy(*keys, part).agg(need, *[F.first(c).alias(c) for c in keep]), "wanted"))
-
     octaves = rows.groupBy("__g", "__a").agg(times.alias("__s"), F.min("__x").alias("__lo"), F.max("__x").alias("__hi"))
     parts = written(octaves.withColumn("n", total.over(Window.partitionBy("__g"))), "octaves")
     numbered = F.transform(wanted(F.col("n")), lambda k, i: F.struct(i.alias("pos"), k.cast(rank_type).alias("rank")))
-    first = hits(parts, ["__g"], "__a", numbered, "__lo", "__hi")
-    place = F.when(F.col("__hi") > F.col("__lo"), F.floor((F.col("__x") - F.col("__lo")) / (F.col("__hi") - F.col("__lo")) * PARTS)).otherwise(0).cast("int")
-    near = rows.join(first.drop("__need"), ["__g", "__a"]).withColumn("__b", place)
+    first = _hits(parts, ["__g"], "__a", numbered, "__lo", "__hi")
+    near = rows.join(first.drop("__need"), ["__g", "__a"]).withColumn("__b", _place())
     cells = near.groupBy("__g", "__a", "__b").agg(times.alias("__s"))
-    second = hits(cells.join(first.select("__g", "__a", "__need"), ["__g", "__a"]), ["__g", "__a"], "__b", F.col("__need"))
+    second = _hits(cells.join(first.select("__g", "__a", "__need"), ["__g", "__a"]), ["__g", "__a"], "__b", F.col("__need"))
     counted = near.join(second.drop("__need"), ["__g", "__a", "__b"]).groupBy("__g", "__a", "__b", "__x").agg(times.alias("__n"))
     last = counted.join(second, ["__g", "__a", "__b"]).withColumn("__upto", F.sum("__n").over(Window.partitionBy("__g", "__a", "__b").orderBy("__x")))
     found = last.select("__g", "__x", "__n", "__upto", F.explode("__need").alias("__k")).where((F.col("__k.rank") <= F.col("__upto")) & (F.col("__k.rank") > F.col("__upto") - F.col("__n")))
@@ -62,6 +66,36 @@ def values_at(df: DataFrame, value: Column, by: list[str], wanted: Callable[[Col
     return every.select(*[F.col(f"__g.`{c}`").alias(c) for c in by], "n", values.alias("values"))
 
 
+def values_without(df: DataFrame, value: Column, by: list[str], part: str, parts: int, wanted: Callable[[Column], Column], stored: bool = False) -> DataFrame:
+    """``by...``, ``without``, ``n`` and ``values``: :func:`values_at` for each of the ``parts`` (numbers from 0) over the rows of all others.
+
+    Rows are not expanded: counts of ranges, of their cells and of single values are taken by part, and only those are
+    added up for the parts that they serve. Rows of no part serve none.
+    """
+    group = F.struct(*[F.col(c) for c in by]) if by else F.struct(F.lit(0).alias("__all"))
+    rows = df.select(group.alias("__g"), F.col(part).cast("int").alias("__p"), value.cast("double").alias("__x")).where((F.abs("__x") < float("inf")) & F.col("__p").isNotNull())
+    rows = (rows if stored else written(rows, "values")).withColumn("__a", _octave(F.col("__x")))
+    n, total = F.count(F.lit(1)).alias("__s"), F.sum("__s").alias("__s")
+    served = F.explode(F.filter(F.sequence(F.lit(0), F.lit(parts - 1)), lambda f: f != F.col("__p"))).alias("__f")
+    octaves = written(rows.groupBy("__g", "__p", "__a").agg(n, F.min("__x").alias("__lo"), F.max("__x").alias("__hi")), "octaves")
+    mine = octaves.select("__g", "__a", "__s", served).groupBy("__g", "__f", "__a").agg(total)
+    mine = written(mine.withColumn("n", F.sum("__s").over(Window.partitionBy("__g", "__f"))), "octaves-served")
+    numbered = F.transform(wanted(F.col("n")), lambda k, i: F.struct(i.alias("pos"), k.cast("long").alias("rank")))
+    first = _hits(mine, ["__g", "__f"], "__a", numbered)
+    spans = octaves.groupBy("__g", "__a").agg(F.min("__lo").alias("__lo"), F.max("__hi").alias("__hi"))
+    near = rows.join(broadcast_if_small(written(first.select("__g", "__a").distinct().join(spans, ["__g", "__a"]), "hit-octaves")), ["__g", "__a"]).withColumn("__b", _place())
+    cells = near.groupBy("__g", "__a", "__b", "__p").agg(n).select("__g", "__a", "__b", "__s", served).groupBy("__g", "__f", "__a", "__b").agg(total)
+    second = _hits(cells.join(first, ["__g", "__f", "__a"]), ["__g", "__f", "__a"], "__b", F.col("__need"))
+    few = near.join(broadcast_if_small(written(second.select("__g", "__a", "__b").distinct(), "hit-cells")), ["__g", "__a", "__b"])
+    counted = few.groupBy("__g", "__a", "__b", "__p", "__x").agg(n).select("__g", "__a", "__b", "__x", "__s", served).groupBy("__g", "__f", "__a", "__b", "__x").agg(total)
+    last = counted.join(second, ["__g", "__f", "__a", "__b"]).withColumn("__upto", F.sum("__s").over(Window.partitionBy("__g", "__f", "__a", "__b").orderBy("__x")))
+    found = last.select("__g", "__f", "__x", "__s", "__upto", F.explode("__need").alias("__k")).where((F.col("__k.rank") <= F.col("__upto")) & (F.col("__k.rank") > F.col("__upto") - F.col("__s")))
+    at = found.groupBy("__g", "__f").agg(F.map_from_entries(F.collect_list(F.struct("__k.pos", "__x"))).alias("__at"))
+    every = mine.groupBy("__g", "__f").agg(F.first("n").alias("n")).join(at, ["__g", "__f"], "left")
+    values = F.transform(wanted(F.col("n")), lambda k, i: F.try_element_at("__at", i))
+    return every.select(*[F.col(f"__g.`{c}`").alias(c) for c in by], F.col("__f").alias("without"), "n", values.alias("values"))
+
+
 def weighted_quantiles(df: DataFrame, value: Column, by: list[str], probs: list[str], weight: Column, stored: bool = False) -> DataFrame:
     """``by...``, ``total`` and ``values``: of every group the smallest value up to which at least the share p of the weight lies, for each of ``probs`` (decimals as text).
 
@@ -74,6 +108,23 @@ def weighted_quantiles(df: DataFrame, value: Column, by: list[str], probs: list[
     return found.select(*by, F.col("n").alias("total"), "values")
 
 
+def _neighbours(n: Column, probs: list[float]) -> Column:
+    """The two ranks around each quantile."""
+    return F.flatten(F.transform(F.array(*[F.lit(float(p)) for p in probs]), lambda p: F.array(F.floor((n - 1) * p) + 1, F.ceil((n - 1) * p) + 1)))
+
+
+def _between(probs: list[float]) -> Column:
+    """The quantiles from ``n`` and the ``values`` at :func:`_neighbours`."""
+    value = lambda i: F.get("values", i)
+    return F.transform(F.array(*[F.lit(float(p)) for p in probs]), lambda p, i: value(2 * i) + (value(2 * i + 1) - value(2 * i)) * ((F.col("n") - 1) * p - F.floor((F.col("n") - 1) * p)))
+
+
+def quantiles_without(df: DataFrame, value: Column, probs: list[float], by: list[str], part: str, parts: int, stored: bool = False) -> DataFrame:
+    """``by...``, ``without`` and ``q``: of every group and part the exact quantiles over the rows of all other parts."""
+    found = values_without(df, value, by, part, parts, lambda n: _neighbours(n, probs), stored)
+    return found.select(*by, "without", _between(probs).alias("q"))
+
+
 def quantiles(df: DataFrame, values: dict[str, Column], probs: list[float], by: list[str] | None = None, weight: str | None = None, stored: bool = False) -> DataFrame:
     """``by...`` and for each of ``values`` an array of its exact quantiles at ``probs``, between neighbours in proportion.
 
@@ -83,11 +134,8 @@ def quantiles(df: DataFrame, values: dict[str, Column], probs: list[float], by:
     by = by or []
     pairs = [F.struct(F.lit(k).alias("__name"), v.cast("double").alias("__v")) for k, v in values.items()]
     rows = df.select(*by, *([weight] if weight else []), (F.explode(F.array(*pairs)) if len(pairs) > 1 else pairs[0]).alias("__p")).select(*by, *([weight] if weight else []), "__p.*")
-    at = [F.lit(float(p)) for p in probs]
-    ranks = lambda n: F.flatten(F.transform(F.array(*at), lambda p: F.array(F.floor((n - 1) * p) + 1, F.ceil((n - 1) * p) + 1)))
-    found = values_at(rows, F.col("__v"), [*by, "__name"], ranks, weight, stored)
-    between = F.transform(F.array(*at), lambda p, i: F.get("values", 2 * i) + (F.get("values", 2 * i + 1) - F.get("values", 2 * i)) * ((F.col("n") - 1) * p - F.floor((F.col("n") - 1) * p)))
-    return found.withColumn("__q", between).groupBy(*by).agg(*[F.max(F.when(F.col("__name") == k, F.col("__q"))).alias(k) for k in values])
+    found = values_at(rows, F.col("__v"), [*by, "__name"], lambda n: _neighbours(n, probs), weight, stored)
+    return found.withColumn("__q", _between(probs)).groupBy(*by).agg(*[F.max(F.when(F.col("__name") == k, F.col("__q"))).alias(k) for k in values])
 
 
 def with_quantiles(base: DataFrame, df: DataFrame, columns: dict[str, tuple[Column, float]], by: list[str] | None = None) -> DataFrame:
