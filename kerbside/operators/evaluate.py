@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kerbside.operators.profile import distribution, long_slices
-from kerbside.operators.quantiles import quantiles, with_quantiles
+from kerbside.operators.quantiles import quantiles, running_sums, with_quantiles
 
 def _metrics(y: str, p: str) -> list[Column]:
     error, n = F.col(p) - F.col(y), F.count(F.lit(1))
@@ -77,18 +77,10 @@ def residual_stats(df: DataFrame, dimensions: list[str], k: int = 20, min_suppor
 
 
 def average_ranks(df: DataFrame, value: str) -> DataFrame:
-    """``value`` and ``rank`` of each distinct value: 1-based, ties averaged. Ranks are sums of counts over ranges, not one sorted task.
-
-    Values are cut into ranges at approximate quantiles; each range is ordered alone and shifted by the
-    counts below it. The ranges only balance the work: ranks are exact.
-    """
+    """``value`` and ``rank`` of each distinct value: 1-based, ties averaged. Ranks are running sums of counts over ranges that Spark cuts to one size, not one sorted task."""
     counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("n"))
-    edges = counts.agg(F.percentile_approx(value, [k / 64 for k in range(1, 64)], 1000).alias("e")).first()["e"] or []
-    part = F.size(F.filter(F.array(*[F.lit(e) for e in sorted(set(edges))]).cast("array<double>"), lambda e: e < F.col(value))) if edges else F.lit(0)
-    ranged = counts.withColumn("__part", part)
-    below = ranged.groupBy("__part").agg(F.sum("n").alias("__s")).select("__part", F.coalesce(F.sum("__s").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__below"))
-    inside = F.sum("n").over(Window.partitionBy("__part").orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    return ranged.join(F.broadcast(below), "__part").select(value, (F.col("__below") + inside - (F.col("n") - 1) / 2.0).alias("rank"))
+    upto = running_sums(counts, [], [F.col(value)], {"__upto": F.col("n")}, "ranks")
+    return upto.select(value, (F.col("__upto") - (F.col("n") - 1) / 2.0).alias("rank"))
 
 
 def error_relationship(df: DataFrame, y: str = "y", p: str = "p") -> DataFrame:

@@ -61,9 +61,9 @@ def alignment_weights(df: DataFrame, source: str, dimensions: dict[str, tuple[fl
     by = by or []
     rows, factor = df, F.lit(1.0)
     for k, (d, (e, lo, hi)) in enumerate(dimensions.items()):
-        f = alignment_factors(df, source, d, e, lo, hi, prior, by).select(*[F.col(c).alias(f"__{c}{k}") for c in [*by, source]], F.col("label").alias(f"__l{k}"), F.col("factor").alias(f"__f{k}"))
-        rows = rows.join(f, [*[F.col(c).eqNullSafe(F.col(f"__{c}{k}")) for c in [*by, source]], F.coalesce(F.col(d).cast("string"), F.lit("missing")) == F.col(f"__l{k}")])
-        factor = factor * F.col(f"__f{k}")
+        f = alignment_factors(df, source, d, e, lo, hi, prior, by).select(*[F.col(c).alias(f"__{c}{k}") for c in [*by, source]], F.col("label").alias(f"__label{k}"), F.col("factor").alias(f"__factor{k}"))
+        rows = rows.join(f, [*[F.col(c).eqNullSafe(F.col(f"__{c}{k}")) for c in [*by, source]], F.coalesce(F.col(d).cast("string"), F.lit("missing")) == F.col(f"__label{k}")])
+        factor = factor * F.col(f"__factor{k}")
     first = F.col(start) if start else F.lit(1.0)
     clipped = rows.select(*df.columns, (F.least(F.greatest(factor, F.lit(combined[0])), F.lit(combined[1])) * first).alias("__w"))
     totals = clipped.groupBy(*[F.col(c).alias(f"__{c}") for c in [*by, source]]).agg((F.sum(first) / F.sum("__w")).alias("__scale"))

@@ -88,7 +88,7 @@ class PreparationModel(Model, _Columns, MLWritable, MLReadable):
             label = category(F.col(c))
             known = [x for x in self.labels[c] if x != INFREQUENT]
             made[f"__c{k}"] = F.when(label.isin(known), label).otherwise(INFREQUENT) if len(known) < len(self.labels[c]) else label
-        rows = df.withColumns(made) if made else df
+        rows = (df.withColumns(made) if made else df).drop(out)
         parts = [f"__n{k}" for k in range(len(numeric))]
         used = [k for k, c in enumerate(categorical) if self.labels[c]]
         if used:

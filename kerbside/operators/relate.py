@@ -44,7 +44,7 @@ def coverage_difference(a: DataFrame, b: DataFrame, columns: list[str]) -> DataF
 
 
 def overlap_risk(origins: DataFrame) -> DataFrame:
-    """JON-6: pairs of sources that are not known to be apart: ``left_id, right_id, risk``.
+    """JON-6: pairs of sources that are not known to be apart: ``left_id, right_id, risk``. A family of n sources gives n (n - 1) / 2 pairs; :func:`overlap_families` says the same in n rows.
 
     ``origins`` is ``source_id, families`` (array of upstream families; null or empty: unknown). ``confirmed``
     pairs share a family, found by joining on families. A source of unknown provenance may overlap with any
@@ -57,6 +57,19 @@ def overlap_risk(origins: DataFrame) -> DataFrame:
     return shared.unionByName(unknown)
 
 
+def overlap_families(origins: DataFrame) -> DataFrame:
+    """JON-6: ``source_id, family, representative, members, risk``: each source with each of its families, that family's smallest source and how many it has.
+
+    Two sources are ``confirmed`` to overlap if they have a row of one family. A family of one source is ``none``; a source of unknown
+    provenance is one row without a family, ``indeterminate``. Rows grow with the memberships, however popular a family is.
+    """
+    known = origins.select("source_id", F.explode("families").alias("family")).distinct()
+    sizes = known.groupBy(F.col("family").alias("__f")).agg(F.min("source_id").alias("representative"), F.count(F.lit(1)).alias("members"))
+    held = known.join(sizes, F.col("family").eqNullSafe(F.col("__f"))).select("source_id", "family", "representative", "members", F.when(F.col("members") > 1, "confirmed").otherwise("none").alias("risk"))
+    unknown = origins.where(F.coalesce(F.size("families"), F.lit(0)) <= 0).select("source_id", F.lit(None).cast("string").alias("family"), F.lit(None).cast("string").alias("representative"), F.lit(None).cast("long").alias("members"), F.lit("indeterminate").alias("risk"))
+    return held.unionByName(unknown)
+
+
 def combine_sources(first: DataFrame, second: DataFrame, columns: list[str], keys: list[str], keep: Column) -> tuple[DataFrame, DataFrame]:
     """JON-7: the union of two sources on ``columns``, and what each step removed from the second.
 

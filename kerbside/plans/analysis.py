@@ -192,6 +192,17 @@ def _(spark, sf):
     return relate.overlap_risk(table(spark, sf, "part").select(F.concat(F.lit("p"), k.cast("string")).alias("source_id"), F.when(k % 6 != 0, F.array(family("a", k), family("b", k + 2))).alias("families")))
 
 
+@query("jon_6_overlap_families", """WITH o AS (SELECT 'n' || n_nationkey AS id, r_name AS f FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey % 7 <> 0 UNION SELECT 's' || s_suppkey, r_name FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey UNION SELECT 's' || s_suppkey, 'only ' || s_suppkey FROM supplier),
+z AS (SELECT f, min(id) AS r, count(*) AS c FROM o GROUP BY 1) SELECT o.id AS source_id, o.f AS family, z.r AS representative, z.c AS members, CASE WHEN z.c > 1 THEN 'confirmed' ELSE 'none' END AS risk FROM o JOIN z USING (f) UNION ALL SELECT 'n' || n_nationkey, NULL, NULL, NULL, 'indeterminate' FROM nation WHERE n_nationkey % 7 = 0""")
+def _(spark, sf):
+    """Nations and suppliers by region, five families with a fifth of all suppliers each; a supplier is also its own family, and some nations are of unknown provenance."""
+    c = F.col
+    places = table(spark, sf, "nation").join(table(spark, sf, "region"), c("n_regionkey") == c("r_regionkey"))
+    nations = places.select(F.concat(F.lit("n"), "n_nationkey").alias("source_id"), F.when(c("n_nationkey") % 7 != 0, F.array("r_name")).alias("families"))
+    suppliers = table(spark, sf, "supplier").join(places, c("s_nationkey") == c("n_nationkey")).select(F.concat(F.lit("s"), "s_suppkey").alias("source_id"), F.array(c("r_name"), F.concat(F.lit("only "), "s_suppkey")).alias("families"))
+    return relate.overlap_families(nations.unionByName(suppliers))
+
+
 @query("jon_7_combine_sources", f"""{L}, d AS (SELECT DISTINCT year, make, mileage FROM listings WHERE source = 'O'), k AS (SELECT * FROM d WHERE year >= 1996), c AS (SELECT * FROM k WHERE NOT EXISTS (SELECT 1 FROM listings f WHERE f.source = 'F' AND f.year = k.year AND f.make = k.make AND f.mileage IS NOT DISTINCT FROM k.mileage)),
 n AS (SELECT (SELECT count(*) FROM listings WHERE source = 'O') AS a, (SELECT count(*) FROM d) AS b, (SELECT count(*) FROM k) AS c, (SELECT count(*) FROM c) AS d)
 SELECT 0 AS step, 'read' AS name, a AS n, 0 AS removed FROM n UNION ALL SELECT 1, 'distinct', b, a - b FROM n UNION ALL SELECT 2, 'filtered', c, b - c FROM n UNION ALL SELECT 3, 'clear', d, c - d FROM n""")

@@ -2,7 +2,7 @@
 
 Intermediate tables go to the folder the cluster names in ``spark.checkpoint.dir``, which driver and
 executors share. Where the setting is absent a folder of this process is used, in local mode only. A result
-that is read lazily still needs its tables; when it has been read, :func:`release` removes them.
+that is read lazily still needs its tables; when it has been read, :func:`release` removes those made since a :func:`mark`.
 """
 
 from __future__ import annotations
@@ -38,10 +38,19 @@ def fresh_dir(spark: SparkSession, label: str) -> str:
     return _made[-1]
 
 
-def release(spark: SparkSession) -> int:
-    """Remove all that this process has written here so far, and return the number of folders; results that still read from them fail."""
+def mark() -> int:
+    """A point in time for :func:`release`: how many folders there are so far."""
+    return len(_made)
+
+
+def release(spark: SparkSession, since: int = 0) -> int:
+    """Remove what this process has written here since a :func:`mark` (or ever), and return the number of folders; results that still read from them fail.
+
+    One query at a time: ``since = mark()``, run it and read its result, ``release(spark, since)``. Tables of queries
+    that began before stay.
+    """
     gone = 0
-    while _made:
+    while len(_made) > since:
         path = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
         gone += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
     return gone
