@@ -25,9 +25,9 @@ from pyspark.sql import functions as F
 from kerbside.staging import written
 
 #: Pieces of one partition at first and, in the exchange rounds, at most; bytes of text that are tokenised at a time.
-PARTITION, LARGEST, TEXT_BYTES = 8192, 1 << 19, 4 << 20
+PARTITION, LARGEST, TEXT_BYTES = 8192, 1 << 19, 2 << 20
 #: Words of a generation: a worker remembers the ids of up to two.
-REMEMBERED = 150_000
+REMEMBERED = 60_000
 #: A word whose last letter or digit is followed by marks: they are two token groups. Beyond Latin-1 normalisation
 #: may take the letter apart, and its mark then belongs to the marks' group, so such words stay whole.
 _STEM_AND_MARKS = r"(?s)^(?P<stem>.*[0-9A-Za-z\x{AA}\x{B2}\x{B3}\x{B5}\x{B9}\x{BA}\x{BC}-\x{BE}\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{FF}])(?P<marks>[,.!%*#&$|?;:]+)$"
@@ -165,6 +165,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id:
                         for name, value in (("doc_id", doc), ("piece", k // step), ("start", k // 4), ("length", len(piece) // 4), ("ids_crc32", zlib.crc32(piece))):
                             rows[name].append(value)
                 yield pa.RecordBatch.from_arrays([pa.array(rows["doc_id"], pa.int64()), pa.array(rows["piece"], pa.int32()), *(pa.array(rows[c], pa.int64()) for c in ("start", "length", "ids_crc32"))], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+                pa.default_memory_pool().release_unused()
 
     kept = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("__text"))
     return kept.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
