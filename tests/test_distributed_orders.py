@@ -208,10 +208,11 @@ def test_linear_models_are_least_squares(spark):
 
     rows = written(prepared(spark, SF), "t")
     table = rows.toPandas()
-    x = np.column_stack([table[NUMERIC].to_numpy(float), *[(table[c] == v).to_numpy(float) for c in CATEGORICAL for v in sorted(table[c].unique())], np.ones(len(table))])
     want = np.zeros(len(table))
     for f in range(5):
         train = (table.fold != f).to_numpy()
+        numbers = table[NUMERIC].astype(float).fillna(table[NUMERIC][train].astype(float).median())  # the training rows' median
+        x = np.column_stack([numbers.to_numpy(float), *[(table[c] == v).to_numpy(float) for c in CATEGORICAL for v in sorted(table[c].unique())], np.ones(len(table))])
         want[~train] = x[~train] @ np.linalg.lstsq(x[train], table.y.to_numpy()[train], rcond=None)[0]
     found = models.out_of_fold(rows, "fold", 5, "row_id", "y", lambda: [*models.design(NUMERIC, CATEGORICAL), models.linear("y")]).toPandas()
     mine = found.sort_values(["row_id", "y"]).p.to_numpy()
@@ -224,7 +225,7 @@ def test_linear_models_are_least_squares(spark):
 def test_grid_scores_every_candidate_on_every_row(spark):
     from kerbside.plans.learning import CATEGORICAL, NUMERIC, prepared
 
-    rows = written(prepared(spark, SF).withColumn("y", F.col("mileage") * 1.0 + 2000 * F.col("age")), "t")
+    rows = written(prepared(spark, SF).withColumn("y", F.coalesce("mileage", F.lit(0)) * 1.0 + 2000 * F.col("age")), "t")
     found = models.grid(rows, "fold", 5, "row_id", "y", lambda: models.design(NUMERIC, CATEGORICAL), {"forest": lambda: models.random_forest("y", 4, 5), "boosted": lambda: models.boosting("y", "squared", 4), "linear": lambda: models.linear("y")})
     counts = {r.candidate: (r.n, r.mae) for r in found.groupBy("candidate").agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs(F.col("p") - F.col("y"))).alias("mae")).collect()}
     median = rows.agg(F.avg(F.abs(F.col("y") - F.lit(rows.agg(F.median("y")).first()[0])))).first()[0]
