@@ -26,8 +26,8 @@ from kerbside.staging import written
 
 #: Pieces of one partition at first and, in the exchange rounds, at most; bytes of text that are tokenised at a time.
 PARTITION, LARGEST, TEXT_BYTES = 8192, 1 << 19, 2 << 20
-#: Words of a generation: a worker remembers the ids of up to two.
-REMEMBERED = 60_000
+#: Words of a generation: a worker remembers the ids of up to two. Fewer take less memory and more time.
+REMEMBERED = 150_000
 #: A word whose last letter or digit is followed by marks: they are two token groups. Beyond Latin-1 normalisation
 #: may take the letter apart, and its mark then belongs to the marks' group, so such words stay whole.
 _STEM_AND_MARKS = r"(?s)^(?P<stem>.*[0-9A-Za-z\x{AA}\x{B2}\x{B3}\x{B5}\x{B9}\x{BA}\x{BC}-\x{BE}\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{FF}])(?P<marks>[,.!%*#&$|?;:]+)$"
@@ -47,6 +47,7 @@ class WordIds(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
         self.older: dict[bytes, bytes] = {}
+        self.remembered = REMEMBERED
         vocabulary = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
@@ -64,7 +65,7 @@ class WordIds(dict):
 
     def learn(self, words: list[bytes]) -> None:
         """Add the words that are not known yet."""
-        if len(self) > REMEMBERED:  # what is asked for again comes back from the generation before
+        if len(self) > self.remembered:  # what is asked for again comes back from the generation before
             self.older = dict(self)
             self.clear()
         self[b""] = b""  # white space at the ends of a text, and no marks
@@ -144,7 +145,7 @@ def slices(batch: pa.RecordBatch, column: int, most: int = TEXT_BYTES) -> Iterat
         at = to
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", remembered: int = REMEMBERED) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32``: each document's ids and ``end_id``, cut only if longer than ``capacity``.
 
     Null and empty texts are one piece of one id. Rows that repeat give pieces that repeat. ``tokenizer``
@@ -154,6 +155,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end = np.array([end_id], "<u4").tobytes()
         step = 4 * capacity
+        word_ids(tokenizer).remembered = remembered
         for batch in batches:
             for part in slices(batch, 1):
                 rows: dict[str, list] = defaultdict(list)
@@ -279,11 +281,11 @@ def pack(pieces: DataFrame, capacity: int = 2048, partition: int = PARTITION, ro
     return whole.drop("certified", "gap"), {"sequences": total, "bound": bound, "rounds": done}
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, remembered: int = REMEMBERED) -> DataFrame:
     """Tokenise and pack ``docs`` (``doc_id``, ``text``): a row for each piece with its place.
 
     ``fill`` are the ids of its sequence, ``sequences`` how many there are, and ``least_sequences`` the certificate: no
     packing of these pieces has fewer.
     """
-    placed, proof = pack(written(token_pieces(docs, tokenizer, capacity, end_id), "packing-pieces"), capacity)
+    placed, proof = pack(written(token_pieces(docs, tokenizer, capacity, end_id, remembered=remembered), "packing-pieces"), capacity)
     return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "fill", F.lit(proof["sequences"]).cast("long").alias("sequences"), F.lit(proof["bound"]).cast("long").alias("least_sequences"))
