@@ -38,8 +38,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of at most 2048 tokens and their places."""
-    return packing.pack_documents(docs, tokenizer_path())
+    """Pieces of at most 2048 tokens and their places. A worker remembers few words, as it still holds what earlier stages left."""
+    return packing.pack_documents(docs, tokenizer_path(), remembered=60_000)
 
 
 STAGES = [("quality rules", quality_rules), ("toxicity", toxicity_grades), ("SimHash near-dedup", near_duplicates), ("mixing sources to target weights", mix_sources), ("best-fit packing", pack_sequences)]
