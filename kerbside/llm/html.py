@@ -226,18 +226,19 @@ def main_text(html: str | None) -> str:
             around = node if tag[node] == "article" or tag[node] == "main" and tag[around] != "article" else around
             node = parent[node]
         best = around or best
+        whole = bool(around) and not page.inside[parent[best]]  # a marked article is all of the story but for a heading before it
         while parent[best] and size[parent[best]] == size[best]:  # nothing else is in it
             best = parent[best]
         roots = {best} | {i for i in marked if around and density(i) < 0.5}
-        beside = [i for i in range(1, n) if parent[i] == parent[best] and (out[i] or size[i])] if parent[best] else []
+        beside = [i for i in range(1, n) if parent[i] == parent[best] and (out[i] or size[i])]
         place = beside.index(best) if beside else 0
         good = lambda i: not out[i] and density(i) < 0.5
-        roots.update(filter(good, beside[place + 1 :]))
-        led = [i for i in beside[:place] if not out[i] and (scored[i] >= 0.2 * scored[best] or tag[i] in HEADING or tag[i] == "p" and paragraph_size[i] > 80 and density(i) < 0.25)]
+        roots.update(filter(good, beside[place + 1 :] if not whole else ()))
+        led = [i for i in beside[:place] if not out[i] and (tag[i] in HEADING if whole else scored[i] >= 0.2 * scored[best] or tag[i] in HEADING or tag[i] == "p" and paragraph_size[i] > 80 and density(i) < 0.25)]
         first = beside.index(led[0]) if led else place
-        while first and good(beside[first - 1]):
+        while not whole and first and good(beside[first - 1]):
             first -= 1
-        roots.update(filter(good, beside[first:place]))
+        roots.update(filter(good, beside[first:place] if not whole else ()))
         roots.update(led)
     kept = [i in roots for i in range(n)]
     for i in range(1, n):
