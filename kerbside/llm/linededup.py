@@ -4,7 +4,7 @@ Documents are taken in batches, largest ids first. A batch's line hashes are one
 hash, with the number of documents that hold each. Anti-joined with the runs of the batches before, it gives the
 hashes that are new, and with them the document that keeps the line, the largest id of all; then it is added
 to the runs itself. Whenever a level has ``FAN_OUT`` runs they are merged into one of the next level, so a hash is
-rewritten once a level. Runs and batches are bucketed alike, so that no merge shuffles a run.
+rewritten once a level. Runs and batches are bucketed alike, so that no anti-join shuffles a run; merging runs does.
 """
 
 from __future__ import annotations
@@ -46,11 +46,13 @@ class LineRuns:
         self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[str]] = []
         self.tables: list[str] = []
+        self.paths: dict[str, str] = {}
 
     def sorted_run(self, rows: DataFrame) -> str:
         """Write rows as a table bucketed and sorted by hash; its name."""
         name = f"kerbside_run_{uuid.uuid4().hex}"
-        rows.write.bucketBy(self.buckets, *HASH).sortBy(*HASH).option("path", fresh_dir(self.spark, "line-run")).saveAsTable(name)
+        self.paths[name] = fresh_dir(self.spark, "line-run")
+        rows.write.bucketBy(self.buckets, *HASH).sortBy(*HASH).option("path", self.paths[name]).saveAsTable(name)
         self.tables.append(name)
         return name
 
@@ -75,9 +77,8 @@ class LineRuns:
             level += 1
 
     def merged(self, names: list[str]) -> DataFrame:
-        rows = self.spark.table(names[0]).select(*HASH, "n")
-        for name in names[1:]:
-            rows = rows.unionByName(self.spark.table(name).select(*HASH, "n"))
+        # Read as files, not as buckets: a union of bucketed scans is not trusted to be dealt by hash.
+        rows = self.spark.read.schema("h1 long, h2 long, n long").parquet(*[self.paths[name] for name in names])
         return rows.groupBy(*HASH).agg(F.sum("n").alias("n"))
 
     def totals(self) -> DataFrame:
