@@ -66,6 +66,21 @@ def closest_prefix_split(df: DataFrame, group: list[str], stratum: str, num: int
     return df.join(other, on).drop(*[f"__{c}" for c in [stratum, *group]])
 
 
+def screening_sample(df: DataFrame, group: list[str], stratum: str, num: int, den: int, seed: str) -> DataFrame:
+    """SPL-3: :func:`closest_prefix_groups` for a proper fraction num/den; an error if a stratum, the null one included, would keep no group.
+
+    The closest prefix is empty where the first group alone is farther from the share than none. An empty table gives no rows.
+    """
+    if not 0 < num < den:
+        raise ValueError(f"{num}/{den} is not a proper fraction")
+    chosen = written(closest_prefix_groups(df, group, stratum, num, den, seed), "screening")
+    empty = chosen.groupBy(stratum).agg(F.max("selected").alias("__any")).where(~F.col("__any"))
+    n, example = empty.agg(F.count(F.lit(1)), F.min(F.coalesce(F.col(stratum).cast("string"), F.lit("null")))).first()
+    if n:
+        raise ValueError(f"{n} strata would be empty, such as {example!r}")
+    return chosen
+
+
 def ranked_sample(df: DataFrame, bucket: str, key: str, num: int, den: int, seed: str) -> DataFrame:
     """SPL-4: ``bucket, key, selected`` for every row: rows ranked by digest, as many as lie closest to num/den (half rounds down). A null bucket is one like others."""
     rows = df.select(bucket, key).withColumn("__digest", seeded_digest(seed, F.col(bucket), F.col(key))).withColumn("__one", F.lit(1).cast("long"))
@@ -212,10 +227,17 @@ def nested_quotas(strata: DataFrame, key: str, target: int, minimum: str) -> Dat
     return ranked.select(key, "n", minimum, (F.col("quota") - down).alias("quota"))
 
 
-def value_decile(df: DataFrame, value: str, name: str = "decile") -> DataFrame:
-    """SPL-15: ``df`` with the decile (1 to 10, null for null) of ``value`` in the whole table, by exact edges."""
-    edges = quantiles(df, {"__e": F.col(value)}, [k / 10 for k in range(1, 10)]).agg(F.first("__e").alias("__e"))
-    return df.join(F.broadcast(edges)).withColumn(name, F.when(F.col(value).isNotNull(), 1 + F.size(F.filter("__e", lambda e: e < F.col(value))))).drop("__e")
+def value_decile(df: DataFrame, value: str, name: str = "decile", upper: bool = False) -> DataFrame:
+    """SPL-15: ``df`` with the decile (1 to 10, null for null) of ``value`` in the whole table, by exact edges.
+
+    A value on an edge belongs to the part below it, or with ``upper`` to the part above; then edges that are equal count
+    once, and the smallest and the largest value are no edges. Values that are not finite have no part in the edges.
+    """
+    steps = range(11) if upper else range(1, 10)
+    edges = quantiles(df, {"__e": F.col(value)}, [k / 10 for k in steps]).agg(F.first("__e").alias("__e"))
+    inner = F.filter(F.array_distinct("__e"), lambda e: (e > F.get("__e", F.lit(0))) & (e < F.get("__e", F.lit(10))))
+    below = F.size(F.filter(inner, lambda e: e <= F.col(value)) if upper else F.filter("__e", lambda e: e < F.col(value)))
+    return df.join(F.broadcast(edges)).withColumn(name, F.when(F.col(value).isNotNull(), 1 + below)).drop("__e")
 
 
 def stratified_sample(df: DataFrame, key: str, stratum: str, quotas: DataFrame, seed: str) -> DataFrame:

@@ -273,7 +273,7 @@ def _(spark, sf):
 
 @query("spl_3_screening_sample", prefix_sql("screening", 3, 10))
 def _(spark, sf):
-    return splits.closest_prefix_groups(listings(spark, sf), ["make"], "status", 3, 10, "screening")
+    return splits.screening_sample(listings(spark, sf), ["make"], "status", 3, 10, "screening")
 
 
 @query("spl_4_ranked_row_sample", """WITH r AS (SELECT o_orderstatus, o_orderkey, row_number() OVER (PARTITION BY o_orderstatus ORDER BY sha256(concat_ws('|', 'rows', o_orderstatus, CAST(o_orderkey AS VARCHAR)))) AS rank, count(*) OVER (PARTITION BY o_orderstatus) AS total FROM orders)
@@ -406,11 +406,14 @@ CELLS = """e AS (SELECT quantile_cont(price, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7,
 s AS (SELECT key, count(*) AS n FROM c GROUP BY 1)"""
 
 
-@query("spl_15_nested_stratified_sample", f"""{RL}, {CELLS}, {quota_sql('s', 400)}, {quota_sql('s', 997)}, {nested_sql(400, 997)}, k AS (SELECT row_id, key, row_number() OVER (PARTITION BY key ORDER BY sha256(concat_ws('|', 'nested', row_id))) AS k FROM c)
-SELECT row_id, key AS cell, k <= minimum AS small FROM k JOIN nested USING (key) WHERE k <= quota""")
-def _(spark, sf):
-    """Strata of make, year and price decile; the sample of 400 lies within that of 997."""
-    rows = written(splits.value_decile(listings(spark, sf).select("row_id", "make", "year", "price"), "price").select("row_id", F.concat_ws("|", "make", "year", "decile").alias("cell")), "cells")
+def nested_sql_of(cells):
+    return f"""{RL}, {cells}, {quota_sql('s', 400)}, {quota_sql('s', 997)}, {nested_sql(400, 997)}, k AS (SELECT row_id, key, row_number() OVER (PARTITION BY key ORDER BY sha256(concat_ws('|', 'nested', row_id))) AS k FROM c)
+SELECT row_id, key AS cell, k <= minimum AS small FROM k JOIN nested USING (key) WHERE k <= quota"""
+
+
+def nested_samples(rows):
+    """Of ``row_id`` and ``cell`` the sample of 997, and which of its rows are in the one of 400."""
+    rows = written(rows, "cells")
     counts = written(rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n")), "cell-counts")
     small = written(splits.proportional_quotas(counts, "cell", 400), "small-quotas")
     large = splits.nested_quotas(small.withColumnRenamed("quota", "minimum"), "cell", 997, "minimum")
@@ -419,6 +422,23 @@ def _(spark, sf):
     return many.join(few, F.col("row_id") == F.col("__id"), "full_outer").select("row_id", "cell", F.col("__id").isNotNull().alias("small"))
 
 
+@query("spl_15_nested_stratified_sample", nested_sql_of(CELLS))
+def _(spark, sf):
+    """Strata of make, year and price decile; the sample of 400 lies within that of 997."""
+    return nested_samples(splits.value_decile(listings(spark, sf).select("row_id", "make", "year", "price"), "price").select("row_id", F.concat_ws("|", "make", "year", "decile").alias("cell")))
+
+
+MILEAGE_CELLS = """q AS (SELECT quantile_cont(mileage, [0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1]) AS q FROM listings), e AS (SELECT list_filter(list_distinct(q), lambda x: x > q[1] AND x < q[11]) AS e FROM q),
+c AS (SELECT row_id, concat_ws('|', make, year, CASE WHEN mileage IS NULL THEN 'missing' ELSE CAST(1 + len(list_filter(e.e, lambda x: x <= mileage)) AS VARCHAR) END) AS key FROM listings, e), s AS (SELECT key, count(*) AS n FROM c GROUP BY 1)"""
+
+
+@query("spl_15_mileage_decile_sample", nested_sql_of(MILEAGE_CELLS))
+def _(spark, sf):
+    """Strata of make, year and mileage decile, a mileage on an edge in the upper one; listings without mileage are strata of their own."""
+    placed = splits.value_decile(listings(spark, sf).select("row_id", "make", "year", "mileage"), "mileage", upper=True)
+    return nested_samples(placed.select("row_id", F.concat_ws("|", "make", "year", F.coalesce(F.col("decile").cast("string"), F.lit("missing"))).alias("cell")))
+
+
 @query("spl_15_null_stratum", L + """, k AS (SELECT row_id, mileage, row_number() OVER (PARTITION BY mileage ORDER BY sha256(concat_ws('|', 'nulls', row_id))) AS k FROM listings)
 SELECT row_id, mileage FROM k WHERE k <= CASE WHEN mileage IS NULL THEN 50 ELSE 3 END""")
 def _(spark, sf):

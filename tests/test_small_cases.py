@@ -4,6 +4,7 @@ import datetime as dt
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -233,3 +234,28 @@ def test_empty_tables(spark):
     assert conformal.fit_hierarchy(df, {"s": ["s"], "global": []}, "score").count() == 0
     assert evaluate.average_ranks(df, "y").count() == 0
     assert dedupe.mark_duplicates(df, ["g"], F.col("row_id")).count() == 0
+
+
+def test_screening_sample_keeps_every_stratum(spark):
+    rows = [("a", f"g{k}", k) for k in range(20)] + [(None, f"g{k}", k) for k in range(20)]
+    df = spark.createDataFrame(rows, "s string, g string, k int")
+    found = {tuple(r) for r in splits.screening_sample(df, ["g"], "s", 3, 10, "x").collect()}
+    assert found == {tuple(r) for r in splits.closest_prefix_groups(df, ["g"], "s", 3, 10, "x").collect()}
+    assert sorted((s or "", chosen) for s, _, _, chosen in found).count(("", True)) == 6
+    lone = df.union(spark.createDataFrame([("b", "one", 1), ("b", "one", 2)], df.schema))
+    with pytest.raises(ValueError, match="1 strata would be empty, such as 'b'"):
+        splits.screening_sample(lone, ["g"], "s", 3, 10, "x")
+    with pytest.raises(ValueError, match="proper fraction"):
+        splits.screening_sample(df, ["g"], "s", 10, 10, "x")
+    assert splits.screening_sample(df.limit(0), ["g"], "s", 3, 10, "x").count() == 0
+
+
+def test_deciles_put_a_value_on_an_edge_above_or_below(spark):
+    values = [1.0] * 5 + [2.0] * 5 + [float(x) for x in range(3, 13)] + [None]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(values)], "i int, x double")
+    known = [x for x in values if x is not None]
+    edges = np.quantile(known, np.linspace(0, 1, 11))
+    above = dict(zip(range(len(known)), 1 + np.searchsorted(np.unique(edges)[1:-1], known, side="right")))
+    below = dict(zip(range(len(known)), 1 + np.searchsorted(edges[1:-1], known, side="left")))
+    assert {r["i"]: r["decile"] for r in splits.value_decile(df, "x", upper=True).collect()} == above | {len(known): None}
+    assert {r["i"]: r["decile"] for r in splits.value_decile(df, "x").collect()} == below | {len(known): None}
