@@ -438,6 +438,16 @@ def test_html_table(spark):
     assert sorted((r.page_id or 0, r.text, r.n_chars) for r in html.extract_main_text(pages).collect()) == [(0, "", 0), (1, "a", 1), (1, "a", 1)]
 
 
+def test_main_text_with_clashing_columns_nulls_and_no_rows(spark):
+    schema = "text string, page_id long, n_chars int, __html string, html string, url string"
+    page = "<body><nav>menu</nav><article><p>A story, told.</p></article></body>"
+    pages = spark.createDataFrame([("x", 1, 7, "y", page, None), ("x", None, 7, "y", None, "u"), ("x", 2, 7, "y", "", "u"), ("x", 1, 7, "y", page, None)], schema)
+    found = html.extract_main_text(pages)
+    assert found.columns == ["page_id", "url", "text", "n_chars"]
+    assert sorted(found.collect(), key=lambda r: r.page_id or 0) == [(None, "u", "", 0), (1, None, "A story, told.", 14), (1, None, "A story, told.", 14), (2, "u", "", 0)]
+    assert html.extract_main_text(pages.limit(0)).count() == 0
+
+
 # 9. SimHash
 
 
