@@ -6,17 +6,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kerbside.operators.models import fold_medians
-from kerbside.operators.quantiles import weighted_quantiles, with_quantiles
+from kerbside.operators.quantiles import weighted_quantiles, weighted_quantiles_by_cell, with_quantiles
 from kerbside.staging import broadcast_if_small, written
 
 
-def source_weights(df: DataFrame, source: str, by: list[str] | None = None) -> DataFrame:
+def _rows(times: str | None) -> Column:
+    """How many rows there are, each counted ``times``."""
+    return F.sum(times) if times else F.count(F.lit(1))
+
+
+def source_weights(df: DataFrame, source: str, by: list[str] | None = None, times: str | None = None) -> DataFrame:
     """MOD-17: ``df`` with ``weight``: every source has the same total within ``by``, and weights average 1.
 
-    Counts are few rows joined back; no window over the data.
+    Counts are few rows joined back; no window over the data. With ``times`` a row stands for that many.
     """
     by = by or []
-    counts = df.groupBy(*by, source).agg(F.count(F.lit(1)).alias("__n"))
+    counts = df.groupBy(*by, source).agg(_rows(times).alias("__n"))
     whole = Window.partitionBy(*by)
     weights = counts.select(*[F.col(c).alias(f"__{c}") for c in [*by, source]], (F.sum("__n").over(whole) / F.count(F.lit(1)).over(whole) / F.col("__n")).alias("weight"))
     on = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in [*by, source]]
@@ -27,15 +32,15 @@ def source_weights(df: DataFrame, source: str, by: list[str] | None = None) -> D
 MOST_SOURCES = 1000
 
 
-def alignment_factors(df: DataFrame, source: str, dimension: str, exponent: float, low: float, high: float, prior: float = 200.0, by: list[str] | None = None) -> DataFrame:
+def alignment_factors(df: DataFrame, source: str, dimension: str, exponent: float, low: float, high: float, prior: float = 200.0, by: list[str] | None = None, times: str | None = None) -> DataFrame:
     """MOD-18: ``by..., source, label, n, factor``: (mean share / own share) to a power shrunk by n / (n + prior), clipped, within ``by``.
 
     Every source has every label of any source; one it lacks counts as zero rows and gets the upper bound. A null
-    source is a source, and there may be ``MOST_SOURCES`` of them. ``prior`` 0 does not shrink.
+    source is a source, and there may be ``MOST_SOURCES`` of them. ``prior`` 0 does not shrink. With ``times`` a row stands for that many.
     """
     by = by or []
     label = F.coalesce(F.col(dimension).cast("string"), F.lit("missing"))
-    counts = written(df.groupBy(*by, source, label.alias("label")).agg(F.count(F.lit(1)).alias("n")), "alignment-counts")
+    counts = written(df.groupBy(*by, source, label.alias("label")).agg(_rows(times).alias("n")), "alignment-counts")
     sources = counts.groupBy(*[F.col(c).alias(f"__{c}") for c in [*by, source]]).agg(F.sum("n").alias("__all"))
     most = sources.groupBy(*[f"__{c}" for c in by]).count().agg(F.max("count")).first()[0] or 0
     if most > MOST_SOURCES:
@@ -53,24 +58,25 @@ def alignment_factors(df: DataFrame, source: str, dimension: str, exponent: floa
     return share.select(*by, source, "label", "n", F.least(F.greatest(factor, F.lit(low)), F.lit(high)).alias("factor"))
 
 
-def alignment_weights(df: DataFrame, source: str, dimensions: dict[str, tuple[float, float, float]], combined: tuple[float, float] = (0.8, 1.25), final: tuple[float, float] = (0.5, 2.0), by: list[str] | None = None, start: str | None = None, prior: float = 200.0) -> DataFrame:
+def alignment_weights(df: DataFrame, source: str, dimensions: dict[str, tuple[float, float, float]], combined: tuple[float, float] = (0.8, 1.25), final: tuple[float, float] = (0.5, 2.0), by: list[str] | None = None, start: str | None = None, prior: float = 200.0, times: str | None = None) -> DataFrame:
     """MOD-18: ``df`` with ``weight``: the product of its labels' factors, clipped, times ``start`` (a column, or 1), scaled so that each source has the total of ``start`` again, within ``by``.
 
     A weight outside of ``final`` is an error (as the data are read): clipped factors and balanced sources cannot lead there unless a source is far too small.
+    With ``times`` a row stands for that many. Factors and scales are few rows: they go to the rows, and rows are not dealt out by their source or label.
     """
     by = by or []
     rows, factor = df, F.lit(1.0)
     for k, (d, (e, lo, hi)) in enumerate(dimensions.items()):
-        f = alignment_factors(df, source, d, e, lo, hi, prior, by).select(*[F.col(c).alias(f"__{c}{k}") for c in [*by, source]], F.col("label").alias(f"__label{k}"), F.col("factor").alias(f"__factor{k}"))
-        rows = rows.join(f, [*[F.col(c).eqNullSafe(F.col(f"__{c}{k}")) for c in [*by, source]], F.coalesce(F.col(d).cast("string"), F.lit("missing")) == F.col(f"__label{k}")])
+        f = alignment_factors(df, source, d, e, lo, hi, prior, by, times).select(*[F.col(c).alias(f"__{c}{k}") for c in [*by, source]], F.col("label").alias(f"__label{k}"), F.col("factor").alias(f"__factor{k}"))
+        rows = rows.join(broadcast_if_small(written(f, "alignment-factors")), [*[F.col(c).eqNullSafe(F.col(f"__{c}{k}")) for c in [*by, source]], F.coalesce(F.col(d).cast("string"), F.lit("missing")) == F.col(f"__label{k}")])
         factor = factor * F.col(f"__factor{k}")
-    first = F.col(start) if start else F.lit(1.0)
+    first, each = F.col(start) if start else F.lit(1.0), F.col(times) if times else F.lit(1)
     clipped = rows.select(*df.columns, (F.least(F.greatest(factor, F.lit(combined[0])), F.lit(combined[1])) * first).alias("__w"))
-    totals = clipped.groupBy(*[F.col(c).alias(f"__{c}") for c in [*by, source]]).agg((F.sum(first) / F.sum("__w")).alias("__scale"))
+    totals = clipped.groupBy(*[F.col(c).alias(f"__{c}") for c in [*by, source]]).agg((F.sum(first * each) / F.sum(F.col("__w") * each)).alias("__scale"))
     weight = F.col("__w") * F.col("__scale")
     checked = F.when(weight.between(final[0] - 1e-9, final[1] + 1e-9), weight).otherwise(F.raise_error(F.concat(F.lit("a weight is out of bounds: "), weight.cast("string"))).cast("double"))
     same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in [*by, source]]
-    return clipped.join(totals, same).withColumn("weight", checked).select(*[c for c in df.columns if c != "weight"], "weight")
+    return clipped.join(broadcast_if_small(written(totals, "alignment-scales")), same).withColumn("weight", checked).select(*[c for c in df.columns if c != "weight"], "weight")
 
 
 def weighted_predictions(df: DataFrame, weighted: DataFrame, fold: str, by: str, y: str) -> DataFrame:
@@ -89,12 +95,29 @@ def weighted_predictions(df: DataFrame, weighted: DataFrame, fold: str, by: str,
     return found.join(F.broadcast(every), mine, "left").withColumn("p", F.coalesce("__own", "__every")).drop("__own", "__every", "__arm", "__for_fold")  # a row for each arm and fold
 
 
-def weight_diagnostics(df: DataFrame, by: list[str]) -> DataFrame:
-    """MOD-19: extremes, mean, median, total and effective sample size (sum squared over sum of squares) of weights, and its share of the rows."""
-    w, n = F.col("weight"), F.count(F.lit(1))
-    effective = F.sum(w) * F.sum(w) / F.sum(w * w)
-    base = df.groupBy(*by).agg(n.alias("n"), F.min(w).alias("min"), F.max(w).alias("max"), F.avg(w).alias("mean"), F.sum(w).alias("total"), effective.alias("effective"), (effective / n).alias("effective_share"))
-    return with_quantiles(base, df, {"median": (w, 0.5)}, by)
+def weighted_predictions_by_cell(df: DataFrame, weights: DataFrame, cell: list[str], fold: str, by: str, y: str, stored: bool = False) -> DataFrame:
+    """MOD-20: :func:`weighted_predictions` where a row's weight depends on its ``cell`` (columns, ``by`` among them) alone: ``weights`` has a row for each ``arm``, ``for_fold`` and cell.
+
+    Training rows are counted by cell and expanded neither to arms nor to folds.
+    """
+    label = F.col(by).cast("string")
+    to = F.explode(F.array(F.struct(F.lit(True).alias("all"), F.lit(None).cast("string").alias("label")), F.struct(F.lit(False).alias("all"), label.alias("label")))).alias("__to")
+    served = weights.select("arm", "for_fold", *cell, "weight", to).select("arm", "for_fold", *cell, "weight", F.col("__to.all").alias("__all"), F.col("__to.label").alias("__label"))
+    found = weighted_quantiles_by_cell(df, F.col(y), cell, served, ["arm", "for_fold", "__all", "__label"], ["0.5"], stored)
+    found = written(found.select(F.col("arm").alias("__arm"), F.col("for_fold").alias("__for"), "__all", "__label", F.get("values", F.lit(0)).alias("__m")), "weighted-medians")
+    every = found.where("__all").groupBy(F.col("__for").alias("__every_for")).agg(F.collect_list(F.struct(F.col("__arm").alias("arm"), F.col("__m").alias("m"))).alias("__every"))
+    own = found.where("not __all").groupBy("__for", "__label").agg(F.map_from_entries(F.collect_list(F.struct("__arm", "__m"))).alias("__own"))
+    placed = df.join(F.broadcast(every), F.col(fold) == F.col("__every_for")).join(broadcast_if_small(written(own, "weighted-medians-by-label")), (F.col(fold) == F.col("__for")) & label.eqNullSafe(F.col("__label")), "left")  # a row for each fold
+    return placed.select(*df.columns, "__own", F.explode("__every").alias("__e")).select(*df.columns, F.col("__e.arm").alias("arm"), F.coalesce(F.try_element_at("__own", F.col("__e.arm")), F.col("__e.m")).alias("p"))
+
+
+def weight_diagnostics(df: DataFrame, by: list[str], times: str | None = None) -> DataFrame:
+    """MOD-19: extremes, mean, median, total and effective sample size (sum squared over sum of squares) of weights, and its share of the rows. With ``times`` a row stands for that many."""
+    w, n, each = F.col("weight"), _rows(times), F.col(times) if times else F.lit(1)
+    total = F.sum(w * each)
+    effective = total * total / F.sum(w * w * each)
+    base = df.groupBy(*by).agg(n.alias("n"), F.min(w).alias("min"), F.max(w).alias("max"), (total / n).alias("mean"), total.alias("total"), effective.alias("effective"), (effective / n).alias("effective_share"))
+    return with_quantiles(base, df, {"median": (w, 0.5)}, by, times)
 
 
 def extreme_factors(factors: DataFrame, source: str, k: int = 3) -> DataFrame:

@@ -74,9 +74,18 @@ def median_baseline(df: DataFrame, fold: str, folds: int, y: str, by: str | None
     return joined.withColumn("p", F.coalesce("__own", "__every")).drop("__own", "__every")
 
 
-def design(numeric: list[str], categorical: list[str], min_frequency: int = 25, max_categories: int = 512) -> list:
-    """MOD-5: pipeline stages for a sparse design matrix ``features``, learned from the training rows alone."""
-    return [Preparation(numeric=numeric, categorical=categorical, minFrequency=min_frequency, maxCategories=max_categories)]
+def design(numeric: list[str], categorical: list[str], min_frequency: int = 25, max_categories: int = 512, times: str | None = None) -> list:
+    """MOD-5: pipeline stages for a sparse design matrix ``features``, learned from the training rows alone, each of which may stand for ``times`` rows."""
+    return [Preparation(numeric=numeric, categorical=categorical, minFrequency=min_frequency, maxCategories=max_categories, timesCol=times)]
+
+
+def summed(df: DataFrame, by: list[str], y: str, times: str = "n") -> DataFrame:
+    """Rows that agree in ``by`` (null is a value) as one, with their number ``times`` and their mean ``y``; written.
+
+    Least squares, and a gamma model with log link, have the same solution on these as on the rows, if ``by`` has all their inputs and a row
+    counts ``times``. Where inputs repeat there are far fewer; where they do not, this is one shuffle.
+    """
+    return written(df.groupBy(*by).agg(F.count(F.lit(1)).alias(times), F.avg(F.col(y).cast("double")).alias(y)), "summed")
 
 
 def linear(y: str, weight: str | None = None) -> LinearRegression:
@@ -104,32 +113,34 @@ def boosting(y: str, loss: str = "absolute", rounds: int = 18, step: float = 0.2
     return GBTRegressor(featuresCol="features", labelCol=y, predictionCol="p", lossType=loss, maxIter=rounds, stepSize=step, maxDepth=depth, minInstancesPerNode=min_rows, subsamplingRate=rows, featureSubsetStrategy=features, seed=7, maxBins=64)
 
 
-def residual_scale(y: str) -> GeneralizedLinearRegression:
-    """MOD-10: a gamma model with log link for the size of residuals."""
-    return GeneralizedLinearRegression(featuresCol="features", labelCol=y, predictionCol="scale", family="gamma", link="log", regParam=1.0, maxIter=25)
+def residual_scale(y: str, weight: str | None = None) -> GeneralizedLinearRegression:
+    """MOD-10: a gamma model with log link for the size of residuals; with ``weight`` a row counts that many times."""
+    more = {"weightCol": weight} if weight else {}
+    return GeneralizedLinearRegression(featuresCol="features", labelCol=y, predictionCol="scale", family="gamma", link="log", regParam=1.0, maxIter=25, **more)
 
 
 #: MOD-10: predictions are measured against this price before the logarithm; scales stay within these bounds.
 REFERENCE_PRICE, SCALE_BOUNDS = 10_000.0, (500.0, 250_000.0)
 
 
-def staged_scale(df: DataFrame, fold: str, folds: int, y: str, stages: Callable[[], list], scale_stages: Callable[[str], list], p: str = "p") -> DataFrame:
+def staged_scale(df: DataFrame, fold: str, folds: int, y: str, stages: Callable[[], list], scale_stages: Callable[[str], list], inputs: list[str], times: str = "n", p: str = "p") -> DataFrame:
     """MOD-10: ``df`` once for each outer fold and role (``for_fold``, ``role``) with ``p`` and ``scale``, so that no row meets a stage that has seen it.
 
     For outer fold f the value is fitted on all folds but f, f+1 and f+2 (counted around); the scale of residuals, a
     model of ``scale_stages`` that also sees ``log_value``, on the residuals of fold f+2; rows of fold f+1 have the role
-    ``calibrate`` and those of f ``validate``. Scales are kept within ``SCALE_BOUNDS``.
+    ``calibrate`` and those of f ``validate``. Scales are kept within ``SCALE_BOUNDS``. Both models are fitted on rows :func:`summed` by ``inputs``, so stages must count a row ``times``.
     """
     if folds < 4:
         raise ValueError("a value, a scale, a radius and a validation need four folds")
     rows = written(df, "staged")
+    known = summed(rows, [fold, *inputs], y, times)
 
     def one(f: int) -> DataFrame:
-        value = Pipeline(stages=stages()).fit(rows.where(~F.col(fold).isin(*[(f + k) % folds for k in range(3)])))
+        value = Pipeline(stages=stages()).fit(known.where(~F.col(fold).isin(*[(f + k) % folds for k in range(3)])))
         valued = value.transform(rows.where(F.col(fold).isin(*[(f + k) % folds for k in range(3)]))).withColumn(p, F.greatest(F.col(p), F.lit(0.0)))
         valued = valued.withColumn("log_value", F.log1p(F.col(p) / REFERENCE_PRICE)).withColumn("size", F.greatest(F.abs(F.col(y) - F.col(p)), F.lit(1.0)))
         valued = written(valued.select(*rows.columns, p, "log_value", "size"), "staged-values")
-        scale = Pipeline(stages=scale_stages("size")).fit(valued.where(F.col(fold) == (f + 2) % folds))
+        scale = Pipeline(stages=scale_stages("size")).fit(summed(valued.where(F.col(fold) == (f + 2) % folds), [*inputs, "log_value"], "size", times))
         scaled = scale.transform(valued.where(F.col(fold) != (f + 2) % folds)).withColumn("scale", S.clip(F.col("scale"), *SCALE_BOUNDS))
         role = F.when(F.col(fold) == f, "validate").otherwise("calibrate").alias("role")
         return scaled.select(*rows.columns, p, "scale", F.lit(f).alias("for_fold"), role)
@@ -138,30 +149,36 @@ def staged_scale(df: DataFrame, fold: str, folds: int, y: str, stages: Callable[
         return written(reduce(DataFrame.unionByName, list(pool.map(one, range(folds)))), "staged-scales")
 
 
-def grid(df: DataFrame, fold: str, folds: int, key: str, y: str, prepare: Callable[[], list], candidates: dict[str, Callable[[], object]], out: str = "p") -> DataFrame:
-    """MOD-8/9/11: ``candidate, key, fold, y, p`` of every candidate on the same folds: features are fitted once a fold, models one after the other."""
+def grid(df: DataFrame, fold: str, folds: int, key: str, y: str, prepare: Callable[[], list], candidates: dict[str, Callable[[], object]], out: str = "p", inputs: list[str] | None = None, times: str = "n") -> DataFrame:
+    """MOD-8/9/11: ``candidate, key, fold, y, p`` of every candidate on the same folds: features are fitted once a fold, models one after the other.
+
+    With ``inputs`` features are fitted on rows :func:`summed` by them, so ``prepare`` must count a row ``times``; models always see the rows themselves.
+    """
     rows = written(df, "grid")
+    known = summed(rows, [fold, *inputs], y, times) if inputs else rows
 
     def one(f: int) -> list[DataFrame]:
         train, test = rows.where(F.col(fold) != f), rows.where(F.col(fold) == f)
-        features = Pipeline(stages=prepare()).fit(train)
+        features = Pipeline(stages=prepare()).fit(known.where(F.col(fold) != f))
         seen = written(features.transform(train).select("features", y), "grid-train")
-        asked = features.transform(test).select(key, fold, y, "features")
+        asked = written(features.transform(test).select(key, fold, y, "features"), "grid-test")
         return [make().fit(seen).transform(asked).select(F.lit(name).alias("candidate"), key, fold, y, out) for name, make in candidates.items()]
 
     with ThreadPoolExecutor(min(folds, 5)) as pool:
         return reduce(DataFrame.unionByName, [d for found in pool.map(one, range(folds)) for d in found])
 
 
-def out_of_fold(df: DataFrame, fold: str, folds: int, key: str, y: str, stages: Callable[[], list], out: str = "p", weigh: Callable[[DataFrame, int], DataFrame] | None = None) -> DataFrame:
+def out_of_fold(df: DataFrame, fold: str, folds: int, key: str, y: str, stages: Callable[[], list], out: str = "p", weigh: Callable[[DataFrame, int], DataFrame] | None = None, inputs: list[str] | None = None, times: str = "n") -> DataFrame:
     """MOD-11: ``key, fold, y, p``: every row scored by a model that was fitted without its fold. Folds run side by side.
 
-    ``weigh`` gives the training rows of a fold their weights, as a column that the stages use.
+    ``weigh`` gives the training rows of a fold their weights, as a column that the stages use. With ``inputs`` models are
+    fitted on rows :func:`summed` by them, once for all folds, so stages must count a row ``times``.
     """
     rows = written(df, "oof")
+    known = summed(rows, [fold, *inputs], y, times) if inputs else rows
 
     def one(f: int) -> DataFrame:
-        train = rows.where(F.col(fold) != f)
+        train = known.where(F.col(fold) != f)
         model = Pipeline(stages=stages()).fit(weigh(train, f) if weigh else train)
         return model.transform(rows.where(F.col(fold) == f)).select(key, fold, y, out)
 

@@ -9,13 +9,13 @@ from pyspark.ml import Estimator, Model
 from pyspark.ml.feature import OneHotEncoder, StringIndexerModel, VectorAssembler
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsReader, DefaultParamsWritable, DefaultParamsWriter, MLReadable, MLReader, MLWritable, MLWriter
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from kerbside.operators.quantiles import quantiles
 from kerbside.staging import written
 
-MISSING, INFREQUENT = "__missing__", "__infrequent__"
+MISSING, INFREQUENT, TIMES = "__missing__", "__infrequent__", "__times"
 
 
 def category(value: Column) -> Column:
@@ -28,6 +28,7 @@ class _Columns(Params):
     categorical = Param(Params._dummy(), "categorical", "categorical columns", TypeConverters.toListString)
     outputCol = Param(Params._dummy(), "outputCol", "vector of features", TypeConverters.toString)
     minFrequency = Param(Params._dummy(), "minFrequency", "rows that a category needs for a level of its own", TypeConverters.toInt)
+    timesCol = Param(Params._dummy(), "timesCol", "column with the number of rows that a row stands for", TypeConverters.toString)
     maxCategories = Param(Params._dummy(), "maxCategories", "levels of a column at most, the infrequent one included", TypeConverters.toInt)
 
 
@@ -36,31 +37,33 @@ class Preparation(Estimator, _Columns, DefaultParamsReadable, DefaultParamsWrita
 
     A category with fewer than ``minFrequency`` rows, or beyond the ``maxCategories`` most frequent (ties by
     name), falls into one infrequent level. The driver sees a median and a deviation for each number and at most
-    ``maxCategories`` labels of each category.
+    ``maxCategories`` labels of each category. With ``timesCol`` a row stands for that many: what is learned is that of the rows themselves.
     """
 
     @keyword_only
-    def __init__(self, *, numeric=None, categorical=None, outputCol="features", minFrequency=25, maxCategories=512):
+    def __init__(self, *, numeric=None, categorical=None, outputCol="features", minFrequency=25, maxCategories=512, timesCol=None):
         super().__init__()
         self._setDefault(numeric=[], categorical=[], outputCol="features", minFrequency=25, maxCategories=512)
         self._set(**{k: v for k, v in self._input_kwargs.items() if v is not None})
 
     def _fit(self, df: DataFrame) -> PreparationModel:
         numeric, categorical, most = self.getOrDefault("numeric"), self.getOrDefault("categorical"), self.getOrDefault("maxCategories")
-        rows = written(df.select(*[F.col(c).cast("double").alias(c) for c in numeric], *[category(F.col(c)).alias(c) for c in categorical]), "preparation")
+        counted = self.isDefined("timesCol")
+        rows = written(df.select(*[F.col(c).cast("double").alias(c) for c in numeric], *[category(F.col(c)).alias(c) for c in categorical], *([F.col(self.getOrDefault("timesCol")).alias(TIMES)] if counted else [])), "preparation")
         medians, scales = {}, {}
         if numeric:
-            middle = quantiles(rows, {f"q{k}": F.col(c) for k, c in enumerate(numeric)}, [0.5], stored=True).first()
+            middle = quantiles(rows, {f"q{k}": F.col(c) for k, c in enumerate(numeric)}, [0.5], weight=TIMES if counted else None, stored=True).first()
             medians = {c: float(middle[f"q{k}"][0]) if middle[f"q{k}"] and middle[f"q{k}"][0] is not None else 0.0 for k, c in enumerate(numeric)}
-            filled = rows.agg(*[F.stddev_pop(_filled(F.col(c), medians[c])).alias(f"s{k}") for k, c in enumerate(numeric)]).first()
-            scales = {c: float(filled[f"s{k}"] or 1.0) for k, c in enumerate(numeric)}
+            filled = {c: _filled(F.col(c), medians[c]) for c in numeric}
+            found = _deviations(rows, filled, TIMES) if counted else rows.agg(*[F.stddev_pop(filled[c]).alias(c) for c in numeric]).first()
+            scales = {c: float(found[c] or 1.0) for c in numeric}
         labels = {c: self._labels(rows, c, most) for c in categorical}
         model = PreparationModel(medians, scales, labels)
         return self._copyValues(model)
 
     def _labels(self, rows: DataFrame, column: str, most: int) -> list[str]:
         """The column's levels in order of their names, the infrequent one last."""
-        counts = written(rows.groupBy(F.col(column).alias("label")).agg(F.count(F.lit(1)).alias("n")), "preparation-labels")
+        counts = written(rows.groupBy(F.col(column).alias("label")).agg((F.sum(TIMES) if self.isDefined("timesCol") else F.count(F.lit(1))).alias("n")), "preparation-labels")
         total = counts.count()
         often = counts.where(F.col("n") >= self.getOrDefault("minFrequency"))
         room = most if total <= most and often.count() == total else most - 1
@@ -68,6 +71,12 @@ class Preparation(Estimator, _Columns, DefaultParamsReadable, DefaultParamsWrita
         return kept + [INFREQUENT] if len(kept) < total else kept
 
 
+def _deviations(rows: DataFrame, values: dict[str, Column], times: str) -> Row:
+    """The population deviation of each of ``values``, a row counted ``times``: around the means, which come first."""
+    means = rows.agg(*[(F.sum(v * F.col(times)) / F.sum(times)).alias(c) for c, v in values.items()]).first()
+    return rows.agg(*[F.sqrt(F.sum(F.pow(v - (means[c] or 0.0), 2) * F.col(times)) / F.sum(times)).alias(c) for c, v in values.items()]).first()
+
+
 def _filled(value: Column, median: float) -> Column:
     """A number that is there and finite, or the median."""
     return F.when(F.abs(value) < float("inf"), value).otherwise(F.lit(median))

@@ -96,6 +96,42 @@ def values_without(df: DataFrame, value: Column, by: list[str], part: str, parts
     return every.select(*[F.col(f"__g.`{c}`").alias(c) for c in by], F.col("__f").alias("without"), "n", values.alias("values"))
 
 
+def values_by_cell(df: DataFrame, value: Column, cell: list[str], weights: DataFrame, to: list[str], wanted: Callable[[Column], Column], stored: bool = False) -> DataFrame:
+    """``to...``, ``n`` (total weight) and ``values``: :func:`values_at` for every group ``to`` of ``weights`` (``to..., cell..., weight``), in which a row stands for the weight of its cell.
+
+    A cell may serve many groups. Rows are not expanded: counts of ranges, of their cells and of single values are
+    taken by cell, and only counts are multiplied and added up. Weights are rounded to nine decimals, so sums are exact in any
+    order; rows of cells without a weight above zero serve none. ``weights`` has a row for each group and cell.
+    """
+    rows = df.select(F.struct(*cell).alias("__p"), value.cast("double").alias("__x")).where(F.abs("__x") < float("inf"))
+    rows = (rows if stored else written(rows, "values")).withColumn("__a", _octave(F.col("__x")))
+    held = written(weights.select(F.struct(*to).alias("__g"), F.struct(*cell).alias("__p"), F.col("weight").cast("decimal(18,9)").alias("__w")).where("__w > 0"), "cell-weights")
+    n, total = F.count(F.lit(1)).alias("__n"), F.sum(F.col("__n").cast("decimal(18,0)") * F.col("__w")).cast("decimal(28,9)").alias("__s")
+    octaves = written(rows.groupBy("__p", "__a").agg(n, F.min("__x").alias("__lo"), F.max("__x").alias("__hi")), "octaves")
+    mine = octaves.join(held, "__p").groupBy("__g", "__a").agg(total)
+    mine = written(mine.withColumn("n", F.sum("__s").over(Window.partitionBy("__g"))), "octaves-served")
+    numbered = F.transform(wanted(F.col("n")), lambda k, i: F.struct(i.alias("pos"), k.cast("decimal(38,12)").alias("rank")))
+    first = _hits(mine, ["__g"], "__a", numbered)
+    spans = octaves.groupBy("__a").agg(F.min("__lo").alias("__lo"), F.max("__hi").alias("__hi"))
+    near = rows.join(broadcast_if_small(written(first.select("__a").distinct().join(spans, "__a"), "hit-octaves")), "__a").withColumn("__b", _place())
+    served = written(first.select("__g", "__a").join(held, "__g"), "hit-weights")
+    cells = near.groupBy("__a", "__b", "__p").agg(n).join(served, ["__a", "__p"]).groupBy("__g", "__a", "__b").agg(total)
+    second = _hits(cells.join(first, ["__g", "__a"]), ["__g", "__a"], "__b", F.col("__need"))
+    few = near.join(broadcast_if_small(written(second.select("__a", "__b").distinct(), "hit-cells")), ["__a", "__b"])
+    counted = few.groupBy("__a", "__b", "__p", "__x").agg(n).join(written(second.select("__g", "__a", "__b").join(held, "__g"), "hit-cell-weights"), ["__a", "__b", "__p"]).groupBy("__g", "__a", "__b", "__x").agg(total)
+    last = counted.join(second, ["__g", "__a", "__b"]).withColumn("__upto", F.sum("__s").over(Window.partitionBy("__g", "__a", "__b").orderBy("__x")))
+    found = last.select("__g", "__x", "__s", "__upto", F.explode("__need").alias("__k")).where((F.col("__k.rank") <= F.col("__upto")) & (F.col("__k.rank") > F.col("__upto") - F.col("__s")))
+    at = found.groupBy("__g").agg(F.map_from_entries(F.collect_list(F.struct("__k.pos", "__x"))).alias("__at"))
+    every = mine.groupBy("__g").agg(F.first("n").alias("n")).join(at, "__g", "left")
+    values = F.transform(wanted(F.col("n")), lambda k, i: F.try_element_at("__at", i))
+    return every.select(*[F.col(f"__g.`{c}`").alias(c) for c in to], "n", values.alias("values"))
+
+
+def _shares(probs: list[str]) -> Callable[[Column], Column]:
+    """The weights at which each of ``probs`` (decimals as text) is reached."""
+    return lambda n: F.array(*[(n.cast("decimal(28,9)") * F.lit(Decimal(p))).cast("decimal(38,12)") for p in probs])
+
+
 def weighted_quantiles(df: DataFrame, value: Column, by: list[str], probs: list[str], weight: Column, stored: bool = False) -> DataFrame:
     """``by...``, ``total`` and ``values``: of every group the smallest value up to which at least the share p of the weight lies, for each of ``probs`` (decimals as text).
 
@@ -103,11 +139,16 @@ def weighted_quantiles(df: DataFrame, value: Column, by: list[str], probs: list[
     rows whose weight is null or not above zero do not count.
     """
     rows = df.select(*by, value.alias("__v"), weight.cast("decimal(18,9)").alias("__w")).where("__w > 0")
-    share = lambda n: F.array(*[(n.cast("decimal(28,9)") * F.lit(Decimal(p))).cast("decimal(38,12)") for p in probs])
-    found = values_at(rows, F.col("__v"), by, share, "__w", stored, "decimal(38,12)")
+    found = values_at(rows, F.col("__v"), by, _shares(probs), "__w", stored, "decimal(38,12)")
     return found.select(*by, F.col("n").alias("total"), "values")
 
 
+def weighted_quantiles_by_cell(df: DataFrame, value: Column, cell: list[str], weights: DataFrame, to: list[str], probs: list[str], stored: bool = False) -> DataFrame:
+    """:func:`weighted_quantiles` for every group ``to`` of :func:`values_by_cell`, whose rows have the weights of their cells."""
+    found = values_by_cell(df, value, cell, weights, to, _shares(probs), stored)
+    return found.select(*to, F.col("n").alias("total"), "values")
+
+
 def _neighbours(n: Column, probs: list[float]) -> Column:
     """The two ranks around each quantile."""
     return F.flatten(F.transform(F.array(*[F.lit(float(p)) for p in probs]), lambda p: F.array(F.floor((n - 1) * p) + 1, F.ceil((n - 1) * p) + 1)))
@@ -138,8 +179,8 @@ def quantiles(df: DataFrame, values: dict[str, Column], probs: list[float], by:
     return found.withColumn("__q", _between(probs)).groupBy(*by).agg(*[F.max(F.when(F.col("__name") == k, F.col("__q"))).alias(k) for k in values])
 
 
-def with_quantiles(base: DataFrame, df: DataFrame, columns: dict[str, tuple[Column, float]], by: list[str] | None = None) -> DataFrame:
-    """``base`` (a row for each group in ``by``) with a column for each quantile (value, probability) of ``df``; null where there is no value."""
+def with_quantiles(base: DataFrame, df: DataFrame, columns: dict[str, tuple[Column, float]], by: list[str] | None = None, weight: str | None = None, stored: bool = False) -> DataFrame:
+    """``base`` (a row for each group in ``by``) with a column for each quantile (value, probability) of ``df``; null where there is no value. ``weight`` and ``stored`` are those of :func:`quantiles`."""
     by = by or []
     names: dict[str, str] = {}
     values: dict[str, Column] = {}
@@ -148,7 +189,7 @@ def with_quantiles(base: DataFrame, df: DataFrame, columns: dict[str, tuple[Colu
             names[str(value)] = f"__v{len(names)}"
             values[names[str(value)]] = value
     probs = sorted({p for _, p in columns.values()})
-    found = quantiles(df, values, probs, by)
+    found = quantiles(df, values, probs, by, weight, stored)
     found = found.select(*[F.col(c).alias(f"__by_{c}") for c in by], *[F.get(names[str(v)], F.lit(probs.index(p))).alias(name) for name, (v, p) in columns.items()])
     joined = base.join(found, [F.col(c).eqNullSafe(F.col(f"__by_{c}")) for c in by], "left") if by else base.join(F.broadcast(found.agg(*[F.first(c).alias(c) for c in columns])))
     return joined.drop(*[f"__by_{c}" for c in by])

@@ -45,6 +45,12 @@ def prepared(spark, sf):
 
 
 NUMERIC, CATEGORICAL = ["age", "mileage", "mileage_per_year", "mileage_missing"], ["make", "status"]
+INPUTS = [*NUMERIC, *CATEGORICAL]
+
+
+def counted_design(numeric=NUMERIC):
+    """The design of training rows that each stand for ``n``."""
+    return models.design(numeric, CATEGORICAL, times="n")
 
 
 def design_sql(column, offset):
@@ -108,7 +114,7 @@ def _(spark, sf):
 
 def staged(spark, sf):
     rows = prepared(spark, sf).select("row_id", "fold", *NUMERIC, *CATEGORICAL, "y")
-    return models.staged_scale(rows, "fold", FOLDS, "y", lambda: [*models.design(NUMERIC, CATEGORICAL), models.linear("y")], lambda size: [*models.design([*NUMERIC, "log_value"], CATEGORICAL), models.residual_scale(size)])
+    return models.staged_scale(rows, "fold", FOLDS, "y", lambda: [*counted_design(), models.linear("y", "n")], lambda size: [*counted_design([*NUMERIC, "log_value"]), models.residual_scale(size, "n")], INPUTS)
 
 
 @query("cnf_9_learned_scale")
@@ -223,27 +229,36 @@ ARM_ORDER = ["unweighted", "source", "source_segment"]
 SEGMENTS = {"make": (0.5, 0.85, 1.15), "status": (0.5, 0.85, 1.15)}
 
 
-def weighted_training(spark, sf):
-    """Every training row for each fold that it serves, once for each treatment: weight 1, balanced sources, and balanced sources with aligned makes and statuses. Weights come from the fold's training rows alone."""
-    rows = listings(spark, sf).select("row_id", "make", "status", "source", "fold", F.col("price").alias("y"))
-    served = written(models.serving(rows, "fold", FOLDS), "served")
-    balanced = written(mixing.source_weights(served, "source", ["for_fold"]).withColumnRenamed("weight", "start"), "balanced")
-    aligned = mixing.alignment_weights(balanced, "source", SEGMENTS, by=["for_fold"], start="start").withColumn("arm", F.lit("source_segment"))
+#: What a training row's weight depends on, besides the fold that it serves.
+CELL = ["fold", "source", "make", "status"]
+
+
+def cell_weights(rows):
+    """The weight of every cell of training rows in each fold that it serves, once for each treatment, and the number ``n`` of its rows: weight 1, balanced sources, and balanced sources with aligned makes and statuses. Weights come from the fold's training rows alone."""
+    counts = written(rows.groupBy(*CELL).agg(F.count(F.lit(1)).alias("n")), "weight-cells")
+    balanced = written(mixing.source_weights(models.serving(counts, "fold", FOLDS), "source", ["for_fold"], "n").withColumnRenamed("weight", "start"), "balanced")
+    aligned = mixing.alignment_weights(balanced, "source", SEGMENTS, by=["for_fold"], start="start", times="n").withColumn("arm", F.lit("source_segment"))
     plain = balanced.select("*", F.explode(F.array(F.struct(F.lit("unweighted").alias("arm"), F.lit(1.0).alias("weight")), F.struct(F.lit("source").alias("arm"), F.col("start").alias("weight")))).alias("x")).select(*balanced.columns, "x.*")
-    return written(plain.unionByName(aligned).select("arm", "for_fold", "row_id", "make", "status", "source", "y", F.round("weight", 9).alias("weight")), "weighted")
+    return written(plain.unionByName(aligned).select("arm", "for_fold", *CELL, "n", F.round("weight", 9).alias("weight")), "weighted")
+
+
+def weighed(spark, sf, *more):
+    """Rows with what weights depend on and ``more``, written once, and the weights of their cells."""
+    rows = written(listings(spark, sf).select(*CELL, F.col("price").alias("y"), *more), "weighed")
+    return rows, cell_weights(rows)
 
 
 def treatments(spark, sf):
     """What the gates compare, one row for each treatment: errors of weighted medians on the same folds, and how far its weights go."""
-    weighted = weighted_training(spark, sf)
-    asked = listings(spark, sf).select("row_id", "make", "source", "fold", F.col("price").alias("y"))
+    asked, weights = weighed(spark, sf)
     e = F.abs(F.col("p") - F.col("y"))
-    rows = written(mixing.weighted_predictions(asked, weighted, "fold", "make", "y").select("arm", "fold", "source", "y", e.alias("e")), "treatments")
-    parts = rows.groupBy("arm", "fold", "source").agg(F.count(F.lit(1)).alias("n"), F.sum("e").alias("s"), F.sum(F.col("e") * F.col("e")).alias("q"), F.count_if(F.col("y") >= 60_000).alias("hn"), F.sum(F.when(F.col("y") >= 60_000, F.col("e"))).alias("hs"))
+    # Errors are made again from the narrow rows in each pass, and not written once for each treatment.
+    rows = mixing.weighted_predictions_by_cell(asked, weights, CELL, "fold", "make", "y", stored=True).select("arm", "fold", "source", "y", e.alias("e"))
+    parts = written(rows.groupBy("arm", "fold", "source").agg(F.count(F.lit(1)).alias("n"), F.sum("e").alias("s"), F.sum(F.col("e") * F.col("e")).alias("q"), F.count_if(F.col("y") >= 60_000).alias("hn"), F.sum(F.when(F.col("y") >= 60_000, F.col("e"))).alias("hs")), "treatments")
     total = parts.groupBy("arm").agg((F.sum("s") / F.sum("n")).alias("pooled"), F.sqrt(F.sum("q") / F.sum("n")).alias("rmse"), (F.sum("hs") / F.sum("hn")).alias("high_price_mae"))
     worst = lambda by, name: parts.groupBy("arm", by).agg((F.sum("s") / F.sum("n")).alias("m")).groupBy("arm").agg(F.max("m").alias(name))
-    wide = with_quantiles(total, rows, {"p90_ae": (F.col("e"), 0.9)}, ["arm"]).join(worst("fold", "worst_fold"), "arm").join(worst("source", "source_worst"), "arm")
-    effect = mixing.weight_diagnostics(weighted, ["arm", "for_fold"]).groupBy("arm").agg(F.min("effective_share").alias("effective_share"), F.max("max").alias("max_weight"))
+    wide = with_quantiles(total, rows, {"p90_ae": (F.col("e"), 0.9)}, ["arm"], stored=True).join(worst("fold", "worst_fold"), "arm").join(worst("source", "source_worst"), "arm")
+    effect = mixing.weight_diagnostics(weights, ["arm", "for_fold"], "n").groupBy("arm").agg(F.min("effective_share").alias("effective_share"), F.max("max").alias("max_weight"))
     held = wide.join(effect, "arm")
     return written(rounded(rounded(held, "pooled", "rmse", "high_price_mae", "p90_ae", "worst_fold", "source_worst"), "effective_share", "max_weight", digits=6), "treatment-metrics")
 
@@ -268,8 +283,8 @@ s AS (SELECT o.arm, l.row_id, l.source, l.fold, l.y, o.p FROM listings l JOIN o
 @query("mod_20_weighted_medians", WEIGHTED + " SELECT arm, row_id, p FROM s")
 def _(spark, sf):
     """Predictions of the three treatments; every make is in every training set."""
-    asked = listings(spark, sf).select("row_id", "make", "fold")
-    return mixing.weighted_predictions(asked, weighted_training(spark, sf), "fold", "make", "y").select("arm", "row_id", "p")
+    rows, weights = weighed(spark, sf, "row_id")
+    return mixing.weighted_predictions_by_cell(rows, weights, CELL, "fold", "make", "y", stored=True).select("arm", "row_id", "p")
 
 
 @query("mod_20_weighting_decision", WEIGHTED + """, x AS (SELECT *, abs(p - y) AS e FROM s),
@@ -289,12 +304,13 @@ def _(spark, sf):
 @query("mod_20_weighted_linear")
 def _(spark, sf):
     """The linear model of every treatment on the same folds, its training rows weighted; errors by treatment and fold."""
-    rows = prepared(spark, sf)
-    weights = weighted_training(spark, sf).select("arm", "for_fold", F.col("row_id").alias("__id"), "weight")
+    rows = written(prepared(spark, sf).select("row_id", "fold", "source", *INPUTS, "y"), "weighted-linear")
+    weights = cell_weights(rows).drop("n")
     found = None
     for arm in ARM_ORDER:
         mine = weights.where(F.col("arm") == arm)
-        each = models.out_of_fold(rows, "fold", FOLDS, "row_id", "y", lambda: [*models.design(NUMERIC, CATEGORICAL), models.linear("y", "weight")], weigh=lambda train, f: train.join(mine.where(F.col("for_fold") == f).select("__id", "weight"), F.col("row_id") == F.col("__id")))  # noqa: B023
+        weigh = lambda train, f: train.join(mine.where(F.col("for_fold") == f).select(F.struct(*CELL).alias("__cell"), "weight"), F.struct(*CELL) == F.col("__cell")).withColumn("times", F.col("n") * F.col("weight"))  # noqa: B023, E731
+        each = models.out_of_fold(rows, "fold", FOLDS, "row_id", "y", lambda: [*counted_design(), models.linear("y", "times")], weigh=weigh, inputs=["source", *INPUTS])
         each = each.withColumn("arm", F.lit(arm))
         found = each if found is None else found.unionByName(each)
     return tidy(evaluate.regression_metrics(found, by=["arm", "fold"]))

@@ -10,7 +10,7 @@ from pyspark.ml import Pipeline
 from pyspark.sql import functions as F
 
 from kerbside.operators import conformal, dedupe, mixing, models, preparation, splits
-from kerbside.operators.quantiles import quantiles_without, values_without, weighted_quantiles
+from kerbside.operators.quantiles import quantiles_without, values_without, weighted_quantiles, weighted_quantiles_by_cell
 from kerbside.plans.learning import CATEGORICAL, NUMERIC, prepared, staged
 from kerbside.sources import cards
 from kerbside.staging import fresh_dir, mark, release, written
@@ -244,3 +244,50 @@ def test_models_see_prepared_features(spark):
     assert rows.where("mileage is null").count() > 0
     model = models.design(NUMERIC, CATEGORICAL)[0].fit(rows)
     assert model.transform(rows).count() == rows.count()
+
+
+# Work that does not grow with arms and folds
+
+
+def test_weighted_medians_by_cell_equal_those_of_rows(spark):
+    rng = random.Random(8)
+    rows = [(rng.choice(["a", "b", None]), rng.choice(["x", "y"]), rng.choice([1.0, 2.5, 900.0, rng.lognormvariate(4, 2), None, float("nan")])) for _ in range(500)]
+    weights = [(arm, g, s, w) for arm in ("m", "n") for g, s, w in [("a", "x", 0.25), ("a", "y", 1.333333333), (None, "x", 2.0), (None, "y", 0.0), ("b", "x", 1.0 if arm == "m" else None)]]
+    df, held = spark.createDataFrame(rows, "g string, s string, v double"), spark.createDataFrame(weights, "arm string, g string, s string, weight double")
+    found = weighted_quantiles_by_cell(df, F.col("v"), ["g", "s"], held, ["arm", "g"], ["0.2", "0.5"]).collect()
+    whole = df.join(held.withColumnRenamed("g", "__g").withColumnRenamed("s", "__s"), F.col("g").eqNullSafe(F.col("__g")) & (F.col("s") == F.col("__s")))
+    want = weighted_quantiles(whole, F.col("v"), ["arm", "g"], ["0.2", "0.5"], F.col("weight")).collect()
+    assert {(r.arm, r.g): (r.total, r["values"]) for r in found} == {(r.arm, r.g): (r.total, r["values"]) for r in want} and len(found) == 5
+
+
+def test_counted_rows_have_the_weights_of_rows(spark):
+    cells = [("s", "x", 30), ("s", "y", 10), (None, "x", 5), (None, "y", 15)]
+    counted = spark.createDataFrame(cells, "source string, d string, n long")
+    plain = counted.select("source", "d", F.explode(F.expr("sequence(1, n)")).alias("k"))
+
+    def weights(df, times=None):
+        start = mixing.source_weights(df, "source", times=times).withColumnRenamed("weight", "start")
+        return mixing.alignment_weights(start, "source", {"d": (0.5, 0.85, 1.15)}, start="start", prior=0.0, times=times)
+
+    found, want = weights(counted, "n"), weights(plain)
+    assert {(r.source, r.d): r.weight for r in found.collect()} == {k: pytest.approx(v) for k, v in {(r.source, r.d): r.weight for r in want.collect()}.items()}
+    a, b = mixing.weight_diagnostics(found, ["source"], "n").collect(), mixing.weight_diagnostics(want, ["source"]).collect()
+    assert {r.source: r.asDict() for r in a} == {r.source: {k: v if isinstance(v, (str, type(None))) else pytest.approx(v) for k, v in r.asDict().items()} for r in b}
+
+
+def test_models_of_summed_rows_are_those_of_rows(spark):
+    rng = random.Random(5)
+    rows = []
+    for k in range(1500):
+        x, c = rng.choice([1.0, 2.0, 5.0, None]), rng.choice(["a", "b", "b", None])
+        rows.append((k, k % 3, x, c, (3.0 + 2.0 * (x or 1.5) + (c == "b")) * rng.lognormvariate(0, 0.4)))
+    df = spark.createDataFrame(rows, "k int, fold int, x double, c string, y double")
+    for model, out in ((models.linear, "p"), (models.residual_scale, "scale")):
+        plain = models.out_of_fold(df, "fold", 3, "k", "y", lambda: [*models.design(["x"], ["c"]), model("y")], out)  # noqa: B023
+        few = models.out_of_fold(df, "fold", 3, "k", "y", lambda: [*models.design(["x"], ["c"], times="n"), model("y", "n")], out, inputs=["x", "c"])  # noqa: B023
+        a, b = ({r.k: r[out] for r in f.collect()} for f in (plain, few))
+        assert len(b) == 1500 and b == pytest.approx(a, rel=1e-5)
+    counted = models.summed(df, ["x", "c"], "y")
+    assert counted.count() == 12 and counted.agg(F.sum("n")).first()[0] == 1500
+    a, b = models.design(["x"], ["c"])[0].fit(df), models.design(["x"], ["c"], times="n")[0].fit(counted)
+    assert (b.medians, b.labels) == (a.medians, a.labels) and b.scales == pytest.approx(a.scales)
