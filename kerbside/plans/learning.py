@@ -83,13 +83,13 @@ def _(spark, sf):
 
 
 def oof_metrics(spark, sf, candidates):
-    found = models.grid(prepared(spark, sf), "fold", FOLDS, "row_id", "y", lambda: models.design(NUMERIC, CATEGORICAL), candidates)
+    found = models.grid(prepared(spark, sf), "fold", FOLDS, "row_id", "y", counted_design, candidates, inputs=INPUTS)
     return tidy(evaluate.regression_metrics(found, by=["candidate", "fold"]))
 
 
 @query("mod_7_11_linear_out_of_fold")
 def _(spark, sf):
-    found = models.out_of_fold(prepared(spark, sf), "fold", FOLDS, "row_id", "y", lambda: [*models.design(NUMERIC, CATEGORICAL), models.linear("y")])
+    found = models.out_of_fold(prepared(spark, sf).select("row_id", "fold", *INPUTS, "y"), "fold", FOLDS, "row_id", "y", lambda: [*counted_design(), models.linear("y", "n")], inputs=INPUTS)
     return tidy(evaluate.regression_metrics(found, by=["fold"]))
 
 
@@ -107,8 +107,8 @@ def _(spark, sf):
 
 @query("mod_10_residual_scale")
 def _(spark, sf):
-    rows = prepared(spark, sf).withColumn("size", F.greatest("score", F.lit(1.0)))
-    found = models.out_of_fold(rows, "fold", FOLDS, "row_id", "size", lambda: [*models.design(NUMERIC, CATEGORICAL), models.residual_scale("size")], "scale")
+    rows = prepared(spark, sf).select("row_id", "fold", *INPUTS, F.greatest("score", F.lit(1.0)).alias("size"))
+    found = models.out_of_fold(rows, "fold", FOLDS, "row_id", "size", lambda: [*counted_design(), models.residual_scale("size", "n")], "scale", inputs=INPUTS)
     return found.withColumn("scale", S.clip(F.col("scale"), 500.0, 250_000.0)).groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("scale"), 2).alias("mean_scale"))
 
 
@@ -129,8 +129,8 @@ def _(spark, sf):
 
 @query("mod_12_holdout")
 def _(spark, sf):
-    rows = prepared(spark, sf)
-    found = models.holdout(rows.where("fold <> 0"), rows.where("fold = 0"), "row_id", "y", [*models.design(NUMERIC, CATEGORICAL), models.linear("y")])
+    rows = written(prepared(spark, sf).select("row_id", "fold", *INPUTS, "y"), "holdout")
+    found = models.holdout(models.summed(rows.where("fold <> 0"), INPUTS, "y"), rows.where("fold = 0"), "row_id", "y", [*counted_design(), models.linear("y", "n")])
     return tidy(evaluate.regression_metrics(found))
 
 
@@ -336,8 +336,8 @@ def _(spark, sf):
     """A model of folds 1, 2 and 4, calibrated on fold 3, values every row of fold 0: no fold is left out."""
     from kerbside.operators import conformal
 
-    rows = written(prepared(spark, sf), "scoring")
-    fitted = models.holdout(rows.where("fold in (1, 2, 4)"), rows.where("fold in (0, 3)"), "row_id", "y", [*models.design(NUMERIC, CATEGORICAL), models.linear("y")])
+    rows = written(prepared(spark, sf).select("row_id", "fold", *INPUTS, "y"), "scoring")
+    fitted = models.holdout(models.summed(rows.where("fold in (1, 2, 4)"), INPUTS, "y"), rows.where("fold in (0, 3)"), "row_id", "y", [*counted_design(), models.linear("y", "n")])
     placed = fitted.join(rows.select("row_id", "status", "fold").dropDuplicates(["row_id"]), "row_id").withColumn("score", F.abs(F.col("p") - F.col("y")))
     radii = conformal.fit_radii(placed.where("fold = 3"), "status", "score")
     return rounded(conformal.apply_intervals(placed.where("fold = 0"), radii, [("status", ["status"]), ("global", [])], 0.9).select("row_id", "p", "lower", "upper", "method"), "p", "lower", "upper", digits=2)
