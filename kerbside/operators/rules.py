@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kerbside.functions import scalars as S
+from kerbside.staging import broadcast_if_small, written
 
 Rule = tuple[str, Column]
 
@@ -55,11 +56,12 @@ def range_flags(low: Column, high: Column) -> list[Column]:
 def gate_by_permission(df: DataFrame, permissions: DataFrame, source: str, use: str, day: Column) -> DataFrame:
     """PRJ-7: ``df`` with ``approved``: a grant of this use to this source that holds on the day. Unknown sources are denied.
 
-    ``permissions`` has ``source, use, granted_from, granted_until``; a source may have several grants.
+    ``permissions`` has ``source, use, granted_from, granted_until``; a source may have several grants. They are a row for each
+    source and go to the rows, so that rows of one source do not meet in one task.
     """
     grants = permissions.where(F.col("use") == use).select(F.col("source").alias("__source"), "granted_from", "granted_until").groupBy("__source").agg(F.collect_set(F.struct("granted_from", "granted_until")).alias("__grants"))
     held = F.exists("__grants", lambda g: (day >= g["granted_from"]) & (g["granted_until"].isNull() | (day < g["granted_until"])))
-    return df.join(grants, F.col(source) == F.col("__source"), "left").withColumn("approved", F.coalesce(held, F.lit(False))).drop("__source", "__grants")
+    return df.join(broadcast_if_small(written(grants, "grants")), F.col(source) == F.col("__source"), "left").withColumn("approved", F.coalesce(held, F.lit(False))).drop("__source", "__grants")
 
 
 def training_exclusion(kind: Column, currency: Column, kinds: list[str], wanted: str = "USD") -> Column:
@@ -94,8 +96,11 @@ def url_violation(url: Column, allowed: Callable[[Column], Column], prefix: str,
 
 
 def provenance_violations(rows: DataFrame, run: DataFrame, columns: list[str]) -> DataFrame:
-    """PRJ-13: rows whose provenance is not the run's (one row of ``run`` for each ``run_id``), with the first column that differs."""
-    other = run.select(F.col("run_id").alias("__run"), *[F.col(c).alias(f"__{c}") for c in columns])
+    """PRJ-13: rows whose provenance is not the run's (one row of ``run`` for each ``run_id``), with the first column that differs.
+
+    Runs go to the rows, so that rows of one run do not meet in one task.
+    """
+    other = broadcast_if_small(written(run.select(F.col("run_id").alias("__run"), *[F.col(c).alias(f"__{c}") for c in columns]), "runs"))
     reason = first_failure([(c, ~F.col(c).eqNullSafe(F.col(f"__{c}"))) for c in columns])
     joined = rows.join(other, F.col("run_id") == F.col("__run"), "left")
     return joined.withColumn("differs", F.when(F.col("__run").isNull(), "run_id").otherwise(reason)).where("differs is not null").select(*rows.columns, "differs")

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kerbside.operators import conformal, dedupe, integrity, mixing, models, profile, relate, splits
+from kerbside.operators import conformal, dedupe, integrity, mixing, models, profile, relate, rules, splits
 from kerbside.operators.quantiles import quantiles, running_sums, values_at
 from kerbside.plans import registry
 from kerbside.plans.bindings import listings
@@ -282,3 +282,38 @@ def test_staging_wants_a_shared_folder(spark, monkeypatch):
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared_dir(Remote)
+
+
+def _rows_by_key(df):
+    """Whether a join of the plan deals the rows of ``df`` out by its key."""
+    return "SortMergeJoin" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rows_of_one_source_do_not_meet_in_a_task(spark):
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with sizes that Spark does not know
+    try:
+        rows = spark.createDataFrame([("F", 1), ("O", 2), (None, 3)], "source string, day int")
+        grants = spark.createDataFrame([("F", "training", 0, 2), ("F", "training", 5, None)], "source string, use string, granted_from int, granted_until int")
+        gated = rules.gate_by_permission(rows, grants, "source", "training", F.col("day"))
+        runs = spark.createDataFrame([("F", 1)], "run_id string, day int")
+        wrong = rules.provenance_violations(rows.withColumnRenamed("source", "run_id"), runs, ["day"])
+        weights = mixing.alignment_weights(rows, "source", {"day": (0.5, 0.85, 1.15)})
+        assert not any(_rows_by_key(d) for d in (gated, wrong, weights))
+        assert {r.day: r.approved for r in gated.collect()} == {1: True, 2: False, 3: False}
+        assert {r.day: r.differs for r in wrong.collect()} == {2: "run_id", 3: "run_id"} and weights.count() == 3
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+def test_a_profile_reads_its_table_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(x):
+        seen.add(1)
+        return x
+
+    rows = spark.createDataFrame([("s", "a", 1.0), ("s", "b", 2.0), ("t", "a", None)], "source string, make string, price double").withColumn("make", counted("make"))
+    found = profile.source_profile(rows, "source", {"make": "make"}, "price", ["make"], F.lit(None).cast("string")).collect()
+    assert seen.value == 3 and {(r.source, r.name): r.value for r in found if r.part == "distinct"} == {("s", "make"): 2, ("t", "make"): 1}
