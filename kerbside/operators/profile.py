@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from kerbside.functions.scalars import is_missing, percent, zip_ok
 from kerbside.operators.quantiles import quantiles, with_quantiles
+from kerbside.staging import written
 
 PROBS = [0.01, 0.25, 0.5, 0.75, 0.95, 0.99]
 
@@ -106,15 +107,16 @@ def source_profile(df: DataFrame, by: str, mapping: dict[str, str | None], numer
 
     Parts: ``accounting`` (read, accepted, and rejected by reason), ``mapping`` (percent of rows that have each
     mapped field; unmapped ones 0), ``distribution`` of a number, ``distinct`` values of categories and ``top``
-    values (the ``k`` most frequent). Each part is one aggregate over all sources.
+    values (the ``k`` most frequent). Each part is one aggregate over all sources; the columns that they need are written once.
     """
-    rows = df.withColumn("__reason", F.coalesce(reason, F.lit("accepted")))
+    used = dict.fromkeys([by, *[c for c in mapping.values() if c], numeric, *categorical])
+    rows = written(df.select(*used, F.coalesce(reason, F.lit("accepted")).alias("__reason")), "profile")
     entry = lambda part, name, value: F.struct(F.lit(part).alias("part"), name.alias("name"), value.cast("double").alias("value"))
     long = lambda d, pairs: d.select(F.col(by).alias("source"), F.explode(F.array(*pairs)).alias("x")).select("source", "x.*")
     counts = rows.groupBy(by).agg(F.count(F.lit(1)).alias("__n"), *[(F.count_if(~is_missing(F.col(c))) if c else F.lit(0)).alias(f"__{f}") for f, c in mapping.items()])
     reasons = rows.groupBy(by, "__reason").agg(F.count(F.lit(1)).alias("__c"))
     d = distribution(rows, numeric, [by])
-    levels = df.select(by, F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in categorical])).alias("x")).select(by, "x.*").where(~is_missing(F.col("v")))
+    levels = rows.select(by, F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in categorical])).alias("x")).select(by, "x.*").where(~is_missing(F.col("v")))
     sizes = levels.groupBy(by, "c", "v").agg(F.count(F.lit(1)).alias("__c"))
     top = sizes.withColumn("__r", F.row_number().over(Window.partitionBy(by, "c").orderBy(F.desc("__c"), "v"))).where(F.col("__r") <= k)
     parts = [
