@@ -20,6 +20,14 @@ def seeded_digest(seed: str, *columns: Column) -> Column:
 BUCKET_ROWS = 100_000
 
 
+def _digits(n: int) -> int:
+    """Leading digest digits that keep a bucket of ``n`` rows below ``BUCKET_ROWS`` on average."""
+    digits = 1
+    while digits < 8 and n > BUCKET_ROWS * 16**digits:
+        digits += 1
+    return digits
+
+
 def prefix_sums(df: DataFrame, by: list[str], digest: str, value: str, digits: int | None = None) -> DataFrame:
     """``df`` with ``running`` and ``rank`` (inclusive) of its rows in digest order within ``by``; nulls in ``by`` are values.
 
@@ -28,9 +36,7 @@ def prefix_sums(df: DataFrame, by: list[str], digest: str, value: str, digits: i
     many as keep a bucket below ``BUCKET_ROWS``.
     """
     if digits is None:
-        digits, n = 1, df.count()
-        while digits < 8 and n > BUCKET_ROWS * 16**digits:
-            digits += 1
+        digits = _digits(df.count())
     rows = df.withColumn("__bucket", F.substring(digest, 1, digits))
     buckets = rows.groupBy(*by, "__bucket").agg(F.sum(value).alias("__v"), F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy(*by).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -243,10 +249,18 @@ def value_decile(df: DataFrame, value: str, name: str = "decile", upper: bool =
 def stratified_sample(df: DataFrame, key: str, stratum: str, quotas: DataFrame, seed: str) -> DataFrame:
     """SPL-15: the ``quota`` rows of each stratum with the smallest digests; quotas that grow give nested samples.
 
-    Only keys are ranked, in digest buckets of a stratum, and rows are joined with those that were chosen: ``key`` is unique.
-    A null stratum is one like others; strata without a quota give no rows.
+    Keys are counted by digest bucket of a stratum, and only those of buckets that begin within the quota are ranked; rows are joined with
+    those that were chosen: ``key`` is unique. A null stratum is one like others; strata without a quota give no rows. ``df`` is read
+    four times: it should be written.
     """
-    keys = df.select(F.col(key).alias("__key"), F.col(stratum).alias("__stratum")).withColumn("__digest", seeded_digest(seed, F.col("__key"))).withColumn("__one", F.lit(1).cast("long"))
-    limits = quotas.select(F.col(stratum).alias("__of"), "quota")
-    ranked = prefix_sums(keys, ["__stratum"], "__digest", "__one").join(limits, F.col("__stratum").eqNullSafe(F.col("__of")))
-    return df.join(ranked.where(F.col("rank") <= F.col("quota")).select("__key"), F.col(key).eqNullSafe(F.col("__key"))).drop("__key")
+    keys = df.select(F.col(key).alias("__key"), F.col(stratum).alias("__stratum"), seeded_digest(seed, F.col(key)).alias("__digest"))
+    keys = keys.withColumn("__bucket", F.substring("__digest", 1, _digits(df.count())))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy("__stratum").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = keys.groupBy("__stratum", "__bucket").agg(F.count(F.lit(1)).alias("__n")).withColumn("__n0", before)
+    limits = quotas.select(F.col(stratum).alias("__limited"), "quota")
+    hit = starts.join(limits, F.col("__stratum").eqNullSafe(F.col("__limited"))).where(F.col("__n0") < F.col("quota"))
+    hit = broadcast_if_small(written(hit.select(F.col("__stratum").alias("__of"), F.col("__bucket").alias("__b"), "__n0", "quota"), "sample-buckets"))
+    near = keys.join(hit, (F.col("__bucket") == F.col("__b")) & F.col("__stratum").eqNullSafe(F.col("__of")))
+    rank = F.row_number().over(Window.partitionBy("__stratum", "__bucket").orderBy("__digest")) + F.col("__n0")
+    chosen = broadcast_if_small(written(near.withColumn("__rank", rank).where(F.col("__rank") <= F.col("quota")).select("__key"), "sample-keys"))
+    return df.join(chosen, F.col(key).eqNullSafe(F.col("__key"))).drop("__key")

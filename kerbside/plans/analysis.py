@@ -425,7 +425,7 @@ def nested_samples(rows):
 @query("spl_15_nested_stratified_sample", nested_sql_of(CELLS))
 def _(spark, sf):
     """Strata of make, year and price decile; the sample of 400 lies within that of 997."""
-    return nested_samples(splits.value_decile(listings(spark, sf).select("row_id", "make", "year", "price"), "price").select("row_id", F.concat_ws("|", "make", "year", "decile").alias("cell")))
+    return nested_samples(splits.value_decile(written(listings(spark, sf).select("row_id", "make", "year", "price"), "decile-rows"), "price").select("row_id", F.concat_ws("|", "make", "year", "decile").alias("cell")))
 
 
 MILEAGE_CELLS = """q AS (SELECT quantile_cont(mileage, [0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1]) AS q FROM listings), e AS (SELECT list_filter(list_distinct(q), lambda x: x > q[1] AND x < q[11]) AS e FROM q),
@@ -435,7 +435,7 @@ c AS (SELECT row_id, concat_ws('|', make, year, CASE WHEN mileage IS NULL THEN '
 @query("spl_15_mileage_decile_sample", nested_sql_of(MILEAGE_CELLS))
 def _(spark, sf):
     """Strata of make, year and mileage decile, a mileage on an edge in the upper one; listings without mileage are strata of their own."""
-    placed = splits.value_decile(listings(spark, sf).select("row_id", "make", "year", "mileage"), "mileage", upper=True)
+    placed = splits.value_decile(written(listings(spark, sf).select("row_id", "make", "year", "mileage"), "decile-rows"), "mileage", upper=True)
     return nested_samples(placed.select("row_id", F.concat_ws("|", "make", "year", F.coalesce(F.col("decile").cast("string"), F.lit("missing"))).alias("cell")))
 
 
@@ -443,7 +443,7 @@ def _(spark, sf):
 SELECT row_id, mileage FROM k WHERE k <= CASE WHEN mileage IS NULL THEN 50 ELSE 3 END""")
 def _(spark, sf):
     """Three listings of each mileage and fifty without one."""
-    rows = listings(spark, sf).select("row_id", "mileage")
+    rows = written(listings(spark, sf).select("row_id", "mileage"), "stratum-rows")
     quotas = rows.select("mileage").distinct().withColumn("quota", F.when(F.col("mileage").isNull(), 50).otherwise(3))
     return splits.stratified_sample(rows, "row_id", "mileage", quotas, "nulls")
 

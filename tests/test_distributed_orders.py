@@ -317,3 +317,20 @@ def test_a_profile_reads_its_table_once(spark, tmp_path):
     rows = spark.createDataFrame([("s", "a", 1.0), ("s", "b", 2.0), ("t", "a", None)], "source string, make string, price double").withColumn("make", counted("make"))
     found = profile.source_profile(rows, "source", {"make": "make"}, "price", ["make"], F.lit(None).cast("string")).collect()
     assert seen.value == 3 and {(r.source, r.name): r.value for r in found if r.part == "distinct"} == {("s", "make"): 2, ("t", "make"): 1}
+
+
+def test_samples_rank_only_what_they_may_choose(spark, monkeypatch):
+    import hashlib
+
+    monkeypatch.setattr(splits, "BUCKET_ROWS", 5)
+    rows = [(k, None if k % 3 == 0 else "a" if k % 3 == 1 else "b") for k in range(900)]
+    quotas = spark.createDataFrame([(None, 20), ("a", 3), ("c", 4)], "s string, quota int")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = splits.stratified_sample(spark.createDataFrame(rows, "k long, s string"), "k", "s", quotas, "x")
+        assert not _rows_by_key(found)
+        mine = lambda s, n: sorted((k for k, t in rows if t == s), key=lambda k: hashlib.sha256(f"x|{k}".encode()).hexdigest())[:n]
+        assert sorted(r.k for r in found.collect()) == sorted(mine(None, 20) + mine("a", 3))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
