@@ -169,6 +169,10 @@ def online_linear_by_key(df: DataFrame, key: str, at: list[str], numbers: list[s
     return _fold(_examples(df, key, at, numbers, categories, y, scale), at, lambda: Learning(numbers, categories, scale), Learning.step, Learning.result, LEARNED)
 
 
+#: Rows of a batch that are Python records at one time.
+RECORDS = 10_000
+
+
 class _Segment(StatefulProcessor):
     """Rows of a batch in order into the segment's state, which is read and written once a batch; the result so far goes out."""
 
@@ -177,8 +181,10 @@ class _Segment(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         state = self.read()
-        for row in pd.concat(list(rows), ignore_index=True).sort_values(self.at).to_dict("records"):
-            state.step(row)
+        ordered = pd.concat(list(rows), ignore_index=True).sort_values(self.at, ignore_index=True)
+        for start in range(0, len(ordered), RECORDS):
+            for row in ordered.iloc[start : start + RECORDS].to_dict("records"):
+                state.step(row)
         self.write(state)
         yield pd.DataFrame([{"key": key[0], **state.result()}])
 

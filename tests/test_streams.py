@@ -76,3 +76,35 @@ def test_interval_join_drops_state(spark):
     assert held[0] >= 200 and held[1] <= 60 and held[2] < 20
     found = Counter(r.outcome_id is None for r in spark.read.schema("outcome_id string, event_id string").parquet(f"{base}/out").where("event_id like 'e0-%' or event_id like 'e10-%'").select("outcome_id").collect())
     assert found == {False: 218, True: 2}
+
+
+def test_a_batch_is_made_into_records_in_parts():
+    import tracemalloc
+
+    import pandas as pd
+
+    class Sums(keyed._Segment):
+        def init(self, handle):
+            pass
+
+        def read(self):
+            self.seen = []
+            return self
+
+        def step(self, row):
+            self.seen.append(row["at"]) if len(self.seen) < 3 else None
+
+        def write(self, state):
+            pass
+
+        def result(self):
+            return {"n": 0}
+
+    frame = pd.DataFrame({"at": range(200_000, 0, -1), "x": 1.5, "y": 2.5})
+    held = frame.memory_usage(index=False).sum()
+    sums = Sums(["at"])
+    tracemalloc.start()
+    list(sums.handleInputRows(("k",), iter([frame]), None))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sums.seen == [1, 2, 3] and peak < 8 * held
