@@ -430,7 +430,7 @@ def in_runs(spark, name, inputs, build, schema, runs, once=False):
     parts = {k: written(rows.withColumn("__run", part(at)), f"{name}-{k}") for k, (rows, at) in inputs.items()}
     for run in range(runs):
         for k, rows in parts.items():
-            rows.where(F.col("__run") == run).drop("__run").coalesce(1).write.mode("append").parquet(f"{base}/{k}")
+            rows.where(F.col("__run") == run).drop("__run").write.mode("append").parquet(f"{base}/{k}")
         if run == runs - 1 or not once:
             run_available(lambda _: build({k: spark.readStream.schema(rows.drop("__run").schema).parquet(f"{base}/{k}") for k, rows in parts.items()}), spark.range(0), f"{base}/out", f"{base}/c")  # noqa: B023
     return spark.read.schema(schema).parquet(f"{base}/out")

@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -69,31 +69,50 @@ def match_outcomes(predictions: DataFrame, outcomes: DataFrame, approved: list[s
     return judged.join(used, F.col("event_id") == F.col("__key"), "left").select("outcome_id", "event_id", "source_id", "occurred_at", "prediction", "target", final.alias("reason_code"))
 
 
-_OUTCOME = "outcome_id string, event_id string, source_id string, at timestamp, target double, utc boolean, id_ok boolean"
+_OUTCOME = "outcome_id string, event_id string, source_id string, at timestamp, target double, utc boolean, id_ok boolean, again boolean"
+_HELD = "event_id array<string>, source_id array<string>, observed_us array<long>, prediction array<double>, features_valid array<boolean>, used array<boolean>, expires_ms array<long>"
+#: Digest buckets of ids that share a state; a checkpoint is bound to the number. A call to the state takes up to 40 ms, so they are few.
+BUCKETS = 128
+
+
+def _bucket(key: str | Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+
+
+def _firsts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Outcomes with ``again`` where the same frame has an earlier one of their id, so that a frequent id does not meet in one task."""
+    for frame in frames:
+        yield frame.assign(again=frame.sort_values(["at", "event_id"], na_position="first")["outcome_id"].duplicated())
 
 
 class IdRefusal(StatefulProcessor):
-    """STR-2: per outcome id whether it has been seen, whatever its event: all but the first by time and event are ``again``."""
+    """STR-2: per bucket the outcome ids that have been seen, whatever their event: all but an id's first by time and event are ``again``."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getValueState("seen", "yes boolean")
+        self.seen = handle.getListState("seen", "ids array<string>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        found = pd.concat(list(rows), ignore_index=True).sort_values(["at", "event_id"], na_position="first").reset_index(drop=True)
-        found["again"] = [self.seen.exists() or k > 0 for k in range(len(found))]
-        self.seen.update((True,))
-        found["outcome_id"] = key[0]
-        yield found[[c.split()[0] for c in _OUTCOME.split(", ")] + ["again"]]
+        found = pd.concat(list(rows), ignore_index=True)
+        told = found["again"].astype(bool)
+        open_ = found[~told].sort_values(["at", "event_id"], na_position="first")
+        if len(open_):
+            seen = {i for (ids,) in self.seen.get() for i in ids}
+            ids = open_["outcome_id"].map(_text)
+            again = ids.duplicated() | ids.isin(seen)
+            if not again.all():
+                self.seen.appendValue((ids[~again].tolist(),))
+            found = pd.concat([open_.assign(again=again), found[told]])
+        yield found[[c.split()[0] for c in _OUTCOME.split(", ")]]
 
     def close(self) -> None:
         pass
 
 
 class OutcomeMatcher(StatefulProcessor):
-    """STR-3/4: per event id its prediction and whether an outcome was accepted; the checks and their order are those of :func:`match_outcomes`.
+    """STR-3/4: per bucket of event ids each one's prediction and whether an outcome was accepted; the checks and their order are those of :func:`match_outcomes`.
 
-    With a time to live a timer gives up a prediction that still waits: it is reported as ``event_expired`` and late
-    outcomes are not found.
+    With a time to live a timer gives up predictions that still wait: each is reported as ``event_expired`` and late
+    outcomes are not found. A bucket has a timer for the prediction that expires next.
     """
 
     def __init__(self, approved: list[str], ttl_ms: int | None, event_time: bool):
@@ -101,38 +120,55 @@ class OutcomeMatcher(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.held = handle.getValueState("held", "source_id string, observed_us long, prediction double, features_valid boolean")
-        self.used = handle.getValueState("used", "outcome_id string")
+        self.held = handle.getValueState("held", _HELD)
+
+    def _read(self) -> dict[str | None, list]:
+        """Event id to source, time, prediction, whether its predictors are valid, whether it has an accepted outcome, and when it expires."""
+        columns = self.held.get() or ((),) * 7
+        return {event: list(rest) for event, *rest in zip(*columns)}
+
+    def _write(self, held: dict[str | None, list]) -> None:
+        self.held.update((list(held), *map(list, zip(*held.values())))) if held else self.held.clear()
+
+    def _next(self, held: dict[str | None, list]) -> int | None:
+        return min((v[5] for v in held.values()), default=None) if self.ttl_ms is not None else None
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         both = pd.concat(list(rows), ignore_index=True)
-        out = []
-        for row in both[both["kind"] == "prediction"].sort_values(["at", "prediction"]).itertuples():
-            if not self.held.exists():
-                self.held.update((row.source_id, _micros(row.at), float(row.prediction), bool(row.ok)))
-                if self.ttl_ms is not None:
-                    now = _micros(row.at) // 1000 if self.event_time else timerValues.getCurrentProcessingTimeInMs()
-                    self.handle.registerTimer(now + self.ttl_ms)
-        held = self.held.get() if self.held.exists() else None
-        used = self.used.exists()
+        held, out, changed = self._read(), [], False
+        soonest = self._next(held)
+        for row in both[both["kind"] == "prediction"].sort_values(["at", "prediction"]).drop_duplicates("event_id").itertuples():
+            event = _text(row.event_id)
+            if event not in held:
+                now = _micros(row.at) // 1000 if self.event_time else timerValues.getCurrentProcessingTimeInMs() if self.ttl_ms is not None else 0
+                held[event] = [_text(row.source_id), _micros(row.at), float(row.prediction), bool(row.ok), False, now + (self.ttl_ms or 0)]
+                changed = True
+        ends = self._next(held)
+        if ends is not None and (soonest is None or ends < soonest):
+            self.handle.registerTimer(ends)
         for row in both[both["kind"] == "outcome"].sort_values(["at", "outcome_id"], na_position="first").itertuples():
-            reason = self._reason(row, held)
-            if reason is None and used:
+            event = _text(row.event_id)
+            made = held.get(event)
+            reason = self._reason(row, made)
+            if reason is None and made[4]:
                 reason = "duplicate_outcome"
             elif reason is None:
-                used = True
-                self.used.update((row.outcome_id,))
-            out.append((_text(row.outcome_id), key[0], _text(row.source_id), row.at, held[2] if held else None, row.target, reason))
+                made[4] = changed = True
+            out.append((_text(row.outcome_id), event, _text(row.source_id), row.at, made[2] if made else None, row.target, reason))
+        if changed:
+            self._write(held)
         yield pd.DataFrame(out, columns=_COLUMNS)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        out = []
-        if self.held.exists():
-            held = self.held.get()
-            if not self.used.exists():
-                out.append((None, key[0], held[0], pd.Timestamp(held[1], unit="us"), held[2], None, "event_expired"))
-            self.held.clear()
-            self.used.clear()
+        held, out = self._read(), []
+        now = timerValues.getCurrentWatermarkInMs() if self.event_time else timerValues.getCurrentProcessingTimeInMs()
+        for event in [e for e, v in held.items() if v[5] <= max(expiredTimerInfo.getExpiryTimeInMs(), now)]:
+            source, at, prediction, _, used, _ = held.pop(event)
+            if not used:
+                out.append((None, event, source, pd.Timestamp(at, unit="us"), prediction, None, "event_expired"))
+        self._write(held)
+        if held:
+            self.handle.registerTimer(self._next(held))
         yield pd.DataFrame(out, columns=_COLUMNS)
 
     def _reason(self, row, held) -> str | None:
@@ -164,9 +200,12 @@ def _text(value) -> str | None:
     return value if isinstance(value, str) else None
 
 
-def match_stream(predictions: DataFrame, outcomes: DataFrame, approved: list[str], ttl_ms: int | None = None, late: str | None = None) -> DataFrame:
+def match_stream(predictions: DataFrame, outcomes: DataFrame, approved: list[str], ttl_ms: int | None = None, late: str | None = None, buckets: int = BUCKETS) -> DataFrame:
     """STR-2/3/4, streaming: two stateful operators in one query, by outcome id and then by event id. Needs the RocksDB state store.
 
+    Ids share a state by digest bucket: it is read and written once a batch, not once an id, so a batch costs as much as the rows and the
+    state of the buckets that it touches. ``buckets`` should grow with the ids, so that a bucket's stay well under a million.
+
     The first refuses outcome ids that come again, for whatever event. The results are those of
     :func:`match_outcomes`, where predictions do not come later than their outcomes; within a batch rows are put in order.
     With ``ttl_ms`` predictions expire, each that waited in vain with a row ``event_expired`` that has no outcome. With ``late``
@@ -180,14 +219,16 @@ def match_stream(predictions: DataFrame, outcomes: DataFrame, approved: list[str
     p = predictions.select(F.lit("prediction").alias("kind"), "event_id", "source_id", F.col("observed_at").cast("timestamp").alias("at"), F.col("prediction").cast("double").alias("prediction"), none("string", "outcome_id"), none("double", "target"), flag(predictions, "features_valid").alias("ok"), F.lit(True).alias("id_ok"), F.lit(False).alias("again"))
     o = outcomes.select("outcome_id", "event_id", "source_id", F.col("occurred_at").cast("timestamp").alias("at"), F.col("target").cast("double").alias("target"), flag(outcomes, "utc").alias("utc"), F.coalesce(identifier_ok(F.col("outcome_id")), F.lit(False)).alias("id_ok"))
     if late is None:
-        o = o.groupBy("outcome_id").transformWithStateInPandas(IdRefusal(), _OUTCOME + ", again boolean", "append", "none")
+        o = o.mapInPandas(_firsts, _OUTCOME).withColumn("bucket", F.when(F.col("again"), _bucket("event_id", buckets)).otherwise(_bucket("outcome_id", buckets)))
+        o = o.groupBy("bucket").transformWithStateInPandas(IdRefusal(), _OUTCOME, "append", "none")
     else:
         o = o.withColumn("again", F.lit(False))
     o = o.select(F.lit("outcome").alias("kind"), "event_id", "source_id", "at", none("double", "prediction"), "outcome_id", "target", F.col("utc").alias("ok"), "id_ok", "again")
     both = p.unionByName(o)
     both = both.withWatermark("at", late) if late else both
     mode = "none" if ttl_ms is None else "eventTime" if late else "processingTime"
-    return both.groupBy("event_id").transformWithStateInPandas(OutcomeMatcher(approved, ttl_ms, late is not None), RESULT, "append", mode)
+    both = both.withColumn("bucket", _bucket("event_id", buckets))
+    return both.groupBy("bucket").transformWithStateInPandas(OutcomeMatcher(approved, ttl_ms, late is not None), RESULT, "append", mode)
 
 
 def dedupe_stream(events: DataFrame, key: str, at: str, late: str = "1 day") -> DataFrame:
