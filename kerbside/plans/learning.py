@@ -464,8 +464,10 @@ def _(spark, sf):
     first = e.where("event_type = 'view'").groupBy("user_id").agg(F.min("ts").alias("ts"), F.min_by("value", "ts").alias("value"))
     made = first.select(F.concat(F.lit("u"), "user_id").alias("event_id"), F.lit("view").alias("source_id"), F.col("ts").alias("observed_at"), F.col("value").alias("prediction"))
     seen = e.where("event_type = 'purchase'").select(F.concat(F.lit("o"), F.lpad(F.col("event_id").cast("string"), 12, "0")).alias("outcome_id"), F.concat(F.lit("u"), "user_id").alias("event_id"), F.lit("view").alias("source_id"), F.col("ts").alias("occurred_at"), F.col("value").alias("target"))
-    clock = e.where("event_type = 'view'").select(F.lit("clock").alias("event_id"), F.lit("view").alias("source_id"), F.col("ts").alias("observed_at"), F.lit(1.0).alias("prediction"))  # all views move the time on
-    found = in_runs(spark, "expiry", {"p": (made.unionByName(clock), "observed_at"), "o": (seen, "occurred_at")}, lambda s: outcomes.match_stream(s["p"], s["o"], ["view"], WAITS, "0 seconds"), outcomes.RESULT, 30 // RUN_DAYS)
+    runs = 30 // RUN_DAYS
+    last = e.where("event_type = 'view'").groupBy(part_of(F.col("ts"), runs)).agg(F.max("ts").alias("ts"))  # of a run, all of whose views move the time on
+    clock = last.select(F.lit("clock").alias("event_id"), F.lit("view").alias("source_id"), F.col("ts").alias("observed_at"), F.lit(1.0).alias("prediction"))
+    found = in_runs(spark, "expiry", {"p": (made.unionByName(clock), "observed_at"), "o": (seen, "occurred_at")}, lambda s: outcomes.match_stream(s["p"], s["o"], ["view"], WAITS, "0 seconds"), outcomes.RESULT, runs)
     return found.where("event_id <> 'clock'").groupBy(F.coalesce("reason_code", F.lit("accepted")).alias("reason_code")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("event_id").alias("users"))
 
 
