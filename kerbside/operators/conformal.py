@@ -18,14 +18,14 @@ def rank_wanted(n: Column, coverage: Column) -> Column:
     return F.ceil((n + 1).cast("double") * coverage.cast("double")).cast("long")
 
 
-def order_stats(df: DataFrame, score: str, by: list[str], coverages: tuple[float, ...] = COVERAGES, min_support: int = 0, weight: str | None = None) -> DataFrame:
+def order_stats(df: DataFrame, score: str, by: list[str], coverages: tuple[float, ...] = COVERAGES, min_support: int = 0, weight: str | None = None, stored: bool = False) -> DataFrame:
     """CNF-1: ``by, coverage, support, radius``: the k-th smallest score, k = ceil((n + 1) * coverage).
 
     The radius is null where k exceeds n or support is too small. Null and non-finite scores do not count.
-    With ``weight`` a row stands for that many scores.
+    With ``weight`` a row stands for that many scores; ``stored`` is that of :func:`values_at`.
     """
     levels = F.array(*[F.lit(float(c)) for c in coverages])
-    return _tidy(values_at(df, F.col(score), by, lambda n: F.transform(levels, lambda c: rank_wanted(n, c)), weight), by, levels, min_support)
+    return _tidy(values_at(df, F.col(score), by, lambda n: F.transform(levels, lambda c: rank_wanted(n, c)), weight, stored), by, levels, min_support)
 
 
 def _tidy(found: DataFrame, by: list[str], coverages: Column, min_support: int) -> DataFrame:
@@ -39,15 +39,15 @@ def _levels(df: DataFrame, levels: dict[str, list[str]], *keep: str) -> DataFram
     return df.select(F.explode(pairs).alias("x"), *keep).select("x.*", *keep)
 
 
-def fit_radii(df: DataFrame, by: str, score: str, min_support: int = 0, coverages: tuple[float, ...] = COVERAGES) -> DataFrame:
+def fit_radii(df: DataFrame, by: str, score: str, min_support: int = 0, coverages: tuple[float, ...] = COVERAGES, stored: bool = False) -> DataFrame:
     """CNF-2: tidy radii ``level, key, coverage, support, radius`` for each value of ``by`` and for all rows; too small ones are left out."""
-    return fit_hierarchy(df, {"global": [], by: [by]}, score, min_support, coverages).where("radius is not null")
+    return fit_hierarchy(df, {"global": [], by: [by]}, score, min_support, coverages, stored=stored).where("radius is not null")
 
 
-def fit_hierarchy(df: DataFrame, levels: dict[str, list[str]], score: str, min_support: int = 400, coverages: tuple[float, ...] = COVERAGES, weight: str | None = None) -> DataFrame:
+def fit_hierarchy(df: DataFrame, levels: dict[str, list[str]], score: str, min_support: int = 400, coverages: tuple[float, ...] = COVERAGES, weight: str | None = None, stored: bool = False) -> DataFrame:
     """CNF-3: tidy radii of several levels in one job; a radius is null where support is below the minimum or k exceeds n."""
     long = _levels(df, levels, score, *([weight] if weight else []))
-    return order_stats(long, score, ["level", "key"], coverages, min_support, weight)
+    return order_stats(long, score, ["level", "key"], coverages, min_support, weight, stored)
 
 
 def apply_intervals(df: DataFrame, radii: DataFrame, levels: list[tuple[str, list[str]]], coverage: float, p: str = "p", clip_upper: bool = False) -> DataFrame:
@@ -106,10 +106,10 @@ def crossfit_report(df: DataFrame, coverage: float, fold: str, status: str) -> D
     return interval_metrics(long, coverage, ["label"]).join(folds, F.col("label").eqNullSafe(F.col("__l"))).drop("__l")
 
 
-def scaled_intervals(df: DataFrame, scale: str, by: str, coverage: float, y: str = "y", p: str = "p") -> DataFrame:
+def scaled_intervals(df: DataFrame, scale: str, by: str, coverage: float, y: str = "y", p: str = "p", stored: bool = False) -> DataFrame:
     """CNF-9: intervals whose radius is a quantile of ``|residual| / scale`` times the row's own scale."""
     scored = df.withColumn("__score", F.abs(F.col(y) - F.col(p)) / F.col(scale))
-    radii = fit_radii(scored, by, "__score", 0, (coverage,))
+    radii = fit_radii(scored, by, "__score", 0, (coverage,), stored)
     found = lookup_with_fallback(scored, radii, [(by, [by]), ("global", [])], "radius", "support")
     r = F.col("radius") * F.col(scale)
     return found.withColumn("lower", F.greatest(F.lit(0.0), F.col(p) - r)).withColumn("upper", F.col(p) + r).withColumn("fallback", F.col("method") != by).drop("__score")
@@ -154,21 +154,32 @@ def cluster_bootstrap(df: DataFrame, group: str, num: str, den: str, replicates:
     return point.join(F.broadcast(ends)).select("ratio", end("q", 0).alias("low"), end("q", 1).alias("high"), "delta", end("d", 0).alias("delta_low"), end("d", 1).alias("delta_high"), "replicates")
 
 
-def gate_metrics(intervals: DataFrame, coverage: float, dimensions: list[str], price: str, high_price: float, min_support: int = 200) -> DataFrame:
+def gate_metrics(intervals: DataFrame, coverage: float, dimensions: list[str], price: str, high_price: float, min_support: int = 200, stored: bool = False) -> DataFrame:
     """CNF-8/11: what the gates look at, one row for each ``method`` of ``intervals``.
 
     ``slice_gap`` is the largest absolute coverage gap of a supported slice of ``dimensions``, ``high_price_gap`` the
     shortfall of coverage among rows of at least ``high_price``, ``balance`` the absolute difference of the rates
     under and over, ``fallback_rate`` the share of rows not served by their first level, ``reversed`` a count.
+    Rows are summed once, by all ``dimensions`` together; only the median reads them again (``stored``: without a copy).
     """
-    whole = interval_metrics(intervals, coverage, ["method"])
-    long = long_slices(intervals.withColumn("__m", F.col("method")), dimensions, "__m", "y", "p", "lower", "upper", "fallback")
-    inside = F.col("y").between(F.col("lower"), F.col("upper")).cast("double")
-    slices = long.groupBy(F.col("__m").alias("method"), "dimension", "label").agg(F.count(F.lit(1)).alias("n"), F.avg(inside).alias("c")).where(F.col("n") >= min_support)
+    lower, upper, truth = F.col("lower"), F.col("upper"), F.col("y")
+    width, inside = upper - lower, truth.between(lower, upper)
+    parts = intervals.groupBy("method", *dimensions, (F.col(price) >= high_price).alias("__high")).agg(
+        F.count(F.lit(1)).alias("__n"), F.count_if(inside).alias("__in"), F.count(inside).alias("__judged"), F.count_if(truth < lower).alias("__under"), F.count_if(truth > upper).alias("__over"),
+        F.count_if("fallback").alias("__fallbacks"), F.count_if(upper < lower).alias("__reversed"), F.sum(width).alias("__width"), F.count(width).alias("__widths"),
+    )
+    parts = written(parts, "gate-parts")
+    rate = lambda a, b="__n": F.try_divide(F.sum(a), F.sum(b))
+    covered = rate("__in", "__judged")
+    whole = parts.groupBy("method").agg(
+        (rate("__in") - coverage).alias("coverage_gap"), F.abs(rate("__under") - rate("__over")).alias("balance"), rate("__fallbacks").alias("fallback_rate"), F.sum("__reversed").alias("reversed"), rate("__width", "__widths").alias("mean_width"),
+    )
+    long = long_slices(parts.withColumn("__m", F.col("method")), dimensions, "__m", "__n", "__in", "__judged")
+    slices = long.groupBy(F.col("__m").alias("method"), "dimension", "label").agg(F.sum("__n").alias("n"), covered.alias("c")).where(F.col("n") >= min_support)
     worst = slices.groupBy("method").agg(F.max(F.abs(F.col("c") - coverage)).alias("slice_gap"))
-    high = intervals.where(F.col(price) >= high_price).groupBy("method").agg((coverage - F.avg(inside)).alias("high_price_gap"))
-    found = whole.join(worst, "method", "left").join(high, "method", "left")
-    return found.select("method", F.col("gap").alias("coverage_gap"), "slice_gap", "high_price_gap", F.abs(F.col("under") - F.col("over")).alias("balance"), (F.col("fallbacks") / F.col("n")).alias("fallback_rate"), "reversed", "mean_width", "median_width")
+    high = parts.where("__high").groupBy("method").agg((coverage - covered).alias("high_price_gap"))
+    found = with_quantiles(whole.join(worst, "method", "left").join(high, "method", "left"), intervals, {"median_width": (width, 0.5)}, ["method"], stored=stored)
+    return found.select("method", "coverage_gap", "slice_gap", "high_price_gap", "balance", "fallback_rate", "reversed", "mean_width", "median_width")
 
 
 def sharpness_gates(metrics: DataFrame, base: str, limits: dict[str, float]) -> DataFrame:

@@ -658,7 +658,7 @@ def _(spark, sf):
 def method_metrics(spark, sf):
     """What the gates look at for two methods: one radius for all, and one for each status."""
     rows = written(scored(spark, sf).select("make", "status", "y", "p", "score"), "methods")
-    radii = conformal.fit_radii(rows, "status", "score")
+    radii = conformal.fit_radii(rows, "status", "score", coverages=(0.9,), stored=True)
     one = conformal.apply_intervals(rows, radii, [("global", [])], 0.9).withColumn("method", F.lit("global"))
     two = conformal.apply_intervals(rows, radii, [("status", ["status"]), ("global", [])], 0.9).withColumn("method", F.lit("status"))
     m = conformal.gate_metrics(one.unionByName(two), 0.9, ["make", "status"], "y", 60_000.0, 100)
@@ -696,18 +696,18 @@ def three_methods(spark, sf):
     from kerbside.functions.scalars import smooth_scale
 
     rows = written(scored(spark, sf).select("make", "status", "fold", "y", "p", "score", F.when(F.col("price") >= 60_000, "high").otherwise("low").alias("band"), smooth_scale(F.col("prediction")).alias("scale")), "three-methods")
-    radii = conformal.fit_radii(rows, "status", "score")
+    radii = conformal.fit_radii(rows, "status", "score", coverages=(0.9,), stored=True)
     one = conformal.apply_intervals(rows, radii, [("global", [])], 0.9).withColumn("method", F.lit("global"))
     two = conformal.apply_intervals(rows, radii, [("status", ["status"]), ("global", [])], 0.9).withColumn("method", F.lit("status"))
-    three = conformal.scaled_intervals(rows, "scale", "status", 0.9).withColumn("method", F.lit("scaled"))
-    columns = ["method", "make", "status", "band", "fold", "y", "p", "lower", "upper", "radius", "fallback"]
+    three = conformal.scaled_intervals(rows, "scale", "status", 0.9, stored=True).withColumn("method", F.lit("scaled"))
+    columns = ["method", "make", "status", "band", "fold", "y", "lower", "upper", "fallback"]
     return written(one.select(*columns).unionByName(two.select(*columns)).unionByName(three.select(*columns)), "method-intervals")
 
 
 def all_gates(spark, sf):
     """The gates of CNF-8 and those against the base for the three methods, and their mean widths."""
     rows = three_methods(spark, sf)
-    m = conformal.gate_metrics(rows, 0.9, ["make", "status"], "y", 60_000.0, 100)
+    m = conformal.gate_metrics(rows, 0.9, ["make", "status"], "y", 60_000.0, 100, stored=True)
     m = written(rounded(rounded(m, "coverage_gap", "slice_gap", "high_price_gap", "balance", "fallback_rate", digits=6), "mean_width", "median_width"), "method-metrics")
     gates = conformal.sharpness_gates(m, "global", LIMITS).unionByName(conformal.regression_gates(rows, "global", "fold", FOCUS, REGRESSIONS))
     return written(gates.withColumn("observed", F.round("observed", 6)), "gates"), m.select("method", "mean_width")
