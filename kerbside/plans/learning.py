@@ -605,12 +605,14 @@ t AS (SELECT status, price AS y, f.p FROM s JOIN f USING (make) WHERE selected)
 FILES = 4
 
 
-def half_files(spark, sf, folder, which):
-    """Half of the events (by time) as ``FILES`` more files below ``folder``."""
+def half_files(spark, sf, folder):
+    """Each half of the events (by time, whose middle is found once) as ``FILES`` more files below ``folder``; yields when one is there."""
     at = F.unix_micros(F.col("ts").cast("timestamp")).cast("double")
     events = table(spark, sf, "events")
     middle = quantiles(events, {"m": at}, [0.5]).first()["m"] or [0.0]
-    events.where((at < middle[0]) == F.lit(which == 0)).repartition(FILES).write.mode("append").parquet(folder)
+    for first in (True, False):
+        events.where((at < middle[0]) == F.lit(first)).repartition(FILES).write.mode("append").parquet(folder)
+        yield first
 
 
 def match_events(source: DataFrame) -> DataFrame:
@@ -629,8 +631,7 @@ def _(spark, sf):
 
     base, schema = fresh_dir(spark, "stream"), table(spark, sf, "events").schema
     read = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", FILES).parquet(f"{base}/in")
-    for which in (0, 1):
-        half_files(spark, sf, f"{base}/in", which)
+    for _ in half_files(spark, sf, f"{base}/in"):
         run_available(match_events, read(), f"{base}/restarted", f"{base}/c1")
     run_available(match_events, read(), f"{base}/whole", f"{base}/c2")
     count = lambda name: spark.read.parquet(f"{base}/{name}").groupBy(F.coalesce("reason_code", F.lit("accepted")).alias("reason_code")).agg(F.count(F.lit(1)).alias(name))

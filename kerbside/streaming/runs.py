@@ -8,17 +8,30 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_CHANGELOG = "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled"
+_PARTITIONS = "spark.sql.shuffle.partitions"
+#: Partitions of a state on few cores. Opening and committing one takes a task about half a second a batch, whatever it holds.
+STATE_PARTITIONS = 12
 
 
 @contextmanager
 def rocksdb(spark: SparkSession) -> Iterator[None]:
-    """Keyed state in RocksDB while inside, as ``transformWithState`` needs."""
-    before = spark.conf.get(_PROVIDER)
-    spark.conf.set(_PROVIDER, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    """Keyed state in RocksDB while inside, as ``transformWithState`` needs; a batch commits what changed.
+
+    A stream that begins here has as many state partitions as the cluster has cores, at least ``STATE_PARTITIONS``, but
+    no more than the session's shuffle partitions: those follow the size of tables, a batch's state does not. A checkpoint
+    keeps the number that it began with.
+    """
+    few = min(int(spark.conf.get(_PARTITIONS)), max(STATE_PARTITIONS, spark.sparkContext.defaultParallelism))
+    wanted = {_PROVIDER: "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", _CHANGELOG: "true", _PARTITIONS: str(few)}
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(_PROVIDER, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def run_available(build: Callable[[DataFrame], DataFrame], source: DataFrame, out: str, checkpoint: str) -> None:
