@@ -609,7 +609,7 @@ def half_files(spark, sf, folder):
     """Each half of the events (by time, whose middle is found once) as ``FILES`` more files below ``folder``; yields when one is there."""
     at = F.unix_micros(F.col("ts").cast("timestamp")).cast("double")
     events = table(spark, sf, "events")
-    middle = quantiles(events, {"m": at}, [0.5]).first()["m"] or [0.0]
+    middle = quantiles(events, {"m": at}, [0.5], stored=True).first()["m"] or [0.0]
     for first in (True, False):
         events.where((at < middle[0]) == F.lit(first)).repartition(FILES).write.mode("append").parquet(folder)
         yield first
@@ -627,12 +627,15 @@ def match_events(source: DataFrame) -> DataFrame:
 def _(spark, sf):
     """Reasons of the stateful matcher over two batches in one run, and over the same two with a stop between them."""
     from kerbside.staging import fresh_dir
-    from kerbside.streaming.runs import run_available
+    from kerbside.streaming.runs import run_available, start_available
 
     base, schema = fresh_dir(spark, "stream"), table(spark, sf, "events").schema
     read = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", FILES).parquet(f"{base}/in")
-    for _ in half_files(spark, sf, f"{base}/in"):
-        run_available(match_events, read(), f"{base}/restarted", f"{base}/c1")
-    run_available(match_events, read(), f"{base}/whole", f"{base}/c2")
+    for first in half_files(spark, sf, f"{base}/in"):
+        if first:
+            run_available(match_events, read(), f"{base}/restarted", f"{base}/c1")
+    # The run that goes on and the whole one share nothing but the files, so one plans while the other works.
+    for begun in [start_available(match_events, read(), f"{base}/{out}", f"{base}/{kept}") for out, kept in (("restarted", "c1"), ("whole", "c2"))]:
+        begun.awaitTermination()
     count = lambda name: spark.read.parquet(f"{base}/{name}").groupBy(F.coalesce("reason_code", F.lit("accepted")).alias("reason_code")).agg(F.count(F.lit(1)).alias(name))
     return count("whole").join(count("restarted"), "reason_code", "full_outer")
