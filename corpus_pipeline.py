@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from kerbside.llm import mixing, packing, quality, simhash, toxicity
 from kerbside.llm.registry import table, tokenizer_path
 from kerbside.llm.words import n_words
-from kerbside.staging import written
+from kerbside.staging import written, written_from_texts
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,7 +23,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def toxicity_grades(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents graded as toxic go. The model is fitted on labelled documents that are still there."""
-    return toxicity.keep_civil(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return written_from_texts(toxicity.keep_civil(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"))), "pipeline-civil")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kerbside.staging import written
+from kerbside.staging import written, written_from_texts
 
 #: Pieces of one partition at first and, in the exchange rounds, at most; bytes of text that are tokenised at a time.
 PARTITION, LARGEST, TEXT_BYTES = 8192, 1 << 19, 2 << 20
@@ -287,5 +287,5 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id
     ``fill`` are the ids of its sequence, ``sequences`` how many there are, and ``least_sequences`` the certificate: no
     packing of these pieces has fewer.
     """
-    placed, proof = pack(written(token_pieces(docs, tokenizer, capacity, end_id, remembered=remembered), "packing-pieces"), capacity)
+    placed, proof = pack(written_from_texts(token_pieces(docs, tokenizer, capacity, end_id, remembered=remembered), "packing-pieces"), capacity)
     return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "fill", F.lit(proof["sequences"]).cast("long").alias("sequences"), F.lit(proof["bound"]).cast("long").alias("least_sequences"))

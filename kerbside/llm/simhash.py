@@ -25,12 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kerbside.llm.components import component_labels
-from kerbside.staging import written
+from kerbside.staging import written, written_from_texts
 
 #: Fingerprints that one task expands at a time, and expanded values that one task compares.
 BLOCK, RANGE = 4096, 4_000_000
-#: Fingerprints whose balls are held in full at a time.
-SLICE = 256
+#: Fingerprints whose balls are held in full at a time, and passes over a block, each of which holds the keys of its part of the ranges.
+SLICE, PASSES = 256, 2
 
 
 def text_fingerprint(text: str | None, width: int = 4) -> int:
@@ -117,6 +117,20 @@ def _repeated(keys: np.ndarray) -> np.ndarray:
     return again[np.concatenate([[True], again[1:] != again[:-1]])] if len(again) else again
 
 
+def _least_member(n: int, pairs: np.ndarray) -> np.ndarray:
+    """For each of ``n`` places the least one that it is joined to; ``pairs`` are distinct, as ``a * n + b``."""
+    top = np.arange(n)
+    a, b = pairs // max(1, n), pairs % max(1, n)
+    while len(a):
+        x, y = top[a], top[b]
+        apart = x != y
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(top, np.maximum(x, y), np.minimum(x, y))
+        while (top[top] != top).any():
+            top = top[top]
+    return top
+
+
 def linked_fingerprints(fps: DataFrame, half: int = 2) -> DataFrame:
     """Edges ``src``, ``dst`` over distinct fingerprints (column ``fp``) with the components of all pairs within ``2 * half`` bits.
 
@@ -144,19 +158,29 @@ def linked_fingerprints(fps: DataFrame, half: int = 2) -> DataFrame:
 
     def keys_of(block: pd.DataFrame) -> pd.DataFrame:
         fp = block["fp"].to_numpy()
-        keys = np.empty(len(fp) * len(masks), np.uint64)
-        for a, _, some in balls(fp):
-            keys[a * len(masks) : a * len(masks) + len(some)] = some
-        keys.sort()
-        at = np.searchsorted(keys, np.arange(n_ranges + 1, dtype=np.uint64) << np.uint64(in_range))
-        rest = np.uint64((1 << in_range) - 1)
-        blobs = [_pack(keys[a:b] & rest, low, cells) for a, b in zip(at, at[1:])]
+        rest, blobs = np.uint64((1 << in_range) - 1), []
+        of_pass = math.ceil(n_ranges / PASSES)
+        for first in range(0, n_ranges, of_pass):
+            edges = np.arange(first, min(first + of_pass, n_ranges) + 1, dtype=np.uint64) << np.uint64(in_range)
+            room, n_keys = np.empty(len(fp) * len(masks), np.uint64), 0  # only what is filled takes memory
+            for _, _, some in balls(fp):
+                some = some[(some >= edges[0]) & (some < edges[-1])]
+                room[n_keys : n_keys + len(some)] = some
+                n_keys += len(some)
+            keys = room[:n_keys]
+            keys.sort()
+            at = np.searchsorted(keys, edges)
+            blobs += [_pack(keys[a:b] & rest, low, cells) for a, b in zip(at, at[1:])]
         return pd.DataFrame({"range": np.arange(n_ranges, dtype=np.int32), "block": np.int32(block["block"].iloc[0]), "keys": blobs})
 
     def repeated_keys(group: pd.DataFrame) -> pd.DataFrame:
         start = np.uint64(int(group["range"].iloc[0]) << in_range)
-        each = [_unpack(b, low, cells) for b in group["keys"]]
-        every = np.concatenate(each)
+        every = np.empty(sum(int(np.frombuffer(b, "<u8", 1)[0]) for b in group["keys"]), np.uint64)
+        at = 0
+        for b in group["keys"]:
+            keys = _unpack(b, low, cells)
+            every[at : at + len(keys)] = keys
+            at += len(keys)
         every.sort()
         again = _repeated(every)
         del every
@@ -164,7 +188,8 @@ def linked_fingerprints(fps: DataFrame, half: int = 2) -> DataFrame:
         cut = np.uint64(max(0, in_range - 22))
         slot[(again >> cut).astype(np.int64)] = True
         found = []
-        for keys in each:
+        for b in group["keys"]:  # unpacked anew: all of them at once would take as much again
+            keys = _unpack(b, low, cells)
             some = keys[slot[(keys >> cut).astype(np.int64)]]
             found.append((np.unique(some[np.isin(some, again)]) | start).astype("<u8").tobytes())
         return pd.DataFrame({"block": group["block"], "keys": found})
@@ -181,24 +206,17 @@ def linked_fingerprints(fps: DataFrame, half: int = 2) -> DataFrame:
         for a, some, keys in balls(fp):
             at = np.flatnonzero(slot[(keys >> cut).astype(np.int64)])
             at = at[np.isin(keys[at], wanted)]
-            hit.append((some[at].view(np.int64), a + at // len(masks)))
-        values, owner = (np.concatenate(x) for x in zip(*hit))
-        order = np.lexsort((owner, values))
-        values, owner = values[order], owner[order]
+            hit.append((some[at].view(np.int64), (a + at // len(masks)).astype(np.int32)))
+        values, owner = np.concatenate([v for v, _ in hit]), np.concatenate([o for _, o in hit])
+        del hit
+        order = np.argsort(values, kind="stable")  # owners come in their order
+        owner = owner[order]
+        values = values[order]
+        del order
         # Within the block: members that meet are joined, and a value goes on with one of them only.
-        root = np.arange(len(fp))
-
-        def find(x: int) -> int:
-            while root[x] != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
-
         same = np.flatnonzero(values[1:] == values[:-1])
-        for a, b in set(zip(owner[same].tolist(), owner[same + 1].tolist())):
-            a, b = find(a), find(b)
-            root[max(a, b)] = min(a, b)
-        top = np.array([find(x) for x in range(len(fp))], dtype=np.int64)
+        top = _least_member(len(fp), np.unique(owner[same].astype(np.int64) * len(fp) + owner[same + 1]))
+        del same
         joined = np.flatnonzero(top != np.arange(len(fp)))
         first = np.concatenate([[True], values[1:] != values[:-1]]) if len(values) else np.zeros(0, bool)
         v, o = values[first], top[owner[first]]
@@ -223,7 +241,7 @@ def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     itself included. Rows that repeat stay; null ids are never smallest (null if a component has no
     other); equal fingerprints are one node, however many rows have it. An empty table gives no rows.
     """
-    fps = written(fingerprints(docs, id_col, text_col, width), "simhash-fps")
+    fps = written_from_texts(fingerprints(docs, id_col, text_col, width), "simhash-fps")
     labels = component_labels(linked_fingerprints(fps, half))
     least = fps.groupBy("fp").agg(F.min(id_col).alias("least"))
     linked = written(labels.join(least, labels["node"] == least["fp"]).select("node", "label", "least"), "simhash-linked")
@@ -243,7 +261,7 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     key = F.md5(F.concat(F.coalesce(number.cast("string"), F.lit("")), F.lit("\n"), text))
     name = F.concat_ws(":", key, number.cast("string")).alias("__name")
-    fps = written(fingerprints(docs.select(name, F.col(text_col).alias("__text")), "__name", "__text", id_type="string"), "simhash-fps")
+    fps = written_from_texts(fingerprints(docs.select(name, F.col(text_col).alias("__text")), "__name", "__text", id_type="string"), "simhash-fps")
     parts = F.split("__name", ":")
     least = fps.groupBy("fp").agg(F.min(F.struct(F.get(parts, F.lit(1)).isNull().alias("none"), F.get(parts, F.lit(1)).cast("long").alias("id"), F.col("fp").alias("of"), F.get(parts, F.lit(0)).alias("key"))).alias("first"))
     labels = component_labels(linked_fingerprints(fps))

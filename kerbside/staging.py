@@ -11,10 +11,15 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of whole texts that go to a Python worker at a time. A batch is held several times over: as it grows in the JVM, on the way, and in Python.
+TEXT_BATCH = 15 << 17
+
 _own: dict[str, str] = {}
 _made: list[str] = []
 
@@ -56,6 +61,20 @@ def release(spark: SparkSession, since: int = 0) -> int:
     return gone
 
 
+@contextmanager
+def arrow_batches(spark: SparkSession, most: int) -> Iterator[None]:
+    """Arrow batches of jobs run meanwhile end at ``most`` bytes, where the session sets no size of its own. Rows are never cut."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is not None:
+        yield
+        return
+    spark.conf.set(name, most)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it again.
 
@@ -66,6 +85,12 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def written_from_texts(df: DataFrame, label: str) -> DataFrame:
+    """:func:`written`, for a table that Python workers make of whole texts: they get about ``TEXT_BATCH`` bytes at a time."""
+    with arrow_batches(df.sparkSession, TEXT_BATCH):
+        return written(df, label)
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = 10_000) -> DataFrame:
     """Hint a broadcast only if a *written* table has at most ``max_rows`` rows; else leave it to Spark's join."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df

@@ -9,9 +9,12 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
+from kerbside import staging
 from kerbside.llm import alignment, chat, html, linededup, mixing, packing, quality, registry, simhash, spelling, topk, toxicity, urls, warc
 from kerbside.llm.components import component_labels
 from kerbside.llm.words import n_words, words
@@ -517,6 +520,42 @@ def test_ball_hashing_finds_every_link(spark, monkeypatch, block):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, got.values()))
 
 
+@pytest.mark.parametrize("n,links", [(0, 0), (1, 0), (60, 25), (60, 200), (500, 490)])
+def test_least_member_of_a_block(n, links):
+    rng = random.Random(n + links)
+    pairs = {tuple(sorted(rng.sample(range(n), 2))) for _ in range(links)} | ({(k, k + 1) for k in range(n - 60, n - 1)} if n > 100 else set())
+    want = list(range(n))
+    for _ in range(n):
+        for a, b in pairs:
+            want[a] = want[b] = min(want[a], want[b])
+    codes = np.array([a * n + b for a, b in sorted(pairs, key=lambda p: rng.random())], dtype=np.int64)
+    assert simhash._least_member(n, codes).tolist() == want
+
+
+def test_workers_get_whole_texts_in_small_batches(spark, monkeypatch):
+    name, seen, real = "spark.sql.execution.arrow.maxBytesPerBatch", {}, staging.written
+    texts = spark.range(0, 4000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("0123456789"), 400).alias("text"))
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], names=["rows", "bytes"])
+
+    made = staging.written_from_texts(texts.mapInArrow(sizes, "rows long, bytes long"), "t").collect()
+    assert sum(r.rows for r in made) == 4000 and max(r.bytes for r in made) < staging.TEXT_BATCH + 5000 and spark.conf.get(name, None) is None
+    monkeypatch.setattr(staging, "written", lambda df, label: seen.update({label: spark.conf.get(name)}) or real(df, label))
+    docs = odd_docs(spark)
+    packing.pack_documents(docs, registry.tokenizer_path())
+    simhash.keep_one_of_each(docs)
+    corpus_pipeline.toxicity_grades(spark, docs, SF)
+    assert seen == dict.fromkeys(["packing-pieces", "simhash-fps", "pipeline-civil"], str(staging.TEXT_BATCH))
+    spark.conf.set(name, "1m")  # a session's own size stays
+    try:
+        staging.written_from_texts(docs, "own")
+        assert seen["own"] == spark.conf.get(name) == "1m"
+    finally:
+        spark.conf.unset(name)
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(900, 800), (800, 900), (5, 5)], "src long, dst long")
     found = {r.node: r.label for r in component_labels(edges).collect()}
