@@ -6,12 +6,15 @@ from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
+import numpy as np
 from pyspark.ml import Pipeline
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kerbside.functions import scalars as S
+from kerbside.operators import trees
 from kerbside.operators.preparation import Preparation
 from kerbside.operators.quantiles import quantiles_without
 from kerbside.operators.rules import Rule, first_failure
@@ -152,10 +155,20 @@ def staged_scale(df: DataFrame, fold: str, folds: int, y: str, stages: Callable[
 def grid(df: DataFrame, fold: str, folds: int, key: str, y: str, prepare: Callable[[], list], candidates: dict[str, Callable[[], object]], out: str = "p", inputs: list[str] | None = None, times: str = "n") -> DataFrame:
     """MOD-8/9/11: ``candidate, key, fold, y, p`` of every candidate on the same folds: features are fitted once a fold, models one after the other.
 
-    With ``inputs`` features are fitted on rows :func:`summed` by them, so ``prepare`` must count a row ``times``; models always see the rows themselves.
+    With ``inputs`` features are fitted on rows :func:`summed` by them, so ``prepare`` must count a row ``times``; models always see the rows themselves,
+    but forests see what they need of them by cell of equal inputs (:mod:`trees`), unless those are too many.
     """
+    if inputs:
+        df = df.select(*dict.fromkeys([key, fold, y, *inputs]))
     rows = written(df, "grid")
     known = summed(rows, [fold, *inputs], y, times) if inputs else rows
+    asked = {name: trees.spec(make()) for name, make in candidates.items()} if inputs else {}
+    asked = {name: a for name, a in asked.items() if a}
+    planted = _planted(rows, known, fold, folds, key, y, prepare, asked, out, inputs, times) if asked else None
+    if planted is not None:
+        candidates = {name: make for name, make in candidates.items() if name not in asked}
+        if not candidates:
+            return planted
 
     def one(f: int) -> list[DataFrame]:
         train, test = rows.where(F.col(fold) != f), rows.where(F.col(fold) == f)
@@ -165,7 +178,38 @@ def grid(df: DataFrame, fold: str, folds: int, key: str, y: str, prepare: Callab
         return [make().fit(seen).transform(asked).select(F.lit(name).alias("candidate"), key, fold, y, out) for name, make in candidates.items()]
 
     with ThreadPoolExecutor(min(folds, 5)) as pool:
-        return reduce(DataFrame.unionByName, [d for found in pool.map(one, range(folds)) for d in found])
+        return reduce(DataFrame.unionByName, [d for found in pool.map(one, range(folds)) for d in found] + ([] if planted is None else [planted]))
+
+
+def _planted(rows: DataFrame, known: DataFrame, fold: str, folds: int, key: str, y: str, prepare: Callable[[], list], asked: dict[str, trees.Spec], out: str, inputs: list[str], times: str) -> DataFrame | None:
+    """The part of :func:`grid` for forests, grown from sums by cell; none if there are too many cells or features of them for that, or rows without a fold from 0."""
+    cells = trees.numbered(known, inputs)
+    if cells is None:
+        return None
+
+    def features(f: int) -> np.ndarray | None:
+        made = Pipeline(stages=prepare()).fit(known.where(F.col(fold) != f)).transform(cells).select("cell", "features")
+        first = made.first()
+        if first["features"].size * size > trees.MOST_FEATURES:
+            return None
+        found = made.select("cell", vector_to_array("features").alias("x")).toArrow()
+        x = found.column("x").combine_chunks().flatten().to_numpy().reshape(size, -1)
+        return x[found.column("cell").to_numpy().argsort()]
+
+    size = cells.count()
+    found = trees.same(known.select(fold, times, *inputs), cells, inputs).select("cell", F.col(fold).cast("int").alias("fold"), times).toArrow()
+    if not size or found.column("fold").null_count or not set(found.column("fold").unique().to_pylist()) <= set(range(folds)):
+        return None
+    counts = np.zeros((size, folds))
+    counts[found.column("cell").to_numpy(), found.column("fold").to_numpy()] = found.column(times).to_numpy()
+    with ThreadPoolExecutor(min(folds, 5)) as pool:
+        made = list(pool.map(features, range(folds)))
+    if any(x is None for x in made):
+        return None
+    binned = lambda f, bins: trees.Binned(made[f], counts.sum(1) - counts[:, f], bins)
+    coded = trees.by_code(trees.same(rows, cells, inputs), fold, folds, key, y)
+    predicted = cells.join(trees.forests(coded, list(asked.values()), binned, size, folds), "cell").drop("cell")
+    return trees.scored(trees.same(rows, predicted, inputs), list(asked), fold, [key, fold, y], out)
 
 
 def out_of_fold(df: DataFrame, fold: str, folds: int, key: str, y: str, stages: Callable[[], list], out: str = "p", weigh: Callable[[DataFrame, int], DataFrame] | None = None, inputs: list[str] | None = None, times: str = "n") -> DataFrame:
