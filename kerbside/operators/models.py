@@ -156,7 +156,7 @@ def grid(df: DataFrame, fold: str, folds: int, key: str, y: str, prepare: Callab
     """MOD-8/9/11: ``candidate, key, fold, y, p`` of every candidate on the same folds: features are fitted once a fold, models one after the other.
 
     With ``inputs`` features are fitted on rows :func:`summed` by them, so ``prepare`` must count a row ``times``; models always see the rows themselves,
-    but forests see what they need of them by cell of equal inputs (:mod:`trees`), unless those are too many.
+    but forests and boosted trees see what they need of them by cell of equal inputs (:mod:`trees`), unless those are too many.
     """
     if inputs:
         df = df.select(*dict.fromkeys([key, fold, y, *inputs]))
@@ -182,7 +182,7 @@ def grid(df: DataFrame, fold: str, folds: int, key: str, y: str, prepare: Callab
 
 
 def _planted(rows: DataFrame, known: DataFrame, fold: str, folds: int, key: str, y: str, prepare: Callable[[], list], asked: dict[str, trees.Spec], out: str, inputs: list[str], times: str) -> DataFrame | None:
-    """The part of :func:`grid` for forests, grown from sums by cell; none if there are too many cells or features of them for that, or rows without a fold from 0."""
+    """The part of :func:`grid` for tree models, grown from sums by cell; none if there are too many cells or features of them for that, or rows without a fold from 0."""
     cells = trees.numbered(known, inputs)
     if cells is None:
         return None
@@ -208,8 +208,13 @@ def _planted(rows: DataFrame, known: DataFrame, fold: str, folds: int, key: str,
         return None
     binned = lambda f, bins: trees.Binned(made[f], counts.sum(1) - counts[:, f], bins)
     coded = trees.by_code(trees.same(rows, cells, inputs), fold, folds, key, y)
-    predicted = cells.join(trees.forests(coded, list(asked.values()), binned, size, folds), "cell").drop("cell")
-    return trees.scored(trees.same(rows, predicted, inputs), list(asked), fold, [key, fold, y], out)
+    parts = []
+    for plant, boosted in ((trees.forests, False), (trees.boosted, True)):
+        names = [name for name, a in asked.items() if bool(a.loss) == boosted]
+        if names:
+            predicted = cells.join(plant(coded, [asked[name] for name in names], binned, size, folds), "cell").drop("cell")
+            parts.append(trees.scored(trees.same(rows, predicted, inputs), names, fold, [key, fold, y], out))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def out_of_fold(df: DataFrame, fold: str, folds: int, key: str, y: str, stages: Callable[[], list], out: str = "p", weigh: Callable[[DataFrame, int], DataFrame] | None = None, inputs: list[str] | None = None, times: str = "n") -> DataFrame:

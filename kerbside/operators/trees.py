@@ -1,4 +1,4 @@
-"""Forests grown from sums by cell.
+"""Forests and boosted trees grown from sums by cell.
 
 Rows with equal inputs (a cell) fall into the same leaf of every tree. What a split gains, and what a leaf predicts, follows from
 the number of a cell's sampled rows and the sum of their targets, so the rows are only read to draw samples and to add up. Where inputs repeat
@@ -14,20 +14,22 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.regression import RandomForestRegressor
+from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kerbside.staging import written
+from kerbside.staging import TEXT_BATCH, arrow_batches, written
 
 #: Cells, and features of all cells, that are known to the driver and to every tree at most; with more of them MLlib reads the rows.
 MOST_CELLS, MOST_FEATURES = 50_000, 4_000_000
 #: Trees of a forest that one task grows, for all folds.
 BLOCK = 4
+#: Rows that are stored as one, where they are read again and again; Spark's Parquet reader holds 4,096 of those at a time.
+PACKED = 1000
 
 
 class Spec(NamedTuple):
-    """What an estimator of MLlib asks for."""
+    """What an estimator of MLlib asks for; ``loss`` is none for a forest."""
 
     trees: int
     depth: int
@@ -38,16 +40,20 @@ class Spec(NamedTuple):
     seed: int
     bins: int
     gain: float
+    loss: str | None = None
+    step: float = 1.0
 
 
 def spec(estimator: object) -> Spec | None:
-    """The spec of a forest; none for other estimators, or if something is set that is not known here."""
-    if not isinstance(estimator, RandomForestRegressor):
+    """The spec of a forest or of boosted trees; none for other estimators, or if something is set that is not known here."""
+    if not isinstance(estimator, (RandomForestRegressor, GBTRegressor)):
         return None
     at = estimator.getOrDefault
-    if any(estimator.isSet(p) for p in ("weightCol", "leafCol") if estimator.hasParam(p)) or at("minWeightFractionPerNode") > 0:
+    if any(estimator.isSet(p) for p in ("weightCol", "leafCol", "validationIndicatorCol", "thresholds") if estimator.hasParam(p)) or at("minWeightFractionPerNode") > 0:
         return None
-    return Spec(at("numTrees"), at("maxDepth"), at("minInstancesPerNode"), at("featureSubsetStrategy"), at("subsamplingRate"), at("bootstrap"), at("seed"), at("maxBins"), at("minInfoGain"))
+    boosted = isinstance(estimator, GBTRegressor)
+    common = (at("maxDepth"), at("minInstancesPerNode"), at("featureSubsetStrategy"), at("subsamplingRate"), not boosted and at("bootstrap"), at("seed"), at("maxBins"), at("minInfoGain"))
+    return Spec(at("maxIter"), *common, at("lossType"), at("stepSize")) if boosted else Spec(at("numTrees"), *common)
 
 
 def numbered(known: DataFrame, inputs: list[str]) -> DataFrame | None:
@@ -202,6 +208,16 @@ def _arrays(batch: pa.RecordBatch) -> list[np.ndarray]:
     return [code.astype(np.int32), digest.view(np.uint64), y]
 
 
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        held = _arrays(batch)
+        yield pa.RecordBatch.from_arrays([pa.array([x[k : k + PACKED].tobytes() for k in range(0, len(x), PACKED)], pa.binary()) for x in held], ["code", "digest", "y"])
+
+
+def _unpack(batch: pa.RecordBatch) -> list[np.ndarray]:
+    return [np.frombuffer(b"".join(batch.column(c).to_pylist()), kind) for c, kind in (("code", np.int32), ("digest", np.uint64), ("y", np.float64))]
+
+
 def by_code(rows: DataFrame, fold: str, folds: int, key: str, y: str) -> DataFrame:
     """``code`` (cell and fold), ``digest`` (of the key) and ``y`` of rows with their ``cell``, equal codes side by side. Ranges end anywhere, so a cell with many rows has many tasks."""
     found = rows.select((F.col("cell") * folds + F.col(fold)).cast("int").alias("code"), F.xxhash64(key).alias("digest"), F.col(y).cast("double").alias("y"))
@@ -258,6 +274,62 @@ def forests(rows: DataFrame, asked: list[Spec], binned: Callable[[int, int], Bin
     return written(planted.groupBy("cell").agg(F.array(*[F.array(*[of(k, f) for k in range(len(asked))]) for f in range(folds)]).alias("__p")), "forests")
 
 
+def boosted(rows: DataFrame, asked: list[Spec], binned: Callable[[int, int], Binned], cells: int, folds: int) -> DataFrame:
+    """As :func:`forests`, for boosted trees: ``rows`` are written, ``PACKED`` of them as one, and read once a round for all models and folds.
+
+    The first tree is fitted to the targets, each further one to what the loss pulls at (squared: twice the error; absolute: its sign), as in
+    MLlib. For squared loss that follows from number and sum; for absolute loss rows below the prediction of their cell are counted. The
+    driver holds a sum for each cell, fold and model, and grows the small trees.
+    """
+    if any(a.loss not in ("squared", "absolute") for a in asked):
+        raise ValueError("the loss is squared or absolute")
+    seen = {a.bins: [binned(f, a.bins) for f in range(folds)] for a in asked}
+    made = np.zeros((len(asked), folds, cells))
+    spark = rows.sparkSession
+    packed = written(rows.mapInArrow(_pack, "code binary, digest binary, y binary"), "packed")
+    for turn in range(max(a.trees for a in asked)):
+        going = [k for k, a in enumerate(asked) if turn < a.trees]
+        #: A column of sums for each model, or for each model and fold where rows below its prediction are counted.
+        columns = [(k, f) for k in going for f in (range(folds) if turn and asked[k].loss == "absolute" else [None])]
+        held = made[going] if turn else None
+
+        def add(batches: Iterator[pa.RecordBatch], turn=turn, going=going, columns=columns, held=held) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                codes, starts, digest, y = _by_code(*_unpack(batch))
+                drawn = {k: times(digest, asked[k], turn) for k in going}
+                n = np.column_stack([np.add.reduceat(drawn[k], starts) for k in going]).astype(np.int32)
+                long = np.diff(np.r_[starts, len(y)])
+                below = lambda k, f: y < np.repeat(held[going.index(k), f, codes // folds], long)
+                s = np.column_stack([np.add.reduceat(drawn[k] * (y if f is None else below(k, f)), starts) for k, f in columns]).astype(np.float64)
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (codes.astype(np.int32), n, s)], ["codes", "n", "s"])
+
+        n, s = np.zeros((cells * folds, len(going))), np.zeros((cells * folds, len(columns)))
+        with arrow_batches(spark, TEXT_BATCH):
+            sums = packed.mapInArrow(add, "codes binary, n binary, s binary").toArrow()
+        for some in sums.to_batches():
+            for codes, some_n, some_s in zip(*some.columns):
+                at = np.frombuffer(codes.as_buffer(), np.int32)
+                n[at] += np.frombuffer(some_n.as_buffer(), np.int32).reshape(-1, len(going))
+                s[at] += np.frombuffer(some_s.as_buffer(), np.float64).reshape(-1, len(columns))
+        n, s = n.reshape(cells, folds, -1), s.reshape(cells, folds, -1)
+        for i, k in enumerate(going):
+            a = asked[k]
+            for f in range(folds):
+                others = [g for g in range(folds) if g != f]
+                count = n[:, others, i].sum(1)
+                total = s[:, others, columns.index((k, f) if (k, f) in columns else (k, None))].sum(1)
+                if turn:
+                    total = 2 * (total - count * made[k, f]) if a.loss == "squared" else count - 2 * total
+                view = seen[a.bins][f]
+                look = per_node(a.subset, view.bins.shape[1], 1)
+                tree = grow(view, count, total, a.depth, a.least, look, a.gain, np.random.default_rng([a.seed % 2**63, turn, f]))
+                made[k, f] += tree * (a.step if turn else 1.0)
+    table = pa.table({"cell": pa.array(np.arange(cells, dtype=np.int32)), "__p": pa.array(made.transpose(2, 1, 0).tolist(), pa.list_(pa.list_(pa.float64())))})
+    return written(spark.createDataFrame(table), "boosted")
+
+
 def scored(rows: DataFrame, names: list[str], fold: str, keep: list[str], out: str) -> DataFrame:
     """``candidate, keep..., out``: ``rows`` with their cell's predictions ``__p``, once for each of ``names``, by the model that was made without their fold."""
     p: Callable[[int], Column] = lambda k: F.get(F.get("__p", F.col(fold)), F.lit(k)).alias(out)
