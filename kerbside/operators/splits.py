@@ -47,15 +47,15 @@ def prefix_sums(df: DataFrame, by: list[str], digest: str, value: str, digits: i
     return found.drop("__bucket", "__b", "__v0", "__n0", *[f"__by_{c}" for c in by])
 
 
-def closest_prefix_groups(df: DataFrame, group: list[str], stratum: str, num: int, den: int, seed: str) -> DataFrame:
-    """SPL-1: ``stratum, group..., n, selected``: the digest-ordered prefix of whole groups closest to num/den of the stratum's rows.
+def closest_prefix_groups(df: DataFrame, group: list[str], stratum: str, num: int, den: int, seed: str, times: str | None = None) -> DataFrame:
+    """SPL-1: ``stratum, group..., n, selected``: the digest-ordered prefix of whole groups closest to num/den of the stratum's rows, each of which may stand for ``times`` rows.
 
     Deviations are compared as whole numbers, ``abs(running * den - total * num)``; ties take the smaller
     prefix and the empty prefix takes part. Null groups and strata are groups and strata. Target-free.
     """
     name = "__s"
     keyed = df.withColumn(name, F.coalesce(F.col(stratum).cast("string"), F.lit("\x00")))
-    groups = written(keyed.groupBy(name, stratum, *group).agg(F.count(F.lit(1)).alias("n")).withColumn("__digest", seeded_digest(seed, F.col(stratum), *[F.col(g) for g in group])), "split-sizes")
+    groups = written(keyed.groupBy(name, stratum, *group).agg((F.sum(times) if times else F.count(F.lit(1))).alias("n")).withColumn("__digest", seeded_digest(seed, F.col(stratum), *[F.col(g) for g in group])), "split-sizes")
     ranked = written(prefix_sums(groups, [name], "__digest", "n"), "split-groups")
     totals = ranked.groupBy(name).agg(F.sum("n").alias("__total"))
     off = F.abs(F.col("running") * den - F.col("__total") * num)

@@ -31,6 +31,19 @@ def rounded(df: DataFrame, *columns: str, digits: int = 4) -> DataFrame:
     return df.withColumns({c: F.round(F.col(c), digits) for c in columns})
 
 
+def status() -> Column:
+    """A line item's status as a listing."""
+    return F.when(F.col("l_returnflag") == "A", "Certified").when(F.col("l_returnflag") == "N", "New").otherwise("Used").alias("status")
+
+
+def mileage() -> Column:
+    return F.when(F.col("l_returnflag") != "N", (F.col("l_quantity") * 1000).cast("int")).alias("mileage")
+
+
+def model() -> Column:
+    return F.concat_ws(" ", "p_type", "p_name").alias("model")
+
+
 def listings(spark: SparkSession, sf: str) -> DataFrame:
     """One listing for each line item. Every line has its order and part."""
     line = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_returnflag", "l_linestatus", "l_shipdate")
@@ -39,9 +52,9 @@ def listings(spark: SparkSession, sf: str) -> DataFrame:
     c = F.col
     # The parts come last, so that their texts are not shuffled with the lines.
     return line.join(order, c("l_orderkey") == c("o_orderkey")).join(part, c("l_partkey") == c("p_partkey")).select(
-        F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber").alias("row_id"), c("p_brand").alias("make"), F.concat_ws(" ", "p_type", "p_name").alias("model"), c("p_type").alias("body"),
-        c("o_year").alias("year"), F.when(c("l_returnflag") == "A", "Certified").when(c("l_returnflag") == "N", "New").otherwise("Used").alias("status"),
-        F.when(c("l_returnflag") != "N", (c("l_quantity") * 1000).cast("int")).alias("mileage"), c("l_extendedprice").alias("price"), (c("l_quantity") * c("p_retailprice")).alias("prediction"),
+        F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber").alias("row_id"), c("p_brand").alias("make"), model(), c("p_type").alias("body"),
+        c("o_year").alias("year"), status(),
+        mileage(), c("l_extendedprice").alias("price"), (c("l_quantity") * c("p_retailprice")).alias("prediction"),
         c("l_shipdate").cast("date").alias("sold_on"), c("l_orderkey").alias("private_key"), c("l_suppkey").alias("seller"), c("l_linestatus").alias("source"), F.pmod("l_orderkey", F.lit(5)).cast("int").alias("fold"),
     )
 

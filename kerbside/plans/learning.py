@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from kerbside.functions import scalars as S
 from kerbside.operators import evaluate, mixing, models, relate, rules
 from kerbside.operators.quantiles import quantiles, with_quantiles
 from kerbside.plans.analysis import METRICS, L, tidy
-from kerbside.plans.bindings import SQL, listings, query, rounded, scored, table
+from kerbside.plans.bindings import SQL, listings, mileage, model, query, rounded, scored, status, table
 from kerbside.plans.ingest import CONTRACT
 from kerbside.staging import written
 from kerbside.streaming import keyed, outcomes
@@ -576,17 +578,33 @@ def _(spark, sf):
     return closed.unionByName(late)
 
 
+#: What a listing's status can be.
+STATUSES = ["Certified", "New", "Used"]
+
+
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
-    """Rejection cascade, deduplication, group holdout, a median baseline fitted on the training rows, and its errors by status on the test rows."""
-    from kerbside.operators.dedupe import mark_duplicates
-    from kerbside.operators.splits import closest_prefix_split
+    """Rejection cascade, deduplication, group holdout, a median baseline fitted on the training rows, and its errors by status on the test rows.
+
+    What follows sees of the listings that are equal in make, model, year, status and price only one, so these are told apart early, before any text is with
+    them: for make and model stands the least of the parts that have both (``kind``), for the status its place in ``STATUSES``.
+    """
+    from kerbside.operators.splits import closest_prefix_groups
 
     c = F.col
-    listed = listings(spark, sf).select("row_id", "make", "model", "year", "status", "price", "mileage")
-    rows = rules.with_reason(listed, [("mileage_invalid", c("mileage") > 49_000), ("price_invalid", c("price") <= 0)])
-    first = mark_duplicates(rows, ["make", "model", "year", "status", "price"], c("row_id"), c("reason_code").isNull()).where("reason_code is null and not is_duplicate")
-    kept = written(first.select("make", "model", "status", "price"), "flagship")
-    split = closest_prefix_split(kept, ["make", "model"], "status", 1, 5, "holdout")
+    code = reduce(lambda x, k: x.when(c("status") == STATUSES[k], k), range(1, len(STATUSES)), F.when(c("status") == STATUSES[0], 0)).cast("byte")
+    line = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", status(), mileage(), c("l_extendedprice").alias("price"))
+    line = rules.with_reason(line, [("mileage_invalid", c("mileage") > 49_000), ("price_invalid", c("price") <= 0)]).where("reason_code is null").select("l_orderkey", "l_partkey", code.alias("code"), "price")
+    part = table(spark, sf, "part").select("p_partkey", c("p_brand").alias("make"), model())
+    named = written(part.groupBy("make", "model").agg(F.min("p_partkey").alias("kind")), "flagship-kinds")
+    other = named.select(c("make").alias("__make"), c("model").alias("__model"), "kind")
+    kinds = written(part.join(other, c("make").eqNullSafe(c("__make")) & (c("model") == c("__model"))).select("p_partkey", "kind"), "flagship-parts")
+    order = table(spark, sf, "orders").select("o_orderkey", F.year("o_orderdate").cast("short").alias("year"))
+    rows = line.join(order, c("l_orderkey") == c("o_orderkey")).join(kinds, c("l_partkey") == c("p_partkey")).select("kind", "year", "code", "price")
+    kept = written(rows.distinct().select("kind", "code", "price"), "flagship")
+    sized = written(kept.groupBy("kind", "code").agg(F.count(F.lit(1)).alias("n")).join(named, "kind").withColumn("status", F.get(F.array(*map(F.lit, STATUSES)), c("code"))), "flagship-groups")
+    chosen = closest_prefix_groups(sized, ["make", "model"], "status", 1, 5, "holdout", "n").select(c("status").alias("__status"), c("make").alias("__make"), c("model").alias("__model"), "selected")
+    groups = sized.join(chosen, (c("status") == c("__status")) & c("make").eqNullSafe(c("__make")) & (c("model") == c("__model"))).select("kind", "code", "make", "status", "selected")
+    split = written(kept.join(groups, ["kind", "code"]).select("make", "status", "price", "selected"), "flagship-split")
     train = split.where("not selected")
     baseline = with_quantiles(train.select(c("make").alias("__make")).distinct(), train.select(c("make").alias("__make"), "price"), {"p": (c("price"), 0.5)}, ["__make"])
     test = split.where("selected").join(baseline, c("make") == c("__make")).withColumn("y", c("price"))

@@ -299,3 +299,18 @@ def test_a_batch_of_pages_is_passed_on_in_parts():
     first = next(found)
     assert len(read) == cards.PART < 300 and first.num_rows == sum(k % 3 for k in range(cards.PART))
     assert first.num_rows + sum(b.num_rows for b in found) == sum(k % 3 for k in range(1000)) and read[-1] is None
+
+
+def test_flagship_holds_listings_without_texts(spark, monkeypatch):
+    from kerbside.plans import learning
+    from kerbside.staging import written
+
+    held = {}
+
+    def watched(df, label):
+        held[label] = df.dtypes
+        return written(df, label)
+
+    monkeypatch.setattr(learning, "written", watched)
+    assert learning.flagship(spark, "/root/testdata/sf0.001").count() == 4
+    assert dict(held["flagship"]).keys() == {"kind", "code", "price"} and "string" not in dict(held["flagship"]).values()
