@@ -7,11 +7,16 @@ keep the same state between batches and over restarts.
 
 from __future__ import annotations
 
+import heapq
+import itertools
 import math
+import tempfile
 from collections import deque
 from collections.abc import Callable, Iterator
+from operator import itemgetter
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -114,7 +119,7 @@ def _fold(rows: DataFrame, at: list[str], start: Callable[[], object], step: Cal
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         state, name = None, None
         for frame in frames:
-            for row in frame.to_dict("records"):
+            for row in _records(frame):
                 key = row["key"] if isinstance(row["key"], str) else None
                 if state is None or key != name:
                     if state is not None:
@@ -169,22 +174,79 @@ def online_linear_by_key(df: DataFrame, key: str, at: list[str], numbers: list[s
     return _fold(_examples(df, key, at, numbers, categories, y, scale), at, lambda: Learning(numbers, categories, scale), Learning.step, Learning.result, LEARNED)
 
 
+#: Rows of a segment's batch that are put in order in memory. More of them are sorted in runs of so many in a file of the worker's own, and ``HEAD`` rows of each are held as they are merged.
+RUN, HEAD = 100_000, 1_000
 #: Rows of a batch that are Python records at one time.
 RECORDS = 10_000
 
 
+def _runs(frames: Iterator[pd.DataFrame], at: list[str]) -> Iterator[pd.DataFrame]:
+    """``frames`` as sorted ones of about ``RUN`` rows."""
+    held, n = [], 0
+    for frame in frames:
+        held.append(frame)
+        n += len(frame)
+        if n >= RUN:
+            yield pd.concat(held, ignore_index=True).sort_values(at, ignore_index=True)
+            held, n = [], 0
+    if held:
+        yield pd.concat(held, ignore_index=True).sort_values(at, ignore_index=True)
+
+
+def _records(frame: pd.DataFrame) -> Iterator[dict]:
+    names = list(frame.columns)
+    return (dict(zip(names, row)) for row in zip(*[frame[c].tolist() for c in names]))
+
+
+def _keys(frame: pd.DataFrame, at: list[str]) -> list[tuple]:
+    """What orders each row; what is missing comes last, as in ``sort_values``."""
+    parts = []
+    for c in at:
+        gone = frame[c].isna().tolist()
+        parts += [gone, [0 if none else x for none, x in zip(gone, frame[c].tolist())]]
+    return list(zip(*parts))
+
+
+def _in_order(frames: Iterator[pd.DataFrame], at: list[str]) -> Iterator[dict]:
+    """The rows of ``frames`` in the order of ``at``, with a bounded number of them in memory."""
+    runs = _runs(frames, at)
+    first, second = next(runs, None), next(runs, None)
+    if second is None:
+        for start in range(0, 0 if first is None else len(first), RECORDS):
+            yield from _records(first.iloc[start : start + RECORDS])
+        return
+    with tempfile.TemporaryFile() as file:  # has no name, so nothing is left of it
+        places = []
+        for run in itertools.chain((first, second), runs):
+            first = second = None
+            places.append([])
+            for start in range(0, len(run), HEAD):
+                places[-1].append(file.tell())
+                table = pa.Table.from_pandas(run.iloc[start : start + HEAD], preserve_index=False)
+                with pa.ipc.new_stream(file, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                    out.write_table(table)
+        run = None
+
+        def read(places: list[int]) -> Iterator[tuple[tuple, dict]]:
+            for place in places:
+                file.seek(place)
+                frame = pa.ipc.open_stream(file).read_all().to_pandas()
+                yield from zip(_keys(frame, at), _records(frame))
+
+        for _, row in heapq.merge(*map(read, places), key=itemgetter(0)):
+            yield row
+
+
 class _Segment(StatefulProcessor):
-    """Rows of a batch in order into the segment's state, which is read and written once a batch; the result so far goes out."""
+    """Rows of a batch in order into the segment's state, which is read and written once a batch; the result so far goes out. A batch is sorted in bounded memory."""
 
     def __init__(self, at: list[str]):
         self.at = at
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         state = self.read()
-        ordered = pd.concat(list(rows), ignore_index=True).sort_values(self.at, ignore_index=True)
-        for start in range(0, len(ordered), RECORDS):
-            for row in ordered.iloc[start : start + RECORDS].to_dict("records"):
-                state.step(row)
+        for row in _in_order((frame.drop(columns="key", errors="ignore") for frame in rows), self.at):
+            state.step(row)
         self.write(state)
         yield pd.DataFrame([{"key": key[0], **state.result()}])
 

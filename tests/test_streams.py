@@ -206,3 +206,57 @@ def test_the_middle_of_the_events_is_found_once(spark, monkeypatch):
     events = spark.read.parquet(f"{SF}/events.parquet")
     assert calls == [1] and counts[0][0] == events.count() // 2 and counts[1][0] == events.count()
     assert events.where(F.col("ts") <= F.lit(counts[0][1])).count() == counts[0][0]
+
+
+def test_a_segments_batch_is_sorted_in_bounded_memory(monkeypatch):
+    import random
+    import weakref
+
+    import pandas as pd
+
+    monkeypatch.setattr(keyed, "RUN", 100, raising=False)
+    monkeypatch.setattr(keyed, "HEAD", 7, raising=False)
+    draw, alive, most = random.Random(5), weakref.WeakSet(), [0]
+    day = lambda k: dt.date(2024, 1, 1) + dt.timedelta(k) if k < 30 else None
+    table = [{"key": "a", "at": day(draw.randrange(31)), "id": draw.choice(["x", "y", None]), "n": k, "v": draw.random()} for k in range(2_000)]
+
+    class Listed:
+        def __init__(self):
+            self.rows = []
+
+        def step(self, row):
+            self.rows.append(row)
+
+        def result(self):
+            return {"n": len(self.rows)}
+
+    class Order(keyed._Segment):
+        def init(self, handle):
+            pass
+
+        def read(self):
+            self.state = Listed()
+            return self.state
+
+        def write(self, state):
+            pass
+
+    class Frame(pd.DataFrame):
+        pass
+
+    def frames(rows):
+        for start in range(0, len(rows), 20):
+            frame = Frame(rows[start : start + 20])
+            alive.add(frame)
+            most[0] = max(most[0], sum(1 for _ in alive))
+            yield frame
+            del frame
+
+    monkeypatch.setattr(Frame, "__hash__", object.__hash__, raising=False)
+    for rows in (table, table[:90], table[:100], table[:120]):
+        order = Order(["at", "id", "n"])
+        (out,) = order.handleInputRows(("a",), frames(rows), None)
+        want = pd.DataFrame(rows).sort_values(["at", "id", "n"], ignore_index=True)
+        assert [r["n"] for r in order.state.rows] == want.n.tolist() and [r["v"] for r in order.state.rows] == want.v.tolist()
+        assert out.to_dict("records") == [{"key": "a", "n": len(rows)}]
+    assert most[0] <= 8  # of 100
